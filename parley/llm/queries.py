@@ -7,14 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.llm import language_id, quality
 from parley.llm.decontam import find_items
 from parley.llm.line_dedup import drop_frequent_lines
+from parley.llm.near_dedup import near_duplicates
+
+#: Cosine below which a text is taken for none of the languages.
+MIN_LANGUAGE_SCORE = 0.05
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def grades(labels: DataFrame) -> DataFrame:
+    """Ratings from the labels: 0 toxic, 1 of low quality, 2 good."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, grades(table(spark, sf_dir, "labels")), grades=2, sample_rows=8000)
+    return quality.rate(docs, model, keep_grade=2, min_tail=0.5).drop("text")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_items(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -27,7 +43,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), model, min_score=MIN_LANGUAGE_SCORE)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, similarity=0.8)
+    return found.select(F.col("id").alias("doc_id"), "class_id", "copy_of", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
+    "op9_near_dedup": op9_near_dedup,
 }
