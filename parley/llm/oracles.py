@@ -31,4 +31,25 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM m GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op3_line_dedup": OP3}
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS hex FROM p),
+b AS (SELECT *, list_aggregate(list_transform(string_split_regex(hex, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') AS bits FROM d),
+e AS (SELECT *, list_aggregate(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        list_sum(list_transform(generate_series(0, 4), lambda j: CASE WHEN substr(bits, CAST(i * 5 + j + 1 AS INT), 1) = '1' THEN 1 << CAST(4 - j AS INT) ELSE 0 END))::INT + 1, 1)), 'string_agg', '') AS digest FROM b),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM e)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+OP10 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op3_line_dedup": OP3, "op7_warc": OP7, "op10_topk_search": OP10}

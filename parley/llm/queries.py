@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import language_id, quality
+from parley.llm import language_id, quality, warc
+from parley.llm.common import Workspace
 from parley.llm.decontam import find_items
 from parley.llm.line_dedup import drop_frequent_lines
 from parley.llm.near_dedup import near_duplicates
+from parley.llm.topk import top_k
 
 #: Cosine below which a text is taken for none of the languages.
 MIN_LANGUAGE_SCORE = 0.05
@@ -50,15 +52,30 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Workspace(spark, 'warc').path}/archive"
+    warc.write_pages(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    records = warc.read_warc(spark, path, verify=True).filter(F.col("type").isin("response", "revisit"))
+    return records.select(warc.page_id(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), warc.page_id(F.col("refers_to")).alias("refers_to"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, similarity=0.8)
     return found.select(F.col("id").alias("doc_id"), "class_id", "copy_of", "n_links")
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = top_k(rows, rows.filter(F.col("vec_id") % 20 == 0), k=20, scale=64)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op7_warc": op7_warc,
     "op9_near_dedup": op9_near_dedup,
+    "op10_topk_search": op10_topk_search,
 }
