@@ -330,7 +330,7 @@ def record_id(page_id: Column) -> Column:
 
 
 def page_id(record: Column) -> Column:
-    return F.when(record != NO_ID, F.conv(F.concat(F.substring(record, 11, 8), F.substring(record, 38, 8)), 16, -10).cast("long"))
+    return F.when(record != NO_ID, F.conv(F.concat(F.substring(record, 11, 8), F.substring(record, 39, 8)), 16, -10).cast("long"))
 
 
 def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
