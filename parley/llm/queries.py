@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import language_id, quality, warc
+from parley.llm import language_id, pii, quality, warc
 from parley.llm.common import Workspace
 from parley.llm.decontam import find_items
 from parley.llm.line_dedup import drop_frequent_lines
@@ -59,6 +59,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(warc.page_id(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), warc.page_id(F.col("refers_to")).alias("refers_to"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_pii(docs, pii.fit(docs)).drop("text")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, similarity=0.8)
     return found.select(F.col("id").alias("doc_id"), "class_id", "copy_of", "n_links")
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op7_warc": op7_warc,
+    "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
     "op10_topk_search": op10_topk_search,
 }
