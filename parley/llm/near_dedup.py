@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import HEAVY_KEYS, Workspace, attach
+from parley.llm.common import Workspace, attach, spread_join
 from parley.llm.graph import components
 from parley.llm.words import Hasher, mix, ngrams
 
@@ -168,18 +168,9 @@ def verify(pairs: DataFrame, bag_table: DataFrame, similarity: float) -> DataFra
 
     A document that is in many pairs is dealt over as many tasks as it has thousands of pairs; its multiset is copied to each.
     """
-    share, n_pairs = 1000, pairs.count()
-
-    def dealt(side: str, other: str, left: DataFrame) -> DataFrame:
-        degree = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("deg")).select(F.col(side).alias("id"), F.ceil(F.col("deg") / share).cast("int").alias("copies"))
-        many = degree.filter("copies > 1")
-        own = bag_table.join(many, "id", "left").select("id", "bag", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt"))
-        # One row for each thousand pairs at most.
-        top = F.broadcast(many) if n_pairs <= HEAVY_KEYS * share else many
-        salted = left.join(top.select(F.col("id").alias(side), "copies"), side, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
-        return salted.join(own.select(F.col("id").alias(side), "salt", F.col("bag").alias(f"bag_{side}")), [side, "salt"]).drop("salt")
-
-    joined = dealt("b", "a", dealt("a", "b", pairs.select("a", "b"))).select("a", "b", "bag_a", "bag_b")
+    n_pairs = pairs.count()
+    joined = spread_join(pairs.select("a", "b"), bag_table.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a", "b", n_pairs)
+    joined = spread_join(joined, bag_table.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b", "a", n_pairs).select("a", "b", "bag_a", "bag_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,7 +11,9 @@ from parley.llm import language_id, pii, quality, warc
 from parley.llm.common import Workspace
 from parley.llm.decontam import find_items
 from parley.llm.line_dedup import drop_frequent_lines
+from parley.llm.mixing import mix
 from parley.llm.near_dedup import near_duplicates
+from parley.llm.substrings import repeated_passages
 from parley.llm.topk import top_k
 
 #: Cosine below which a text is taken for none of the languages.
@@ -52,6 +54,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), entropy=0.98, max_repetition=4.0, budget=1.0)
+    return plan.withColumnRenamed("id", "doc_id")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), k=8, window=16, min_words=50, similarity=0.8)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Workspace(spark, 'warc').path}/archive"
     warc.write_pages(table(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -80,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
