@@ -12,8 +12,10 @@ which does not depend on the document's length; where a register stays empty, th
 
 Groups. Equal word sequences fall together first, by a 128-bit key. Their representatives are banded. In every bucket the smallest
 document is the pivot, each other member is a candidate with it, and candidates are verified on the whole multisets. Verified pairs make
-components. A bucket that still holds several components goes on with its next pivot, against the members of other components; what is
-still left after ``rounds`` of these is compared pair by pair. So every pair that shares a bucket ends in one component or was compared.
+components. Where a bucket still holds several components, its documents may have links that no pivot showed. They are grouped anew by each
+of ``SINGLES`` single registers, groups are cut into blocks of bounded size, and every pair of blocks is verified at once: overlaps of all
+their documents are a product of two membership matrices, and only links that join two components come out. So every pair that shares
+a bucket ends in one component or was compared, but for the chance (1 - similarity) ** SINGLES that it shares no single register.
 
 Defined results: a null text, or one without words, is a class of its own; rows that share an id are one document, with the links of
 all of them;
@@ -34,6 +36,8 @@ from parley.llm.graph import components
 from parley.llm.words import Hasher, mix, ngrams
 
 BANDS, ROWS = 28, 4
+#: Registers by which documents are grouped a second time, and bytes of multisets in a block of such a group.
+SINGLES, BLOCK_BYTES = 6, 4 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,12 +113,12 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key: word sequence or null if it has no words, size, bands)."""
+    """(id, key: word sequence or null if it has no words, size, bands, singles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            keys, sizes, bands = [], [], []
+            keys, sizes, bands, singles = [], [], [], []
             for _, hashes, offsets in hasher.texts(batch.column(1).to_pylist()):
                 with np.errstate(over="ignore"):
                     place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)
@@ -126,15 +130,18 @@ def prints(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                     if not len(own):
                         keys.append(None)
                         bands.append(None)
+                        singles.append(None)
                         continue
                     with np.errstate(over="ignore"):
                         keys.append((one[e] - one[b]).tobytes() + (two[e] - two[b]).tobytes())
                     values, counts = np.unique(own, return_counts=True)
-                    bands.append(bands_of(bag_min_hash(values, counts, BANDS * ROWS)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "size", "bands"])
+                    signature = bag_min_hash(values, counts, BANDS * ROWS)
+                    bands.append(bands_of(signature))
+                    singles.append(signature[:: BANDS * ROWS // SINGLES][:SINGLES].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(singles, pa.list_(pa.int64()))], names=["id", "key", "size", "bands", "singles"])
 
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "utf-8").alias("text"))
-    return raw.mapInArrow(run, "id long, key binary, size long, bands array<long>")
+    return raw.mapInArrow(run, "id long, key binary, size long, bands array<long>, singles array<long>")
 
 
 def bags(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -187,68 +194,134 @@ def verify(pairs: DataFrame, bag_table: DataFrame, similarity: float) -> DataFra
     return joined.mapInArrow(run, "a long, b long, similarity double").filter(F.col("similarity") >= similarity)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def elements(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The multisets as sets: (element, row), where the n-th copy of a value is an element of its own; sorted."""
+    values = np.concatenate(bags)
+    rows = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+    fresh = np.concatenate([[True], (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])])
+    nth = np.arange(len(values)) - np.maximum.accumulate(np.where(fresh, np.arange(len(values)), 0))
+    with np.errstate(over="ignore"):
+        values = np.where(nth > 0, mix(values + _GOLDEN * nth.astype(np.uint64)), values)
+    order = np.lexsort((rows, values))
+    return values[order], rows[order]
+
+
+def overlaps(bags: list[np.ndarray], dense: int = 24, width: int = 2048) -> np.ndarray:
+    """Multiset overlap of every two of ``bags``. Elements of few rows are counted pair by pair, those of many by matrix products."""
+    n = len(bags)
+    values, rows = elements(bags)
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    counts = np.diff(np.append(starts, len(values)))
+    many = np.repeat(counts > dense, counts)
+    out = np.zeros((n, n), np.float32)
+    few_v, few_r = values[~many], rows[~many]
+    flat = np.zeros(0, np.int64)
+    for lag in range(1, dense):
+        same = np.flatnonzero(few_v[lag:] == few_v[:-lag]) if len(few_v) > lag else flat
+        if not len(same):
+            break
+        out += np.bincount(few_r[same].astype(np.int64) * n + few_r[same + lag], minlength=n * n).reshape(n, n)
+    out += out.T
+    columns = np.repeat(np.cumsum(counts > dense) - 1, counts)[many]
+    for at in range(0, int((counts > dense).sum()), width):
+        own = (columns >= at) & (columns < at + width)
+        member = np.zeros((n, width), np.float32)
+        member[rows[many][own], columns[own] - at] = 1
+        out += member @ member.T
+    return out
+
+
+def joining(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sides: np.ndarray, found: np.ndarray, similarity: float) -> list[tuple[int, int, float]]:
+    """Similar pairs that join different labels, no more than it takes to join them; ``sides``: of both blocks or within one."""
+    share = found / np.maximum(1, sizes[:, None] + sizes[None, :] - found)
+    a, b = np.nonzero(np.triu(share >= similarity, 1) & (labels[:, None] != labels[None, :]) & ((sides[:, None] != sides[None, :]) | (sides.max() == sides.min())))
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(int(labels[i])), top(int(labels[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[i]), int(ids[j]), float(share[i, j])))
+    return out
+
+
+def verify_groups(members: DataFrame, bag_table: DataFrame, similarity: float) -> DataFrame:
+    """``members``: (id, label, k, v, size). Links (a, b, similarity) between members of the same (k, v) that have different labels."""
+    groups = members.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    groups = groups.select("k", "v", "n", F.ceil(F.col("size") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    rows = attach(members.select("id", "label", "k", "v"), groups, ["k", "v"], members.count())
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("id", "label", "k", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").join(bag_table, "id")
+    dealt = rows.select("k", "v", "i", "j", "own", "id", "label", "bag").repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, []
+
+        def links() -> pa.RecordBatch:
+            bags = [np.frombuffer(x, np.uint64) for *_, x in group]
+            own, ids, labels = (np.array([x[c] for x in group]) for c in range(3))
+            found = joining(ids, labels, np.array([len(x) for x in bags]), own, overlaps(bags), similarity) if len(set(labels.tolist())) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*found, strict=True)) or [[], [], []], (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)
+            for key, *row in zip(keys, *(batch.column(c).to_pylist() for c in range(4, 8)), strict=True):
+                if key != last and group:
+                    yield links()
+                    group = []
+                last = key
+                group.append(row)
+        if group:
+            yield links()
+
+    return dealt.mapInArrow(run, "a long, b long, similarity double")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, copy_of, n_links): the smallest id of its component; of the documents with the same words; and how many
-    representatives with other words its own was found similar to."""
+    of the links that were found go out from its representative."""
     space = Workspace(docs.sparkSession, "near-dedup")
     known = space.table(prints(docs, k, id_col, text_col), "prints")
     n_docs = known.count()
     some = known.filter("key is not null and id is not null")
     # Equal word sequences: one representative each.
-    groups = space.table(some.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "groups")
-    several = groups.filter("n > 1")
-    copies = space.table(attach(some.select("id", "key"), several, ["key"], n_docs).filter("id <> rep").select("id", "rep").distinct(), "copies")
-    lone = some.join(copies.select("id"), "id", "left_anti")
+    several = space.table(some.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
+    copies = space.table(attach(some.select("id", "key"), several, ["key"], n_docs).filter("id <> rep").groupBy("id").agg(F.min("rep").alias("rep")), "copies")
     # (band, bucket) entries of the representatives; a bucket with one of them says nothing.
-    entries = space.table(lone.select("id", F.posexplode("bands").alias("band", "bucket")).distinct(), "entries")
+    entries = space.table(some.join(copies.select("id"), "id", "left_anti").select("id", F.posexplode("bands").alias("band", "bucket")).distinct(), "entries")
     n_entries = entries.count()
-    full = space.table(entries.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1"), "full")
+    full = entries.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1")
+    full = space.table(full, "full")
     entries = space.table(attach(entries, full, ["band", "bucket"], n_entries), "entries-full")
     space.drop("entries")
-
-    pairs = space.table(entries.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs0")
-    entered = entries.select("id").distinct()
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(entered, "id", "left_semi")
+    pairs = space.table(entries.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(entries.select("id").distinct(), "id", "left_semi")
     bag_table = space.table(bags(raw, k, "id", "text").groupBy("id").agg(F.max("bag").alias("bag")), "bags")
-    tested = pairs
-    edges = space.table(verify(pairs, bag_table, similarity), "edges0")
+    edges = space.table(verify(pairs, bag_table, similarity), "edges")
     labels = components(edges, space, "cc0")
-    for r in range(1, rounds + 2):
-        # Buckets with members of several components; members that have been pivot there are done.
-        entries = entries.filter("id <> pivot").drop("pivot")
-        tagged = entries.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        tagged = space.table(tagged, f"tagged{r}")
-        n_tagged = tagged.count()
-        if not n_tagged:
-            break
-        mixed = tagged.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").drop("least", "most")
-        mixed = space.table(mixed, f"mixed{r}")
-        if mixed.isEmpty():
-            break
-        live = space.table(attach(tagged, mixed, ["band", "bucket"], n_tagged), f"live{r}")
-        if r <= rounds:
-            tops = live.filter("id = pivot").select("band", "bucket", F.col("label").alias("pivot_label")).join(mixed.select("band", "bucket", "n"), ["band", "bucket"])
-            against = attach(live, tops, ["band", "bucket"], n_tagged).filter("label <> pivot_label")
-            fresh = against.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        else:
-            x = live.select("band", "bucket", F.col("id").alias("a"), F.col("label").alias("la"))
-            y = live.select("band", "bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
-            fresh = x.join(y, ["band", "bucket"]).filter("a < b and la <> lb").select("a", "b").distinct()
-        fresh = space.table(fresh.join(tested, ["a", "b"], "left_anti"), f"pairs{r}")
-        if not fresh.isEmpty():
-            found = space.table(verify(fresh, bag_table, similarity), f"edges{r}")
-            tested = tested.unionByName(fresh)
-            if not found.isEmpty():
-                edges = edges.unionByName(found)
-                labels = components(edges, space, f"cc{r}")
-        entries = live.drop("label", "n")
+    # Documents of buckets that hold several components.
+    tagged = space.table(entries.drop("pivot").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id")), "tagged")
+    mixed = tagged.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("band", "bucket", "n")
+    left = space.table(attach(tagged, space.table(mixed, "mixed"), ["band", "bucket"], tagged.count()).select("id", "label").distinct(), "left")
+    members = space.table(left.join(some.select("id", "size", "singles"), "id").select("id", "label", "size", F.posexplode("singles").alias("k", "v")).distinct(), "members")
+    more = space.table(verify_groups(members, bag_table, similarity), "more-edges")
+    if not more.isEmpty():
+        edges = edges.unionByName(more.dropDuplicates(["a", "b"]))
+        labels = components(edges, space, "cc1")
     links = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     whole = known.select("id").distinct().join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     n_by_rep = copies.groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("n"))
     told = labels.select(F.col("node").alias("rep"), "label").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(n_by_rep, "rep", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    # Rows whose representative is in no edge are classes of copies.
     told = space.table(told, "told")
     inside = attach(whole, told, ["rep"], n_docs)
+    # A representative without a link is a class with its copies.
     rest = whole.join(inside.select("id"), "id", "left_anti").select("id", "rep", F.col("rep").alias("label"), F.lit(0).cast("long").alias("n_links"))
     found = inside.select("id", "rep", "label", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).unionByName(rest)
     return found.select("id", F.col("label").alias("class_id"), F.col("rep").alias("copy_of"), "n_links")
