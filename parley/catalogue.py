@@ -1,2 +1,146 @@
-QUERIES = {}
-ORACLES = {}
+"""The analyses as queries over the driver's tables, and DuckDB SQL with the same results.
+
+``conversations`` gives the utterances: a document per conversation, an utterance per line.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.functions import text as X
+from parley.operators import centroid, cluster, corpus, keynet, lexrank, segment, stats, vectors
+from parley.operators.search import Search
+from parley.oracles import ORACLES  # noqa: F401
+from parley.sources import transcripts
+
+MAIN = ["assistant"]
+TILING = segment.Tiling(w=20, k=10)
+#: Below the default, which only a corpus of 16,206 utterances or more can reach.
+IDF_THRESHOLD = 4.0
+
+
+def utterances(spark: SparkSession, sf_dir: str, numbered: bool = False) -> DataFrame:
+    return transcripts.from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), numbered)
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def over_utterances(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(utterances(spark, sf_dir))
+
+
+def speaker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = utterances(spark, sf_dir)
+    speaker, text = transcripts.speaker_and_text(F.concat(F.col("speaker"), F.lit(": "), F.col("text")))
+    return u.select("doc_id", "pos", speaker.alias("speaker"), text.alias("text"))
+
+
+def year_files(u: DataFrame) -> DataFrame:
+    name: Column = F.concat(F.lit("talk_"), F.col("doc_id"), F.lit("_"), F.col("doc_id") % 7 + 2010, F.lit(".txt"))
+    return transcripts.year_groups(u.select("doc_id").distinct().select(name.alias("file")))
+
+
+def tiles(u: DataFrame) -> DataFrame:
+    return segment.gap_scores(segment.joined(u), TILING)
+
+
+def deep(u: DataFrame) -> DataFrame:
+    return segment.depths(segment.smoothed(tiles(u)))
+
+
+def keywords_of(u: DataFrame) -> DataFrame:
+    return keynet.keywords(u).select("term")
+
+
+SELECTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "split_main_speakers": lambda u: corpus.parse_speakers(u, MAIN)[0].select("doc_id", F.col("pos").alias("new_pos"), "speaker"),
+    "split_other_speakers": lambda u: corpus.parse_speakers(u, MAIN)[1].select("doc_id", F.col("pos").alias("new_pos"), "speaker"),
+    "concat_documents": corpus.concat_documents,
+    "year_groups": year_files,
+    "tokens_without_stopwords": corpus.tokens_without_stopwords,
+    "described_documents": lambda u: corpus.described(u).select("doc_id", "described"),
+    "described_corpus": lambda u: corpus.described_corpus(u).select("described"),
+    "shown_utterances": lambda u: u.select("doc_id", "pos", X.shown(F.col("speaker"), F.col("text")).alias("shown")),
+    "clean_terms": lambda u: u.select("doc_id", "pos", X.clean_term(F.col("text")).alias("cleaned")),
+}
+
+COUNTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "count_docs": stats.count_docs,
+    "doc_words": stats.doc_words,
+    "corpus_words": stats.corpus_words,
+    "doc_lines": stats.doc_lines,
+    "corpus_lines": stats.corpus_lines,
+    "utterance_percentiles": lambda u: rounded(stats.utterance_percentiles(u), "value"),
+    "doc_speakers": lambda u: stats.doc_speakers(u, ranked=True),
+    "corpus_speakers": stats.corpus_speakers,
+    "main_speaker_total": lambda u: stats.speaker_total(u, MAIN),
+    "entities_heuristic": stats.entity_counts,
+    "entities_by_document": lambda u: stats.entity_counts(u, per_document=True),
+    "entity_keywords": stats.entity_keywords,
+}
+
+LOOKUPS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "search_unigram": lambda u: Search(u)("the").select("file", "pos", "text"),
+    "search_bigram": lambda u: Search(u)("of the").select("file", "pos", "text"),
+    "search_grouped": lambda u: Search(u).grouped("the"),
+}
+
+WEIGHTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "tfidf_utterance": lambda u: rounded(vectors.utterance_vectors(u), "w"),
+    "tfidf_document_sublinear": lambda u: rounded(vectors.keyword_vectors(u), "w"),
+    "tfidf_cluster": lambda u: rounded(vectors.cluster_vectors(u), "w"),
+    "doc_cosine_distance": lambda u: rounded(cluster.distances(vectors.cluster_vectors(u), u), "dist"),
+}
+
+GRAPHS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "lexrank_edges_naive": lambda u: rounded(lexrank.edges(u, "naive"), "sim"),
+    "lexrank_edges_idfmod": lambda u: rounded(lexrank.edges(u, "idf-mod"), "sim"),
+    "lexrank_edges_tfidf": lambda u: rounded(lexrank.edges(u, "tfidf"), "sim"),
+    "lexrank_pagerank_fixed": lambda u: rounded(lexrank.scores(u, rounds=20).select("doc_id", "text", "score"), "score"),
+    "lexrank_pruned_nodes": lambda u: lexrank.graph(u, prune=True)[0],
+    "lexrank_keyphrases": lambda u: rounded(lexrank.keyphrases(u), "score"),
+    "lexrank_weighted": lambda u: rounded(lexrank.keyphrases(u, method="tfidf", weighted=True), "score"),
+    "keynet_keywords": lambda u: rounded(keynet.keywords(u), "score"),
+    "keynet_cooccurrence": lambda u: keynet.cooccurrences(u, keywords_of(u)),
+    "keynet_edges": lambda u: rounded(keynet.network(u, keywords_of(u)), "weight"),
+    "keynet_centrality": lambda u: rounded(keynet.build_keywords(u)[0], "centrality", "node_size"),
+}
+
+SUMMARIES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "centroid_cosine": lambda u: rounded(centroid.cosines(u), "score"),
+    "centroid_new_vocab": lambda u: rounded(centroid.new_vocabulary(u, IDF_THRESHOLD), "score"),
+    "centroid_summary": lambda u: centroid.summarize(u),
+    "centroid_summary_best": lambda u: centroid.summarize(u, "best", n=5),
+    "centroid_summary_tfidf": lambda u: centroid.summarize(u, "tfidf", n=5, threshold=IDF_THRESHOLD),
+}
+
+SEGMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "texttile_gaps": lambda u: rounded(tiles(u).select("doc_id", "gap", "score"), "score"),
+    "texttile_smooth": lambda u: rounded(segment.smoothed(tiles(u)).select("doc_id", "gap", "score"), "score"),
+    "texttile_depth": lambda u: rounded(deep(u).select("doc_id", "gap", "depth"), "depth"),
+    "texttile_candidates": lambda u: rounded(segment.candidates(deep(u)).select("doc_id", "gap", "depth"), "depth"),
+    "texttile_boundaries": lambda u: segment.boundaries(deep(u)),
+    "texttile_segments": lambda u: segment.segments(u, TILING),
+    "texttile_plot": lambda u: rounded(segment.plot_data(u, TILING), "score", "smooth", "depth"),
+    "segment_lsa": lambda u: segment.summaries(segment.segments(u, TILING)),
+}
+
+CLUSTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "kmeans_labels": lambda u: cluster.k_means(u)[0],
+    "kmeans_top_terms": lambda u: rounded(cluster.k_means(u)[1], "weight"),
+    "mds_positions": lambda u: rounded(cluster.layout(u), "x", "y"),
+    "cluster_frame": lambda u: rounded(cluster.cluster_frame(u), "x", "y"),
+    "ward_linkage": lambda u: rounded(cluster.ward_linkage(u), "height"),
+    "dendrogram_labels": cluster.dendrogram_labels,
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "utterances_load": lambda spark, sf_dir: utterances(spark, sf_dir, numbered=True),
+    "parse_speaker_lines": speaker_lines,
+    **{name: over_utterances(f) for group in (SELECTIONS, COUNTS, LOOKUPS, WEIGHTS, GRAPHS, SUMMARIES, SEGMENTS, CLUSTERS) for name, f in group.items()},
+}
