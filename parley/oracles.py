@@ -156,5 +156,5 @@ ORACLES: dict[str, str] = {
     "texttile_smooth": q(TILE, "SELECT doc_id, gap, round(score, 6) AS score FROM sm"),
     "texttile_depth": q(TILE, "SELECT doc_id, gap, round(depth, 6) AS depth FROM dp"),
     "texttile_candidates": q(TILE, "SELECT doc_id, gap, round(depth, 6) AS depth FROM ca"),
-    "dendrogram_labels": q("", "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS leaf, doc_id, substr(min(file), -8, 4) AS year FROM u GROUP BY doc_id"),
+    "dendrogram_labels": q("", "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS leaf, doc_id, substr(min(file), -8, 4) AS year FROM u GROUP BY doc_id"),
 }
