@@ -59,6 +59,14 @@ def attach(left: DataFrame, table: DataFrame, keys: list[str], total: int, how:
     return left.join(heavy, keys, how).unionByName(rest.join(light, keys, how))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column has it."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def others(df: DataFrame, *added: str, drop: bool = True) -> list[str]:
     """The columns of ``df`` but for those that have a name which an operator adds."""
     return [c for c in df.columns if not (drop and c.lower() in added)]

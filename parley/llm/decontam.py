@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import others
+from parley.llm.common import free_name, others
 from parley.llm.words import BLOCK, SPACE, TABLE
 
 
@@ -202,8 +202,8 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str
     spark = docs.sparkSession
     parts = [spark.sparkContext.broadcast(own) for own in shards(items, item_id, text_col, shard_words)]
     keep = others(docs, *ADDED, "clean_text")
-    raw = docs.select(*keep, F.encode(F.col(text_col), "utf-8").alias("_raw"))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("clean_text", T.StringType())])
+    raw = docs.select(*(F.col(f"`{c}`") for c in keep), F.encode(F.col(text_col), "utf-8").alias(free_name(docs, "_raw")))
+    schema = T.StructType([*docs.select(*(F.col(f"`{c}`") for c in keep)).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("clean_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = [SuffixAutomaton(p.value, window) for p in parts]

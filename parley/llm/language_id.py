@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import Workspace, others
+from parley.llm.common import Workspace, free_name, others
 
 DIMS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: Model, min_score: float = 0.0, text_col: st
 
     schema = T.StructType([*docs.select(*(F.col(f"`{c}`") for c in keep)).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     text = F.when(F.col(text_col).rlike(r"\p{L}"), letters(F.col(text_col)))
-    return docs.select(*(F.col(f"`{c}`") for c in keep), text.alias("_letters")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), text.alias(free_name(docs, "_letters"))).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

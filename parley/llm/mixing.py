@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import HEAVY_KEYS, Workspace, attach
+from parley.llm.common import HEAVY_KEYS, Workspace, attach, free_name
 
 FANS = 4096
 #: Sources are listed on the driver; more than this is taken for an error.
@@ -122,6 +122,7 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repetition: float | N
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents of the plan, a row per copy, with all their columns and weight, epoch, block, block_key, doc_key."""
-    plan = mix(docs, id_col=id_col, **options).select(F.col("id").alias("_id"), *(F.col(c).alias(f"mix_{c}") for c in ("weight", "epoch", "block", "block_key", "doc_key")))
+    own = free_name(docs, "_id")
+    plan = mix(docs, id_col=id_col, **options).select(F.col("id").alias(own), *(F.col(c).alias(f"mix_{c}") for c in ("weight", "epoch", "block", "block_key", "doc_key")))
     kept = [c for c in docs.columns if not c.lower().startswith("mix_")]
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).join(plan, docs[id_col] == F.col("_id")).drop("_id")
+    return docs.select(*(F.col(f"`{c}`") for c in kept)).join(plan, F.col(f"`{id_col}`") == F.col(own)).drop(own)

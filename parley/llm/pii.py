@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import Workspace, others
+from parley.llm.common import Workspace, free_name, others
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -467,7 +467,7 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
 
     kinds = [T.LongType()] * 4 + [T.StringType(), T.StringType(), T.LongType()]
     schema = T.StructType([*own.schema.fields, *(T.StructField(c, t) for c, t in zip(ADDED, kinds, strict=True))])
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias(free_name(docs, "_text"))).mapInArrow(run, schema)
 
 
 #: The digest of no spans.

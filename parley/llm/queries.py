@@ -31,7 +31,7 @@ def grades(labels: DataFrame) -> DataFrame:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, grades(table(spark, sf_dir, "labels")), grades=2, sample_rows=8000)
+    model = quality.fit(docs, grades(table(spark, sf_dir, "labels")), grades=2, sample_rows=12_000)
     return quality.rate(docs, model, keep_grade=2, min_tail=0.5).drop("text")
 
 
