@@ -3,12 +3,12 @@
 Seeds are the k-mers of words that are the smallest, by hash, of ``window`` consecutive ones: two texts that share
 ``k + window - 1`` words in a row share a seed. Of all places of a seed the first, by (id, position), is its hub, and every place in
 another document is a match with the hub; so a seed of n places gives n - 1 matches, not all pairs. The matches of a document are gathered in one
-row, which its own length bounds. For each hub they are chained: a chain ascends in both texts, and its score is the words it
-covers less a gap cost for every word skipped in either. As that cost is linear, the best predecessor of a match is a prefix maximum over
+row, which its own length bounds. For each hub they are chained: a chain ascends in both texts, and its score is k for every seed less
+a gap cost for every word that it advances in either. As that cost is linear, the best predecessor of a match is a prefix maximum over
 positions in the hub, which a Fenwick tree keeps.
 
 Chains are then aligned on the words: gaps between seeds by the longest common subsequence, the ends outwards along the diagonal while the
-score does not drop too far. Passages of ``min_words`` words or more in both texts, of which ``similarity`` or more match, stay.
+score does not drop too far; both on slices of the texts around the chain, and on the whole texts where a slice is too short. Passages of ``min_words`` words or more in both texts, of which ``similarity`` or more match, stay.
 
 Result: a row per passage of a document, with the place of the hub's passage, and one for each hub's passage itself (its own
 representative). Passages that many documents share thus have one representative and as many rows.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import Workspace, attach, spread_join
@@ -53,7 +53,11 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
             reach += hop
         picked = (value & np.uint64((1 << 22) - 1)).astype(np.int64) + at
         out.append(picked[np.concatenate([[True], picked[1:] != picked[:-1]])])
-    return np.unique(np.concatenate(out))
+    picked = np.unique(np.concatenate(out))
+    # In a stretch of one repeated value every position is picked; one in ``width`` is enough there.
+    fresh = np.concatenate([[True], (grams[picked[1:]] != grams[picked[:-1]]) | (np.diff(picked) > 1)])
+    nth = np.arange(len(picked)) - np.maximum.accumulate(np.where(fresh, np.arange(len(picked)), 0))
+    return picked[nth % width == 0]
 
 
 def seeds(docs: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
@@ -90,9 +94,7 @@ def chains(matches: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]
                 r &= r - 1
             score[j] = float(k)
             if best[1] >= 0:
-                q, g = matches[best[1]]
-                fresh = min(k, p - q, h - g)
-                gain = best[0] - GAP * (p + h) + 2 * GAP * fresh + fresh
+                gain = k + best[0] - GAP * (p + h)
                 if gain > score[j]:
                     score[j], back[j] = gain, best[1]
             j += 1
@@ -164,6 +166,16 @@ def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int]], k: int) ->
     return b - more, e, g - more, h, matched + same
 
 
+def passage_columns() -> list[str]:
+    return ["id", "start_word", "end_word", "rep_id", "rep_start", "rep_end", "n_matched", "similarity"]
+
+
+def outermost(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Without spans that lie within another of the same keys. A group is bounded by the length of a text."""
+    before = Window.partitionBy(*keys).orderBy(start, F.desc(end)).rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("_reach", F.max(end).over(before)).filter(F.col("_reach").isNull() | (F.col(end) > F.col("_reach"))).drop("_reach")
+
+
 def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, rep_id, rep_start, rep_end, n_matched, similarity)."""
     space = Workspace(docs.sparkSession, "substrings")
@@ -209,29 +221,41 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
     known = raw.join(needed, "id", "left_semi").mapInArrow(words, "id long, words binary").groupBy("id").agg(F.max("words").alias("words"))
     known = space.table(known, "words")
 
-    def part(b: str, e: str, words: str):
-        start = F.greatest(F.lit(0), F.col(b) - REACH)
-        return F.substring(F.col(words), (start * 4 + 1).cast("int"), ((F.col(e) + REACH - start) * 4).cast("int"))
+    def sides(rows: DataFrame, n: int, reach: int) -> DataFrame:
+        """Plus the words of both texts around the chain, as slices of the words that begin at ``at`` and ``rep_at``."""
+        def part(words: str, at: str, end: str):
+            return F.substring(F.col(words), (F.col(at) * 4 + 1).cast("int"), ((F.col(end) + reach - F.col(at)) * 4).cast("int"))
 
-    sides = spread_join(linked, known, "id", "rep", n_chains).withColumn("x", part("b", "e", "words")).drop("words")
-    sides = spread_join(sides, known.withColumnRenamed("id", "rep"), "rep", "id", n_chains).withColumn("y", part("rb", "re", "words")).drop("words")
+        placed = rows.withColumn("at", F.greatest(F.lit(0), F.col("b") - reach)).withColumn("rep_at", F.greatest(F.lit(0), F.col("rb") - reach))
+        one = spread_join(placed, known, "id", "rep", n).withColumn("x", part("words", "at", "e")).withColumn("size", F.octet_length("words") / 4).drop("words")
+        two = spread_join(one, known.withColumnRenamed("id", "rep"), "rep", "id", n).withColumn("y", part("words", "rep_at", "re")).withColumn("rep_size", F.octet_length("words") / 4).drop("words")
+        return two.select("id", "rep", "b", "e", "rb", "re", "chain", "at", "rep_at", F.col("size").cast("long").alias("size"), F.col("rep_size").cast("long").alias("rep_size"), "x", "y")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, rep, b, rb, chain, x, y in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "rep", "b", "rb", "chain", "x", "y")), strict=True):
+            for *row, x, y in zip(*(c if i in (6, 11, 12) else c.to_pylist() for i, c in enumerate(batch.columns)), strict=True):
+                i, rep, b, e, rb, re, chain, at, rep_at, size, rep_size = row
                 x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                at, rep_at = max(0, b.as_py() - REACH), max(0, rb.as_py() - REACH)
                 own = chain.values.to_numpy().reshape(-1, 2) - np.array([at, rep_at])
-                s, e, rs, re, n = align(x, y, list(map(tuple, own.tolist())), k)
-                share = n / max(e - s, re - rs)
-                if min(e - s, re - rs) >= min_words and share >= similarity:
-                    out.append((i.as_py(), s + at, e + at, rep.as_py(), rs + rep_at, re + rep_at, n, share))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.float64()], strict=True)], names=["id", "start_word", "end_word", "rep_id", "rep_start", "rep_end", "n_matched", "similarity"])
-
-    kept = sides.select("id", "rep", "b", "rb", "chain", "x", "y").mapInArrow(aligned, "id long, start_word long, end_word long, rep_id long, rep_start long, rep_end long, n_matched long, similarity double")
-    kept = space.table(kept.distinct(), "passages")
-    own = kept.select("rep_id", "rep_start", "rep_end").distinct()
+                s, t, u, v, n = align(x, y, list(map(tuple, own.tolist())), k)
+                # Open: the alignment came to the end of a slice that is not the end of the text.
+                more = min(s, u) == 0 and min(at, rep_at) > 0 or t == len(x) < size - at or v == len(y) < rep_size - rep_at
+                share = n / max(1, t - s, v - u)
+                if more or min(t - s, v - u) >= min_words and share >= similarity:
+                    out.append((i, s + at, t + at, rep, u + rep_at, v + rep_at, n, share, chain.as_py() if more else None, b, e, rb, re))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 13
+            kinds = [pa.int64()] * 7 + [pa.float64(), pa.list_(pa.int64())] + [pa.int64()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "start_word", "end_word", "rep_id", "rep_start", "rep_end", "n_matched", "similarity", "chain", "b", "e", "rb", "re"])
+
+    passage = "id long, start_word long, end_word long, rep_id long, rep_start long, rep_end long, n_matched long, similarity double, chain array<long>, b long, e long, rb long, re long"
+    near = space.table(sides(linked, n_chains, REACH).mapInArrow(aligned, passage), "near")
+    # The few that go on beyond their slices, as in texts that repeat themselves, once more with whole texts.
+    open_ones = near.filter("chain is not null").select("id", F.col("rep_id").alias("rep"), "b", "e", "rb", "re", "chain")
+    far = sides(open_ones, open_ones.count(), 1 << 28).mapInArrow(aligned, passage)
+    columns = passage_columns()
+    kept = near.filter("chain is null").select(*columns).unionByName(far.select(*columns))
+    kept = space.table(outermost(kept.distinct(), ["id", "rep_id"], "start_word", "end_word"), "passages")
+    own = outermost(kept.groupBy("rep_id", "rep_start").agg(F.max("rep_end").alias("rep_end")), ["rep_id"], "rep_start", "rep_end")
     own = own.select(F.col("rep_id").alias("id"), F.col("rep_start").alias("start_word"), F.col("rep_end").alias("end_word"), "rep_id", "rep_start", "rep_end", (F.col("rep_end") - F.col("rep_start")).alias("n_matched"), F.lit(1.0).alias("similarity"))
     return kept.unionByName(own)
