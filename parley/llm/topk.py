@@ -136,33 +136,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         whole = rows.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v")).filter("id is not null and v is not null")
         n = whole.count()
         made = space.table(pack(whole.repartition(max(1, -(-n // size))), size), name)
-        # Blocks get numbers from 0 on; there are rows / size of them.
-        return made.withColumn("no", F.row_number().over(Window.orderBy("block")) - 1), made.count()
+        return made, max(1, made.count())
 
     index, n_index = blocks(vectors, block_rows, "index")
     asked, _ = blocks(queries, query_rows, "queries")
-    sent = asked.select(F.col("no").alias("query_block"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n_index - 1)))).alias("no"))
-    met = index.select("no", "ids", "dims", "data").join(sent, "no").select("query_block", "no", "ids", "dims", "data", "q_ids", "q_dims", "q_data")
+    # Index blocks are dealt into as many groups, and every block of queries is sent to every group: each pair of blocks meets once.
+    index = index.withColumn("no", F.pmod(F.xxhash64("block"), F.lit(n_index)))
+    sent = asked.select(F.col("block").alias("query_block"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_index - 1).cast("long"))).alias("no"))
+    met = index.join(sent, "no").select("query_block", "block", "ids", "dims", "data", "q_ids", "q_dims", "q_data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, built = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                query_block, no, ids, dims, data, q_ids, q_dims, q_data = (c[row].as_py() for c in batch.columns)
-                if no != last:
-                    last, built = no, Index(*unpack(ids, dims, data))
+                query_block, block, ids, dims, data, q_ids, q_dims, q_data = (c[row].as_py() for c in batch.columns)
+                if block != last:
+                    last, built = block, Index(*unpack(ids, dims, data))
                 own, q = unpack(q_ids, q_dims, q_data)
                 width = built.vectors.shape[1]
                 q = np.pad(q, ((0, 0), (0, max(0, width - q.shape[1]))))[:, :width]
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for at in range(0, len(own), CHUNK):
                     for i, found, scores in built.search(q[at : at + CHUNK], own[at : at + CHUNK], k):
                         n = len(found)
-                        for into, values in zip(out, (np.full(n, own[at + i]), np.full(n, (query_block << 32) + at + i), found, scores), strict=True):
+                        for into, values in zip(out, (np.full(n, own[at + i]), np.full(n, query_block), np.full(n, at + i), found, scores), strict=True):
                             into.append(values)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["query_id", "query", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["query_id", "query_block", "query_row", "id", "score"])
 
-    found = met.mapInArrow(run, "query_id long, query long, id long, score long")
-    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
+    found = met.mapInArrow(run, "query_id long, query_block long, query_row long, id long, score long")
+    best = Window.partitionBy("query_id", "query_block", "query_row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
