@@ -96,6 +96,7 @@ class Model:
     """Names, and one column per centroid of weights that already hold the idf."""
 
     def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray):
+        self.parts = (langs, idf, centroids)
         self.langs, self.idf = langs, idf
         self.weights = np.ascontiguousarray((centroids * idf).T)
 
@@ -152,10 +153,10 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
 def identify(docs: DataFrame, model: Model, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
     """``docs`` plus lang_pred, score and rejected (no letters, or cosine below ``min_score``)."""
     keep = others(docs, "lang_pred", "score", "rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS * clusters * max_languages floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts)  # DIMS * clusters * max_languages floats at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = Model(*shared.value)
         for batch in batches:
             found = [own.predict(x.as_py()) if x.is_valid else (None, 0.0) for x in batch.column(len(keep))]
             langs, scores = [x[0] for x in found], [x[1] for x in found]

@@ -246,8 +246,9 @@ def _address_features(tokens: list[str], b: int, a: int, e: int, dots: int, righ
 class Field:
     """Weights of hashed features, and of pairs of neighbouring labels."""
 
-    def __init__(self):
-        self.w, self.pair = np.zeros(DIMS), np.zeros((5, 5))
+    def __init__(self, w: np.ndarray | None = None, pair: np.ndarray | None = None):
+        self.w = np.zeros(DIMS) if w is None else w
+        self.pair = np.zeros((5, 5)) if pair is None else pair
 
     def _by_end(self, n: int, segs: list) -> list[list[tuple[int, int, int]]]:
         ends: list[list[tuple[int, int, int]]] = [[] for _ in range(n + 1)]
@@ -448,9 +449,10 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
     """``docs`` plus the numbers of base spans by kind, their digest, all spans, and the number of added ones."""
     keep = others(docs, *ADDED)
     own = docs.select(*(F.col(f"`{c}`") for c in keep))
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # DIMS numbers
+    shared = docs.sparkSession.sparkContext.broadcast((field.w, field.pair))  # DIMS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Field(*shared.value)
         for batch in batches:
             rows = []
             for text in batch.column(len(keep)).to_pylist():
@@ -458,7 +460,7 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame
                     rows.append((0, 0, 0, 0, NOTHING, "", 0))
                     continue
                 base = base_spans(text)
-                new = added_spans(text, base, shared.value)
+                new = added_spans(text, base, own)
                 n = [sum(k == kind for _, k, _ in base) for kind in range(4)]
                 rows.append((*n, hashlib.sha256(told(base).encode()).hexdigest(), told(sorted([*base, *new])), len(new)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7

@@ -185,12 +185,12 @@ def rate(docs: DataFrame, model: Model, keep_grade: int, min_tail: float = 0.5,
     added = ("expected_grade", "tail", "keep")
     names = others(docs, *added)
     own = docs.select(*(F.col(f"`{c}`") for c in names))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE floats
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # SIZE floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, own = Hasher(), Model(*shared.value)
         for batch in batches:
-            tails = [shared.value.tails(b) for b in features(hasher, batch.column(len(names)).to_pylist())]
+            tails = [own.tails(b) for b in features(hasher, batch.column(len(names)).to_pylist())]
             tail = [float(p[keep_grade - 1]) for p in tails]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([float(p.sum()) for p in tails], pa.float64()), pa.array(tail, pa.float64()), pa.array([p >= min_tail for p in tail], pa.bool_())], names=[*names, *added])
 
