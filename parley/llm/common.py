@@ -48,15 +48,19 @@ def attach(left: DataFrame, table: DataFrame, keys: list[str], total: int, how:
     """Join ``left`` (``total`` rows) with ``table``, which has one row per key and in ``n`` the rows that ``left`` has of it.
 
     Keys with at least ``total / HEAVY_KEYS`` rows are joined by a broadcast: there are ``HEAVY_KEYS`` of them at most,
-    whatever the data. All others have few rows each, so a shuffle deals them evenly. ``how`` is inner or left_semi.
+    whatever the data. All others have few rows each, so a shuffle deals them evenly. The two parts are told apart by a hash
+    of the key, of which the heavy ones are listed in the plan. ``how`` is inner or left_semi.
     """
     least = max(1, total // HEAVY_KEYS)
-    heavy = F.broadcast(table.filter(F.col(n) >= least).drop(n))
+    plain = table.drop(n)
     if least == 1:
-        return left.join(heavy, keys, how)
-    light = table.filter(F.col(n) < least).drop(n)
-    rest = left.join(F.broadcast(table.filter(F.col(n) >= least).select(*keys)), keys, "left_anti")
-    return left.join(heavy, keys, how).unionByName(rest.join(light, keys, how))
+        return left.join(F.broadcast(plain), keys, how)
+    code = "xxhash64(" + ", ".join(f"CAST(`{k}` AS {table.schema[k].dataType.simpleString()})" for k in keys) + ")"
+    heavy = [str(r[0]) for r in table.filter(F.col(n) >= least).select(F.expr(code)).distinct().collect()]
+    if not heavy:
+        return left.join(plain, keys, how)
+    is_heavy = F.expr(f"{code} IN ({', '.join(f'{h}L' for h in heavy)})")
+    return left.filter(is_heavy).join(F.broadcast(plain.filter(is_heavy)), keys, how).unionByName(left.filter(~is_heavy).join(plain.filter(~is_heavy), keys, how))
 
 
 def free_name(df: DataFrame, name: str) -> str:
