@@ -21,12 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of ``rows`` rows at most, so that a batch of long texts stays small on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Workspace:
     """A folder of written tables below the shared folder. It goes when the driver's JVM ends, or earlier by ``drop``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        bound_batches(spark)
         self._fs(self.path, lambda fs, p: fs.deleteOnExit(p))
 
     def _fs(self, path: str, act):

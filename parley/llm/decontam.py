@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import free_name, others
+from parley.llm.common import bound_batches, free_name, others
 from parley.llm.words import BLOCK, SPACE, TABLE
 
 
@@ -200,6 +200,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str
     """``docs`` plus n_words, n_hit, n_items, items_sha256, contaminated, spans (of hit words, end exclusive) and ``clean_text``: the
     text without the hit words."""
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = [spark.sparkContext.broadcast(own) for own in shards(items, item_id, text_col, shard_words)]
     keep = others(docs, *ADDED, "clean_text")
     raw = docs.select(*(F.col(f"`{c}`") for c in keep), F.encode(F.col(text_col), "utf-8").alias(free_name(docs, "_raw")))

@@ -36,8 +36,8 @@ from parley.llm.graph import components
 from parley.llm.words import Hasher, mix, ngrams
 
 BANDS, ROWS = 28, 4
-#: Registers by which documents are grouped a second time, and bytes of multisets in a block of such a group.
-SINGLES, BLOCK_BYTES = 6, 4 << 20
+#: Registers by which documents are grouped a second time; rows and bytes of multisets in a block of such a group.
+SINGLES, BLOCK_ROWS, BLOCK_BYTES = 6, 1000, 4 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -220,7 +220,7 @@ def overlaps(bags: list[np.ndarray], dense: int = 24, width: int = 2048) -> np.n
         same = np.flatnonzero(few_v[lag:] == few_v[:-lag]) if len(few_v) > lag else flat
         if not len(same):
             break
-        out += np.bincount(few_r[same].astype(np.int64) * n + few_r[same + lag], minlength=n * n).reshape(n, n)
+        np.add.at(out.reshape(-1), few_r[same].astype(np.int64) * n + few_r[same + lag], 1)
     out += out.T
     columns = np.repeat(np.cumsum(counts > dense) - 1, counts)[many]
     for at in range(0, int((counts > dense).sum()), width):
@@ -233,8 +233,15 @@ def overlaps(bags: list[np.ndarray], dense: int = 24, width: int = 2048) -> np.n
 
 def joining(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sides: np.ndarray, found: np.ndarray, similarity: float) -> list[tuple[int, int, float]]:
     """Similar pairs that join different labels, no more than it takes to join them; ``sides``: of both blocks or within one."""
-    share = found / np.maximum(1, sizes[:, None] + sizes[None, :] - found)
-    a, b = np.nonzero(np.triu(share >= similarity, 1) & (labels[:, None] != labels[None, :]) & ((sides[:, None] != sides[None, :]) | (sides.max() == sides.min())))
+    # In counts: n >= similarity * (x + y - n), row by row to keep the temporary arrays small.
+    apart = sides.max() != sides.min()
+    a, b = [], []
+    for i in range(len(ids) - 1):
+        n = found[i, i + 1 :]
+        near = (n >= similarity * (sizes[i] + sizes[i + 1 :] - n)) & (labels[i + 1 :] != labels[i])
+        j = np.flatnonzero(near & (sides[i + 1 :] != sides[i]) if apart else near) + i + 1
+        a += [i] * len(j)
+        b += j.tolist()
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -244,18 +251,18 @@ def joining(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sides: np.nd
         return x
 
     out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+    for i, j in zip(a, b, strict=True):
         x, y = top(int(labels[i])), top(int(labels[j]))
         if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((int(ids[i]), int(ids[j]), float(share[i, j])))
+            out.append((int(ids[i]), int(ids[j]), float(found[i, j] / (sizes[i] + sizes[j] - found[i, j]))))
     return out
 
 
 def verify_groups(members: DataFrame, bag_table: DataFrame, similarity: float) -> DataFrame:
     """``members``: (id, label, k, v, size). Links (a, b, similarity) between members of the same (k, v) that have different labels."""
     groups = members.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    groups = groups.select("k", "v", "n", F.ceil(F.col("size") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    groups = groups.select("k", "v", "n", F.greatest(F.ceil(F.col("size") * 8 / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int").alias("blocks"))
     rows = attach(members.select("id", "label", "k", "v"), groups, ["k", "v"], members.count())
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("id", "label", "k", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").join(bag_table, "id")
