@@ -18,8 +18,7 @@ their documents are a product of two membership matrices, and only links that jo
 a bucket ends in one component or was compared, but for the chance (1 - similarity) ** SINGLES that it shares no single register.
 
 Defined results: a null text, or one without words, is a class of its own; rows that share an id are one document, with the links of
-all of them;
-ties go to the smallest id; a null id takes no part in links (its class is null); an empty table gives an empty table.
+all of them; ties go to the smallest id; a null id takes no part in links (its class is null); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -122,8 +121,9 @@ def prints(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             for _, hashes, offsets in hasher.texts(batch.column(1).to_pylist()):
                 with np.errstate(over="ignore"):
                     place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)
-                    one = np.concatenate([[0], np.cumsum(mix(hashes + place * _GOLDEN))]).astype(np.uint64)
-                    two = np.concatenate([[0], np.cumsum(mix((hashes ^ _GOLDEN) * (place * np.uint64(2) + np.uint64(1))))]).astype(np.uint64)
+                    start = np.zeros(1, np.uint64)
+                    one = np.concatenate([start, np.cumsum(mix(hashes + place * _GOLDEN))])
+                    two = np.concatenate([start, np.cumsum(mix((hashes ^ _GOLDEN) * (place * np.uint64(2) + np.uint64(1))))])
                 for d, own in enumerate(shingles(hashes, offsets, k)):
                     b, e = offsets[d], offsets[d + 1]
                     sizes.append(len(own))

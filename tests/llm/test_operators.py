@@ -135,7 +135,12 @@ def near_texts():
 def test_near_duplicates_against_brute_force(spark):
     texts = near_texts()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    assert {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == classes(texts)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert {r["id"]: r["class_id"] for r in got} == classes(texts)
+    first = {}
+    for i, t in texts.items():
+        first.setdefault(tuple(words_of(t)), i)
+    assert {r["id"]: r["copy_of"] for r in got} == {i: first[tuple(words_of(t))] for i, t in texts.items()}
 
 
 def test_links_that_no_pivot_shows(spark):
