@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import Workspace, attach
 
 
+#: Edges that one task takes at once; 16 bytes each.
+ONE_TASK = 200_000
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of a bounded number of edges, by union-find with the smallest node as root."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([top(x) for x in list(root)], pa.int64())], names=["node", "label"])
+
+
 def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(node, label): for each end of an edge (a, b) the smallest node of its component.
 
-    Each round hooks every current label to the smallest label that an edge joins it to, follows these pointers once more, and puts
-    the new labels into the edges; edges within a label go. So labels at least halve in number where edges remain, and the rounds are
-    few. Joins use ``attach``, so a label with a large part of all edges is no hot key.
+    Up to ``ONE_TASK`` edges are united in one task. Beyond that, each round hooks every current label to the smallest label that an
+    edge joins it to, follows these pointers to their end, and puts the new labels into the edges; edges within a label go. So labels at
+    least halve in number where edges remain, and the rounds are few. Joins use ``attach``, so a label with a large part of all edges is
+    no hot key.
     """
+    if edges.count() <= ONE_TASK:
+        return space.table(edges.select("a", "b").coalesce(1).mapInArrow(united, "node long, label long"), f"{name}-labels")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = space.table(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("label")), f"{name}-labels0")
     live = space.table(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-live0")
