@@ -92,14 +92,14 @@ def objective(theta: np.ndarray, x: np.ndarray, y: np.ndarray, grades: int, l2:
     w, steps = theta[:k], np.exp(theta[k + 1 :])
     t = theta[k] + np.concatenate([[0.0], np.cumsum(steps)])
     tail = np.ones((len(y), grades + 2))
-    tail[:, 1:-1] = sigmoid((x @ w)[:, None] - t)
+    tail[:, 1:-1] = sigmoid((x @ w.astype(x.dtype)).astype(float)[:, None] - t)
     tail[:, -1] = 0
     at = np.arange(len(y))
     slope = tail * (1 - tail)
     chance = np.maximum(tail[at, y] - tail[at, y + 1], 1e-12)
     low, high = slope[at, y] / chance, slope[at, y + 1] / chance
     d_t = np.array([high[y == j - 1].sum() - low[y == j].sum() for j in range(1, grades + 1)])
-    d_theta = np.concatenate([x.T @ (low - high) - l2 * w, [d_t.sum()], [d_t[j:].sum() * steps[j - 1] for j in range(1, grades)]])
+    d_theta = np.concatenate([x.T @ (low - high).astype(x.dtype) - l2 * w, [d_t.sum()], [d_t[j:].sum() * steps[j - 1] for j in range(1, grades)]])
     return float(-np.log(chance).sum() + l2 / 2 * (w @ w)), -d_theta
 
 
