@@ -8,7 +8,7 @@ a gap cost for every word that it advances in either. As that cost is linear, th
 positions in the hub, which a Fenwick tree keeps.
 
 Chains are then aligned on the words: gaps between seeds by the longest common subsequence, the ends outwards along the diagonal while the
-score does not drop too far; both on slices of the texts around the chain, and on the whole texts where a slice is too short. Passages of ``min_words`` words or more in both texts, of which ``similarity`` or more match, stay.
+score does not drop too far, up to ``REACH`` words. Passages of ``min_words`` words or more in both texts, of which ``similarity`` or more match, stay.
 
 Result: a row per passage of a document, with the place of the hub's passage, and one for each hub's passage itself (its own
 representative). Passages that many documents share thus have one representative and as many rows.
@@ -166,10 +166,6 @@ def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int]], k: int) ->
     return b - more, e, g - more, h, matched + same
 
 
-def passage_columns() -> list[str]:
-    return ["id", "start_word", "end_word", "rep_id", "rep_start", "rep_end", "n_matched", "similarity"]
-
-
 def outermost(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Without spans that lie within another of the same keys. A group is bounded by the length of a text."""
     before = Window.partitionBy(*keys).orderBy(start, F.desc(end)).rowsBetween(Window.unboundedPreceding, -1)
@@ -197,13 +193,14 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
                 rep, pairs = rep[order], np.stack([pos[order], rep_pos[order]], 1)
                 cuts = np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1], [True]]))
                 for b, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    for c in chains(list(map(tuple, pairs[b:e].tolist())), k):
-                        if c[-1][0] + k - c[0][0] >= min_words - 2 * (k + window):
-                            out.append((batch.column(0)[i].as_py(), int(rep[b]), c[0][0], c[-1][0] + k, c[0][1], c[-1][1] + k, [x for m in c for x in m]))
+                    own = [c for c in chains(list(map(tuple, pairs[b:e].tolist())), k) if c[-1][0] + k - c[0][0] >= min_words - 2 * (k + window)]
+                    if own:
+                        ends = min(c[0][0] for c in own), max(c[-1][0] for c in own) + k, min(c[0][1] for c in own), max(c[-1][1] for c in own) + k
+                        out.append((batch.column(0)[i].as_py(), int(rep[b]), *ends, [[x for m in c for x in m] for c in own]))
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.list_(pa.int64())], strict=True)], names=["id", "rep", "b", "e", "rb", "re", "chain"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.list_(pa.list_(pa.int64()))], strict=True)], names=["id", "rep", "b", "e", "rb", "re", "chains"])
 
-    linked = space.table(rows.mapInArrow(chain, "id long, rep long, b long, e long, rb long, re long, chain array<long>"), "chains")
+    linked = space.table(rows.mapInArrow(chain, "id long, rep long, b long, e long, rb long, re long, chains array<array<long>>"), "chains")
     space.drop("seeds")
     space.drop("hubs")
     n_chains = linked.count()
@@ -221,41 +218,35 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
     known = raw.join(needed, "id", "left_semi").mapInArrow(words, "id long, words binary").groupBy("id").agg(F.max("words").alias("words"))
     known = space.table(known, "words")
 
-    def sides(rows: DataFrame, n: int, reach: int) -> DataFrame:
-        """Plus the words of both texts around the chain, as slices of the words that begin at ``at`` and ``rep_at``."""
-        def part(words: str, at: str, end: str):
-            return F.substring(F.col(words), (F.col(at) * 4 + 1).cast("int"), ((F.col(end) + reach - F.col(at)) * 4).cast("int"))
+    def part(words: str, at: str, end: str):
+        return F.substring(F.col(words), (F.col(at) * 4 + 1).cast("int"), ((F.col(end) + REACH - F.col(at)) * 4).cast("int"))
 
-        placed = rows.withColumn("at", F.greatest(F.lit(0), F.col("b") - reach)).withColumn("rep_at", F.greatest(F.lit(0), F.col("rb") - reach))
-        one = spread_join(placed, known, "id", "rep", n).withColumn("x", part("words", "at", "e")).withColumn("size", F.octet_length("words") / 4).drop("words")
-        two = spread_join(one, known.withColumnRenamed("id", "rep"), "rep", "id", n).withColumn("y", part("words", "rep_at", "re")).withColumn("rep_size", F.octet_length("words") / 4).drop("words")
-        return two.select("id", "rep", "b", "e", "rb", "re", "chain", "at", "rep_at", F.col("size").cast("long").alias("size"), F.col("rep_size").cast("long").alias("rep_size"), "x", "y")
+    placed = linked.withColumn("at", F.greatest(F.lit(0), F.col("b") - REACH)).withColumn("rep_at", F.greatest(F.lit(0), F.col("rb") - REACH))
+    sides = spread_join(placed, known, "id", "rep", n_chains).withColumn("x", part("words", "at", "e")).drop("words")
+    sides = spread_join(sides, known.withColumnRenamed("id", "rep"), "rep", "id", n_chains).withColumn("y", part("words", "rep_at", "re")).drop("words")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for *row, x, y in zip(*(c if i in (6, 11, 12) else c.to_pylist() for i, c in enumerate(batch.columns)), strict=True):
-                i, rep, b, e, rb, re, chain, at, rep_at, size, rep_size = row
+            for i, rep, at, rep_at, own, x, y in zip(*(c if j > 4 else c.to_pylist() for j, c in enumerate(batch.columns)), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                own = chain.values.to_numpy().reshape(-1, 2) - np.array([at, rep_at])
-                s, t, u, v, n = align(x, y, list(map(tuple, own.tolist())), k)
-                # Open: the alignment came to the end of a slice that is not the end of the text.
-                more = min(s, u) == 0 and min(at, rep_at) > 0 or t == len(x) < size - at or v == len(y) < rep_size - rep_at
-                share = n / max(1, t - s, v - u)
-                if more or min(t - s, v - u) >= min_words and share >= similarity:
-                    out.append((i, s + at, t + at, rep, u + rep_at, v + rep_at, n, share, chain.as_py() if more else None, b, e, rb, re))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 13
-            kinds = [pa.int64()] * 7 + [pa.float64(), pa.list_(pa.int64())] + [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "start_word", "end_word", "rep_id", "rep_start", "rep_end", "n_matched", "similarity", "chain", "b", "e", "rb", "re"])
-
-    passage = "id long, start_word long, end_word long, rep_id long, rep_start long, rep_end long, n_matched long, similarity double, chain array<long>, b long, e long, rb long, re long"
-    near = space.table(sides(linked, n_chains, REACH).mapInArrow(aligned, passage), "near")
-    # The few that go on beyond their slices, as in texts that repeat themselves, once more with whole texts.
-    open_ones = near.filter("chain is not null").select("id", F.col("rep_id").alias("rep"), "b", "e", "rb", "re", "chain")
-    far = sides(open_ones, open_ones.count(), 1 << 28).mapInArrow(aligned, passage)
-    columns = passage_columns()
-    kept = near.filter("chain is null").select(*columns).unionByName(far.select(*columns))
-    kept = space.table(outermost(kept.distinct(), ["id", "rep_id"], "start_word", "end_word"), "passages")
+                known: list[tuple[int, int, int, int]] = []
+                for chain in own:
+                    c = [(p - at, h - rep_at) for p, h in zip(chain[::2], chain[1::2], strict=True)]
+                    (b, g), (e, h) = c[0], c[-1]
+                    # The ends of a better chain went over this one.
+                    if any(s <= b and e + k <= t and u <= g and h + k <= v for s, t, u, v in known):
+                        continue
+                    s, t, u, v, n = align(x, y, c, k)
+                    share = n / max(1, t - s, v - u)
+                    if min(t - s, v - u) >= min_words and share >= similarity:
+                        known.append((s, t, u, v))
+                        out.append((i, s + at, t + at, rep, u + rep_at, v + rep_at, n, share))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.float64()], strict=True)], names=["id", "start_word", "end_word", "rep_id", "rep_start", "rep_end", "n_matched", "similarity"])
+
+    found = sides.select("id", "rep", "at", "rep_at", "chains", "x", "y").mapInArrow(aligned, "id long, start_word long, end_word long, rep_id long, rep_start long, rep_end long, n_matched long, similarity double")
+    kept = space.table(outermost(found.distinct(), ["id", "rep_id"], "start_word", "end_word"), "passages")
     own = outermost(kept.groupBy("rep_id", "rep_start").agg(F.max("rep_end").alias("rep_end")), ["rep_id"], "rep_start", "rep_end")
     own = own.select(F.col("rep_id").alias("id"), F.col("rep_start").alias("start_word"), F.col("rep_end").alias("end_word"), "rep_id", "rep_start", "rep_end", (F.col("rep_end") - F.col("rep_start")).alias("n_matched"), F.lit(1.0).alias("similarity"))
     return kept.unionByName(own)
