@@ -7,6 +7,10 @@ row, which its own length bounds. For each hub they are chained: a chain ascends
 a gap cost for every word that it advances in either. As that cost is linear, the best predecessor of a match is a prefix maximum over
 positions in the hub, which a Fenwick tree keeps.
 
+What the hub leaves is gone on with: a place of a seed that no passage covers is compared with the seed's other places too, 16 of them
+in the first round, 16 times as many in each that follows, until passages cover it or all have had their turn. Of these pairs, which may be many
+for a short line that many texts hold, only those are chained whose surroundings have enough words in common for a passage.
+
 Chains are then aligned on the words: gaps between seeds by the longest common subsequence, the ends outwards along the diagonal while the
 score does not drop too far, up to ``REACH`` words. Passages of ``min_words`` words or more in both texts, of which ``similarity`` or more match, stay.
 
@@ -31,6 +35,8 @@ from parley.llm.words import Hasher, ngrams
 
 GAP = 0.05
 REACH = 96
+#: Places of a seed that a place left by the hub is compared with in the first round, and by how much later rounds grow.
+ROUND = 16
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
@@ -172,6 +178,15 @@ def outermost(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFr
     return spans.withColumn("_reach", F.max(end).over(before)).filter(F.col("_reach").isNull() | (F.col(end) > F.col("_reach"))).drop("_reach")
 
 
+def uncovered(places: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``places`` (seed, id, pos, n) that lie in no passage of their text, on either side of ``found``."""
+    spans = found.select("id", "start_word", "end_word").union(found.select("rep_id", "rep_start", "rep_end")).distinct()
+    rows = spans.select(F.lit(None).cast("long").alias("seed"), "id", F.col("start_word").cast("int").alias("pos"), F.lit(None).cast("long").alias("n"), F.col("end_word").alias("_end"))
+    rows = rows.unionByName(places.select("seed", "id", "pos", "n", F.lit(None).cast("long").alias("_end")))
+    so_far = Window.partitionBy("id").orderBy("pos", F.col("_end").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_reach", F.max("_end").over(so_far)).filter(F.col("n").isNotNull() & (F.coalesce("_reach", F.lit(0)) < F.col("pos") + k)).drop("_end", "_reach")
+
+
 def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, rep_id, rep_start, rep_end, n_matched, similarity)."""
     space = Workspace(docs.sparkSession, "substrings")
@@ -180,31 +195,28 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
     n_seeds = found.count()
     hubs = found.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("hub.id <> last").drop("last")
     hubs = space.table(hubs, "hubs")
-    matches = attach(found, hubs, ["seed"], n_seeds).filter("id <> hub.id").select("id", F.col("hub.id").alias("rep"), "pos", F.col("hub.pos").alias("rep_pos"))
-    rows = matches.groupBy("id").agg(F.collect_set(F.struct("rep", "pos", "rep_pos")).alias("m"))
+    places = attach(found, hubs.select("seed", "hub", "n", F.col("n").alias("places")), ["seed"], n_seeds)
+    places = space.table(places.select("seed", "id", "pos", "hub", F.col("places").alias("n")), "places")
+    space.drop("seeds")
+    space.drop("hubs")
+    n_places = places.count()
+    most = (places.agg(F.max("n")).first()[0] or 0) if n_places else 0
+    matches = places.filter("id <> hub.id").select("id", F.col("hub.id").alias("rep"), "pos", F.col("hub.pos").alias("rep_pos"))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i in range(batch.num_rows):
-                own = batch.column(1)[i].values
-                rep, pos, rep_pos = (own.field(c).to_numpy() for c in range(3))
-                order = np.lexsort((rep_pos, pos, rep))
-                rep, pairs = rep[order], np.stack([pos[order], rep_pos[order]], 1)
-                cuts = np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1], [True]]))
-                for b, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    own = [c for c in chains(list(map(tuple, pairs[b:e].tolist())), k) if c[-1][0] + k - c[0][0] >= min_words - 2 * (k + window)]
-                    if own:
-                        ends = min(c[0][0] for c in own), max(c[-1][0] for c in own) + k, min(c[0][1] for c in own), max(c[-1][1] for c in own) + k
-                        out.append((batch.column(0)[i].as_py(), int(rep[b]), *ends, [[x for m in c for x in m] for c in own]))
+            for i, rep, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                pos, rep_pos = (own.values.field(c).to_numpy() for c in range(2))
+                order = np.lexsort((rep_pos, pos))
+                pairs = np.stack([pos[order], rep_pos[order]], 1)
+                own = [c for c in chains(list(map(tuple, pairs.tolist())), k) if c[-1][0] + k - c[0][0] >= min_words - 2 * (k + window)]
+                if own:
+                    ends = min(c[0][0] for c in own), max(c[-1][0] for c in own) + k, min(c[0][1] for c in own), max(c[-1][1] for c in own) + k
+                    out.append((i, rep, *ends, [[x for m in c for x in m] for c in own]))
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.list_(pa.list_(pa.int64()))], strict=True)], names=["id", "rep", "b", "e", "rb", "re", "chains"])
 
-    linked = space.table(rows.mapInArrow(chain, "id long, rep long, b long, e long, rb long, re long, chains array<array<long>>"), "chains")
-    space.drop("seeds")
-    space.drop("hubs")
-    n_chains = linked.count()
-
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
@@ -214,17 +226,12 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
                 found += [short[b:e].tobytes() for b, e in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "words"])
 
-    needed = linked.select("id").union(linked.select("rep")).distinct()
-    known = raw.join(needed, "id", "left_semi").mapInArrow(words, "id long, words binary").groupBy("id").agg(F.max("words").alias("words"))
+    known = raw.join(places.select("id").distinct(), "id", "left_semi").mapInArrow(words, "id long, words binary").groupBy("id").agg(F.max("words").alias("words"))
     known = space.table(known, "words")
 
     def part(words: str, at: str, end: str):
         return F.substring(F.col(words), (F.col(at) * 4 + 1).cast("int"), ((F.col(end) + REACH - F.col(at)) * 4).cast("int"))
 
-    placed = linked.withColumn("at", F.greatest(F.lit(0), F.col("b") - REACH)).withColumn("rep_at", F.greatest(F.lit(0), F.col("rb") - REACH))
-    sides = spread_join(placed, known, "id", "rep", n_chains).withColumn("x", part("words", "at", "e")).drop("words")
-    sides = spread_join(sides, known.withColumnRenamed("id", "rep"), "rep", "id", n_chains).withColumn("y", part("words", "rep_at", "re")).drop("words")
-
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -245,8 +252,61 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.float64()], strict=True)], names=["id", "start_word", "end_word", "rep_id", "rep_start", "rep_end", "n_matched", "similarity"])
 
-    found = sides.select("id", "rep", "at", "rep_at", "chains", "x", "y").mapInArrow(aligned, "id long, start_word long, end_word long, rep_id long, rep_start long, rep_end long, n_matched long, similarity double")
-    kept = space.table(outermost(found.distinct(), ["id", "rep_id"], "start_word", "end_word"), "passages")
-    own = outermost(kept.groupBy("rep_id", "rep_start").agg(F.max("rep_end").alias("rep_end")), ["rep_id"], "rep_start", "rep_end")
+    def passages(matches: DataFrame, name: str) -> DataFrame:
+        """The passages that matches (id, rep, pos, rep_pos) lie in."""
+        rows = matches.groupBy("id", "rep").agg(F.collect_set(F.struct("pos", "rep_pos")).alias("m"))
+        linked = space.table(rows.mapInArrow(chain, "id long, rep long, b long, e long, rb long, re long, chains array<array<long>>"), f"chains-{name}")
+        n_chains = linked.count()
+        placed = linked.withColumn("at", F.greatest(F.lit(0), F.col("b") - REACH)).withColumn("rep_at", F.greatest(F.lit(0), F.col("rb") - REACH))
+        sides = spread_join(placed, known, "id", "rep", n_chains).withColumn("x", part("words", "at", "e")).drop("words")
+        sides = spread_join(sides, known.withColumnRenamed("id", "rep"), "rep", "id", n_chains).withColumn("y", part("words", "rep_at", "re")).drop("words")
+        found = sides.select("id", "rep", "at", "rep_at", "chains", "x", "y").mapInArrow(aligned, "id long, start_word long, end_word long, rep_id long, rep_start long, rep_end long, n_matched long, similarity double")
+        found = space.table(found, f"found-{name}")
+        space.drop(f"chains-{name}")
+        return found
+
+    # A passage of min_words words has this many words on either side of a seed at most, and so many that match.
+    beside, least = int(np.ceil(min_words / similarity)) - k, int(np.ceil(min_words * similarity - 1e-9))
+    width = 2 * beside + k
+
+    def around(rows: DataFrame, n: int) -> DataFrame:
+        """Plus the words around a place, as ``near``."""
+        begin = F.greatest(F.lit(0), F.col("pos") - beside)
+        near = F.substring(F.col("words"), (begin * 4 + 1).cast("int"), ((F.col("pos") + k + beside - begin) * 4).cast("int"))
+        return spread_join(rows, known, "id", "pos", n).withColumn("near", F.rpad(near, width * 4, F.lit(b"\0"))).drop("words")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, width) for c in batch.columns[4:])
+            good = [np.zeros(0, bool)]
+            for i in range(0, len(x), 250):
+                u, v = x[i : i + 250], y[i : i + 250]
+                same = u[:, :, None] == v[:, None, :]
+                good.append((((u > 0) & same.any(2)).sum(1) >= least) & (((v > 0) & same.any(1)).sum(1) >= least))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(np.concatenate(good)))
+
+    found = passages(matches, "0")
+    rest = places.filter("n > 2 and not (id = hub.id and pos = hub.pos)").select("seed", "id", "pos", "n")
+    turn = F.col("n") * F.pmod(F.xxhash64("seed", "id", "pos"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    low, high = 0, ROUND
+    while low < most:
+        left = space.table(uncovered(rest.filter(F.col("n") > low), found, k), f"left-{high}")
+        n_left = left.count()
+        if not n_left:
+            break
+        wanted = left.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("copies"))
+        others = space.table(rest.filter((turn >= low) & (turn < high)).join(wanted, "seed"), f"others-{high}")
+        ours = around(left.join(wanted, "seed"), n_left).withColumn("salt", F.pmod(F.xxhash64("id", "pos"), "copies").cast("int"))
+        theirs = around(others, others.count()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        theirs = theirs.select("seed", "salt", F.col("id").alias("rep"), F.col("pos").alias("rep_pos"), F.col("near").alias("rep_near"))
+        pairs = ours.join(theirs, ["seed", "salt"]).filter("id <> rep").select("id", "pos", "rep", "rep_pos", "near", "rep_near")
+        pairs = pairs.mapInArrow(alike, "id long, pos int, rep long, rep_pos int")
+        ends = F.greatest(F.struct("id", "pos"), F.struct(F.col("rep").alias("id"), F.col("rep_pos").alias("pos"))), F.least(F.struct("id", "pos"), F.struct(F.col("rep").alias("id"), F.col("rep_pos").alias("pos")))
+        pairs = pairs.select(ends[0].alias("x"), ends[1].alias("y")).select("x.id", F.col("y.id").alias("rep"), "x.pos", F.col("y.pos").alias("rep_pos"))
+        found = found.unionByName(passages(pairs, str(high)))
+        low, high = high, high * ROUND
+    found = found.distinct()
+    kept = space.table(outermost(found, ["id", "rep_id"], "start_word", "end_word"), "passages")
+    own = outermost(found.groupBy("rep_id", "rep_start").agg(F.max("rep_end").alias("rep_end")), ["rep_id"], "rep_start", "rep_end")
     own = own.select(F.col("rep_id").alias("id"), F.col("rep_start").alias("start_word"), F.col("rep_end").alias("end_word"), "rep_id", "rep_start", "rep_end", (F.col("rep_end") - F.col("rep_start")).alias("n_matched"), F.lit(1.0).alias("similarity"))
     return kept.unionByName(own)

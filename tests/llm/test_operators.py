@@ -493,3 +493,15 @@ def test_proof_stops_early():
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest() == pii.NOTHING
+
+
+def test_passages_whose_pieces_occur_before(spark):
+    rng = random.Random(21)
+    noise = lambda n: [f"n{rng.randint(0, 10**6)}" for _ in range(n)]
+    docs, n = [], 20
+    for i in range(n):  # every seed of a passage of 60 words has its first place in a text with 38 of them
+        p = noise(60)
+        own = [p[:38], p[22:], p, p]
+        docs += [(j * n + i, " ".join(noise(40) + x + noise(40))) for j, x in enumerate(own)]
+    got = {(r["id"], r["rep_id"], r["start_word"], r["end_word"]) for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(j * n + i, 2 * n + i, 40, 100) for i in range(n) for j in (2, 3)}
