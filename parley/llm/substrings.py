@@ -12,7 +12,8 @@ in the first round, 16 times as many in each that follows, until passages cover
 for a short line that many texts hold, only those are chained whose surroundings have enough words in common for a passage.
 
 Chains are then aligned on the words: gaps between seeds by the longest common subsequence, the ends outwards along the diagonal while the
-score does not drop too far, up to ``REACH`` words. Passages of ``min_words`` words or more in both texts, of which ``similarity`` or more match, stay.
+score does not drop too far; on slices of both texts, and where an end came to the end of a slice, all chains of these two texts once more on slices
+16 times as wide, until none does. Passages of ``min_words`` words or more in both texts, of which ``similarity`` or more match, stay.
 
 Result: a row per passage of a document, with the place of the hub's passage, and one for each hub's passage itself (its own
 representative). Passages that many documents share thus have one representative and as many rows.
@@ -34,6 +35,7 @@ from parley.llm.common import Workspace, attach, spread_join
 from parley.llm.words import Hasher, ngrams
 
 GAP = 0.05
+#: Words beyond the chains in the first slices.
 REACH = 96
 #: Places of a seed that a place left by the hub is compared with in the first round, and by how much later rounds grow.
 ROUND = 16
@@ -137,23 +139,24 @@ def lcs(x: list[int], y: list[int]) -> int:
     return len(x) - row.bit_count()
 
 
-def outwards(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
-    """How many words of both to add, and how many of them match: +1 for a match, -2 else, up to a drop of 12."""
+def outwards(x: np.ndarray, y: np.ndarray) -> tuple[int, int, bool]:
+    """How many words of both to add, how many of them match, and if a text ended first: +1 for a match, -2 else, up to a drop of 12."""
     n = min(len(x), len(y))
     if not n:
-        return 0, 0
+        return 0, 0, True
     same = x[:n] == y[:n]
     total = np.cumsum(np.where(same, 1, -2))
     low = np.flatnonzero(total < np.maximum.accumulate(np.maximum(total, 0)) - 12)
     end = int(low[0]) if len(low) else n
     if not end or total[:end].max() <= 0:
-        return 0, 0
+        return 0, 0, not len(low)
     best = int(total[:end].argmax()) + 1
-    return best, int(same[:best].sum())
+    return best, int(same[:best].sum()), not len(low)
 
 
-def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int]], k: int) -> tuple[int, int, int, int, int]:
-    """Start and end in both, and matching words, of the passage that a chain lies in."""
+def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int]], k: int, begins: tuple[bool, bool] = (True, True), ends: tuple[bool, bool] = (True, True)) -> tuple[int, int, int, int, int, bool]:
+    """Start and end in both, and matching words, of the passage that a chain lies in; and if it is open, that is, came to an end of
+    ``x`` or ``y`` that is none of the text's, as ``begins`` and ``ends`` tell."""
     (b, g), matched = chain[0], 0
     e, h = b, g
     for p, q in chain:
@@ -166,10 +169,14 @@ def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int]], k: int) ->
         run = int(np.argmin(np.append(x[p : p + new] == y[q : q + new], False)))
         matched += run
         e, h = p + run, q + run
-    more, same = outwards(x[e:], y[h:])
+    def stopped(u: int, v: int, whole: tuple[bool, bool]) -> bool:
+        return u <= v and whole[0] or v <= u and whole[1]
+
+    more, same, over = outwards(x[e:], y[h:])
+    is_open = over and not stopped(len(x) - e, len(y) - h, ends)
     e, h, matched = e + more, h + more, matched + same
-    more, same = outwards(x[:b][::-1], y[:g][::-1])
-    return b - more, e, g - more, h, matched + same
+    more, same, over = outwards(x[:b][::-1], y[:g][::-1])
+    return b - more, e, g - more, h, matched + same, is_open or over and not stopped(b, g, begins)
 
 
 def outermost(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -229,26 +236,32 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
     known = raw.join(places.select("id").distinct(), "id", "left_semi").mapInArrow(words, "id long, words binary").groupBy("id").agg(F.max("words").alias("words"))
     known = space.table(known, "words")
 
-    def part(words: str, at: str, end: str):
-        return F.substring(F.col(words), (F.col(at) * 4 + 1).cast("int"), ((F.col(end) + REACH - F.col(at)) * 4).cast("int"))
+    def part(words: str, at: str, end: str, reach: int):
+        return F.substring(F.col(words), (F.col(at) * 4 + 1).cast("int"), ((F.col(end) + reach - F.col(at)) * 4).cast("int"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Passages; or, where a chain is open, one row without numbers for the two texts."""
         for batch in batches:
             out: list[tuple] = []
-            for i, rep, at, rep_at, own, x, y in zip(*(c if j > 4 else c.to_pylist() for j, c in enumerate(batch.columns)), strict=True):
+            for i, rep, at, rep_at, own, x, y, x_ends, y_ends in zip(*(c if j in (4, 5, 6) else c.to_pylist() for j, c in enumerate(batch.columns)), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 known: list[tuple[int, int, int, int]] = []
-                for chain in own:
+                rows: list[tuple] = []
+                for chain in own.as_py():
                     c = [(p - at, h - rep_at) for p, h in zip(chain[::2], chain[1::2], strict=True)]
                     (b, g), (e, h) = c[0], c[-1]
                     # The ends of a better chain went over this one.
                     if any(s <= b and e + k <= t and u <= g and h + k <= v for s, t, u, v in known):
                         continue
-                    s, t, u, v, n = align(x, y, c, k)
+                    s, t, u, v, n, is_open = align(x, y, c, k, (at == 0, rep_at == 0), (x_ends, y_ends))
+                    if is_open:
+                        rows = [(i, None, None, rep, None, None, None, None)]
+                        break
                     share = n / max(1, t - s, v - u)
                     if min(t - s, v - u) >= min_words and share >= similarity:
                         known.append((s, t, u, v))
-                        out.append((i, s + at, t + at, rep, u + rep_at, v + rep_at, n, share))
+                        rows.append((i, s + at, t + at, rep, u + rep_at, v + rep_at, n, share))
+                out += rows
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.float64()], strict=True)], names=["id", "start_word", "end_word", "rep_id", "rep_start", "rep_end", "n_matched", "similarity"])
 
@@ -256,14 +269,20 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
         """The passages that matches (id, rep, pos, rep_pos) lie in."""
         rows = matches.groupBy("id", "rep").agg(F.collect_set(F.struct("pos", "rep_pos")).alias("m"))
         linked = space.table(rows.mapInArrow(chain, "id long, rep long, b long, e long, rb long, re long, chains array<array<long>>"), f"chains-{name}")
-        n_chains = linked.count()
-        placed = linked.withColumn("at", F.greatest(F.lit(0), F.col("b") - REACH)).withColumn("rep_at", F.greatest(F.lit(0), F.col("rb") - REACH))
-        sides = spread_join(placed, known, "id", "rep", n_chains).withColumn("x", part("words", "at", "e")).drop("words")
-        sides = spread_join(sides, known.withColumnRenamed("id", "rep"), "rep", "id", n_chains).withColumn("y", part("words", "rep_at", "re")).drop("words")
-        found = sides.select("id", "rep", "at", "rep_at", "chains", "x", "y").mapInArrow(aligned, "id long, start_word long, end_word long, rep_id long, rep_start long, rep_end long, n_matched long, similarity double")
-        found = space.table(found, f"found-{name}")
-        space.drop(f"chains-{name}")
-        return found
+        whole, reach = None, REACH
+        while True:
+            n_chains = linked.count()
+            placed = linked.withColumn("at", F.greatest(F.lit(0), F.col("b") - reach)).withColumn("rep_at", F.greatest(F.lit(0), F.col("rb") - reach))
+            sides = spread_join(placed, known, "id", "rep", n_chains).withColumn("x", part("words", "at", "e", reach)).withColumn("x_ends", F.octet_length("words") <= (F.col("e") + reach) * 4).drop("words")
+            sides = spread_join(sides, known.withColumnRenamed("id", "rep"), "rep", "id", n_chains).withColumn("y", part("words", "rep_at", "re", reach)).withColumn("y_ends", F.octet_length("words") <= (F.col("re") + reach) * 4).drop("words")
+            found = sides.select("id", "rep", "at", "rep_at", "chains", "x", "y", "x_ends", "y_ends").mapInArrow(aligned, "id long, start_word long, end_word long, rep_id long, rep_start long, rep_end long, n_matched long, similarity double")
+            found = space.table(found, f"found-{name}-{reach}")
+            closed, more = found.filter("n_matched is not null"), found.filter("n_matched is null").select("id", F.col("rep_id").alias("rep"))
+            whole = closed if whole is None else whole.unionByName(closed)
+            if more.isEmpty():
+                return whole
+            reach *= 16
+            linked = space.table(linked.join(more, ["id", "rep"], "left_semi"), f"chains-{name}-{reach}")
 
     # A passage of min_words words has this many words on either side of a seed at most, and so many that match.
     beside, least = int(np.ceil(min_words / similarity)) - k, int(np.ceil(min_words * similarity - 1e-9))

@@ -505,3 +505,10 @@ def test_passages_whose_pieces_occur_before(spark):
         docs += [(j * n + i, " ".join(noise(40) + x + noise(40))) for j, x in enumerate(own)]
     got = {(r["id"], r["rep_id"], r["start_word"], r["end_word"]) for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {(j * n + i, 2 * n + i, 40, 100) for i in range(n) for j in (2, 3)}
+
+
+def test_passages_far_beyond_their_seeds(spark):
+    p = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, "x " + f"{p} " * 33), (2, "y z " + f"{p} " * 33), (3, "der " * 5000), (4, "der " * 3000)]
+    got = {(r["id"], r["start_word"], r["end_word"]) for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {(1, 1, 1981), (2, 2, 1982)} <= got and {(3, 0, 3000), (4, 0, 3000)} <= got
