@@ -39,6 +39,9 @@ GAP = 0.05
 REACH = 96
 #: Places of a seed that a place left by the hub is compared with in the first round, and by how much later rounds grow.
 ROUND = 16
+#: Places of either side of a seed whose pairs are looked at together, and width of the bags of words that rule most out.
+BLOCK = 500
+BAG = 2048
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
@@ -294,15 +297,38 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
         near = F.substring(F.col("words"), (begin * 4 + 1).cast("int"), ((F.col("pos") + k + beside - begin) * 4).cast("int"))
         return spread_join(rows, known, "id", "pos", n).withColumn("near", F.rpad(near, width * 4, F.lit(b"\0"))).drop("words")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags(near: np.ndarray) -> np.ndarray:
+        """Numbers of the words of each row by their hash in ``BAG``."""
+        at = (np.arange(len(near), dtype=np.int64)[:, None] * BAG + near % BAG)[near > 0]
+        return np.bincount(at, minlength=len(near) * BAG).reshape(-1, BAG).astype(np.float32)
+
+    def alike(ours: list[tuple], theirs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Pairs in different documents whose surroundings have enough words in common."""
+        u, v = (np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(-1, width) for own in (ours, theirs))
+        ids, reps = (np.array([x[0] for x in own]) for own in (ours, theirs))
+        maybe = ids[:, None] != reps
+        if maybe.size > 64:  # a bound from above, as different words may meet in one place of a bag
+            maybe &= bags(u) @ (bags(v) > 0).astype(np.float32).T >= least
+        i, j = np.nonzero(maybe)
+        for at in range(0, len(i), 250):
+            own, other = i[at : at + 250], j[at : at + 250]
+            same = u[own][:, :, None] == v[other][:, None, :]
+            good = (((u[own] > 0) & same.any(2)).sum(1) >= least) & (((v[other] > 0) & same.any(1)).sum(1) >= least)
+            rows = [(*ours[x][:2], *theirs[y][:2]) for x, y in zip(own[good].tolist(), other[good].tolist(), strict=True)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64(), pa.int32()] * 2, strict=True)], names=["id", "pos", "rep", "rep_pos"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, group = None, ([], [])
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, width) for c in batch.columns[4:])
-            good = [np.zeros(0, bool)]
-            for i in range(0, len(x), 250):
-                u, v = x[i : i + 250], y[i : i + 250]
-                same = u[:, :, None] == v[:, None, :]
-                good.append((((u > 0) & same.any(2)).sum(1) >= least) & (((v > 0) & same.any(1)).sum(1) >= least))
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(np.concatenate(good)))
+            for *key, side, i, pos, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    if group[0] and group[1]:
+                        yield from alike(*group)
+                    last, group = key, ([], [])
+                group[side].append((i, pos, near))
+        if group[0] and group[1]:
+            yield from alike(*group)
 
     found = passages(matches, "0")
     rest = places.filter("n > 2 and not (id = hub.id and pos = hub.pos)").select("seed", "id", "pos", "n")
@@ -313,13 +339,18 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
         n_left = left.count()
         if not n_left:
             break
-        wanted = left.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("copies"))
-        others = space.table(rest.filter((turn >= low) & (turn < high)).join(wanted, "seed"), f"others-{high}")
-        ours = around(left.join(wanted, "seed"), n_left).withColumn("salt", F.pmod(F.xxhash64("id", "pos"), "copies").cast("int"))
-        theirs = around(others, others.count()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        theirs = theirs.select("seed", "salt", F.col("id").alias("rep"), F.col("pos").alias("rep_pos"), F.col("near").alias("rep_near"))
-        pairs = ours.join(theirs, ["seed", "salt"]).filter("id <> rep").select("id", "pos", "rep", "rep_pos", "near", "rep_near")
-        pairs = pairs.mapInArrow(alike, "id long, pos int, rep long, rep_pos int")
+        # A seed's places on either side are dealt into blocks, and each block meets each of the other side.
+        blocks = lambda rows, name: rows.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+        theirs = space.table(rest.filter((turn >= low) & (turn < high)).join(left.select("seed").distinct(), "seed", "left_semi"), f"others-{high}")
+        n_theirs = theirs.count()
+        dealt = space.table(blocks(left, "m").join(blocks(theirs, "o"), "seed"), f"blocks-{high}")
+        sides = []
+        for side, (rows, n_rows, own, other) in enumerate(((left, n_left, "m", "o"), (theirs, n_theirs, "o", "m"))):
+            near = around(rows.join(dealt, "seed"), n_rows)
+            near = near.withColumn(f"{own}_at", F.pmod(F.xxhash64("id", "pos"), own).cast("int")).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            sides.append(near.select("seed", "m_at", "o_at", F.lit(side).alias("side"), "id", "pos", "near"))
+        pairs = sides[0].unionByName(sides[1]).repartition("seed", "m_at", "o_at").sortWithinPartitions("seed", "m_at", "o_at")
+        pairs = pairs.mapInArrow(meet, "id long, pos int, rep long, rep_pos int")
         ends = F.greatest(F.struct("id", "pos"), F.struct(F.col("rep").alias("id"), F.col("rep_pos").alias("pos"))), F.least(F.struct("id", "pos"), F.struct(F.col("rep").alias("id"), F.col("rep_pos").alias("pos")))
         pairs = pairs.select(ends[0].alias("x"), ends[1].alias("y")).select("x.id", F.col("y.id").alias("rep"), "x.pos", F.col("y.pos").alias("rep_pos"))
         found = found.unionByName(passages(pairs, str(high)))
