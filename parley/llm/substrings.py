@@ -18,7 +18,7 @@ score does not drop too far; on slices of both texts, and where an end came to t
 Result: a row per passage of a document, with the place of the hub's passage, and one for each hub's passage itself (its own
 representative). Passages that many documents share thus have one representative and as many rows.
 
-Defined results: null, empty and short texts have no passages; repeats within one text are not looked for; rows that share an id are one
+Defined results: null, empty and short texts have no passages; repeats within one text alone are not looked for; rows that share an id are one
 document if their texts are equal, and the largest text counts otherwise; a null id takes no part; an empty table gives no rows.
 """
 

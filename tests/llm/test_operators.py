@@ -512,3 +512,13 @@ def test_passages_far_beyond_their_seeds(spark):
     docs = [(1, "x " + f"{p} " * 33), (2, "y z " + f"{p} " * 33), (3, "der " * 5000), (4, "der " * 3000)]
     got = {(r["id"], r["start_word"], r["end_word"]) for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert {(1, 1, 1981), (2, 2, 1982)} <= got and {(3, 0, 3000), (4, 0, 3000)} <= got
+
+
+def test_every_place_of_a_passage(spark):
+    rng = random.Random(22)
+    noise = lambda n: [f"n{rng.randint(0, 10**6)}" for _ in range(n)]
+    p = noise(60)
+    twice, once = " ".join(p + noise(440) + p + noise(30)), " ".join(noise(20) + p + noise(20))
+    for a, b in ((1, 2), (2, 1)):
+        got = {(r["id"], r["start_word"], r["end_word"]) for r in substrings.repeated_passages(spark.createDataFrame([(a, twice), (b, once)], "doc_id long, text string")).collect()}
+        assert {(a, 0, 60), (a, 500, 560), (b, 20, 80)} == got
