@@ -4,7 +4,8 @@ Base spans are those of four fixed patterns, each searched leftmost and without
 always stay. The field adds spans that the patterns miss, such as ``name at host dot com``, a telephone number that begins with 00, or a
 card number in groups with odd separators.
 
-A text's zones are the surroundings of digits, at signs, bracketed ``at`` and the word ``dot``; the rest cannot hold personal data. A zone is cut into
+A text's zones are the surroundings of digits, at signs, bracketed ``at``, the word ``dot``, and the word ``at`` in any case before a word and a dot, hyphen
+or word for dot; elsewhere no segment but ``other`` is possible. A zone is cut into
 tokens: letter runs, digit runs, single marks. A segment is up to ``MAX_TOKENS`` tokens under one of the labels email, ip, card, phone, or
 a single token under ``other``. A segment's features look at the whole span: number and grouping of digits, Luhn's test, parts at most
 255, separators, at signs and dots, what stands before. Bounded-entity dynamic programming finds the best cut and labels together, with
@@ -44,7 +45,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
 _NUMBERS = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]| dot ")
+# All that ``segments`` can make a segment of has a digit, an at sign, or the word ``at`` before a word and a dot, a hyphen or a word for dot.
+_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]| dot |(?<![^\W\d_])[Aa][Tt](?![^\W\d_])(?=[\s)\]]*+[^\W_]++[\s()\[\]]*+(?:[.-]|(?i:dot|punkt|point|punto)(?![^\W\d_])))")
 
 
 def luhn(digits: str) -> bool:

@@ -522,3 +522,16 @@ def test_every_place_of_a_passage(spark):
     for a, b in ((1, 2), (2, 1)):
         got = {(r["id"], r["start_word"], r["end_word"]) for r in substrings.repeated_passages(spark.createDataFrame([(a, twice), (b, once)], "doc_id long, text string")).collect()}
         assert {(a, 0, 60), (a, 500, 560), (b, 20, 80)} == got
+
+
+@pytest.mark.parametrize("at", ["@", " @ ", " at ", " (at) ", " [at] ", " AT ", " (AT) "])
+@pytest.mark.parametrize("dot", [".", " . ", " dot ", " [dot] ", " DOT ", " punkt "])
+def test_addresses_without_digits_are_in_zones(at, dot):
+    text = f"please write to john{at}example{dot}org today"
+    tokens = [m.group() for m in pii._TOKEN.finditer(text)]
+    assert pii.segments(tokens) and list(pii.zones(text)) == [(0, len(text))]
+
+
+def test_addresses_without_digits_are_found(field):
+    for new in ("ab.cd (AT) mail.example.com", "ab.cd (AT) mail punkt example punkt com"):
+        assert pii.added_spans(f"mail {new} today and la", [], field) == [(5, 0, 5 + len(new))]
