@@ -45,6 +45,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
 _NUMBERS = re.compile(r"[0-9]")
+#: Of the zones that the field learns from.
+_LEARNED = re.compile(r"[0-9@]|[(\[]at[)\]]| dot ")
 # All that ``segments`` can make a segment of has a digit, an at sign, or the word ``at`` before a word and a dot, a hyphen or a word for dot.
 _TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]| dot |(?<![^\W\d_])[Aa][Tt](?![^\W\d_])(?=[\s)\]]*+[^\W_]++[\s()\[\]]*+(?:[.-]|(?i:dot|punkt|point|punto)(?![^\W\d_])))")
 
@@ -105,9 +107,9 @@ _SEPARATORS = frozenset(" .-()[]+/\t\xa0")
 DIMS = 1 << 12
 
 
-def zones(text: str) -> Iterator[tuple[int, int]]:
+def zones(text: str, trigger: re.Pattern = _TRIGGER) -> Iterator[tuple[int, int]]:
     begin = end = -1
-    for m in _TRIGGER.finditer(text):
+    for m in trigger.finditer(text):
         i = m.start()
         if i < end:
             end = i + MARGIN
@@ -371,7 +373,7 @@ def training_zones(docs: list[str], rng: random.Random) -> list:
     out, seen = [], list(made)
     for text in docs:
         spans = base_spans(text)
-        for b, e in zones(text):
+        for b, e in zones(text, _LEARNED):
             own = [(x - b, k, y - b) for x, k, y in spans if b <= x and y <= e]
             out.append(example(text[b:e], own))
         seen += [(k, text[x:y]) for x, k, y in spans]
@@ -427,11 +429,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x[b:e] for x in batch.column(0).to_pylist() for b, e in zones(x)]
+            found = [x[b:e] for x in batch.column(0).to_pylist() for b, e in zones(x, _LEARNED)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["zone"])
 
     space = Workspace(spark, "pii")
-    sample = space.table(docs.filter((draw < F.lit(sample_docs / n)) & F.col(text_col).rlike(_TRIGGER.pattern)).select(F.col(text_col).alias("t")).mapInArrow(cut, "zone string").orderBy(F.md5("zone")).limit(sample_zones), "zones")
+    sample = space.table(docs.filter((draw < F.lit(sample_docs / n)) & F.col(text_col).rlike(_LEARNED.pattern)).select(F.col(text_col).alias("t")).mapInArrow(cut, "zone string").orderBy(F.md5("zone")).limit(sample_zones), "zones")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = learn(sorted(x for batch in batches for x in batch.column(0).to_pylist()))
