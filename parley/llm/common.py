@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound on the rows of any table that ``attach`` broadcasts.
 HEAVY_KEYS = 20_000
+#: Workspaces that hold tables.
+_OPEN: list[Workspace] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); set to a temporary one only where it is unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``). Where it is unset, a temporary one is set in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='parley-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -29,11 +35,13 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 class Workspace:
-    """A folder of written tables below the shared folder. It goes when the driver's JVM ends, or earlier by ``drop``."""
+    """A folder of written tables below the shared folder. It goes when the driver's JVM ends, or earlier by ``clear``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
+        _OPEN.append(self)
         bound_batches(spark)
         self._fs(self.path, lambda fs, p: fs.deleteOnExit(p))
 
@@ -48,9 +56,43 @@ class Workspace:
         (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int, by: str) -> DataFrame:
+        """Write ``df`` dealt into ``buckets`` by a hash of ``key``, sorted by it, and within folders of ``by``; Spark knows of both on reading."""
+        table = f"parley_{self.path.rsplit('-', 1)[-1]}_{name}".replace("-", "_")
+        df.write.mode("overwrite").format("parquet").partitionBy(by).bucketBy(buckets, key).sortBy(key).option("path", f"{self.path}/{name}").saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
     def drop(self, name: str) -> None:
+        if table := self.tables.pop(name, None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self._fs(f"{self.path}/{name}", lambda fs, p: fs.delete(p, True))
 
+    def clear(self) -> None:
+        """Delete all tables, once nothing reads them any more."""
+        for name in list(self.tables):
+            self.drop(name)
+        self._fs(self.path, lambda fs, p: fs.delete(p, True))
+
+
+def clear_workspaces(spark: SparkSession) -> None:
+    """Delete the tables of all operators so far. Results that were not written before can no longer be read."""
+    for space in [x for x in _OPEN if x.spark is spark]:
+        space.clear()
+        _OPEN.remove(space)
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, a bucket that is one file is read as sorted as it was written."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
 def attach(left: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", n: str = "n") -> DataFrame:
     """Join ``left`` (``total`` rows) with ``table``, which has one row per key and in ``n`` the rows that ``left`` has of it.

@@ -3,10 +3,15 @@
 DataFrame operations only. A line's key is the line without the whitespace ``[\\x20\\x09-\\x0D]`` at either end and with A-Z
 lower-cased; its hash is MD5 of that key. A text that is null or empty is one empty line, and lines with an empty key always stay.
 
-The runs are tables (hash, n, settled) in the shared folder, sorted by hash. A run holds for each hash the number of documents of its
-batches that have the line; level i holds fewer than ``fanout`` runs, and ``fanout`` of them are merged into one of level i + 1. A hash
-is settled once a merged run counts ``min_docs`` documents. A new batch is merge-anti-joined with the settled rows of the runs, as
-these need no further counting; what is left is added as a run of level 0.
+The runs are tables (hash, n) in the shared folder, dealt into buckets by the hash and sorted by it within a bucket, which Spark knows of: a
+merge join with a run, or the merge of several, moves and sorts no row of a run. A run holds for each hash the number of documents of its batches
+that have the line, in two parts: a hash is settled once a run counts ``min_docs`` documents, open before that. A new batch is
+merge-anti-joined with the settled part of every run, the newest included, as settled hashes need no further counting; what is left is
+added as a run of level 0. Level i holds fewer than ``fanout`` runs; ``fanout`` of them are merged, bucket by bucket, into one of level
+i + 1. So the runs that a batch meets grow with the logarithm of the number of batches.
+
+A batch holds about ``bucket_rows`` hashes per bucket, so the number of batches grows with the table, and with it neither the memory of
+a task nor the size of a new run.
 
 Defined results: a row is a document, so a repeated row counts again; rows that share an id are counted apart; a null id is an id like
 any other; ties do not arise; an empty table gives an empty table; other columns, whatever their names, are kept as they are.
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import Workspace, attach, others
+from parley.llm.common import HEAVY_KEYS, Workspace, attach, free_name, others, sorted_buckets
 
 TRIMMED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,73 +44,104 @@ def lines_of(text: Column) -> Column:
 
 
 class LineRuns:
-    """The state that is kept between batches."""
+    """The state that is kept between batches. ``met`` tells how many runs each batch was joined with."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3):
-        self.space, self.min_docs, self.fanout = Workspace(spark, "line-runs"), min_docs, fanout
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4, buckets: int | None = None):
+        self.spark, self.space, self.min_docs, self.fanout = spark, Workspace(spark, "line-runs"), min_docs, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, DataFrame]]] = []
+        self.met: list[int] = []
         self.made = 0
 
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for _, run in level]
+
     def _write(self, counts: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        name = f"level{level}-run{self.made}"
+        name = f"level{level}_run{self.made}"
         self.made += 1
-        run = counts.select("hash", "n", (F.col("n") >= self.min_docs).alias("settled")).sortWithinPartitions("hash")
-        self.levels[level].append((name, self.space.table(run, name)))
+        run = counts.select("hash", "n", (F.col("n") >= self.min_docs).alias("settled"))
+        with sorted_buckets(self.spark):
+            self.levels[level].append((name, self.space.bucketed(run, name, "hash", self.buckets, by="settled")))
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: one row (hash) for each different line of each of its documents."""
         counts = batch.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-        for runs in self.levels[1:]:
-            for _, run in runs:
-                counts = counts.join(run.filter("settled").select("hash").hint("merge"), "hash", "left_anti")
+        runs = self.runs()
+        for run in runs:
+            counts = counts.join(run.filter("settled").select("hash").hint("merge"), "hash", "left_anti")
+        self.met.append(len(runs))
         self._write(counts, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            self._compact(level, level + 1, self.levels[level])
+            old, self.levels[level] = self.levels[level], []
+            self._write(self._merged([run for _, run in old]), level + 1)
+            for name, _ in old:
+                self.space.drop(name)
             level += 1
 
-    def _compact(self, level: int, to: int, runs: list[tuple[str, DataFrame]]) -> None:
-        merged = runs[0][1]
-        for _, run in runs[1:]:
-            merged = merged.unionByName(run)
-        self._write(merged.groupBy("hash").agg(F.sum("n").alias("n")), to)
-        for name, _ in runs:
-            self.space.drop(name)
-        self.levels[level] = []
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        whole = runs[0].select("hash", "n")
+        for run in runs[1:]:
+            whole = whole.unionAll(run.select("hash", "n"))
+        return whole.groupBy("hash").agg(F.sum("n").alias("n"))
 
     def settled(self) -> DataFrame:
         """All runs merged: the hashes found in ``min_docs`` documents or more, with at least that many as ``n``."""
-        runs = [run for level in self.levels for _, run in level]
-        merged = runs[0]
-        for run in runs[1:]:
-            merged = merged.unionByName(run)
-        counts = merged.groupBy("hash").agg(F.sum("n").alias("n"))
-        return self.space.table(counts.filter(F.col("n") >= self.min_docs), "settled")
+        with sorted_buckets(self.spark):
+            return self.space.table(self._merged(self.runs()).filter(F.col("n") >= self.min_docs), "settled")
+
+
+def batches_of(parts: list[tuple[int, int]], rows: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of consecutive parts (number, rows) that hold ``rows`` rows or, the last one, fewer."""
+    out: list[tuple[int, int]] = []
+    begin, held = None, 0
+    for part, n in parts:
+        begin, held = (part if begin is None else begin), held + n
+        if held >= rows:
+            out.append((begin, part))
+            begin, held = None, 0
+    return out if begin is None else [*out, (begin, parts[-1][0])]
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", report: bool = True) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bucket_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", report: bool = True) -> DataFrame:
     """``docs`` with ``text_col`` free of all lines whose key at least ``min_docs`` documents have, plus ``n_lines`` and ``n_dropped``
     (which replace columns of these names) if ``report``.
 
-    The texts are hashed once into a table of hashes dealt into ``batches``; each batch then meets the runs in turn.
+    The texts are hashed once into a table of hashes, a part per task. Consecutive parts make a batch, and batches meet the runs in turn.
+    Texts and their hits meet by a hash of id and text. Two documents with the same one would share their hits, all of which are frequent lines.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "line-dedup")
     hashes = F.array_distinct(F.array_compact(F.transform(lines_of(F.col(text_col)), lambda x: line_hash(x, min_chars))))
-    batch = F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("int")
-    prints = space.table(docs.select(F.col(id_col).alias("id"), hashes.alias("hashes"), batch.alias("batch")), "prints", by="batch")
+    unit = F.xxhash64(F.col(id_col), F.col(text_col))
+    prints = space.table(docs.select(unit.alias("unit"), hashes.alias("hashes"), F.spark_partition_id().alias("part")), "prints", by="part")
+    rows = sorted(tuple(r) for r in prints.groupBy("part").agg(F.sum(F.size("hashes")), F.count(F.lit(1))).collect())  # a row per task
+    total = sum(n for _, n, _ in rows)
     runs = LineRuns(spark, min_docs)
-    for b in range(batches):
-        runs.add(prints.filter(F.col("batch") == b).select(F.explode("hashes").alias("hash")))
-    entries = prints.select("id", F.explode("hashes").alias("hash"))
-    # A settled n may miss rows of later batches, but their sum is within the total, which is what bounds the broadcast.
-    total = prints.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    hits = attach(entries, runs.settled(), ["hash"], total).groupBy("id").agg(F.collect_set("hash").alias("hits"))
-    lines = lines_of(F.col(f"d.{text_col}"))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("h.hits"), line_hash(x, min_chars)), F.lit(False)))
-    joined = docs.alias("d").join(hits.alias("h"), F.col(f"d.{id_col}").eqNullSafe(F.col("h.id")), "left")
-    kept = F.when(F.col("h.hits").isNull(), lines).otherwise(kept)
+    for first, last in batches_of([(part, n) for part, n, _ in rows], bucket_rows * runs.buckets):
+        runs.add(prints.filter(F.col("part").between(first, last)).select(F.explode("hashes").alias("hash")))
+    if not runs.runs():
+        hits = prints.select("unit", F.col("hashes").alias("hits")).limit(0)
+    else:
+        # A settled n may miss rows of later batches, but their sum is within the total, which is what bounds the broadcast.
+        hits = attach(prints.select("unit", F.explode("hashes").alias("hash")), runs.settled(), ["hash"], total).groupBy("unit").agg(F.collect_set("hash").alias("hits"))
+    # Units of many equal rows, HEAVY_KEYS of them at most, are dealt over several tasks, and their hits copied to each.
+    share = max(1000, sum(n for *_, n in rows) // HEAVY_KEYS)
+    heavy = prints.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies")).filter("copies > 1")
+    own, found, salt = (free_name(docs, name) for name in ("_unit", "_hits", "_salt"))
+    left, hits = docs.withColumn(own, unit), hits.select(F.col("unit").alias(own), F.col("hits").alias(found))
+    if not heavy.isEmpty():
+        heavy = space.table(heavy.select(F.col("unit").alias(own), F.col("copies").alias(salt)), "heavy")
+        one = F.coalesce(salt, F.lit(1))
+        left = left.join(F.broadcast(heavy), own, "left").withColumn(salt, F.pmod(F.monotonically_increasing_id(), one).cast("int"))
+        hits = hits.join(F.broadcast(heavy), own, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), one - 1)))
+        joined = left.join(hits, [own, salt], "left")
+    else:
+        joined = left.join(hits, own, "left")
+    lines = lines_of(F.col(text_col))
+    kept = F.when(F.col(found).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(found), line_hash(x, min_chars)), F.lit(False))))
     added = [F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped")] if report else []
-    return joined.select(*(F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"d.`{c}`") for c in others(docs, "n_lines", "n_dropped", drop=report)), *added)
+    return joined.select(*(F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in others(docs, "n_lines", "n_dropped", drop=report)), *added)

@@ -14,7 +14,7 @@ from parley.llm import language_id, mixing, near_dedup, pii, quality, substrings
 from parley.llm.common import Workspace, attach, spread_join
 from parley.llm.decontam import SuffixAutomaton, scan
 from parley.llm.graph import components
-from parley.llm.line_dedup import LineRuns
+from parley.llm.line_dedup import LineRuns, batches_of, drop_frequent_lines
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -82,6 +82,29 @@ def test_line_runs_compact(spark):
     assert {bytes(r["hash"])[0] for r in runs.settled().collect()} == {x for x, n in counts.items() if n >= 3}
 
 
+def test_every_batch_meets_all_runs(spark):
+    runs = LineRuns(spark, min_docs=2, fanout=3)
+    for b in range(6):
+        runs.add(spark.createDataFrame([(bytes([7]),)] * 3 + [(bytes([100 + b]),)], "hash binary"))
+    # One, two, then one merged run of three, and so on.
+    assert runs.met == [0, 1, 2, 1, 2, 3]
+    # The line was settled by the first batch; no later one counted it.
+    assert [r["n"] for r in runs.settled().collect()] == [3]
+    plan = runs.runs()[0].groupBy("hash").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
+def test_batches_grow_with_the_table():
+    assert batches_of([(0, 4), (1, 4), (2, 9), (3, 0), (5, 1)], 8) == [(0, 1), (2, 2), (3, 5)] and batches_of([], 5) == []
+    assert len(batches_of([(i, 10) for i in range(100)], 20)) == 50
+
+
+def test_lines_of_many_equal_rows(spark):
+    rows = [(None, "Same\nown")] * 2500 + [(7, "same\nother"), (8, None)]
+    got = Counter(map(tuple, drop_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2501, bucket_rows=1).select("doc_id", "text", "n_dropped").collect()))
+    assert got == {(None, "own", 1): 2500, (7, "other", 1): 1, (8, "", 0): 1}
+
+
 def test_bag_min_hash_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     agree = want = 0.0
