@@ -1,16 +1,17 @@
 """Exact top-k by inner product over an impact-ordered index that is read score-at-a-time.
 
-Every component x becomes floor(scale * x). The index is cut into blocks of ``block_rows`` vectors. Within a block a component is shifted
-by its minimum, and for negative query weights reflected at its maximum, so that each of these 2 x d terms only ever adds to a score. A
-posting is a (term, vector) with such an impact; its impact is quantised into digits of ``LEVEL_BITS`` bits, and the postings that have a
-digit at the same place form a segment. Segments are read by descending place, for all queries of a block at once, into accumulators.
+Every component x becomes floor(scale * x). The index is cut into blocks of ``block_rows`` vectors. A component other than 0 is a posting of
+its dimension; its impact is its size, quantised to ``LEVELS`` levels at most, and the postings of one dimension and one level are a segment.
+A query orders all segments of a block by descending weight x impact, weight being the size of its own component, and adds them to the accumulators
+in this order.
 
-After a segment a query has for every vector a lower bound, its accumulator, and an upper bound, that plus the most that the segments
-still to come can add. The k-th largest lower bound is the proof: vectors whose upper bound is below it cannot be members. Once no more
-than ``RESCORE`` vectors are possible members, the query stops, and these are rescored exactly on the integers; the last segment leaves
-nothing to add, so every query ends. The blocks' lists are merged by (score descending, id ascending).
+A vector's score lies within ``rest`` of its accumulator: the sum over dimensions of the weight times the largest impact not yet read there
+(or the rounding of the levels, where that is more). So the k-th largest accumulator less ``rest`` is a lower bound of the k-th score, and
+a vector whose accumulator plus ``rest`` is below it, or below the k-th score of blocks read before, is proven to be no member. The query stops
+in a block once scoring all possible members costs less than reading on; these are scored exactly on the integers. Nothing else stops it.
 
-Queries meet the index in blocks: each block of queries is sent to each block of the index.
+Blocks are dealt into groups. A group's task builds its blocks once and takes all queries, block by block, the k-th score so far carried from
+one block to the next. The groups' lists are merged by (score descending, id ascending).
 
 Defined results: vectors that are null, or hold a null or non-finite component, and rows with a null id take no part; a missing last
 component counts as 0; ties go to the smaller id; a candidate with the query's id is the query's own row; repeated query rows are answered
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import Workspace
 
-LEVEL_BITS = 2
-RESCORE = 200
-CHUNK = 512
+LEVELS = 64
+#: Shares of a query's postings after which it looks for a proof.
+LOOKS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Blocks that a group holds at most.
+GROUP = 64
 
 
 def integers(vector: Column, scale: int) -> Column:
@@ -85,84 +88,125 @@ def unpack(ids: bytes, dims: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Of one block: terms by vectors, shifted and reflected so that impacts are not negative."""
+    """The segments of one block. ``read`` and ``postings`` sum up what queries read, and what they would have read to the end."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.low, self.high = vectors.min(0), vectors.max(0)
-        self.impacts = np.ascontiguousarray(np.concatenate([vectors - self.low, self.high - vectors], axis=1).T)
-        self.bits = max(1, int(self.impacts.max()).bit_length()) if self.impacts.size else 1
-        self.repeats = int(np.unique(ids, return_counts=True)[1].max())
-        self.segments: dict[tuple[int, type], np.ndarray] = {}
-
-    def segment(self, place: int, kind: type) -> np.ndarray:
-        if (place, kind) not in self.segments:
-            self.segments[place, kind] = (((self.impacts >> place) & ((1 << LEVEL_BITS) - 1)) << place).astype(kind)
-        return self.segments[place, kind]
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, ids, scores) of the k best of this block."""
-        weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
-        most = float(weights.sum(1).max(initial=0)) * float(self.impacts.max(initial=0))
-        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-        weights, alive = weights.astype(kind), np.arange(len(queries))
-        sums = np.zeros((len(queries), len(self.ids)), kind)
-        wanted = min(len(self.ids), k + self.repeats)
-        top = -(-self.bits // LEVEL_BITS) * LEVEL_BITS
-        for place in range(top - LEVEL_BITS, -1, -LEVEL_BITS):
-            sums += weights[alive] @ self.segment(place, kind)
-            rest = weights[alive] @ (self.impacts & ((1 << place) - 1)).max(1).astype(kind)
-            if place and rest.min() > sums.max() / 2:
-                continue  # what is to come outweighs what was read: no proof yet
-            proof = np.partition(sums, len(self.ids) - wanted, axis=1)[:, len(self.ids) - wanted]
-            possible = sums + rest[:, None] >= proof[:, None]
-            done = np.ones(len(alive), bool) if not place else possible.sum(1) <= RESCORE
-            for row in np.flatnonzero(done):
-                q, members = int(alive[row]), np.flatnonzero(possible[row])
-                members = members[self.ids[members] != own[q]]
-                scores = self.vectors[members] @ queries[q]
-                best = np.lexsort((self.ids[members], -scores))[:k]
-                yield q, self.ids[members][best], scores[best]
-            alive, sums = alive[~done], sums[~done]
-            if not len(alive):
-                return
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, block_rows: int = 16_384, query_rows: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+        n, dims = vectors.shape
+        size = np.abs(vectors.T).reshape(-1)
+        self.shift = max(0, int(size.max(initial=0)).bit_length() - (LEVELS - 1).bit_length())
+        level = size >> self.shift
+        at = np.flatnonzero(level)
+        key = (at // max(1, n)) * (2 * LEVELS) + (2 * LEVELS - 1 - level[at])  # dimensions ascend, levels descend
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        self.rows = (at % max(1, n)).astype(np.int32)
+        self.signs = np.sign(vectors.T.reshape(-1)[at]).astype(np.int8)
+        self.starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.counts = np.diff(np.append(self.starts, len(key)))
+        self.dim, self.level = key[self.starts] // (2 * LEVELS), 2 * LEVELS - 1 - key[self.starts] % (2 * LEVELS)
+        # Most that a component not read yet can be: before anything is read, and by how much each segment lowers it.
+        slack = (1 << self.shift) - 1
+        top = (self.level << self.shift) + slack
+        last = np.append(self.dim[1:] != self.dim[:-1], True) if len(key) else np.zeros(0, bool)
+        self.drop = top - np.where(last, slack, np.append(top[1:], 0)) if len(key) else top
+        self.most = np.full(dims, slack, np.int64)
+        np.maximum.at(self.most, self.dim, top)
+        self.read = self.postings = 0
+
+    def search(self, q: np.ndarray, own: int, k: int, threshold: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best; of those that reach ``threshold``, where there is one."""
+        size = np.abs(q)
+        weight = size[self.dim]
+        order = np.argsort(-(weight * self.level), kind="stable")
+        order = order[weight[order] > 0]
+        rest = int((size * self.most).sum()) - np.cumsum(weight[order] * self.drop[order])
+        done = np.cumsum(self.counts[order])
+        total = int(done[-1]) if len(done) else 0
+        self.postings += total
+        exact = int(size.max(initial=0)) * int(self.most.max(initial=0)) * len(q) < 2**52
+        sums = np.zeros(len(self.ids), np.float64 if exact else np.int64)
+        other = self.ids != own
+        members, begin = np.flatnonzero(other), 0
+        for share in LOOKS:
+            # Too few to choose from, or nothing left to read.
+            if len(members) <= k or begin == len(order):
+                break
+            end = int(np.searchsorted(done, share * total)) + 1
+            segments = order[begin:end]
+            if not len(segments):
+                continue
+            rows = np.concatenate([self.rows[b : b + n] for b, n in zip(self.starts[segments], self.counts[segments], strict=True)])
+            signs = np.concatenate([self.signs[b : b + n] for b, n in zip(self.starts[segments], self.counts[segments], strict=True)])
+            values = np.repeat(q[self.dim[segments]] * (self.level[segments] << self.shift), self.counts[segments]) * signs
+            if exact:
+                sums += np.bincount(rows, values, len(sums))
+            else:
+                np.add.at(sums, rows, values)
+            begin = min(end, len(order))
+            left = int(rest[begin - 1])
+            bound = np.partition(sums[other], int(other.sum()) - k)[int(other.sum()) - k] - left
+            if threshold is not None:
+                bound = max(bound, threshold)
+            members = np.flatnonzero(other & (sums + left >= bound))
+            if len(members) * len(q) <= total - int(done[begin - 1]):
+                break
+        self.read += int(done[begin - 1]) if begin else 0
+        scores = self.vectors[members] @ q
+        best = np.lexsort((self.ids[members], -scores))[:k]
+        return self.ids[members][best], scores[best]
+
+
+def searched(blocks: list[Index], q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k best of several blocks."""
+    ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for block in blocks:
+        width = block.vectors.shape[1]
+        # Components that one side lacks are 0.
+        part = np.pad(q, (0, max(0, width - len(q))))[:width]
+        found = block.search(part, own, k, int(scores[k - 1]) if len(scores) == k else None)
+        ids, scores = np.concatenate([ids, found[0]]), np.concatenate([scores, found[1]])
+        best = np.lexsort((ids, -scores))[:k]
+        ids, scores = ids[best], scores[best]
+    return ids, scores
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, block_rows: int = 4096, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) for every row of ``queries`` against every row of ``vectors``."""
-    space = Workspace(vectors.sparkSession, "topk")
-
-    def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-        whole = rows.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v")).filter("id is not null and v is not null")
-        n = whole.count()
-        made = space.table(pack(whole.repartition(max(1, -(-n // size))), size), name)
-        return made, max(1, made.count())
-
-    index, n_index = blocks(vectors, block_rows, "index")
-    asked, _ = blocks(queries, query_rows, "queries")
-    # Index blocks are dealt into as many groups, and every block of queries is sent to every group: each pair of blocks meets once.
-    index = index.withColumn("no", F.pmod(F.xxhash64("block"), F.lit(n_index)))
-    sent = asked.select(F.col("block").alias("query_block"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_index - 1).cast("long"))).alias("no"))
-    met = index.join(sent, "no").select("query_block", "block", "ids", "dims", "data", "q_ids", "q_dims", "q_data")
+    spark = vectors.sparkSession
+    space = Workspace(spark, "topk")
+
+    def whole(rows: DataFrame) -> tuple[DataFrame, int]:
+        out = rows.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v")).filter("id is not null and v is not null")
+        return out, out.count()
+
+    rows, n = whole(vectors)
+    asked, n_asked = whole(queries)
+    # As many groups as keep all cores busy, or more where a group would be too large for a task.
+    groups = max(1, -(-n // (block_rows * GROUP)), min(spark.sparkContext.defaultParallelism, -(-n // 512)))
+    index = space.table(pack(rows.repartition(groups), block_rows).select(F.shiftright("block", 32).cast("int").alias("no"), F.lit(0).alias("side"), "block", "ids", "dims", "data"), "index")
+    sent = space.table(pack(asked.repartition(max(1, -(-n_asked // query_rows))), query_rows), "queries")
+    sent = sent.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("no"), F.lit(1).alias("side"), "block", "ids", "dims", "data")
+    # A group's own blocks come first, then the queries, one row each.
+    met = index.unionByName(sent).repartitionById(groups, "no").sortWithinPartitions("no", "side", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, built = None, None
+        last, blocks = None, []
         for batch in batches:
             for row in range(batch.num_rows):
-                query_block, block, ids, dims, data, q_ids, q_dims, q_data = (c[row].as_py() for c in batch.columns)
-                if block != last:
-                    last, built = block, Index(*unpack(ids, dims, data))
-                own, q = unpack(q_ids, q_dims, q_data)
-                width = built.vectors.shape[1]
-                q = np.pad(q, ((0, 0), (0, max(0, width - q.shape[1]))))[:, :width]
+                no, side, block, ids, dims, data = (c[row].as_py() for c in batch.columns)
+                if no != last:
+                    last, blocks = no, []
+                own, values = unpack(ids, dims, data)
+                if not side:
+                    blocks.append(Index(own, values))
+                    continue
                 out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for at in range(0, len(own), CHUNK):
-                    for i, found, scores in built.search(q[at : at + CHUNK], own[at : at + CHUNK], k):
-                        n = len(found)
-                        for into, values in zip(out, (np.full(n, own[at + i]), np.full(n, query_block), np.full(n, at + i), found, scores), strict=True):
-                            into.append(values)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["query_id", "query_block", "query_row", "id", "score"])
+                for i, q in zip(range(len(own)), values, strict=True):
+                    found, scores = searched(blocks, q, int(own[i]), k)
+                    for into, x in zip(out, (np.full(len(found), own[i]), np.full(len(found), block), np.full(len(found), i), found, scores), strict=True):
+                        into.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["query_id", "query_block", "query_row", "id", "score"])
 
     found = met.mapInArrow(run, "query_id long, query_block long, query_row long, id long, score long")
     best = Window.partitionBy("query_id", "query_block", "query_row").orderBy(F.desc("score"), "id")
