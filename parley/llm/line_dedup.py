@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import HEAVY_KEYS, Workspace, attach, free_name, others, sorted_buckets
+from parley.llm.common import Workspace, attach, free_name, others, sorted_buckets, spread_left
 
 TRIMMED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -128,19 +128,9 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     else:
         # A settled n may miss rows of later batches, but their sum is within the total, which is what bounds the broadcast.
         hits = attach(prints.select("unit", F.explode("hashes").alias("hash")), runs.settled(), ["hash"], total).groupBy("unit").agg(F.collect_set("hash").alias("hits"))
-    # Units of many equal rows, HEAVY_KEYS of them at most, are dealt over several tasks, and their hits copied to each.
-    share = max(1000, sum(n for *_, n in rows) // HEAVY_KEYS)
-    heavy = prints.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies")).filter("copies > 1")
-    own, found, salt = (free_name(docs, name) for name in ("_unit", "_hits", "_salt"))
-    left, hits = docs.withColumn(own, unit), hits.select(F.col("unit").alias(own), F.col("hits").alias(found))
-    if not heavy.isEmpty():
-        heavy = space.table(heavy.select(F.col("unit").alias(own), F.col("copies").alias(salt)), "heavy")
-        one = F.coalesce(salt, F.lit(1))
-        left = left.join(F.broadcast(heavy), own, "left").withColumn(salt, F.pmod(F.monotonically_increasing_id(), one).cast("int"))
-        hits = hits.join(F.broadcast(heavy), own, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), one - 1)))
-        joined = left.join(hits, [own, salt], "left")
-    else:
-        joined = left.join(hits, own, "left")
+    own, found = free_name(docs, "_unit"), free_name(docs, "_hits")
+    hits = hits.select(F.col("unit").alias(own), F.col("hits").alias(found))
+    joined = spread_left(docs.withColumn(own, unit), hits, own, prints.select(F.col("unit").alias(own)), sum(n for *_, n in rows), space)
     lines = lines_of(F.col(text_col))
     kept = F.when(F.col(found).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(found), line_hash(x, min_chars)), F.lit(False))))
     added = [F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped")] if report else []
