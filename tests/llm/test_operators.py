@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import language_id, mixing, near_dedup, pii, quality, substrings, topk, warc, words
 from parley.llm.common import Workspace, attach, spread_join
-from parley.llm.decontam import SuffixAutomaton, scan
+from parley.llm.decontam import SuffixAutomaton, find_items, merged, scan, shards
 from parley.llm.graph import components
 from parley.llm.line_dedup import LineRuns, batches_of, drop_frequent_lines
 
@@ -62,13 +62,32 @@ def test_suffix_automaton(seed):
     rng = random.Random(seed)
     say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
     items = [(str(i), say(rng.randint(0, 9))) for i in range(12)]
-    one = [SuffixAutomaton([(n, [x.encode() for x in words_of(t)]) for n, t in items], 4)]
+    one = SuffixAutomaton([(n, [x.encode() for x in words_of(t)]) for n, t in items], 4)
     two = [SuffixAutomaton([(n, [x.encode() for x in words_of(t)]) for n, t in half], 4) for half in (items[:5], items[5:])]
     for _ in range(60):
         text = say(rng.randint(0, 25))
-        for automata in (one, two):
-            n, spans, found = scan(automata, text.encode())
-            assert (n, sum(e - b for b, e in spans), found) == brute_windows(text, items, 4)
+        n, spans, found = scan(one, text.encode())
+        assert (n, sum(e - b for b, e in spans), found) == brute_windows(text, items, 4)
+        parts = [scan(a, text.encode()) for a in two]
+        assert merged([x for _, own, _ in parts for x in own]) == spans and set().union(*(names for *_, names in parts)) == found
+
+
+def test_many_shards_and_spans_that_stay(spark):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(60)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(str(i), say(rng.randint(0, 40))) for i in range(40)] + [("long", say(400)), ("short", "w1 w2 w3")]
+    docs = [(i, " ".join([say(30), items[rng.randrange(42)][1][:120], say(20)])) for i in range(80)] + [(80, None), (81, "w1 w2 w3"), (81, "w1 w2 w3")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    ask = lambda n: sorted(map(repr, find_items(d, b, window=8, shard_words=n, min_span=5).collect()))
+    few = find_items(d, b, window=8, shard_words=300, min_span=5).collect()
+    assert shards(b, "item_id", "text", 8, 300, Workspace(spark, "t"))[1] > 4 and sorted(map(repr, few)) == ask(10**6)
+    for r in few:
+        assert (r["n_words"], r["n_hit"]) == brute_windows(r["text"] or "", items, 8)[:2]
+        # Spans below the limit stay in the text, all others are cut.
+        assert (r["clean_text"] is None) == all(y - x < 5 for x, y in r["spans"])
+        if r["clean_text"]:
+            assert len(words_of(r["clean_text"])) == r["n_words"] - sum(y - x for x, y in r["spans"] if y - x >= 5)
 
 
 def test_line_runs_compact(spark):
