@@ -140,19 +140,17 @@ def spread_join(left: DataFrame, table: DataFrame, key: str, spread: str, n_left
     return dealt.join(own, [key, "_salt"]).drop("_salt")
 
 
-def spread_left(left: DataFrame, table: DataFrame, key: str, counted: DataFrame, n: int, space: Workspace) -> DataFrame:
-    """``left`` with the columns of ``table`` (one row per ``key``), or nulls. ``counted`` (``n`` rows) has a row for each row of ``left`` that has
-    a match, at least.
+def spread_left(left: DataFrame, table: DataFrame, key: str, counts: DataFrame, total: int, space: Workspace) -> DataFrame:
+    """``left`` with the columns of ``table`` (one row per ``key``), or nulls. ``counts`` (key, n) tells how many rows of ``left`` a key of
+    ``table`` has, ``total`` in all.
 
     Keys of many rows, of which there are ``HEAVY_KEYS`` at most, are dealt over several tasks, and their row of ``table`` is copied to each.
     """
-    share = max(1000, n // HEAVY_KEYS)
-    heavy = counted.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_copies")).filter("_copies > 1")
-    heavy = space.table(heavy, f"heavy-{key}")
+    share = max(1000, total // HEAVY_KEYS)
+    copies, salt = free_name(left, "_copies"), free_name(left, "_salt")
+    heavy = space.table(counts.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias(copies)), f"heavy-{uuid.uuid4().hex[:8]}")
     if heavy.isEmpty():
         return left.join(table, key, "left")
-    copies, salt = free_name(left, "_copies"), free_name(left, "_salt")
-    heavy = heavy.withColumnRenamed("_copies", copies)
     one = F.coalesce(copies, F.lit(1))
     dealt = left.join(F.broadcast(heavy), key, "left").withColumn(salt, F.pmod(F.monotonically_increasing_id(), one).cast("int")).drop(copies)
     copied = table.join(F.broadcast(heavy), key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), one - 1))).drop(copies)

@@ -270,7 +270,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, item_id: str
     n_found = found.count()
     some = found.withColumnRenamed("unit", unit)
     table = some.groupBy(unit).agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias(f"{unit}s"), F.array_distinct(F.flatten(F.collect_set("names"))).alias(f"{unit}n"))
-    rows = spread_left(own, table, unit, some.select(unit), n_found, space).select(*keep, raw, f"{unit}s", f"{unit}n")
+    rows = spread_left(own, table, unit, some.groupBy(unit).agg(F.count(F.lit(1)).alias("n")), n_found, space).select(*keep, raw, f"{unit}s", f"{unit}n")
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

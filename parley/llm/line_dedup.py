@@ -130,7 +130,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         hits = attach(prints.select("unit", F.explode("hashes").alias("hash")), runs.settled(), ["hash"], total).groupBy("unit").agg(F.collect_set("hash").alias("hits"))
     own, found = free_name(docs, "_unit"), free_name(docs, "_hits")
     hits = hits.select(F.col("unit").alias(own), F.col("hits").alias(found))
-    joined = spread_left(docs.withColumn(own, unit), hits, own, prints.select(F.col("unit").alias(own)), sum(n for *_, n in rows), space)
+    joined = spread_left(docs.withColumn(own, unit), hits, own, prints.groupBy(F.col("unit").alias(own)).agg(F.count(F.lit(1)).alias("n")), sum(n for *_, n in rows), space)
     lines = lines_of(F.col(text_col))
     kept = F.when(F.col(found).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(found), line_hash(x, min_chars)), F.lit(False))))
     added = [F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped")] if report else []

@@ -8,23 +8,26 @@ q_i * B tokens; without a budget, B is the smallest that gives every source one
 The budget is realised as permutations of blocks: a source is cut into blocks of about ``block_tokens`` tokens by a hash of the id; each
 epoch orders blocks, and documents within a block, by hashes of its own. All epochs but a source's last are whole; the last ends where the
 source's budget does: a document is in it if it starts before that. Where it starts is the sum of the tokens before it, which comes from sums
-of blocks, over at most ``FANS`` sums of blocks per source, so no task sees a whole source.
+of blocks, over at most ``2 ** FAN_BITS`` sums of blocks per source, so no task sees a whole source.
 
-Defined results: a text without words counts as one token; rows that share an id travel together, under the smallest source name among
-them; a null source is a source; a null id stays out of the plan; ties of hashes go to the smaller id; an empty table gives an empty plan.
+What is planned are units: rows of equal id, source and text are one unit and travel together; all others go their own way, whether or not they
+share an id or have none.
+
+Defined results: a text without words counts as one token; a null source is a source; a null id is an id like any other; ties of
+hashes go to the smaller unit; an empty table gives an empty plan.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import HEAVY_KEYS, Workspace, attach, free_name
+from parley.llm.common import HEAVY_KEYS, Workspace, attach, free_name, spread_left
 
-FANS = 4096
-#: Sources are listed on the driver; more than this is taken for an error.
+FAN_BITS = 12
+#: Sources are listed on the driver, some 200 bytes each; more than this is taken for an error.
 MAX_SOURCES = 1_000_000
 
 
@@ -72,9 +75,19 @@ def exponent(tokens: list[float], entropy: float | None, max_repetition: float |
 def mix(docs: DataFrame, entropy: float | None = None, max_repetition: float | None = None, budget: float | None = None, block_tokens: int = 1 << 17, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The plan: (id, source, n_tokens, weight, epoch, block, block_key, doc_key), a row per copy. Read it by (epoch, block_key, block,
     doc_key) within a source. ``budget``: tokens, as a multiple of all tokens."""
-    space = Workspace(docs.sparkSession, "mixing")
-    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+")).cast("long").alias("n_tokens"))
-    units = space.table(own.filter("id is not null").groupBy("id").agg(F.min("source").alias("source"), F.greatest(F.lit(1), F.sum("n_tokens")).alias("n_tokens")).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "units")
+    return _plan(docs, Workspace(docs.sparkSession, "mixing"), entropy, max_repetition, budget, block_tokens, seed, id_col, source_col, text_col)[0].drop("unit")
+
+
+def unit_of(id_col: str, source_col: str, text_col: str) -> Column:
+    """Equal for equal rows. Two others with the same number would travel together, which does no harm."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), F.col(text_col))
+
+
+def _plan(docs: DataFrame, space: Workspace, entropy: float | None, max_repetition: float | None, budget: float | None, block_tokens: int, seed: int, id_col: str, source_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The plan with its units, and (unit, id, source, n: rows, n_tokens)."""
+    own = docs.select(unit_of(id_col, source_col, text_col).alias("unit"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+")).cast("long").alias("n_tokens"))
+    units = own.groupBy("unit").agg(F.min("id").alias("id"), F.min("source").alias("source"), F.greatest(F.lit(1), F.sum("n_tokens")).alias("n_tokens"), F.count(F.lit(1)).alias("n_rows"))
+    units = space.table(units.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "units")
     totals = units.groupBy("s").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).orderBy("s").limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -93,14 +106,14 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repetition: float | N
     plan = spark.createDataFrame(rows, "s string, n long, weight double, full int, rest long, blocks long")
     n_units = sum(r["n"] for r in totals)
     placed = attach(units, plan, ["s"], n_units)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("unit", F.lit(seed)), F.col("blocks")))
 
     def key(epoch, *of):
         return F.xxhash64(F.lit(seed), epoch, *of)
 
     # The last epoch: where does each document start?
-    last = space.table(placed.select("id", "s", "source", "n_tokens", "weight", "full", "rest", "block", key(F.col("full"), F.col("s"), F.col("block")).alias("block_key"), key(F.col("full"), F.col("id")).alias("doc_key")), "placed")
-    blocks = space.table(last.filter("rest > 0").groupBy("s", "rest", "block", "block_key").agg(F.sum("n_tokens").alias("tokens")).withColumn("fan", F.shiftright("block_key", 52)), "blocks")
+    last = space.table(placed.select("unit", "id", "s", "source", "n_tokens", "weight", "full", "rest", "block", key(F.col("full"), F.col("s"), F.col("block")).alias("block_key"), key(F.col("full"), F.col("unit")).alias("doc_key")), "placed")
+    blocks = space.table(last.filter("rest > 0").groupBy("s", "rest", "block", "block_key").agg(F.sum("n_tokens").alias("tokens")).withColumn("fan", F.shiftright("block_key", 64 - FAN_BITS)), "blocks")
     fans = blocks.groupBy("s", "fan").agg(F.sum("tokens").alias("tokens"))
     before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fans = fans.select("s", "fan", before(Window.partitionBy("s").orderBy("fan")).alias("fan_start"))
@@ -112,17 +125,24 @@ def mix(docs: DataFrame, entropy: float | None = None, max_repetition: float | N
     chosen = inside.unionByName(edge)
     chosen = F.broadcast(chosen) if sum(r[5] for r in rows) <= HEAVY_KEYS else chosen
     partial = last.join(chosen, ["s", "block"])
-    within = Window.partitionBy("s", "block").orderBy("doc_key", "id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("s", "block").orderBy("doc_key", "unit").rowsBetween(Window.unboundedPreceding, -1)
     cut = partial.filter("not all_in").withColumn("start", F.col("block_start") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).filter("start < rest").drop("start")
-    partial = partial.filter("all_in").unionByName(cut).select("id", "source", "n_tokens", "weight", F.col("full").alias("epoch"), "block", "block_key", "doc_key")
+    partial = partial.filter("all_in").unionByName(cut).select("unit", "id", "source", "n_tokens", "weight", F.col("full").alias("epoch"), "block", "block_key", "doc_key")
     epochs = last.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-    epochs = epochs.select("id", "source", "n_tokens", "weight", "epoch", "block", key(F.col("epoch"), F.col("s"), F.col("block")).alias("block_key"), key(F.col("epoch"), F.col("id")).alias("doc_key"))
-    return epochs.unionByName(partial)
+    epochs = epochs.select("unit", "id", "source", "n_tokens", "weight", "epoch", "block", key(F.col("epoch"), F.col("s"), F.col("block")).alias("block_key"), key(F.col("epoch"), F.col("unit")).alias("doc_key"))
+    return epochs.unionByName(partial), units.select("unit", F.col("n_rows").alias("n"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, entropy: float | None = None, max_repetition: float | None = None, budget: float | None = None, block_tokens: int = 1 << 17, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents of the plan, a row per copy, with all their columns and weight, epoch, block, block_key, doc_key."""
-    own = free_name(docs, "_id")
-    plan = mix(docs, id_col=id_col, **options).select(F.col("id").alias(own), *(F.col(c).alias(f"mix_{c}") for c in ("weight", "epoch", "block", "block_key", "doc_key")))
+    space = Workspace(docs.sparkSession, "mixed")
+    plan, units = _plan(docs, space, entropy, max_repetition, budget, block_tokens, seed, id_col, source_col, text_col)
+    own, copies = free_name(docs, "_unit"), free_name(docs, "_plan")
+    named = [F.col(c).alias(f"mix_{c}") for c in ("weight", "epoch", "block", "block_key", "doc_key")]
+    # A unit has as many copies as its source has epochs.
+    table = plan.groupBy(F.col("unit").alias(own)).agg(F.collect_list(F.struct(*named)).alias(copies))
     kept = [c for c in docs.columns if not c.lower().startswith("mix_")]
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).join(plan, F.col(f"`{id_col}`") == F.col(own)).drop(own)
+    left = docs.select(*(F.col(f"`{c}`") for c in kept), unit_of(id_col, source_col, text_col).alias(own))
+    counts = units.withColumnRenamed("unit", own)
+    rows = spread_left(left, table, own, counts, counts.agg(F.sum("n")).first()[0] or 0, space)
+    return rows.withColumn(copies, F.explode(copies)).select(*(F.col(f"`{c}`") for c in kept), F.col(f"{copies}.*"))

@@ -10,15 +10,19 @@ a process of its own, seeded by (shingle, level), that is generated only as far
 in part is thinned by its points' positions. Points come by increasing time and are generated up to a limit that the registers need,
 which does not depend on the document's length; where a register stays empty, the limit is doubled and the signature made anew.
 
-Groups. Equal word sequences fall together first, by a 128-bit key. Their representatives are banded. In every bucket the smallest
+Groups. Every row has a number. Equal word sequences fall together first, by a 128-bit key; the smallest row among them is their node, and nodes
+are banded. In every bucket the smallest
 document is the pivot, each other member is a candidate with it, and candidates are verified on the whole multisets. Verified pairs make
 components. Where a bucket still holds several components, its documents may have links that no pivot showed. They are grouped anew by each
 of ``SINGLES`` single registers, groups are cut into blocks of bounded size, and every pair of blocks is verified at once: overlaps of all
 their documents are a product of two membership matrices, and only links that join two components come out. So every pair that shares
 a bucket ends in one component or was compared, but for the chance (1 - similarity) ** SINGLES that it shares no single register.
 
+The processes of all levels are made one by one. There is no splitting of one process into levels of finer weights, as in the first form
+of the method; the points that a document sees have the same distribution either way.
+
 Defined results: a null text, or one without words, is a class of its own; rows that share an id are one document, with the links of
-all of them; ties go to the smallest id; a null id takes no part in links (its class is null); an empty table gives an empty table.
+all their texts; ties go to the smallest id; a null id takes no part in links (its class is null); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -111,29 +115,31 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def keys_of(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """128 bits of each text's word sequence; None without words."""
+    with np.errstate(over="ignore"):
+        place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)
+        start = np.zeros(1, np.uint64)
+        one = np.concatenate([start, np.cumsum(mix(hashes + place * _GOLDEN))])
+        two = np.concatenate([start, np.cumsum(mix((hashes ^ _GOLDEN) * (place * np.uint64(2) + np.uint64(1))))])
+        return [(one[e] - one[b]).tobytes() + (two[e] - two[b]).tobytes() if e > b else None for b, e in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def prints(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key: word sequence or null if it has no words, size, bands, singles)."""
+    """(row, id, key: word sequence or null if it has no words, size, bands, singles). To be written once, as rows are numbered by the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             keys, sizes, bands, singles = [], [], [], []
             for _, hashes, offsets in hasher.texts(batch.column(1).to_pylist()):
-                with np.errstate(over="ignore"):
-                    place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)
-                    start = np.zeros(1, np.uint64)
-                    one = np.concatenate([start, np.cumsum(mix(hashes + place * _GOLDEN))])
-                    two = np.concatenate([start, np.cumsum(mix((hashes ^ _GOLDEN) * (place * np.uint64(2) + np.uint64(1))))])
-                for d, own in enumerate(shingles(hashes, offsets, k)):
-                    b, e = offsets[d], offsets[d + 1]
+                keys += keys_of(hashes, offsets)
+                for own in shingles(hashes, offsets, k):
                     sizes.append(len(own))
                     if not len(own):
-                        keys.append(None)
                         bands.append(None)
                         singles.append(None)
                         continue
-                    with np.errstate(over="ignore"):
-                        keys.append((one[e] - one[b]).tobytes() + (two[e] - two[b]).tobytes())
                     values, counts = np.unique(own, return_counts=True)
                     signature = bag_min_hash(values, counts, BANDS * ROWS)
                     bands.append(bands_of(signature))
@@ -141,22 +147,22 @@ def prints(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(singles, pa.list_(pa.int64()))], names=["id", "key", "size", "bands", "singles"])
 
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "utf-8").alias("text"))
-    return raw.mapInArrow(run, "id long, key binary, size long, bands array<long>, singles array<long>")
+    return raw.mapInArrow(run, "id long, key binary, size long, bands array<long>, singles array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
-def bags(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, bag): the sorted shingle hashes as bytes."""
+def bags(docs: DataFrame, k: int) -> DataFrame:
+    """(key, bag) of (id, text): the sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            found = []
+            keys, found = [], []
             for _, hashes, offsets in hasher.texts(batch.column(1).to_pylist()):
+                keys += keys_of(hashes, offsets)
                 found += [own.tobytes() for own in shingles(hashes, offsets, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "bag"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "bag"])
 
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "utf-8").alias("text"))
-    return raw.mapInArrow(run, "id long, bag binary")
+    return docs.select("id", F.encode("text", "utf-8").alias("text")).mapInArrow(run, "key binary, bag binary").filter("key is not null")
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -292,43 +298,58 @@ def verify_groups(members: DataFrame, bag_table: DataFrame, similarity: float) -
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, copy_of, n_links): the smallest id of its component; of the documents with the same words; and how many
-    of the links that were found go out from its representative."""
+    """(id, class_id, copy_of, n_joining): the smallest id of its component; of the documents with the same words; and how many of
+    the links that joined the component go out from its words. These are enough to join it, not all that there are."""
     space = Workspace(docs.sparkSession, "near-dedup")
     known = space.table(prints(docs, k, id_col, text_col), "prints")
     n_docs = known.count()
     some = known.filter("key is not null and id is not null")
-    # Equal word sequences: one representative each.
-    several = space.table(some.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
-    copies = space.table(attach(some.select("id", "key"), several, ["key"], n_docs).filter("id <> rep").groupBy("id").agg(F.min("rep").alias("rep")), "copies")
-    # (band, bucket) entries of the representatives; a bucket with one of them says nothing.
-    entries = space.table(some.join(copies.select("id"), "id", "left_anti").select("id", F.posexplode("bands").alias("band", "bucket")).distinct(), "entries")
+    # Equal word sequences: one node each.
+    several = some.groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = space.table(attach(some.select("row", "id", "key"), space.table(several, "several"), ["key"], n_docs).select("row", "id", "node", "rep"), "copies")
+    gone = copies.filter("row <> node").select("row")
+    # (band, bucket) entries of the nodes, which are ``id`` from here on; a bucket with one of them says nothing.
+    entries = space.table(some.join(gone, "row", "left_anti").select(F.col("row").alias("id"), F.posexplode("bands").alias("band", "bucket")).distinct(), "entries")
     n_entries = entries.count()
     full = entries.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter("n > 1")
     full = space.table(full, "full")
     entries = space.table(attach(entries, full, ["band", "bucket"], n_entries), "entries-full")
     space.drop("entries")
     pairs = space.table(entries.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(entries.select("id").distinct(), "id", "left_semi")
-    bag_table = space.table(bags(raw, k, "id", "text").groupBy("id").agg(F.max("bag").alias("bag")), "bags")
+    wanted = space.table(some.select("row", "id", "key").join(entries.select(F.col("id").alias("row")).distinct(), "row", "left_semi"), "wanted")
+    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
+    bag_table = space.table(bags(raw, k).groupBy("key").agg(F.max("bag").alias("bag")).join(wanted.select("key", F.col("row").alias("id")), "key").select("id", "bag"), "bags")
     edges = space.table(verify(pairs, bag_table, similarity), "edges")
-    labels = components(edges, space, "cc0")
+    # Texts that share an id are one document.
+    again = space.table(some.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
+    shared = None
+    if not again.isEmpty():
+        own = attach(some.select("row", "id"), again, ["id"], n_docs).join(copies.select("row", "node"), "row", "left").select("id", F.coalesce("node", "row").alias("b")).distinct()
+        least = own.groupBy("id").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n"))
+        shared = space.table(attach(own, least, ["id"], n_docs).filter("a <> b").select("a", "b", F.lit(0.0).alias("similarity")), "shared-ids")
+    ends = edges if shared is None else edges.unionByName(shared)
+    labels = components(ends, space, "cc0")
     # Documents of buckets that hold several components.
     tagged = space.table(entries.drop("pivot").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id")), "tagged")
     mixed = tagged.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("band", "bucket", "n")
     left = space.table(attach(tagged, space.table(mixed, "mixed"), ["band", "bucket"], tagged.count()).select("id", "label").distinct(), "left")
-    members = space.table(left.join(some.select("id", "size", "singles"), "id").select("id", "label", "size", F.posexplode("singles").alias("k", "v")).distinct(), "members")
-    more = space.table(verify_groups(members, bag_table, similarity), "more-edges")
+    members = left.join(some.select(F.col("row").alias("id"), "size", "singles"), "id").select("id", "label", "size", F.posexplode("singles").alias("k", "v")).distinct()
+    more = space.table(verify_groups(space.table(members, "members"), bag_table, similarity), "more-edges")
     if not more.isEmpty():
-        edges = edges.unionByName(more.dropDuplicates(["a", "b"]))
-        labels = components(edges, space, "cc1")
-    links = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    whole = known.select("id").distinct().join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    n_by_rep = copies.groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("n"))
-    told = labels.select(F.col("node").alias("rep"), "label").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(n_by_rep, "rep", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        more = more.dropDuplicates(["a", "b"])
+        edges, ends = edges.unionByName(more), ends.unionByName(more)
+        labels = components(ends, space, "cc1")
+    links = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_joining"))
+    # The smallest id of each component, and of each node's copies.
+    whole = space.table(known.select("row", "id").join(copies.select("row", "node", "rep"), "row", "left").select("row", "id", F.coalesce("node", "row").alias("node"), F.coalesce("rep", "id").alias("rep")), "whole")
+    linked = labels.join(whole.groupBy("node").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")), "node")
+    classes = linked.groupBy("label").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("m"))
+    linked = space.table(linked, "linked")
+    told = attach(linked, space.table(classes, "classes"), ["label"], linked.count(), n="m").join(links, "node", "left").select("node", "class_id", "n", F.coalesce("n_joining", F.lit(0)).cast("long").alias("n_joining"))
     told = space.table(told, "told")
-    inside = attach(whole, told, ["rep"], n_docs)
-    # A representative without a link is a class with its copies.
-    rest = whole.join(inside.select("id"), "id", "left_anti").select("id", "rep", F.col("rep").alias("label"), F.lit(0).cast("long").alias("n_links"))
-    found = inside.select("id", "rep", "label", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).unionByName(rest)
-    return found.select("id", F.col("label").alias("class_id"), F.col("rep").alias("copy_of"), "n_links")
+    inside = attach(whole, told, ["node"], n_docs)
+    # A node without a link is a class with its copies.
+    rest = whole.join(inside.select("row"), "row", "left_anti").withColumn("class_id", F.col("rep")).withColumn("n_joining", F.lit(0).cast("long"))
+    columns = ["id", "class_id", "rep", "n_joining"]
+    found = inside.select(*columns).unionByName(rest.select(*columns))
+    return found.groupBy("id").agg(F.min("class_id").alias("class_id"), F.min("rep").alias("copy_of"), F.max("n_joining").alias("n_joining"))

@@ -78,7 +78,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=5, similarity=0.8)
-    return found.select(F.col("id").alias("doc_id"), "class_id", "copy_of", "n_links")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "copy_of", "n_joining")
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,9 +91,20 @@ def test_near_dedup(spark, odd, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_dedup_links_all_texts_of_an_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    base, other = " ".join(words), " ".join(f"v{i}" for i in range(150))
+    near = " ".join([*words[:100], "x", *words[101:]])
+    rows = [(3, base), (2, near), (2, other), (2, other), (9, other), (9, None), (4, "alone"), (None, base)]
+    got = {r["id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 2, 2: 2, 9: 2, 4: 4, None: None}
+
+
 def test_mixing(spark, odd, none):
     plan = mix(odd, max_repetition=2.0)
-    assert {r[0] for r in plan.select("id").distinct().collect()} == {1, 2, 3, 4, 5, 6, 7, 8, -9, 10}
+    assert {r[0] for r in plan.select("id").distinct().collect()} == {None, 1, 2, 3, 4, 5, 6, 7, 8, -9, 10}
+    every = mixed_documents(odd, max_repetition=1.0)
+    assert every.count() == 12 and set(every.columns) > set(odd.columns) - {"mix_epoch"}
     assert mix(none, max_repetition=2.0).count() == 0
     assert mixed_documents(odd, max_repetition=1.0).count() > 0
 
