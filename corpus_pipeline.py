@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import Workspace
+from parley.llm.common import Workspace, free_name
 from parley.llm.decontam import decontaminate
 from parley.llm.language_id import fit, held_out, identify
 from parley.llm.line_dedup import drop_frequent_lines
@@ -36,24 +36,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates stays, the smallest row of it if there are several; a document without an id stays."""
-    found = near_duplicates(docs, k=5, similarity=0.8)
-    gone = found.filter("id <> class_id").select(F.col("id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    """The smallest id of each group of near-duplicates stays; of rows equal in id and text, the smallest row.
+
+    Rows are told apart by id and text, not by the id alone: different texts that share an id, or have none, are documents of their own.
+    """
+    space = Workspace(spark, "near-dedup-stage")
+    unit = free_name(docs, "_unit")
+    own = docs.withColumn(unit, F.xxhash64("doc_id", "text"))
+    units = space.table(own.groupBy(unit).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "units")
+    found = near_duplicates(own.select(unit, "text"), k=5, similarity=0.8, id_col=unit).select(F.col("id").alias(unit), "class_id")
+    found = space.table(found.join(units, unit), "classes")
+    # Ids ascend, none comes last.
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", unit)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = found.join(first.select("class_id", F.col(f"first.{unit}").alias("_first")), "class_id").filter(F.col(unit) != F.col("_first")).select(unit)
+    kept = own.join(space.table(gone, "gone"), unit, "left_anti")
+    again = space.table(units.filter("n > 1").select(unit), "again")
     if again.isEmpty():
-        return kept
-    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
+        return kept.select(*docs.columns)
+    # Equal rows go by partial minima, so a row repeated very often is no single task's work.
+    rows = F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row")
+    one = kept.join(again, unit, "left_semi").groupBy(unit).agg(rows)
+    return kept.join(again, unit, "left_anti").select(*docs.columns).unionByName(one.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ten words or more in a row from an item go from the text; a text of which they are half goes."""
-    return recounted(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, min_span=1, max_coverage=0.5))
+    """Spans of ten words or more that items have go from the text; a text of which they are more than half goes."""
+    return recounted(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, min_span=10, max_coverage=0.5))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, small sources more often, twice at most on average."""
+    """Every document at least once, with or without an id, small sources more often, twice at most on average."""
     return mixed_documents(docs, max_repetition=2.0)
 
 
