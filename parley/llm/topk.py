@@ -2,12 +2,12 @@
 
 Every component x becomes floor(scale * x). The index is cut into blocks of ``block_rows`` vectors. A component other than 0 is a posting of
 its dimension; its impact is its size, quantised to ``LEVELS`` levels at most, and the postings of one dimension and one level are a segment.
-A query orders all segments of a block by descending weight x impact, weight being the size of its own component, and adds them to the accumulators
-in this order.
+Queries are answered ``CHUNK`` at a time, alike ones together; a chunk orders all segments of a block by descending weight x impact, weight
+being the mean size of its queries' components, and adds them to the accumulators in this order, several at a time.
 
-A vector's score lies within ``rest`` of its accumulator: the sum over dimensions of the weight times the largest impact not yet read there
-(or the rounding of the levels, where that is more). So the k-th largest accumulator less ``rest`` is a lower bound of the k-th score, and
-a vector whose accumulator plus ``rest`` is below it, or below the k-th score of blocks read before, is proven to be no member. The query stops
+A vector's score lies within ``rest`` of its accumulator: the sum over dimensions of the query's own weight times the largest impact not yet
+read there (or the rounding of the levels, where that is more). So the k-th largest accumulator less ``rest`` is a lower bound of the k-th score, and
+a vector whose accumulator plus ``rest`` is below it, or below the k-th score of blocks read before, is proven to be no member. A query stops
 in a block once scoring all possible members costs less than reading on; these are scored exactly on the integers. Nothing else stops it.
 
 Blocks are dealt into groups. A group's task builds its blocks once and takes all queries, block by block, the k-th score so far carried from
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from parley.llm.common import Workspace
 
 LEVELS = 64
-#: Shares of a query's postings after which it looks for a proof.
-LOOKS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Shares of the postings after which queries look for a proof.
+LOOKS = (0.5, 0.65, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
+#: Queries that read together.
+CHUNK = 16
 #: Blocks that a group holds at most.
 GROUP = 64
 
@@ -100,75 +102,100 @@ class Index:
         key = (at // max(1, n)) * (2 * LEVELS) + (2 * LEVELS - 1 - level[at])  # dimensions ascend, levels descend
         order = np.argsort(key, kind="stable")
         at, key = at[order], key[order]
-        self.rows = (at % max(1, n)).astype(np.int32)
-        self.signs = np.sign(vectors.T.reshape(-1)[at]).astype(np.int8)
+        # A posting: which component of which vector, and its impact with the sign.
+        self.cells = at % max(1, n) * dims + at // max(1, n)
+        self.impacts = np.sign(vectors.T.reshape(-1)[at]) * (level[at] << self.shift)
         self.starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         self.counts = np.diff(np.append(self.starts, len(key)))
         self.dim, self.level = key[self.starts] // (2 * LEVELS), 2 * LEVELS - 1 - key[self.starts] % (2 * LEVELS)
-        # Most that a component not read yet can be: before anything is read, and by how much each segment lowers it.
+        # Largest component that is left in a dimension: before anything is read, and after each segment.
         slack = (1 << self.shift) - 1
         top = (self.level << self.shift) + slack
         last = np.append(self.dim[1:] != self.dim[:-1], True) if len(key) else np.zeros(0, bool)
-        self.drop = top - np.where(last, slack, np.append(top[1:], 0)) if len(key) else top
+        self.after = np.where(last, slack, np.append(top[1:], 0)) if len(key) else top
         self.most = np.full(dims, slack, np.int64)
         np.maximum.at(self.most, self.dim, top)
         self.read = self.postings = 0
 
-    def search(self, q: np.ndarray, own: int, k: int, threshold: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best; of those that reach ``threshold``, where there is one."""
-        size = np.abs(q)
-        weight = size[self.dim]
-        order = np.argsort(-(weight * self.level), kind="stable")
-        order = order[weight[order] > 0]
-        rest = int((size * self.most).sum()) - np.cumsum(weight[order] * self.drop[order])
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, thresholds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k best for each of a chunk of queries; of those that reach its threshold, if that is one."""
+        n, dims = self.vectors.shape
+        size = np.abs(queries)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(self.ids[:0], self.ids[:0])] * len(queries)
+        order = np.argsort(-(size.mean(0)[self.dim] * self.level), kind="stable")
         done = np.cumsum(self.counts[order])
         total = int(done[-1]) if len(done) else 0
-        self.postings += total
-        exact = int(size.max(initial=0)) * int(self.most.max(initial=0)) * len(q) < 2**52
-        sums = np.zeros(len(self.ids), np.float64 if exact else np.int64)
-        other = self.ids != own
-        members, begin = np.flatnonzero(other), 0
+        whole = int(size.sum(1).max(initial=0)) * int(self.most.max(initial=0))
+        kind = np.float32 if whole < 2**23 else np.float64 if whole < 2**52 else np.int64
+        weights, left = queries.astype(kind), self.most.copy()
+        sums = np.zeros((n, len(queries)), kind)
+        alive, begin = np.arange(len(queries)), 0
+        self.postings += total * len(queries)
         for share in LOOKS:
-            # Too few to choose from, or nothing left to read.
-            if len(members) <= k or begin == len(order):
+            end = min(len(order), int(np.searchsorted(done, share * total)) + 1)
+            if begin < end:
+                # The postings of the next segments, each added to the accumulators of all queries by one product.
+                own_segments = np.sort(order[begin:end])
+                at = np.repeat(self.starts[own_segments] - np.cumsum(self.counts[own_segments]) + self.counts[own_segments], self.counts[own_segments])
+                at += np.arange(len(at))
+                taken = np.zeros(n * dims, kind)
+                taken[self.cells[at]] = self.impacts[at]
+                sums += taken.reshape(n, dims) @ weights[alive].T
+                np.minimum.at(left, self.dim[own_segments], self.after[own_segments])
+                begin = end
+            read = int(done[begin - 1]) if begin else 0
+            rest = size[alive] @ left
+            stopped, columns = np.zeros(len(alive), bool), np.ascontiguousarray(sums.T)
+            for row, q in enumerate(alive.tolist()):
+                own_sums = columns[row]
+                other = self.ids != own[q]
+                rivals = own_sums[other]
+                bound = thresholds[q]
+                if len(rivals) <= k:
+                    members = np.flatnonzero(other)
+                else:
+                    if bound == NONE:
+                        bound = np.partition(rivals, len(rivals) - k)[len(rivals) - k] - rest[row]
+                    members = np.flatnonzero(other & (own_sums >= bound - rest[row]))
+                if len(rivals) <= k or begin == len(order) or len(members) * dims <= total - read:
+                    scores = self.vectors[members] @ queries[q]
+                    best = np.lexsort((self.ids[members], -scores))[:k]
+                    found[q], stopped[row] = (self.ids[members][best], scores[best]), True
+            self.read += read * int(stopped.sum())
+            alive, sums = alive[~stopped], sums[:, ~stopped]
+            if not len(alive):
                 break
-            end = int(np.searchsorted(done, share * total)) + 1
-            segments = order[begin:end]
-            if not len(segments):
-                continue
-            rows = np.concatenate([self.rows[b : b + n] for b, n in zip(self.starts[segments], self.counts[segments], strict=True)])
-            signs = np.concatenate([self.signs[b : b + n] for b, n in zip(self.starts[segments], self.counts[segments], strict=True)])
-            values = np.repeat(q[self.dim[segments]] * (self.level[segments] << self.shift), self.counts[segments]) * signs
-            if exact:
-                sums += np.bincount(rows, values, len(sums))
-            else:
-                np.add.at(sums, rows, values)
-            begin = min(end, len(order))
-            left = int(rest[begin - 1])
-            bound = np.partition(sums[other], int(other.sum()) - k)[int(other.sum()) - k] - left
-            if threshold is not None:
-                bound = max(bound, threshold)
-            members = np.flatnonzero(other & (sums + left >= bound))
-            if len(members) * len(q) <= total - int(done[begin - 1]):
-                break
-        self.read += int(done[begin - 1]) if begin else 0
-        scores = self.vectors[members] @ q
-        best = np.lexsort((self.ids[members], -scores))[:k]
-        return self.ids[members][best], scores[best]
-
-
-def searched(blocks: list[Index], q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best of several blocks."""
-    ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for block in blocks:
-        width = block.vectors.shape[1]
-        # Components that one side lacks are 0.
-        part = np.pad(q, (0, max(0, width - len(q))))[:width]
-        found = block.search(part, own, k, int(scores[k - 1]) if len(scores) == k else None)
-        ids, scores = np.concatenate([ids, found[0]]), np.concatenate([scores, found[1]])
-        best = np.lexsort((ids, -scores))[:k]
-        ids, scores = ids[best], scores[best]
-    return ids, scores
+        return found
+
+
+#: Threshold of a query that has fewer than k scores so far.
+NONE = np.iinfo(np.int64).min
+
+
+def alike(queries: np.ndarray) -> np.ndarray:
+    """An order in which queries with the same largest components are neighbours."""
+    largest = np.argsort(-np.abs(queries), axis=1, kind="stable")[:, :3]
+    signs = np.take_along_axis(queries, largest, 1) < 0
+    return np.lexsort((largest * 2 + signs).T[::-1]) if largest.size else np.arange(len(queries))
+
+
+def searched(blocks: list[Index], queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, scores) of the k best of several blocks, for each query."""
+    empty = np.zeros(0, np.int64)
+    found = [(empty, empty)] * len(queries)
+    order = alike(queries)
+    for at in range(0, len(order), CHUNK):
+        chunk = order[at : at + CHUNK]
+        for block in blocks:
+            width = block.vectors.shape[1]
+            # Components that one side lacks are 0.
+            part = np.pad(queries[chunk], ((0, 0), (0, max(0, width - queries.shape[1]))))[:, :width]
+            known = np.array([found[q][1][k - 1] if len(found[q][1]) == k else NONE for q in chunk.tolist()], np.int64)
+            for q, (ids, scores) in zip(chunk.tolist(), block.search(part, own[chunk], k, known), strict=True):
+                ids, scores = np.concatenate([found[q][0], ids]), np.concatenate([found[q][1], scores])
+                best = np.lexsort((ids, -scores))[:k]
+                found[q] = ids[best], scores[best]
+    return found
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, block_rows: int = 4096, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -202,8 +229,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
                     blocks.append(Index(own, values))
                     continue
                 out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for i, q in zip(range(len(own)), values, strict=True):
-                    found, scores = searched(blocks, q, int(own[i]), k)
+                for i, (found, scores) in enumerate(searched(blocks, values, own, k)):
                     for into, x in zip(out, (np.full(len(found), own[i]), np.full(len(found), block), np.full(len(found), i), found, scores), strict=True):
                         into.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["query_id", "query_block", "query_row", "id", "score"])
