@@ -60,7 +60,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), k=8, window=16, min_words=50, similarity=0.8)
+    found = repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, window=6, min_words=50, similarity=0.8)
     return found.withColumnRenamed("id", "doc_id")
 
 

@@ -1,25 +1,30 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-Seeds are the k-mers of words that are the smallest, by hash, of ``window`` consecutive ones: two texts that share
-``k + window - 1`` words in a row share a seed. Of all places of a seed the first, by (id, position), is its hub, and every place in
-another document is a match with the hub; so a seed of n places gives n - 1 matches, not all pairs. The matches of a document are gathered in one
-row, which its own length bounds. For each hub they are chained: a chain ascends in both texts, and its score is k for every seed less
-a gap cost for every word that it advances in either. As that cost is linear, the best predecessor of a match is a prefix maximum over
-positions in the hub, which a Fenwick tree keeps.
+A seed is a pair of k-mers of words, so that a short line that many texts hold makes none: the first is the smallest, by hash, of ``window``
+consecutive ones, the second the smallest of those that begin ``NEAR`` to ``FAR`` words after it. Texts that share ``window + k + FAR + k`` words
+in a row share a seed; ``k`` is small, as either k-mer of a fuzzy passage must be intact. A passage of ``min_words`` words must hold a seed whole.
+
+Rows with equal texts are one unit, so copies cost nothing; of all places of a seed the first, by (unit, position), is its hub, and every
+place in another unit is a match with the hub; so a seed of n places gives n - 1 matches, not all pairs. Where a task meets a seed more than
+``LOCAL`` times, its places there are matched with the first of them, and only that one meets the places of other tasks: so no seed, however
+frequent, gathers its places in one task. The matches of a unit with a hub are gathered in one row, which its own length bounds. They
+are chained: a chain ascends in both texts, and its score is k for every k-mer less a gap cost for every word that it advances in
+either. As that cost is linear, the best predecessor of a match is a prefix maximum over positions in the hub, which a Fenwick tree keeps.
 
 What the hub leaves is gone on with: a place of a seed that no passage covers is compared with the seed's other places too, 16 of them
-in the first round, 16 times as many in each that follows, until passages cover it or all have had their turn. Of these pairs, which may be many
-for a short line that many texts hold, only those are chained whose surroundings have enough words in common for a passage.
+in the first round, 16 times as many in each that follows, until passages cover it or all have had their turn. Of these pairs only those are
+chained that have enough words in common, in about the same place, for a passage around the seed.
 
 Chains are then aligned on the words: gaps between seeds by the longest common subsequence, the ends outwards along the diagonal while the
 score does not drop too far; on slices of both texts, and where an end came to the end of a slice, all chains of these two texts once more on slices
 16 times as wide, until none does. Passages of ``min_words`` words or more in both texts, of which ``similarity`` or more match, stay.
 
-Result: a row per passage of a document, with the place of the hub's passage, and one for each hub's passage itself (its own
-representative). Passages that many documents share thus have one representative and as many rows.
+Result: a row per passage of a unit's smallest id, with the place of the hub's passage, and one for each hub's passage itself (its own
+representative); for every other id of a unit a row that says that its whole text is that of the smallest. Passages that many documents share
+thus have one representative, or one per task that is linked to the others, and as many rows.
 
-Defined results: null, empty and short texts have no passages; repeats within one text alone are not looked for; rows that share an id are one
-document if their texts are equal, and the largest text counts otherwise; a null id takes no part; an empty table gives no rows.
+Defined results: null, empty and short texts have no passages; repeats within one text alone are not looked for; of rows that share an id each text
+counts; a null id takes no part; an empty table gives no rows. Units are told apart by a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -32,9 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import Workspace, attach, spread_join
-from parley.llm.words import Hasher, ngrams
+from parley.llm.words import Hasher, mix, ngrams
 
-GAP = 0.05
+GAP = 0.02
+#: Words between the beginnings of a seed's two k-mers; the latter less the former is a power of 2.
+NEAR, FAR = 16, 32
+#: Places of a seed within ``CHUNK`` seeds of a task beyond which it is matched there.
+LOCAL, CHUNK = 64, 1 << 21
 #: Words beyond the chains in the first slices.
 REACH = 96
 #: Places of a seed that a place left by the hub is compared with in the first round, and by how much later rounds grow.
@@ -71,21 +80,97 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
     return picked[nth % width == 0]
 
 
+def pairs_of(grams: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of texts whose k-mers begin at ``at``: hash, position among ``grams`` and distance of the second k-mer."""
+    picked = minimisers(grams, window)
+    end = at[np.searchsorted(at, picked, side="right")] if len(picked) else picked
+    picked = picked[picked + FAR <= end]
+    if not len(picked):
+        return np.zeros(0, np.uint64), picked, picked
+    # Smallest of FAR - NEAR values from each place on, with the place modulo their number in the lowest bits.
+    low = np.uint64(FAR - NEAR - 1)
+    value = (grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low)
+    reach = 1
+    while reach < FAR - NEAR:
+        value = np.minimum(value[:-reach], value[reach:])
+        reach *= 2
+    second = value[picked + NEAR]
+    gap = NEAR + (((second & low).astype(np.int64) - picked - NEAR) % (FAR - NEAR))
+    with np.errstate(over="ignore"):
+        return mix(grams[picked] * np.uint64(0x9E3779B97F4A7C15) + (second | low)), picked, gap
+
+
+SEED = "seed long, id long, pos int, gap int"
+PLACE = f"{SEED}, rep long, rep_pos int, rep_gap int"
+
+
+def rows_of(columns: list[np.ndarray], schema: str, valid: np.ndarray | None = None) -> pa.RecordBatch:
+    """A batch of whole numbers; columns from the fifth on are null where not ``valid``."""
+    names = [x.split() for x in schema.split(", ")]
+    arrays = [pa.array(c, {"long": pa.int64(), "int": pa.int32()}[t], mask=None if valid is None or i < 4 else ~valid) for i, (c, (_, t)) in enumerate(zip(columns, names, strict=True))]
+    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in names])
+
+
+def matched_locally(seed: np.ndarray, unit: np.ndarray, pos: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
+    """The places, with the first of its seed where that has more than ``LOCAL`` of them here. Repeated places go."""
+    order = np.lexsort((pos, unit, seed))
+    seed, unit, pos, gap = seed[order], unit[order], pos[order], gap[order]
+    fresh = np.concatenate([[True], (seed[1:] != seed[:-1]) | (unit[1:] != unit[:-1]) | (pos[1:] != pos[:-1])])
+    seed, unit, pos, gap = seed[fresh], unit[fresh], pos[fresh], gap[fresh]
+    first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+    n = np.diff(np.append(first, len(seed)))
+    hub, many = np.repeat(first, n), np.repeat(n > LOCAL, n)
+    return rows_of([seed, unit, pos, gap, unit[hub], pos[hub], gap[hub]], PLACE, many & (hub != np.arange(len(seed))))
+
+
 def seeds(docs: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
-    """(seed, id, pos) of (id, text bytes). Texts shorter than a passage have none."""
+    """``PLACE`` of (id, text bytes); rep is null where a seed is not matched within the task. Texts shorter than a passage have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, hashes, offsets in hasher.texts(batch.column(1).to_pylist()):
                 grams, at = ngrams(hashes, offsets, k)
-                picked = minimisers(grams, window)
+                seed, picked, gap = pairs_of(grams, at, window)
                 doc = np.searchsorted(at, picked, side="right") - 1
-                picked, doc = (x[np.diff(offsets)[doc] >= min_words] for x in (picked, doc))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[picked].view(np.int64)), pa.array(ids[first + doc].astype(np.int64)), pa.array((picked - at[doc]).astype(np.int32))], names=["seed", "id", "pos"])
-
-    return docs.mapInArrow(run, "seed long, id long, pos int")
+                long = np.diff(offsets)[doc] >= min_words
+                seed, picked, gap, doc = seed[long], picked[long], gap[long], doc[long]
+                held.append([seed.view(np.int64), ids[first + doc].astype(np.int64), picked - at[doc], gap])
+                if sum(len(x[0]) for x in held) >= CHUNK:
+                    yield matched_locally(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held = []
+        if sum(len(x[0]) for x in held):
+            yield matched_locally(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return docs.mapInArrow(run, PLACE)
+
+
+def first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of places sorted by (seed, id, pos) those whose seed has several, with the first of them."""
+    held: list[np.ndarray] | None = None  # the first place of the seed that the last batch ended with
+    shown = False  # it came out already
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            own = [np.concatenate([h, c]) for h, c in zip(held, own, strict=True)]
+        seed = own[0]
+        first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+        n = np.diff(np.append(first, len(seed)))
+        hub = np.repeat(first, n)
+        # Seeds of one unit alone go, but for those that other batches may go on with.
+        several = np.add.reduceat(own[1] != own[1][hub], first) > 0
+        several[-1] = True
+        several[0] |= held is not None
+        keep = np.repeat((n > 1) & several, n)
+        if held is not None and shown:
+            keep[0] = False
+        shown = bool(n[-1] > 1) or (shown and len(first) == 1)
+        held = [c[first[-1] : first[-1] + 1] for c in own]
+        yield rows_of([c[keep] for c in own] + [own[i][hub][keep] for i in (1, 2, 3)], PLACE)
 
 
 def chains(matches: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]]:
@@ -189,38 +274,39 @@ def outermost(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFr
 
 
 def uncovered(places: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """``places`` (seed, id, pos, n) that lie in no passage of their text, on either side of ``found``."""
+    """``places`` (seed, id, pos, gap, n) that lie in no passage of their text, on either side of ``found``."""
     spans = found.select("id", "start_word", "end_word").union(found.select("rep_id", "rep_start", "rep_end")).distinct()
-    rows = spans.select(F.lit(None).cast("long").alias("seed"), "id", F.col("start_word").cast("int").alias("pos"), F.lit(None).cast("long").alias("n"), F.col("end_word").alias("_end"))
-    rows = rows.unionByName(places.select("seed", "id", "pos", "n", F.lit(None).cast("long").alias("_end")))
+    rows = spans.select("id", F.col("start_word").cast("int").alias("pos"), F.col("end_word").alias("_end"))
+    rows = rows.unionByName(places, allowMissingColumns=True)
     so_far = Window.partitionBy("id").orderBy("pos", F.col("_end").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_reach", F.max("_end").over(so_far)).filter(F.col("n").isNotNull() & (F.coalesce("_reach", F.lit(0)) < F.col("pos") + k)).drop("_end", "_reach")
+    left = rows.withColumn("_reach", F.max("_end").over(so_far)).filter(F.col("n").isNotNull() & (F.coalesce("_reach", F.lit(0)) < F.col("pos") + F.col("gap") + k))
+    return left.select(*places.columns)
 
 
-def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, rep_id, rep_start, rep_end, n_matched, similarity)."""
     space = Workspace(docs.sparkSession, "substrings")
-    raw = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "utf-8").alias("text")).filter("id is not null and text is not null")
-    found = space.table(seeds(raw, k, window, min_words), "seeds")
-    n_seeds = found.count()
-    hubs = found.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("hub.id <> last").drop("last")
-    hubs = space.table(hubs, "hubs")
-    places = attach(found, hubs.select("seed", "hub", "n", F.col("n").alias("places")), ["seed"], n_seeds)
-    places = space.table(places.select("seed", "id", "pos", "hub", F.col("places").alias("n")), "places")
+    text = F.encode(F.col(text_col), "utf-8")
+    raw = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("id"), text.alias("text")).filter("doc is not null and text is not null")
+    # Ids by unit: from here on an id is that of a unit.
+    units = space.table(raw.groupBy("id").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")), "units")
+    found = space.table(seeds(raw.select("id", "text"), k, window, min_words), "seeds")
+    loose = found.filter("rep is null").select("seed", "id", "pos", "gap").repartition("seed").sortWithinPartitions("seed", "id", "pos")
+    places = loose.mapInArrow(first_places, PLACE).unionByName(found.filter("rep is not null"))
+    places = space.table(places, "places")
     space.drop("seeds")
-    space.drop("hubs")
     n_places = places.count()
-    most = (places.agg(F.max("n")).first()[0] or 0) if n_places else 0
-    matches = places.filter("id <> hub.id").select("id", F.col("hub.id").alias("rep"), "pos", F.col("hub.pos").alias("rep_pos"))
+    counts = space.table(places.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 2"), "counts")
+    most = counts.agg(F.max("n")).first()[0] or 0
+    matches = places.filter("id <> rep").select("id", "rep", "pos", "gap", "rep_pos", "rep_gap")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for i, rep, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                pos, rep_pos = (own.values.field(c).to_numpy() for c in range(2))
-                order = np.lexsort((rep_pos, pos))
-                pairs = np.stack([pos[order], rep_pos[order]], 1)
-                own = [c for c in chains(list(map(tuple, pairs.tolist())), k) if c[-1][0] + k - c[0][0] >= min_words - 2 * (k + window)]
+                pos, gap, rep_pos, rep_gap = (own.values.field(c).to_numpy().astype(np.int64) for c in range(4))
+                pairs = np.unique(np.stack([np.concatenate([pos, pos + gap]), np.concatenate([rep_pos, rep_pos + rep_gap])], 1), axis=0)
+                own = [c for c in chains(list(map(tuple, pairs.tolist())), k) if c[-1][0] + k - c[0][0] >= NEAR]
                 if own:
                     ends = min(c[0][0] for c in own), max(c[-1][0] for c in own) + k, min(c[0][1] for c in own), max(c[-1][1] for c in own) + k
                     out.append((i, rep, *ends, [[x for m in c for x in m] for c in own]))
@@ -236,7 +322,8 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
                 found += [short[b:e].tobytes() for b, e in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "words"])
 
-    known = raw.join(places.select("id").distinct(), "id", "left_semi").mapInArrow(words, "id long, words binary").groupBy("id").agg(F.max("words").alias("words"))
+    copied = units.filter("doc <> last").select("id")
+    known = raw.join(places.select("id").union(copied).distinct(), "id", "left_semi").select("id", "text").mapInArrow(words, "id long, words binary").groupBy("id").agg(F.max("words").alias("words"))
     known = space.table(known, "words")
 
     def part(words: str, at: str, end: str, reach: int):
@@ -269,8 +356,8 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.float64()], strict=True)], names=["id", "start_word", "end_word", "rep_id", "rep_start", "rep_end", "n_matched", "similarity"])
 
     def passages(matches: DataFrame, name: str) -> DataFrame:
-        """The passages that matches (id, rep, pos, rep_pos) lie in."""
-        rows = matches.groupBy("id", "rep").agg(F.collect_set(F.struct("pos", "rep_pos")).alias("m"))
+        """The passages that matches (id, rep, pos, gap, rep_pos, rep_gap) lie in."""
+        rows = matches.groupBy("id", "rep").agg(F.collect_set(F.struct("pos", "gap", "rep_pos", "rep_gap")).alias("m"))
         linked = space.table(rows.mapInArrow(chain, "id long, rep long, b long, e long, rb long, re long, chains array<array<long>>"), f"chains-{name}")
         whole, reach = None, REACH
         while True:
@@ -287,14 +374,16 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
             reach *= 16
             linked = space.table(linked.join(more, ["id", "rep"], "left_semi"), f"chains-{name}-{reach}")
 
-    # A passage of min_words words has this many words on either side of a seed at most, and so many that match.
-    beside, least = int(np.ceil(min_words / similarity)) - k, int(np.ceil(min_words * similarity - 1e-9))
-    width = 2 * beside + k
+    # A passage of min_words words has this many words at most, and so many that match; there are so many before and after a place in it.
+    longest, least = int(np.ceil(min_words / similarity)), int(np.ceil(min_words * similarity - 1e-9))
+    width = 2 * longest + 1
+    band = longest - min_words + 1
 
     def around(rows: DataFrame, n: int) -> DataFrame:
-        """Plus the words around a place, as ``near``."""
-        begin = F.greatest(F.lit(0), F.col("pos") - beside)
-        near = F.substring(F.col("words"), (begin * 4 + 1).cast("int"), ((F.col("pos") + k + beside - begin) * 4).cast("int"))
+        """Plus the words around a place, as ``near``, with zeros where there are none."""
+        begin = F.greatest(F.lit(0), F.col("pos") - longest)
+        near = F.substring(F.col("words"), (begin * 4 + 1).cast("int"), ((F.col("pos") + longest + 1 - begin) * 4).cast("int"))
+        near = F.lpad(near, (F.octet_length(near) + (longest - (F.col("pos") - begin)) * 4).cast("int"), F.lit(b"\0"))
         return spread_join(rows, known, "id", "pos", n).withColumn("near", F.rpad(near, width * 4, F.lit(b"\0"))).drop("words")
 
     def bags(near: np.ndarray) -> np.ndarray:
@@ -302,36 +391,46 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
         at = (np.arange(len(near), dtype=np.int64)[:, None] * BAG + near % BAG)[near > 0]
         return np.bincount(at, minlength=len(near) * BAG).reshape(-1, BAG).astype(np.float32)
 
+    def fits(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Which pairs of rows may hold a passage around their middle: ``longest`` words in a row, the middle among them, of which ``least``
+        have an equal word in the other text not more than ``band`` places off."""
+        same = np.zeros(u.shape, bool)
+        for lag in range(-band, band + 1):
+            a, b = slice(max(0, -lag), width - max(0, lag)), slice(max(0, lag), width - max(0, -lag))
+            same[:, a] |= (u[:, a] == v[:, b]) & (u[:, a] > 0)
+        sums = np.concatenate([np.zeros((len(u), 1), np.int32), np.cumsum(same, 1, dtype=np.int32)], 1)
+        return (sums[:, longest:] - sums[:, : width + 1 - longest]).max(1) >= least
+
     def alike(ours: list[tuple], theirs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Pairs in different documents whose surroundings have enough words in common."""
-        u, v = (np.frombuffer(b"".join(x[2] for x in own), np.uint32).reshape(-1, width) for own in (ours, theirs))
+        """Pairs in different units whose surroundings may be a passage."""
+        u, v = (np.frombuffer(b"".join(x[3] for x in own), np.uint32).reshape(-1, width) for own in (ours, theirs))
         ids, reps = (np.array([x[0] for x in own]) for own in (ours, theirs))
         maybe = ids[:, None] != reps
         if maybe.size > 64:  # a bound from above, as different words may meet in one place of a bag
             maybe &= bags(u) @ (bags(v) > 0).astype(np.float32).T >= least
         i, j = np.nonzero(maybe)
-        for at in range(0, len(i), 250):
-            own, other = i[at : at + 250], j[at : at + 250]
-            same = u[own][:, :, None] == v[other][:, None, :]
-            good = (((u[own] > 0) & same.any(2)).sum(1) >= least) & (((v[other] > 0) & same.any(1)).sum(1) >= least)
-            rows = [(*ours[x][:2], *theirs[y][:2]) for x, y in zip(own[good].tolist(), other[good].tolist(), strict=True)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64(), pa.int32()] * 2, strict=True)], names=["id", "pos", "rep", "rep_pos"])
+        for at in range(0, len(i), 4000):
+            own, other = i[at : at + 4000], j[at : at + 4000]
+            good = fits(u[own], v[other])
+            good[good] = fits(v[other[good]], u[own[good]])
+            rows = [(*ours[x][:3], *theirs[y][:3]) for x, y in zip(own[good].tolist(), other[good].tolist(), strict=True)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64(), pa.int32(), pa.int32()] * 2, strict=True)], names=["id", "pos", "gap", "rep", "rep_pos", "rep_gap"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group = None, ([], [])
         for batch in batches:
-            for *key, side, i, pos, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, side, i, pos, gap, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != last:
                     if group[0] and group[1]:
                         yield from alike(*group)
                     last, group = key, ([], [])
-                group[side].append((i, pos, near))
+                group[side].append((i, pos, gap, near))
         if group[0] and group[1]:
             yield from alike(*group)
 
     found = passages(matches, "0")
-    rest = places.filter("n > 2 and not (id = hub.id and pos = hub.pos)").select("seed", "id", "pos", "n")
+    rest = attach(places.select("seed", "id", "pos", "gap"), counts.withColumn("m", F.col("n")), ["seed"], n_places).withColumnRenamed("m", "n") if most else None
     turn = F.col("n") * F.pmod(F.xxhash64("seed", "id", "pos"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     low, high = 0, ROUND
     while low < most:
@@ -348,15 +447,31 @@ def repeated_passages(docs: DataFrame, k: int = 8, window: int = 16, min_words:
         for side, (rows, n_rows, own, other) in enumerate(((left, n_left, "m", "o"), (theirs, n_theirs, "o", "m"))):
             near = around(rows.join(dealt, "seed"), n_rows)
             near = near.withColumn(f"{own}_at", F.pmod(F.xxhash64("id", "pos"), own).cast("int")).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            sides.append(near.select("seed", "m_at", "o_at", F.lit(side).alias("side"), "id", "pos", "near"))
+            sides.append(near.select("seed", "m_at", "o_at", F.lit(side).alias("side"), "id", "pos", "gap", "near"))
         pairs = sides[0].unionByName(sides[1]).repartition("seed", "m_at", "o_at").sortWithinPartitions("seed", "m_at", "o_at")
-        pairs = pairs.mapInArrow(meet, "id long, pos int, rep long, rep_pos int")
-        ends = F.greatest(F.struct("id", "pos"), F.struct(F.col("rep").alias("id"), F.col("rep_pos").alias("pos"))), F.least(F.struct("id", "pos"), F.struct(F.col("rep").alias("id"), F.col("rep_pos").alias("pos")))
-        pairs = pairs.select(ends[0].alias("x"), ends[1].alias("y")).select("x.id", F.col("y.id").alias("rep"), "x.pos", F.col("y.pos").alias("rep_pos"))
+        pairs = pairs.mapInArrow(meet, "id long, pos int, gap int, rep long, rep_pos int, rep_gap int")
+        place, other = F.struct("id", "pos", "gap"), F.struct(F.col("rep").alias("id"), F.col("rep_pos").alias("pos"), F.col("rep_gap").alias("gap"))
+        pairs = pairs.select(F.greatest(place, other).alias("x"), F.least(place, other).alias("y"))
+        pairs = pairs.select("x.id", F.col("y.id").alias("rep"), "x.pos", "x.gap", F.col("y.pos").alias("rep_pos"), F.col("y.gap").alias("rep_gap"))
         found = found.unionByName(passages(pairs, str(high)))
         low, high = high, high * ROUND
     found = found.distinct()
     kept = space.table(outermost(found, ["id", "rep_id"], "start_word", "end_word"), "passages")
     own = outermost(found.groupBy("rep_id", "rep_start").agg(F.max("rep_end").alias("rep_end")), ["rep_id"], "rep_start", "rep_end")
     own = own.select(F.col("rep_id").alias("id"), F.col("rep_start").alias("start_word"), F.col("rep_end").alias("end_word"), "rep_id", "rep_start", "rep_end", (F.col("rep_end") - F.col("rep_start")).alias("n_matched"), F.lit(1.0).alias("similarity"))
-    return kept.unionByName(own)
+    # From units to ids.
+    kept = kept.unionByName(own)
+    names = units.select("id", "doc")
+    mine, theirs = names.select("id", F.col("doc").alias("own")), names.select(F.col("id").alias("rep_id"), F.col("doc").alias("rep"))
+    per = kept.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(mine, "id")
+    n_kept = kept.count()
+    kept = attach(kept, per, ["id"], n_kept)
+    per = kept.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n")).join(theirs, "rep_id")
+    kept = attach(kept, per, ["rep_id"], n_kept).select(F.col("own").alias("id"), "start_word", "end_word", F.col("rep").alias("rep_id"), "rep_start", "rep_end", "n_matched", "similarity")
+    # Copies: the whole text, on either side.
+    whole = units.filter("doc <> last").join(known.select("id", (F.octet_length("words") / 4).cast("long").alias("size")), "id").filter(F.col("size") >= min_words)
+    whole = space.table(whole.select("id", F.col("doc").alias("rep"), "size", "n"), "copied")
+    copies = attach(raw.select("doc", "id"), whole, ["id"], units.agg(F.sum("n")).first()[0] or 0).select("doc", "rep", "size")
+    zero = F.lit(0).cast("long")
+    copies = copies.select(F.col("doc").alias("id"), zero.alias("start_word"), F.col("size").alias("end_word"), F.col("rep").alias("rep_id"), zero.alias("rep_start"), F.col("size").alias("rep_end"), F.col("size").alias("n_matched"), F.lit(1.0).alias("similarity"))
+    return kept.unionByName(copies).distinct()

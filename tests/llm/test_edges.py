@@ -115,7 +115,12 @@ def test_substrings(spark, odd, none):
     base = " ".join(f"w{i}" for i in range(120))
     docs = table(spark, [(1, base, "en", "a", 1), (2, "other words " + base + " tail", "en", "a", 1), (2, None, "en", "a", 1), (None, base, "en", "a", 1), (3, base, None, None, None)])
     got = repeated_passages(docs)
-    assert {(r["id"], r["start_word"], r["end_word"], r["rep_id"]) for r in got.collect()} == {(1, 0, 120, 1), (2, 2, 122, 1), (3, 0, 120, 1)}
+    rows = got.collect()
+    assert {(r["id"], r["start_word"], r["end_word"]) for r in rows} == {(1, 0, 120), (2, 2, 122), (3, 0, 120)} and {r["rep_id"] for r in rows} <= {1, 2}
+    # Texts of one id, of which one is a part of another document.
+    words = [f"v{i}" for i in range(400)]
+    docs = table(spark, [(1, " ".join(words), None, None, None), (2, " ".join(words[50:350]), None, None, None), (2, " ".join(f"u{i}" for i in range(60)), None, None, None)])
+    assert {(r["id"], r["start_word"], r["end_word"]) for r in repeated_passages(docs).collect()} == {(1, 50, 350), (2, 0, 300)}
 
 
 def test_warc(spark, odd):

@@ -392,6 +392,63 @@ def test_planted_passages(spark):
     assert all(next(p for p, v in want.items() if r["id"] in v) == next(p for p, v in want.items() if r["rep_id"] in v) for r in got)
 
 
+def test_fuzzy_passages_are_found(spark):
+    """Passages of which a fifth to a tenth of the words are changed, against nothing else in common."""
+    rng = random.Random(14)
+    noise = lambda n: [f"n{rng.randint(0, 10**6)}" for _ in range(n)]
+    docs, n = [], 100
+    for i in range(n):
+        p = noise(rng.randint(60, 120))
+        changed = set(rng.sample(range(len(p)), int(len(p) * rng.uniform(0.1, 0.18))))
+        docs += [(i, " ".join(noise(80) + p + noise(80))), (n + i, " ".join(noise(70) + [w if j not in changed else "x" + w for j, w in enumerate(p)] + noise(90)))]
+    got = {(r["id"], r["rep_id"]) for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i % n == rep % n for i, rep in got} == {True}
+    assert sum((i, n + i) in got or (n + i, i) in got for i in range(n)) >= 0.85 * n
+
+
+def test_seeds_are_shared_whatever_stands_around():
+    rng = np.random.default_rng(15)
+    for _ in range(30):
+        core = rng.integers(0, 2**63, 50).astype(np.uint64)
+        seeds = []
+        for _ in range(2):
+            x = np.concatenate([rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64), core, rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)])
+            grams, at = words.ngrams(x, np.array([0, len(x)]), 3)
+            seed, first, gap = substrings.pairs_of(grams, at, 6)
+            assert ((gap >= substrings.NEAR) & (gap < substrings.FAR)).all() and (first + gap < len(grams)).all()
+            seeds.append(set(seed.tolist()))
+        assert seeds[0] & seeds[1]
+
+
+def test_first_places_over_batches():
+    rng = random.Random(16)
+    rows = sorted((rng.randint(0, 12), rng.randint(0, 3), p, 20) for p in range(80))
+    want = {(s, i, p, *min((j, q) for t, j, q, _ in rows if t == s)) for s, i, p, _ in rows if len({j for t, j, *_ in rows if t == s}) > 1}
+    for size in (1, 2, 7, 100):
+        batches = [substrings.rows_of([np.array(c) for c in zip(*rows[b : b + size], strict=True)], substrings.SEED) for b in range(0, len(rows), size)]
+        got = [r for x in substrings.first_places(iter(batches)) for r in zip(*(x.column(c).to_pylist() for c in (0, 1, 2, 4, 5)), strict=True)]
+        assert len(got) == len(set(got)) and want <= set(got)
+
+
+def test_frequent_seeds_meet_within_a_task(spark):
+    rng = random.Random(17)
+    noise = lambda n: [f"n{rng.randint(0, 10**6)}" for _ in range(n)]
+    p = noise(70)
+    docs = spark.createDataFrame([(i, " ".join(noise(10) + p + noise(10))) for i in range(300)], "doc_id long, text string").repartition(3)
+    got = substrings.repeated_passages(docs).collect()
+    assert {(r["id"], r["start_word"], r["end_word"]) for r in got} == {(i, 10, 80) for i in range(300)}
+    assert len({r["rep_id"] for r in got}) <= 10 and len(got) < 400
+
+
+def test_texts_of_one_id_and_copies(spark):
+    """Rows that share an id count with each of their texts; copies are rows of the smallest id."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:300])), (2, " ".join(f"v{i}" for i in range(60))), (5, "short"), (6, "short"), (7, " ".join(words)), (8, " ".join(words)), (9, " ".join(f"v{i}" for i in range(60)))]
+    got = {(r["id"], r["start_word"], r["end_word"], r["rep_id"]) for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {(7, 0, 400, 1), (8, 0, 400, 1), (9, 0, 60, 2)} <= got and {i for i, *_ in got} == {1, 2, 7, 8, 9}
+    assert (1, 0, 300, 2) in got or (2, 0, 300, 1) in got
+
+
 def test_warc_pushdown_and_plain_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i % 5}</p>" * 2000) for i in range(40)], "page_id long, url string, html string")
     path = f"file://{tmp_path}/a"
@@ -559,7 +616,8 @@ def test_passages_whose_pieces_occur_before(spark):
         own = [p[:38], p[22:], p, p]
         docs += [(j * n + i, " ".join(noise(40) + x + noise(40))) for j, x in enumerate(own)]
     got = {(r["id"], r["rep_id"], r["start_word"], r["end_word"]) for r in substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {(j * n + i, 2 * n + i, 40, 100) for i in range(n) for j in (2, 3)}
+    assert {(i, s, e) for i, _, s, e in got} == {(j * n + i, 40, 100) for i in range(n) for j in (2, 3)}
+    assert all(rep % n == i % n and rep >= 2 * n for i, rep, *_ in got) and len(got) == 2 * n
 
 
 def test_passages_far_beyond_their_seeds(spark):
