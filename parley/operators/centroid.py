@@ -21,11 +21,8 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 def cosines(utterances: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """(doc_id, pos, score): cosine to the centroid; 0 for an utterance without words."""
-    vectors = vectors if vectors is not None else utterance_vectors(utterances)
-    centre = centroids(vectors)
-    length = centre.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("length"))
-    dots = vectors.join(centre, ["doc_id", "term"]).groupBy("doc_id", "pos").agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
-    found = dots.join(length, "doc_id").select("doc_id", "pos", (F.col("dot") / F.col("length")).alias("score"))
+    whole = with_centroids(vectors if vectors is not None else utterance_vectors(utterances))
+    found = whole.groupBy("doc_id", "pos").agg((F.sum(F.col("w") * F.col("c")) / F.max("length")).alias("score"))
     return utterances.select("doc_id", "pos").join(found, ["doc_id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
@@ -38,17 +35,6 @@ def new_vocabulary(utterances: DataFrame, threshold: float = 10.0) -> DataFrame:
     return utterances.select("doc_id", "pos").join(found, ["doc_id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def candidates(utterances: DataFrame, method: str = "first", n: int = CANDIDATES, threshold: float = 10.0, vectors: DataFrame | None = None) -> DataFrame:
-    """(doc_id, pos) of the utterances that may be chosen. An unknown method counts as first."""
-    if method == "all":
-        return utterances.select("doc_id", "pos")
-    if method not in ("best", "tfidf"):
-        return utterances.filter(F.col("pos") < n).select("doc_id", "pos")
-    ranked = cosines(utterances, vectors) if method == "best" else new_vocabulary(utterances, threshold)
-    best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "pos")
-    return ranked.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n).select("doc_id", "pos")
-
-
 def greedy(to_centre: np.ndarray, gram: np.ndarray, length: float, steps: int) -> list[int]:
     """Each step adds the row with which the sum is nearest to the centroid; rows stay eligible, ties go to the first."""
     n = len(to_centre)
@@ -66,15 +52,31 @@ def greedy(to_centre: np.ndarray, gram: np.ndarray, length: float, steps: int) -
     return picked
 
 
+def with_centroids(vectors: DataFrame) -> DataFrame:
+    """``vectors`` plus c, the centroid's weight of the term, and length, that of the document's centroid: the squares of its weights are the sum of w * c.
+
+    Both are sums within a document, so a single pass over the vectors is enough.
+    """
+    own = vectors.withColumn("c", F.sum("w").over(Window.partitionBy("doc_id", "term")))
+    return own.withColumn("length", F.sqrt(F.sum(F.col("w") * F.col("c")).over(Window.partitionBy("doc_id"))))
+
+
 def summarize(utterances: DataFrame, method: str = "first", n: int = CANDIDATES, length: int = 5, threshold: float = 10.0) -> DataFrame:
-    """(doc_id, step, pos, text). With ``all``, a document's candidates must fit a task."""
-    vectors = utterance_vectors(utterances)
-    chosen = candidates(utterances, method, n, threshold, vectors)
-    size = centroids(vectors).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("length"))
-    rows = vectors.join(chosen, ["doc_id", "pos"], "left_semi").join(centroids(vectors), ["doc_id", "term"])
-    rows = rows.groupBy("doc_id", "pos").agg(F.collect_list(F.struct("term", "w", "c")).alias("terms"))
-    # Candidates without words too; they are zero vectors.
-    rows = chosen.join(rows, ["doc_id", "pos"], "left").join(size, "doc_id", "left")
+    """(doc_id, step, pos, text). The candidates are the first ``n`` utterances, the ``best`` by cosine, the best by ``tfidf`` of new words, or
+    ``all``, which must fit a task. An unknown method counts as first."""
+    whole = with_centroids(utterance_vectors(utterances))
+    # Scores that a choice needs come from the same pass; utterances without words score 0.
+    terms = whole.groupBy("doc_id", "pos").agg(F.collect_list(F.struct("term", "w", "c")).alias("terms"), F.max("length").alias("length"), (F.sum(F.col("w") * F.col("c")) / F.max("length")).alias("score"))
+    rows = utterances.select("doc_id", "pos", "text").join(terms, ["doc_id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if method == "tfidf":
+        rows = rows.drop("score").join(new_vocabulary(utterances, threshold), ["doc_id", "pos"])
+    if method in ("best", "tfidf"):
+        best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "pos")
+        rows = rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n).drop("r")
+    elif method != "all":
+        rows = rows.filter(F.col("pos") < n)
+    # The centroid's length, for candidates without words too.
+    rows = rows.withColumn("length", F.max("length").over(Window.partitionBy("doc_id"))).drop("score")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
@@ -90,7 +92,6 @@ def summarize(utterances: DataFrame, method: str = "first", n: int = CANDIDATES,
                 centre[at[x["term"]]] = x["c"]
         whole = group["length"].iloc[0]
         picked = greedy(dense @ centre, dense @ dense.T, 0.0 if pd.isna(whole) else float(whole), length)
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[0], "step": np.arange(len(picked)), "pos": group["pos"].to_numpy()[picked]})
+        return pd.DataFrame({"doc_id": group["doc_id"].iloc[0], "step": np.arange(len(picked)), "pos": group["pos"].to_numpy()[picked], "text": group["text"].to_numpy()[picked]})
 
-    found = rows.groupBy("doc_id").applyInPandas(run, "doc_id long, step long, pos long")
-    return found.join(utterances.select("doc_id", "pos", "text"), ["doc_id", "pos"]).select("doc_id", "step", "pos", "text")
+    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, step long, pos long, text string")

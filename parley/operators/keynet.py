@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
@@ -12,6 +12,8 @@ from parley.operators.stats import entity_keywords
 from parley.operators.vectors import keyword_vectors
 
 KEYWORDS = 50
+#: Keywords of a network at most.
+MOST = 1000
 #: The weights of all edges sum up to this.
 TOTAL_WEIGHT = 400
 
@@ -33,8 +35,12 @@ def keywords(utterances: DataFrame, top: int = KEYWORDS, focus_doc: int | None =
 
 def occurrences(utterances: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, pos, term, n) of the keywords, words or pairs of words."""
-    rows = utterances.select("doc_id", "pos", F.explode(X.unigrams_and_bigrams(X.long_tokens(F.col("tokenized")))).alias("term"))
-    return rows.join(F.broadcast(terms.select("term")), "term", "left_semi").groupBy("doc_id", "pos", "term").agg(F.count(F.lit(1)).alias("n"))  # some dozens of keywords
+    # Some dozens of keywords, found once and then part of the plan.
+    names = [r["term"] for r in terms.select("term").limit(MOST + 1).collect()]
+    if len(names) > MOST:
+        raise ValueError(f"more than {MOST} keywords")
+    found = F.filter(X.unigrams_and_bigrams(X.long_tokens(F.col("tokenized"))), lambda t: t.isin(names))
+    return utterances.select("doc_id", "pos", F.explode(found).alias("term")).groupBy("doc_id", "pos", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cooccurrences(utterances: DataFrame, terms: DataFrame, window: int = 10) -> DataFrame:
@@ -53,7 +59,8 @@ def cooccurrences(utterances: DataFrame, terms: DataFrame, window: int = 10) ->
 def network(utterances: DataFrame, terms: DataFrame, window: int = 10) -> DataFrame:
     """(k1, k2, weight)."""
     found = cooccurrences(utterances, terms, window)
-    whole = found.agg(F.sum("c")).scalar()
+    # The pairs of some dozens of keywords are a few hundred rows.
+    whole = F.sum("c").over(Window.partitionBy(F.lit(0)))
     return found.select("k1", "k2", (TOTAL_WEIGHT * F.col("c") / whole).alias("weight"))
 
 

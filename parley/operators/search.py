@@ -15,16 +15,20 @@ class Search:
     """
 
     def __init__(self, utterances: DataFrame):
-        self.utterances = utterances
-        self.index = utterances.select("doc_id", "pos", F.explode(F.array_distinct(X.unigrams_and_bigrams(X.long_tokens(F.col("tokenized"))))).alias("term"))
+        self.utterances, self.terms = utterances, X.unigrams_and_bigrams(X.long_tokens(F.col("tokenized")))
+        self.index = utterances.select("doc_id", "pos", F.explode(F.array_distinct(self.terms)).alias("term"))
+        self.saved = False
 
     def save(self, table: str, buckets: int = 64) -> None:
         self.index.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
-        self.index = self.index.sparkSession.table(table)
+        self.index, self.saved = self.index.sparkSession.table(table), True
 
     def find_occurrences(self, term: str) -> DataFrame:
         """(doc_id, file, pos, text) of the utterances with the term; none if it is unknown."""
-        hits = self.index.filter(F.col("term") == X.clean_term(F.lit(term))).select("doc_id", "pos")
+        wanted = X.clean_term(F.lit(term))
+        if not self.saved:  # one look at every utterance costs less than an index that is used once
+            return self.utterances.filter(F.array_contains(self.terms, wanted)).select("doc_id", "file", "pos", "text")
+        hits = self.index.filter(F.col("term") == wanted).select("doc_id", "pos")
         return self.utterances.join(hits, ["doc_id", "pos"], "left_semi").select("doc_id", "file", "pos", "text")
 
     __call__ = find_occurrences

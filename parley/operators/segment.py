@@ -7,20 +7,23 @@ up to ``k`` pseudo-sentences on either side. Deep valleys of the smoothed scores
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
 from parley.operators.corpus import concat_documents
 
+# What joins utterances, how many gaps lie between boundaries and characters between paragraph breaks at least, and what a
+# paragraph break is.
 SEPARATOR = "\n\n\t "
-#: No two boundaries are nearer than this many gaps.
 APART = 4
-#: Characters between paragraph breaks at least.
 PARAGRAPH = 100
 _BREAK = re.compile("[ \t\r\f\v]*\n[ \t\r\f\v]*\n[ \t\r\f\v]*")
 
@@ -39,49 +42,76 @@ def joined(utterances: DataFrame) -> DataFrame:
     return concat_documents(utterances, "text", SEPARATOR)
 
 
-def pseudo_sentences(docs: DataFrame, t: Tiling) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, last): the number of gaps; (doc_id, seq, word, n): word counts after the stop list."""
-    text = F.lower("text") if t.lowercase else F.col("text")
-    toks = docs.select("doc_id", X.raw_tokens(text).alias("toks"))
-    gaps = toks.select("doc_id", (F.ceil(F.size("toks") / t.w) - 1).cast("long").alias("gaps"))
-    words = toks.select("doc_id", F.posexplode("toks").alias("i", "word")).filter(~F.col("word").isin(*t.stop)) if t.stop else toks.select("doc_id", F.posexplode("toks").alias("i", "word"))
-    return gaps, words.groupBy("doc_id", F.floor(F.col("i") / t.w).alias("seq"), "word").agg(F.count(F.lit(1)).alias("n"))
+#: Cells of a table of word counts that a task holds at once.
+CELLS = 1 << 22
+
+
+def block_scores(words: np.ndarray, n_tokens: int, at: np.ndarray, t: Tiling) -> np.ndarray:
+    """Scores of a document's gaps. ``words``: numbers of its words without the stop list; ``at``: their places among all ``n_tokens``.
+
+    Counts in blocks are differences of prefix sums over the pseudo-sentences; words are taken some at a time.
+    """
+    n = -(-n_tokens // t.w)
+    gaps = max(0, n - 1)
+    g = np.arange(gaps)
+    size = np.where(g < t.k - 1, g + 1, np.where(g > gaps - t.k, gaps - g, t.k))
+    sums = np.zeros((3, gaps))
+    names, own = np.unique(words, return_inverse=True)
+    order = np.argsort(own, kind="stable")
+    own, seq = own[order], at[order] // t.w
+    step = max(1, CELLS // (n + 1))
+    for first in range(0, len(names) if gaps else 0, step):
+        b, e = np.searchsorted(own, [first, first + step])
+        counts = np.zeros((min(step, len(names) - first), n + 1))
+        np.add.at(counts, (own[b:e] - first, seq[b:e] + 1), 1)
+        before = counts.cumsum(1)
+        left, right = before[:, g + 1] - before[:, g - size + 1], before[:, np.minimum(g + size + 1, n)] - before[:, g + 1]
+        sums += np.stack([(left * right).sum(0), (left * left).sum(0), (right * right).sum(0)])
+    return np.divide(sums[0], np.sqrt(sums[1] * sums[2]), out=np.zeros(gaps), where=(sums[1] > 0) & (sums[2] > 0))
 
 
 def gap_scores(docs: DataFrame, t: Tiling = Tiling()) -> DataFrame:
     """(doc_id, gap, gaps, score). Documents of one pseudo-sentence have no gap.
 
-    Each count goes to the gaps whose blocks hold it, which is an equi-join in effect: gaps are listed per count, not searched for.
+    A document's words are numbered by the column they come in, so there is no row per word and gap.
     """
-    gaps, counts = pseudo_sentences(docs, t)
-    every = gaps.filter("gaps > 0").select("doc_id", "gaps", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gaps") - 1)).alias("gap"))
-    g, n = F.col("gap"), F.col("gaps")
-    width = F.when(g < t.k - 1, g + 1).when(g > n - t.k, n - g).otherwise(t.k)
-    near = counts.join(gaps.filter("gaps > 0"), "doc_id").withColumn("gap", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("seq") - t.k), F.least(F.col("gaps") - 1, F.col("seq") + t.k - 1))))
-    near = near.withColumn("ws", width).filter(F.col("seq").between(g - F.col("ws") + 1, g + F.col("ws")))
-    blocks = near.groupBy("doc_id", "gap", "word").agg(F.sum(F.when(F.col("seq") <= g, F.col("n")).otherwise(0)).alias("f1"), F.sum(F.when(F.col("seq") > g, F.col("n")).otherwise(0)).alias("f2"))
-    sums = blocks.groupBy("doc_id", "gap").agg(F.sum(F.col("f1") * F.col("f2")).alias("dot"), F.sum(F.col("f1") * F.col("f1")).alias("s1"), F.sum(F.col("f2") * F.col("f2")).alias("s2"))
-    score = F.when((F.col("s1") > 0) & (F.col("s2") > 0), F.col("dot") / F.sqrt(F.col("s1").cast("double") * F.col("s2"))).otherwise(F.lit(0.0))
-    return every.join(sums, ["doc_id", "gap"], "left").select("doc_id", "gap", "gaps", score.alias("score"))
+    toks = docs.select("doc_id", X.raw_tokens(F.lower("text") if t.lowercase else F.col("text")).alias("toks"))
+    stop = pa.array(t.stop, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            numbers, kept = np.asarray(coded.indices), ~np.asarray(pc.is_in(coded.dictionary, stop))
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            out = []
+            for doc, b, e in zip(batch.column(0).to_pylist(), np.concatenate([[0], ends[:-1]]), ends, strict=True):
+                own = numbers[b:e]
+                at = np.flatnonzero(kept[own]) if len(own) else own
+                scores = block_scores(own[at], len(own), at, t)
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(scores), doc), pa.int64()), pa.array(np.arange(len(scores)), pa.int64()), pa.array(np.full(len(scores), len(scores)), pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "gap", "gaps", "score"]))
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else []
+
+    return toks.mapInArrow(run, "doc_id long, gap long, gaps long, score double")
 
 
 def smoothed(scores: DataFrame, smoothing: int = 2) -> DataFrame:
-    """(doc_id, gap, gaps, score): means of three neighbours, with the ends as a flat window over the reflected series gives them.
+    """(doc_id, gap, gaps, score): means of ``smoothing`` + 1 neighbours. At the ends the series goes on reflected through its end points.
 
-    Series of fewer than three have none. Other widths than three go unsmoothed.
+    Series shorter than the window have none; one as long as it loses a score; a window of fewer than three leaves all as they are.
     """
-    if smoothing != 2:
+    if smoothing < 2:
         return scores
-    w = Window.partitionBy("doc_id").orderBy("gap")
-    x, before, after, after2 = F.col("score"), F.lag("score").over(w), F.lead("score").over(w), F.lead("score", 2).over(w)
-    n, g = F.col("gaps"), F.col("gap")
-    inner = (before + x + after) / 3
-    first = F.when(n == 3, (x + after + after2) / 3).otherwise((3 * x + after - after2) / 3)
-    last = (before + 2 * x) / 3
-    # Three scores become two: the mean, and the end.
-    value = F.when(g == 0, first).when(g == n - 1, last).otherwise(inner)
-    out = scores.filter("gaps >= 3").withColumn("score", value).filter(~((n == 3) & (g == 1)))
-    return out.withColumn("gap", F.when((n == 3) & (g == 2), F.lit(1).cast("long")).otherwise(g)).withColumn("gaps", F.when(n == 3, F.lit(2).cast("long")).otherwise(n))
+    width = smoothing + 1
+    rows = scores.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("gap", "score"))).alias("r")).select("doc_id", F.transform("r", lambda r: r["score"]).alias("x"))
+    rows = rows.filter(F.size("x") >= width).withColumn("n", F.size("x"))
+    x = F.col("x")
+    left = F.transform(F.sequence(F.least(F.lit(width), F.col("n") - 1), F.lit(2), F.lit(-1)), lambda i: 2 * x[0] - x[i])
+    right = F.transform(F.sequence(F.lit(0), F.lit(width - 2)), lambda i: 2 * x[F.col("n") - 1] - x[F.col("n") - 1 - i])
+    rows = rows.withColumn("s", F.concat(left, x, right)).withColumn("gaps", F.size("s") - 2 * (width - 1))
+    mean = F.transform(F.sequence(F.lit(1), F.col("gaps")), lambda i: F.aggregate(F.slice("s", i + (width - 1) // 2, F.lit(width)), F.lit(0.0), lambda acc, v: acc + v) / width)
+    out = rows.select("doc_id", F.col("gaps").cast("long").alias("gaps"), F.posexplode(mean).alias("gap", "score"))
+    return out.select("doc_id", F.col("gap").cast("long").alias("gap"), "gaps", "score")
 
 
 def depths(scores: DataFrame) -> DataFrame:
@@ -105,12 +135,17 @@ def candidates(deep: DataFrame) -> DataFrame:
     return deep.join(stats, "doc_id").filter(F.col("depth") > F.col("cutoff")).select("doc_id", "gap", "gaps", "depth", "cutoff")
 
 
-def boundaries(deep: DataFrame) -> DataFrame:
-    """(doc_id, gap): candidates by descending depth and gap, as long as none that was taken is too near."""
-    rows = candidates(deep).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.round("depth", 12).alias("depth"), "gap")), asc=False).alias("c"))
+def flagged(deep: DataFrame) -> DataFrame:
+    """(doc_id, gaps, taken): candidates by descending depth and gap, as long as none that was taken is too near."""
+    rows = candidates(deep).groupBy("doc_id").agg(F.max("gaps").alias("gaps"), F.sort_array(F.collect_list(F.struct(F.round("depth", 12).alias("depth"), "gap")), asc=False).alias("c"))
     empty = F.array().cast("array<bigint>")
     taken = F.aggregate("c", empty, lambda acc, e: F.when(F.exists(acc, lambda y: F.abs(y - e["gap"]) < APART), acc).otherwise(F.array_append(acc, e["gap"])))
-    return rows.select("doc_id", F.explode(taken).alias("gap"))
+    return rows.select("doc_id", "gaps", taken.alias("taken"))
+
+
+def boundaries(deep: DataFrame) -> DataFrame:
+    """(doc_id, gap)."""
+    return flagged(deep).select("doc_id", F.explode("taken").alias("gap"))
 
 
 def paragraph_breaks(text: str) -> list[int]:
@@ -162,16 +197,15 @@ def cut(text: str, at: list[int]) -> list[str]:
 def segments(utterances: DataFrame, t: Tiling = Tiling()) -> DataFrame:
     """(doc_id, seg, text). A document too short for a boundary is one segment."""
     docs = joined(utterances)
-    gaps, _ = pseudo_sentences(docs, t)
-    found = boundaries(depths(smoothed(gap_scores(docs, t), t.smoothing))).groupBy("doc_id").agg(F.collect_list("gap").alias("found"))
-    rows = docs.join(gaps, "doc_id").join(found, "doc_id", "left")
+    found = flagged(depths(smoothed(gap_scores(docs, t), t.smoothing)))
+    rows = docs.join(found, "doc_id", "left")
 
     def run(parts):
         for part in parts:
             out: list[tuple] = []
-            for doc, text, n, own in zip(part["doc_id"], part["text"], part["gaps"], part["found"], strict=True):
+            for doc, text, n, own in zip(part["doc_id"], part["text"], part["gaps"], part["taken"], strict=True):
                 marks = set() if own is None else {int(g) for g in own}
-                pieces = cut(text, snapped(text, marks, _flags(int(n)), t.w, paragraph_breaks(text)) if marks else [])
+                pieces = cut(text, snapped(text, marks, int(n), t.w, paragraph_breaks(text)) if marks else [])
                 out += [(doc, i, p) for i, p in enumerate(pieces)]
             yield pd.DataFrame(out, columns=["doc_id", "seg", "text"])
 
@@ -179,11 +213,6 @@ def segments(utterances: DataFrame, t: Tiling = Tiling()) -> DataFrame:
     return cuts.withColumn("text", X.segment_text(F.col("text")))
 
 
-def _flags(gaps: int) -> int:
-    """Boundary flags of a document: one per smoothed score."""
-    return 2 if gaps == 3 else gaps
-
-
 def plot_data(utterances: DataFrame, t: Tiling = Tiling()) -> DataFrame:
     """(doc_id, gap, score, smooth, depth, boundary): what a chart of the segmentation shows."""
     scores = gap_scores(joined(utterances), t)

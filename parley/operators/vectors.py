@@ -46,9 +46,9 @@ def utterance_vectors(utterances: DataFrame) -> DataFrame:
 
 
 def utterance_idf(utterances: DataFrame) -> DataFrame:
-    """(term, df, idf)."""
-    counts = term_counts(utterances, ["doc_id", "pos"], X.without(X.tokens(F.col("tokenized")), X.STOP_BASE))
-    return idf(document_frequency(counts), number_of(utterances))
+    """(term, df, idf). An utterance is one row, so its different words need no grouping before they are counted."""
+    words = utterances.select(F.explode(F.array_distinct(X.without(X.tokens(F.col("tokenized")), X.STOP_BASE))).alias("term"))
+    return idf(document_frequency(words), number_of(utterances))
 
 
 def within_document_vectors(utterances: DataFrame) -> DataFrame:
