@@ -116,6 +116,7 @@ SUMMARIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "centroid_new_vocab": lambda u: rounded(centroid.new_vocabulary(u, IDF_THRESHOLD), "score"),
     "centroid_summary": lambda u: centroid.summarize(u),
     "centroid_summary_best": lambda u: centroid.summarize(u, "best", n=5),
+    "centroid_summary_all": lambda u: centroid.summarize(u, "all"),
     "centroid_summary_tfidf": lambda u: centroid.summarize(u, "tfidf", n=5, threshold=IDF_THRESHOLD),
 }
 

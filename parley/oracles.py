@@ -21,8 +21,8 @@ u AS (SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORD
       FROM raw)"""
 
 
-def q(ctes: str, select: str) -> str:
-    return f"WITH {U}{', ' + ctes if ctes else ''}\n{select}"
+def q(ctes: str, select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{U}{', ' + ctes if ctes else ''}\n{select}"
 
 
 TOK = "t AS (SELECT doc_id, pos, unnest(regexp_extract_all(tokenized, '[a-z]+')) AS term FROM u)"
@@ -102,6 +102,62 @@ pr AS (SELECT doc_id, node, CAST(1.0 / n AS DOUBLE) AS score, 0 AS k FROM nodes
        FROM pr JOIN step ON pr.doc_id = step.doc_id AND pr.node = step.s JOIN size ON pr.doc_id = size.doc_id WHERE k < 20 GROUP BY step.doc_id, step.d)
 SELECT doc_id, text, round(coalesce(score, 0.15 / n), 6) AS score FROM nodes JOIN size USING (doc_id) LEFT JOIN (SELECT * FROM pr WHERE k = 20) USING (doc_id, node)"""
 
+#: Boundaries: candidates by descending depth and gap, one after the other.
+BOUNDS = f"""{TILE},
+cr AS (SELECT doc_id, gap, row_number() OVER (PARTITION BY doc_id ORDER BY round(depth, 12) DESC, gap DESC) AS r FROM ca),
+bd AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS taken FROM ca
+       UNION ALL
+       SELECT bd.doc_id, cr.r, CASE WHEN len(list_filter(taken, lambda y: abs(y - gap) < 4)) > 0 THEN taken ELSE list_append(taken, gap) END
+       FROM bd JOIN cr ON bd.doc_id = cr.doc_id AND cr.r = bd.r + 1),
+bo AS (SELECT doc_id, unnest(arg_max(taken, r)) AS gap FROM bd GROUP BY doc_id)"""
+
+#: Greedy cover: each step takes the candidate with which the sum is nearest to the centroid. ``cand``: (doc_id, pos).
+GREEDY = """
+ce AS (SELECT doc_id, term, sum(w) AS c FROM v GROUP BY ALL), le AS (SELECT doc_id, sqrt(sum(c * c)) AS l FROM ce GROUP BY doc_id),
+{cand},
+cv AS (SELECT v.* FROM v JOIN cand USING (doc_id, pos)),
+tc AS (SELECT cand.doc_id, cand.pos, coalesce(sum(w * c), 0) AS toc, coalesce(sum(w * w), 0) AS own FROM cand LEFT JOIN v USING (doc_id, pos) LEFT JOIN ce USING (doc_id, term) GROUP BY ALL),
+gr AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, sum(a.w * b.w) AS g FROM cv a JOIN cv b ON a.doc_id = b.doc_id AND a.term = b.term GROUP BY ALL),
+st AS (SELECT doc_id, pos, CAST(0 AS BIGINT) AS step, CAST(0 AS DOUBLE) AS ws, CAST(0 AS DOUBLE) AS norm2, CAST(0 AS DOUBLE) AS dot, CAST(NULL AS BIGINT) AS took, toc, own, l FROM tc LEFT JOIN le USING (doc_id)
+       UNION ALL
+       SELECT x.doc_id, x.pos, step + 1, ws + coalesce(g, 0), norm2 + 2 * bw + bo, dot + bt, best, toc, own, l
+       FROM (SELECT *, first_value(pos) OVER p AS best, first_value(ws) OVER p AS bw, first_value(own) OVER p AS bo, first_value(toc) OVER p AS bt
+             FROM (SELECT *, max(cosine) OVER (PARTITION BY doc_id) AS most
+                   FROM (SELECT *, CASE WHEN l * sqrt(greatest(0, norm2 + 2 * ws + own)) > 1e-12 THEN (dot + toc) / (l * sqrt(greatest(0, norm2 + 2 * ws + own))) ELSE 0 END AS cosine FROM st WHERE step < 5))
+             WINDOW p AS (PARTITION BY doc_id ORDER BY CASE WHEN cosine >= most - 1e-12 THEN 0 ELSE 1 END, pos)) x
+       LEFT JOIN gr ON gr.doc_id = x.doc_id AND gr.i = x.pos AND gr.j = x.best)"""
+COVER = "SELECT DISTINCT st.doc_id, step - 1 AS step, took AS pos, text FROM st JOIN u ON st.doc_id = u.doc_id AND st.took = u.pos WHERE step > 0"
+COSINES = "cs AS (SELECT u.doc_id, u.pos, coalesce(s / l, 0) AS score FROM u LEFT JOIN (SELECT v.doc_id, pos, sum(w * c) AS s FROM v JOIN ce USING (doc_id, term) GROUP BY ALL) USING (doc_id, pos) LEFT JOIN le USING (doc_id))"
+FRESH = f"{TOK}, f AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, term) AS m FROM t), cs AS (SELECT u.doc_id, u.pos, coalesce(s, 0) AS score FROM u LEFT JOIN (SELECT doc_id, pos, sum(CASE WHEN idf > 4 THEN idf ELSE 0 END) AS s FROM f JOIN i USING (term) WHERE pos = m GROUP BY ALL) USING (doc_id, pos))"
+TOP_CAND = "cand AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos) AS r FROM cs) WHERE r <= 5)"
+
+#: Ranks until the change is below a millionth per node, 100 rounds at most. ``we``: (doc_id, a, b, w).
+CONVERGED = """
+nodes AS (SELECT doc_id, node, text FROM node WHERE pos = node),
+size AS (SELECT doc_id, count(*) AS n FROM nodes GROUP BY doc_id),
+link AS (SELECT doc_id, a AS s, b AS d, w FROM we UNION ALL SELECT doc_id, b, a, w FROM we WHERE a <> b),
+step AS (SELECT doc_id, s, d, w / sum(w) OVER (PARTITION BY doc_id, s) AS p, false AS same FROM link
+         UNION ALL SELECT x.doc_id, x.node, y.node, 1.0 / n, false FROM nodes x JOIN nodes y ON x.doc_id = y.doc_id JOIN size z ON x.doc_id = z.doc_id
+         WHERE NOT EXISTS (SELECT 1 FROM link l WHERE l.doc_id = x.doc_id AND l.s = x.node)
+         UNION ALL SELECT doc_id, node, node, 0, true FROM nodes),
+pr AS (SELECT doc_id, node, CAST(1.0 / n AS DOUBLE) AS score, 0 AS k, true AS moving FROM nodes JOIN size USING (doc_id)
+       UNION ALL
+       SELECT doc_id, node, score, k, sum(abs(score - old)) OVER (PARTITION BY doc_id) >= n * 1e-6
+       FROM (SELECT step.doc_id, step.d AS node, CAST(0.85 * sum(score * p) + 0.15 / any_value(n) AS DOUBLE) AS score, any_value(k) + 1 AS k, any_value(n) AS n, sum(score) FILTER (WHERE same) AS old
+             FROM pr JOIN step ON pr.doc_id = step.doc_id AND pr.node = step.s JOIN size ON pr.doc_id = size.doc_id WHERE moving AND k < 100 GROUP BY step.doc_id, step.d)),
+best AS (SELECT doc_id, text, score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, node) AS rank
+         FROM nodes JOIN (SELECT * FROM pr WHERE NOT moving OR k = 100) USING (doc_id, node) WHERE len(regexp_extract_all(text, '\\S+')) < 50)"""
+PHRASES = "SELECT doc_id, CAST(rank AS INT) AS rank, text, round(score, 6) AS score FROM best WHERE rank <= 5"
+
+#: Centrality: steps x + Wx, scaled to length 1.
+CENTRAL = f"""{OCC},
+wt AS (SELECT k1, k2, 400 * c / (SELECT sum(c) FROM co) AS w FROM co),
+both_ends AS (SELECT k1 AS a, k2 AS b, w FROM wt UNION ALL SELECT k2, k1, w FROM wt UNION ALL SELECT term, term, 0 FROM top),
+it AS (SELECT term, CAST(1.0 / (SELECT count(*) FROM top) AS DOUBLE) AS x, 0 AS k, true AS moving FROM top
+       UNION ALL
+       SELECT term, x, k, sum(abs(x - old)) OVER () >= count(*) OVER () * 1e-6
+       FROM (SELECT term, y / sqrt(sum(y * y) OVER ()) AS x, k, old FROM (SELECT a AS term, sum(x * w) + sum(x) FILTER (WHERE a = b) AS y, any_value(k) + 1 AS k, sum(x) FILTER (WHERE a = b) AS old FROM it JOIN both_ends ON it.term = b WHERE moving AND k < 100 GROUP BY a)))"""
+
 SPEAKER = "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS BIGINT) AS new_pos, speaker FROM u WHERE {}"
 GRAMS = PAIRS.format(x="regexp_extract_all(tokenized, '[a-z]{2,}')")
 HIT = "SELECT file, pos, text FROM u WHERE list_contains({}, '{}')"
@@ -156,5 +212,15 @@ ORACLES: dict[str, str] = {
     "texttile_smooth": q(TILE, "SELECT doc_id, gap, round(score, 6) AS score FROM sm"),
     "texttile_depth": q(TILE, "SELECT doc_id, gap, round(depth, 6) AS depth FROM dp"),
     "texttile_candidates": q(TILE, "SELECT doc_id, gap, round(depth, 6) AS depth FROM ca"),
+    "texttile_boundaries": q(BOUNDS, "SELECT doc_id, gap FROM bo", True),
+    "texttile_plot": q(BOUNDS, "SELECT gs.doc_id, gs.gap, round(gs.score, 6) AS score, round(sm.score, 6) AS smooth, round(depth, 6) AS depth, CAST(bo.gap IS NOT NULL AS INT) AS boundary FROM gs LEFT JOIN sm USING (doc_id, gap) LEFT JOIN dp USING (doc_id, gap) LEFT JOIN bo ON bo.doc_id = gs.doc_id AND bo.gap = gs.gap", True),
+    "lexrank_keyphrases": q(f"{OVER}, we AS (SELECT doc_id, a, b, 1.0 AS w FROM e), {CONVERGED}", PHRASES, True),
+    "lexrank_weighted": q(f"""{OVER}, sm AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, sum(a.w * b.w) AS sim FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos < b.pos GROUP BY ALL),
+we AS (SELECT sm.doc_id, least(x.node, y.node) AS a, greatest(x.node, y.node) AS b, max(sim) AS w FROM sm JOIN node x ON sm.doc_id = x.doc_id AND i = x.pos JOIN node y ON sm.doc_id = y.doc_id AND j = y.pos GROUP BY ALL), {CONVERGED}""", PHRASES, True),
+    "centroid_summary": q(f"{UTT}, {GREEDY.format(cand='cand AS (SELECT doc_id, pos FROM u WHERE pos < 250)')}", COVER, True),
+    "centroid_summary_best": q(f"{UTT}, {GREEDY.format(cand=COSINES + ', ' + TOP_CAND)}", COVER, True),
+    "centroid_summary_tfidf": q(f"{UTT}, {GREEDY.format(cand=FRESH + ', ' + TOP_CAND)}", COVER, True),
+    "centroid_summary_all": q(f"{UTT}, {GREEDY.format(cand='cand AS (SELECT doc_id, pos FROM u)')}", COVER, True),
+    "keynet_centrality": q(CENTRAL, "SELECT term, round(x, 6) AS centrality, round(x * x * 5000, 6) AS node_size FROM it WHERE k = (SELECT max(k) FROM it)", True),
     "dendrogram_labels": q("", "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS leaf, doc_id, substr(min(file), -8, 4) AS year FROM u GROUP BY doc_id"),
 }
