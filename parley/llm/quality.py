@@ -9,8 +9,8 @@ Weights and thresholds maximise the penalised likelihood (L-BFGS). Buckets whose
 keep weight 0. The model is fitted on about ``sample_rows`` rated documents, taken by a hash of the id (a documented bound); every
 document is scored, on its whole text, read in pieces.
 
-Defined results: a null or empty text is scored by its ranges alone; without rated rows every probability is one half; repeated
-ratings count each; repeated documents get a row each; null ids are never learned from; other columns stay, but for those named like an
+Defined results: a null or empty text is scored by its ranges alone; without rated rows every probability is one half; an equal
+text with an equal id and rating counts once, others each; repeated documents get a row each; null ids are never learned from; other columns stay, but for those named like an
 added one.
 """
 
@@ -65,7 +65,7 @@ class Model:
         return sigmoid(float(self.weights[buckets].sum()) - self.thresholds)
 
 
-def telling(rows: list[tuple[int, np.ndarray]], grades: int, least: float = 4.0, most: int = 2000, min_df: int = 5) -> np.ndarray:
+def telling(rows: list[tuple[int, np.ndarray]], grades: int, least: float = 4.0, min_df: int = 5) -> np.ndarray:
     """Buckets whose share of texts differs by ``least`` standard errors between the grades below some threshold and the others."""
     z = np.zeros(SIZE)
     y = np.array([g for g, _ in rows])
@@ -82,24 +82,38 @@ def telling(rows: list[tuple[int, np.ndarray]], grades: int, least: float = 4.0,
             z = np.maximum(z, np.abs(gap) / error)
     z[whole < min_df] = 0
     z[DIMS:] = np.where(whole[DIMS:] >= min_df, np.maximum(z[DIMS:], least), 0)
-    found = np.flatnonzero(z >= least)
-    return np.sort(found[np.argsort(-z[found], kind="stable")][:most])
+    return np.flatnonzero(z >= least)
 
 
-def objective(theta: np.ndarray, x: np.ndarray, y: np.ndarray, grades: int, l2: float) -> tuple[float, np.ndarray]:
+class Indicators:
+    """A matrix of zeros and ones, by the places of the ones."""
+
+    def __init__(self, rows: list[np.ndarray], columns: int):
+        self.row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        self.column = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.shape = len(rows), columns
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], self.shape[0])
+
+    def transposed_times(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, r[self.row], self.shape[1])
+
+
+def objective(theta: np.ndarray, x: Indicators, y: np.ndarray, grades: int, l2: float) -> tuple[float, np.ndarray]:
     """Negative penalised log-likelihood and its gradient. ``theta``: weights, the first threshold, logarithms of the steps to the next."""
     k = x.shape[1]
     w, steps = theta[:k], np.exp(theta[k + 1 :])
     t = theta[k] + np.concatenate([[0.0], np.cumsum(steps)])
     tail = np.ones((len(y), grades + 2))
-    tail[:, 1:-1] = sigmoid((x @ w.astype(x.dtype)).astype(float)[:, None] - t)
+    tail[:, 1:-1] = sigmoid(x.times(w)[:, None] - t)
     tail[:, -1] = 0
     at = np.arange(len(y))
     slope = tail * (1 - tail)
     chance = np.maximum(tail[at, y] - tail[at, y + 1], 1e-12)
     low, high = slope[at, y] / chance, slope[at, y + 1] / chance
     d_t = np.array([high[y == j - 1].sum() - low[y == j].sum() for j in range(1, grades + 1)])
-    d_theta = np.concatenate([x.T @ (low - high).astype(x.dtype) - l2 * w, [d_t.sum()], [d_t[j:].sum() * steps[j - 1] for j in range(1, grades)]])
+    d_theta = np.concatenate([x.transposed_times(low - high) - l2 * w, [d_t.sum()], [d_t[j:].sum() * steps[j - 1] for j in range(1, grades)]])
     return float(-np.log(chance).sum() + l2 / 2 * (w @ w)), -d_theta
 
 
@@ -132,13 +146,11 @@ def minimise(f, theta: np.ndarray, rounds: int = 200, memory: int = 10) -> np.nd
     return theta
 
 
-def learn(rows: list[tuple[int, np.ndarray]], grades: int, l2: float = 0.2) -> Model:
-    kept = telling(rows, grades)
-    x = np.zeros((len(rows), len(kept)), np.float32)
-    for i, (_, b) in enumerate(rows):
-        at = np.searchsorted(kept, b)
-        hit = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == b) if len(kept) else np.zeros(len(b), bool)
-        x[i, at[hit]] = 1
+def learn(rows: list[tuple[int, np.ndarray]], grades: int, l2: float = 0.2, least: float = 4.0, min_df: int = 5) -> Model:
+    kept = telling(rows, grades, least, min_df)
+    number = np.full(SIZE, -1)
+    number[kept] = np.arange(len(kept))
+    x = Indicators([own[own >= 0] for own in (number[b] for _, b in rows)], len(kept))
     y = np.array([g for g, _ in rows])
     theta = minimise(lambda v: objective(v, x, y, grades, l2), np.zeros(len(kept) + grades))
     weights = np.zeros(SIZE, np.float32)
@@ -147,8 +159,9 @@ def learn(rows: list[tuple[int, np.ndarray]], grades: int, l2: float = 0.2) -> M
     return Model(weights, t.astype(np.float32))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", grade_col: str = "grade", text_col: str = "text", sample_rows: int = 12_000) -> Model:
-    """``ratings``: (id, grade from 0 to ``grades``)."""
+def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", grade_col: str = "grade", text_col: str = "text", sample_rows: int = 12_000, l2: float = 0.2, least: float = 4.0, min_df: int = 5) -> Model:
+    """``ratings``: (id, grade from 0 to ``grades``). Buckets that ``min_df`` texts of the sample have, with shares that differ by ``least`` standard
+    errors between grades, get weights, however many they are."""
     spark = docs.sparkSession
     rated = ratings.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter("id is not null and grade is not null")
     n = rated.count()
@@ -157,6 +170,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     draw = F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rated.filter(draw < F.lit(sample_rows / n))
     texts = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "utf-8").alias("text")).join(F.broadcast(sample), "id").select("id", "grade", "text")  # about sample_rows rows
+    texts = texts.dropDuplicates(["id", "grade", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -173,7 +187,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
             for i, y, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append((i, y, np.frombuffer(b, np.int32)))
         rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
-        model = learn([r[1:] for r in rows], grades)
+        model = learn([r[1:] for r in rows], grades, l2, least, min_df)
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (model.weights, model.thresholds)], names=["w", "t"])
 
     row = made.coalesce(1).mapInArrow(train, "w binary, t binary").first()

@@ -1,6 +1,7 @@
 """The operators against brute force, round trips and held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -287,13 +288,103 @@ def test_quality_on_held_out_rows(spark):
 
 def test_gradient_of_the_ordinal_model():
     rng = np.random.default_rng(0)
-    x, y, theta = rng.random((40, 3)), rng.integers(0, 4, 40), rng.normal(0, 0.5, 6)
+    x, y, theta = quality.Indicators([np.flatnonzero(r < 0.5) for r in rng.random((40, 3))], 3), rng.integers(0, 4, 40), rng.normal(0, 0.5, 6)
     _, slope = quality.objective(theta, x, y, 3, 0.5)
     for i in range(6):
         e = np.eye(6)[i] * 1e-6
         assert abs((quality.objective(theta + e, x, y, 3, 0.5)[0] - quality.objective(theta - e, x, y, 3, 0.5)[0]) / 2e-6 - slope[i]) < 1e-4
 
 
+def test_quality_against_a_plain_version(spark):
+    """Scores from the fitted weights by loops, and the fitted likelihood against steps away from it."""
+    rng = random.Random(40)
+    vocabulary = ["a" + chr(97 + i) + chr(97 + j) for i in range(10) for j in range(4)]
+    docs = []
+    for i in range(400):
+        grade = rng.randint(0, 2)
+        docs.append((i, " ".join(rng.choices(vocabulary[grade * 8 : grade * 8 + 24], k=rng.randint(1, 30))) + "!" * rng.randint(0, 3) * (grade == 0), grade))
+    df = spark.createDataFrame(docs, "doc_id long, text string, grade int")
+    model = quality.fit(df, df.select("doc_id", "grade"), 2, sample_rows=10**6, least=2.0)
+    assert (model.weights != 0).sum() > 10 and model.thresholds[0] < model.thresholds[1]
+    hasher = words.Hasher()
+    bucket = {w: int(hasher.block(w.encode())[0][0] >> np.uint64(46)) for w in vocabulary}
+
+    def ranges(text):
+        said = words_of(text)
+        shares = [sum(c.isupper() for c in text) / len(text), sum(c == "!" for c in text) / len(text), 1 - len(set(said)) / len(said), sum(x == y for x, y in zip(said, said[1:])) / (len(said) - 1) if len(said) > 1 else 0]
+        return [quality.DIMS + i * 16 + sum(r <= x for r in quality.RANGES) for i, x in enumerate(shares)]
+
+    sets = [sorted({bucket[w] for w in words_of(t)}) + ranges(t) for _, t, _ in docs]
+    got = {r["doc_id"]: r for r in quality.rate(df, model, 2).collect()}
+    for (i, *_), own in zip(docs, sets, strict=True):
+        tails = [1 / (1 + math.exp(-(sum(float(model.weights[b]) for b in own) - float(t)))) for t in model.thresholds]
+        assert abs(got[i]["expected_grade"] - sum(tails)) < 1e-4 and abs(got[i]["tail"] - tails[1]) < 1e-4
+
+    def loss(weights, t):
+        out = 0.1 * float((weights.astype(float) ** 2).sum())
+        for (_, _, g), own in zip(docs, sets, strict=True):
+            tail = [1.0, *(1 / (1 + math.exp(-(float(weights[own].sum()) - x))) for x in t), 0.0]
+            out -= math.log(tail[g] - tail[g + 1])
+        return out
+
+    best, used = loss(model.weights, model.thresholds), np.flatnonzero(model.weights)
+    noise = np.random.default_rng(3)
+    for _ in range(15):
+        w = model.weights.copy()
+        w[used] += noise.normal(0, 0.05, len(used)).astype(np.float32)
+        assert loss(w, model.thresholds + noise.normal(0, 0.02, 2)) > best - 1e-3
+
+
+def test_rejection_is_by_the_training_scores_of_a_size(spark):
+    rows = [("aa", 5, 0.4, 30), ("aa", 7, 0.8, 30), ("aa", 8, 0.1, 3), ("bb", 7, 0.6, 2)]
+    least = language_id.least_scores(rows, [(5, 0.3, 60), (7, 0.7, 40)], ["aa", "bb", "aa"])
+    assert least["aa"][4:9] == [0, 0.2, 0.2, 0.4, 0.4] and least["bb"][4:9] == [0, 0.15, 0.15, 0.35, 0.35]
+    rng = random.Random(41)
+    say = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(n))
+    docs = [(i, say("abcd" if i % 2 else "efgh", 80), "aa" if i % 2 else "bb") for i in range(200)]
+    model = language_id.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    # As far away as a text that mixes in letters never seen, though its cosine is well above 0.
+    judged = [model.judge(t.encode()) for t in (say("abcd", 80), say("efgh", 80), say("abcdwxyz", 80), say("wxyz", 80))]
+    assert [far for *_, far in judged] == [False, False, True, True] and judged[2][1] > 0.05
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = [(i * 250 + j, " ".join(letters[(j // 10) % 26] + letters[(j % 10) * 2] + letters[j % 25] for _ in range(4)), f"l{j:03}") for i in range(2) for j in range(250)]
+    model = language_id.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), per_language=5, clusters=1)
+    assert len(set(model.langs)) == 250
+
+
+def test_mixing_against_a_plain_version(spark):
+    rng = random.Random(42)
+    docs = [(i if i % 11 else None, rng.choice(["a", "a", "a", "b", "b", None]), "w " * rng.randint(0, 12) + f"t{i}") for i in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    seed, size = 7, 90
+    tokens = defaultdict(int)
+    for _, source, text in docs:
+        tokens[source] += max(1, len(text.split()))
+    whole = sum(tokens.values())
+
+    def repeated(t):
+        total = sum(n**t for n in tokens.values())
+        return max(n**t / total * 1.5 * whole / n for n in tokens.values())
+
+    t = next(x for x in np.linspace(0, 1, 20_001) if repeated(x) <= 1.8)  # the flattest weights within the limit
+    share = {s: n**t / sum(m**t for m in tokens.values()) * 1.5 * whole for s, n in tokens.items()}
+    plan = [(s, n, int(share[s] // n), round(share[s] % n), -(-n // size)) for s, n in tokens.items()]
+    own = df.withColumn("unit", mixing.unit_of("doc_id", "source", "text")).join(spark.createDataFrame(plan, "src string, n long, full int, rest long, blocks long"), F.col("source").eqNullSafe(F.col("src")))
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    own = own.withColumn("block", F.pmod(F.xxhash64("unit", F.lit(seed)), F.col("blocks"))).withColumn("bk", F.xxhash64(F.lit(seed), "full", name, "block")).withColumn("dk", F.xxhash64(F.lit(seed), "full", "unit"))
+    rows, want = own.collect(), Counter()
+    for s, _, full, rest, _ in plan:
+        at = 0
+        for r in sorted((r for r in rows if r["source"] == s), key=lambda r: (r["bk"], r["block"], r["dk"], r["unit"])):
+            want[r["doc_id"], r["source"], r["text"]] += full + (at < rest)
+            at += max(1, len(r["text"].split()))
+    got = Counter(tuple(r) for r in mixing.mixed_documents(df, max_repetition=1.8, budget=1.5, block_tokens=size).select("doc_id", "source", "text").collect())
+    assert {k: v for k, v in want.items() if v} == dict(got)
+
+
 def test_mixing_exponent():
     tokens = [900.0, 50.0, 50.0]
     t = mixing.exponent(tokens, 0.8, None, 1000.0)
