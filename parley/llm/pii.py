@@ -12,10 +12,11 @@ a single token under ``other``. A segment's features look at the whole span: num
 weights of the segments' features and of neighbouring labels.
 
 Weights maximise the exact conditional likelihood (forward-backward over segments, AdaGrad) on zones of a bounded sample of documents,
-labelled by the patterns, on rewritten copies of these spans in other spellings, and on numbers that are no personal data. The sample is
+labelled by the patterns, on rewritten copies of these and of made-up spans in other spellings, and on numbers and phrases that are no personal data. The sample is
 ``sample_docs`` documents in expectation, by a hash of the id; every text is searched as a whole.
 
-Defined results: null and empty texts have no spans; an added span overlaps no base span; repeated rows get a row each; an empty table
+Defined results: null and empty texts have no spans; an added span overlaps no base span, and has ``MAX_TOKENS`` tokens at most, an address
+8 before the at sign and ``REACH`` after it: longer ones are left to the patterns; repeated rows get a row each; an empty table
 trains on the rewritten copies of made-up spans alone; other columns stay, but for those named like an added one.
 """
 
@@ -98,11 +99,15 @@ def told(spans: list[Span]) -> str:
 
 # ---- the field
 
-MAX_TOKENS = 23
+MAX_TOKENS = 34
 MARGIN = 64
+#: Tokens after an at sign that an address takes at most.
+REACH = 25
 OTHER = 4
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
-_AT = frozenset(("@", "at"))
+_DOTS = frozenset(("dot", "punkt", "point", "punto"))
+# Common last parts of host names.
+ENDINGS = frozenset("com org net edu gov info io eu de es fr it uk us ch at nl br mx".split())
 _SEPARATORS = frozenset(" .-()[]+/\t\xa0")
 DIMS = 1 << 12
 
@@ -182,12 +187,12 @@ def _addresses(tokens: list[str], a: int) -> Iterator[tuple[int, int, int, np.nd
     while right < n and (tokens[right].isspace() or tokens[right] in ")]") and right - a < 3:
         right += 1
     ends, dots, k = [], 0, right
-    while k < n and tokens[k].isalnum() and k - a < 14:
+    while k < n and tokens[k].isalnum() and k - a < REACH:
         if dots:
             ends.append((k + 1, dots))
         k += 1
         m, seen = k, False
-        while m < n and m - k < 5 and (tokens[m].isspace() or tokens[m] in "()[].-" or tokens[m].lower() in ("dot", "punkt", "point", "punto")):
+        while m < n and m - k < 5 and (tokens[m].isspace() or tokens[m] in "()[].-" or tokens[m].lower() in _DOTS):
             seen |= tokens[m] in ".-" or tokens[m].isalpha()
             m += 1
         if not seen:
@@ -242,7 +247,17 @@ def _address_features(tokens: list[str], b: int, a: int, e: int, dots: int, righ
     names = _edges(tokens, b, e)
     sign = "@" if tokens[a] == "@" else "(at)" if a and tokens[a - 1] in "([" else "at"
     inner = tokens[right:e]
-    spelt = any(t.lower() in ("dot", "punkt", "point", "punto") for t in inner)
+    spelt = any(t.lower() in _DOTS for t in inner)
+    # What stands between the words of the host: a sentence that ends has a dot and a blank there.
+    shapes, k = set(), right
+    while k < e - 1:
+        m = k + 1
+        while m < e - 1 and not (tokens[m].isalnum() and tokens[m].lower() not in _DOTS):
+            m += 1
+        shapes.add("".join("w" if t.isalpha() else " " if t.isspace() else t for t in tokens[k + 1 : m]))
+        k = m
+    last = tokens[e - 1]
+    names += [f"between {'|'.join(sorted(shapes))}", f"case {last.islower()}", f"common {last.lower() in ENDINGS}", f"common {last.lower() in ENDINGS} sign {sign}"]
     names += [f"sign {sign}", f"dots {min(dots, 3)}", f"sign {sign} spelt {spelt}", f"last {min(len(tokens[e - 1]), 5)} {tokens[e - 1].isalpha()}", f"gap {right - a > 1}", f"plain {'.' in inner}"]
     return _hashed(0, names)
 
@@ -353,6 +368,26 @@ def rewritten(kind: int, span: str, rng: random.Random) -> str:
     return rng.choice([f"00{code} {area} {first} {last}", f"({area}) {first}-{last}", f"{area}-{first}-{last}", f"{area}.{first}.{last}", f"{code}-{area}-{first}-{last}", f"+{code}/{area}/{first} {last}"])
 
 
+def made_up(kind: int, rng: random.Random) -> str:
+    """A span in its plain spelling."""
+    def word(least: int, most: int) -> str:
+        return "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(least, most)))
+
+    def digits(n: int) -> str:
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    if kind == 0:
+        name = rng.choice([word(3, 8), f"{word(2, 6)}.{word(2, 8)}", f"{word(2, 6)}_{digits(2)}", f"{word(1, 1)}.{word(3, 8)}", f"{word(2, 5)}{digits(2)}"])
+        return f"{name}@{rng.choice(['', f'{word(3, 6)}.'])}{word(3, 10)}.{rng.choice(sorted(ENDINGS) + ['com', 'org', 'net'] * 4 + [word(2, 4)] * 3)}"
+    if kind == 1:
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == 2:
+        while not luhn(long := rng.choice("3456") + digits(rng.randint(14, 15))):
+            pass
+        return long
+    return f"+{rng.randint(1, 99)} {rng.randint(200, 999)} {rng.randint(200, 999)} {digits(4)}"
+
+
 def harmless(rng: random.Random) -> str:
     """A number or a phrase that is no personal data."""
     def digits(n: int) -> str:
@@ -363,22 +398,27 @@ def harmless(rng: random.Random) -> str:
     return rng.choice([
         long, f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.{rng.randint(1900, 2099)}", f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}",
         f"{rng.randint(256, 999)}.{rng.randint(256, 999)}.{digits(3)}.{digits(3)}", digits(rng.randint(4, 12)), f"{digits(3)},{digits(3)}.{digits(2)}", f"{rng.randint(1900, 2099)} {rng.randint(1900, 2099)}", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}",
+        f"{rng.choice(NOUNS)} at {rng.choice(NOUNS)}. {rng.choice(NOUNS).title()}", f"{rng.choice(NOUNS)} at {rng.choice(NOUNS)} . {rng.choice(NOUNS).title()}", f"{rng.choice(NOUNS)} at {rng.choice(NOUNS)}-{rng.choice(NOUNS)}",
         "look at the station . Then", "at home. The", f"at {rng.randint(1, 12)} . It", "meet at noon dot by dot", f"{digits(2)} {digits(2)} {digits(2)}", "v1.2.3.4 at once",
     ])
 
 
-def training_zones(docs: list[str], rng: random.Random) -> list:
+NOUNS = "look station home noon house work school dinner night people once least last first all arrive stay meet smile price".split()
+
+
+def training_zones(docs: list[str], rng: random.Random, sample_spans: int = 1500) -> list:
     words = ["mail", "the", "call", "of", "und", "la", "que", "number", "a", "tel", "write", "to", "in"]
-    made = [(0, "ab.12@mail.example.com"), (0, "x_y@host.example.org"), (1, "10.20.30.40"), (1, "203.0.113.77"), (2, "4111111111111111"), (2, "5555 5555 5555 4444"), (3, "+1 (555) 555-0123"), (3, "+49 30 1234 5678")]
-    out, seen = [], list(made)
+    out, seen = [], []
     for text in docs:
         spans = base_spans(text)
         for b, e in zones(text, _LEARNED):
             own = [(x - b, k, y - b) for x, k, y in spans if b <= x and y <= e]
             out.append(example(text[b:e], own))
         seen += [(k, text[x:y]) for x, k, y in spans]
+    # Spans of the documents, and as many of each kind that are made up: what the documents hold decides on none.
     rng.shuffle(seen)
-    for kind, span in seen[:1500]:
+    made = [(kind, made_up(kind, rng)) for kind in range(len(KINDS)) for _ in range(sample_spans // len(KINDS))]
+    for kind, span in [*seen[:sample_spans], *made]:
         for new in (rewritten(kind, span, rng), span):
             before, after = " ".join(rng.choices(words, k=3)) + " ", rng.choice([" ", ". ", ", "]) + " ".join(rng.choices(words, k=3))
             out.append(example(before + new + after, [(len(before), kind, len(before) + len(new))]))
@@ -387,9 +427,9 @@ def training_zones(docs: list[str], rng: random.Random) -> list:
     return [x for x in out if x]
 
 
-def learn(docs: list[str], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4) -> Field:
+def learn(docs: list[str], epochs: int = 6, rate: float = 0.3, l2: float = 1e-4, sample_spans: int = 1500) -> Field:
     rng = random.Random(11)
-    field, rows = Field(), training_zones(docs, rng)
+    field, rows = Field(), training_zones(docs, rng, sample_spans)
     g2, p2 = np.full(DIMS, 1e-2), np.full((5, 5), 1e-2)
     for _ in range(epochs):
         rng.shuffle(rows)
@@ -421,8 +461,9 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000, sample_zones: int = 1500) -> Field:
-    """Fitted in one task on a bounded sample: only the zones travel, ``sample_zones`` of them at most."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000, sample_zones: int = 1500, sample_spans: int = 1500) -> Field:
+    """Fitted in one task on a bounded sample: only the zones travel, ``sample_zones`` of them at most, and ``sample_spans`` of their spans, and as
+    many made-up ones, are rewritten."""
     spark = docs.sparkSession
     n = max(1, docs.count())
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -436,7 +477,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     sample = space.table(docs.filter((draw < F.lit(sample_docs / n)) & F.col(text_col).rlike(_LEARNED.pattern)).select(F.col(text_col).alias("t")).mapInArrow(cut, "zone string").orderBy(F.md5("zone")).limit(sample_zones), "zones")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = learn(sorted(x for batch in batches for x in batch.column(0).to_pylist()))
+        field = learn(sorted(x for batch in batches for x in batch.column(0).to_pylist()), sample_spans=sample_spans)
         yield pa.RecordBatch.from_arrays([pa.array([field.w.tobytes()], pa.binary()), pa.array([field.pair.tobytes()], pa.binary())], names=["w", "pair"])
 
     row = sample.coalesce(1).mapInArrow(train, "w binary, pair binary").first()

@@ -612,6 +612,23 @@ def test_added_spans(field):
     assert hit >= 120 and wrong <= 4
 
 
+def test_recall_of_each_kind_and_precision(field):
+    """Spans in other spellings, planted in prose with ``at``, dots, dates and numbers of its own."""
+    rng = random.Random(50)
+    prose = "he was at home. Then at 12.30 on 2019-04-05 the team met at the station . It cost 1,299.00 for order 445566 and version 1.2.3 of the tool".split(" ")
+    hits, n = Counter(), 400
+    for i in range(n):
+        kind = i % 4
+        span, at = pii.rewritten(kind, pii.made_up(kind, rng), rng), rng.randint(0, len(prose))
+        before = " ".join(prose[:at] + ["x", ""])
+        text = before + span + " y " + " ".join(prose[at:])
+        base = pii.base_spans(text)
+        new = pii.added_spans(text, base, field)
+        hits[kind] += (len(before), kind, len(before) + len(span)) in base + new
+        hits["wrong"] += sum(b < len(before) - 1 or e > len(before) + len(span) + 1 for b, _, e in base + new)
+    assert all(hits[kind] >= 0.9 * n / 4 for kind in range(4)) and hits["wrong"] <= 0.02 * n, hits
+
+
 def test_semi_markov_gradient():
     rng = np.random.default_rng(16)
     row = pii.example("call 555 0123 4567 or a@b.co now", [(5, 3, 18)])
