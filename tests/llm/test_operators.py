@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import language_id, mixing, near_dedup, pii, quality, substrings, topk, warc, words
+from parley.llm import graph, language_id, mixing, near_dedup, pii, quality, substrings, topk, warc, words
 from parley.llm.common import Workspace, attach, spread_join
 from parley.llm.decontam import SuffixAutomaton, find_items, merged, scan, shards
 from parley.llm.graph import components
@@ -212,8 +213,6 @@ def test_overlaps_against_counters():
 
 @pytest.mark.parametrize("bound", [0, 200_000])
 def test_components(spark, monkeypatch, bound):
-    from parley.llm import graph
-
     monkeypatch.setattr(graph, "ONE_TASK", bound)
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 50)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]
@@ -225,6 +224,24 @@ def test_components(spark, monkeypatch, bound):
     assert got == root
 
 
+def test_components_beyond_one_task(spark):
+    """More edges than one task takes: a long path, a star, a label of a third of all edges, and many small groups."""
+    rng = random.Random(60)
+    path = rng.sample(range(10**9), 2000)
+    edges = list(zip(path, path[1:], strict=False))
+    edges += [(2 * 10**9, 2 * 10**9 + 1 + i) for i in range(75_000)]
+    hot = [3 * 10**9 + i for i in range(75_000)]
+    edges += [(hot[rng.randrange(i)], hot[i]) for i in range(1, len(hot))]
+    edges += [(4 * 10**9 + 3 * i + j, 4 * 10**9 + 3 * i + j + 1) for i in range(30_000) for j in range(2)]
+    assert len(edges) > graph.ONE_TASK
+    rng.shuffle(edges)
+    a, b = np.array(edges).T
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b}))
+    got = {(r["label"], r["node"]) for r in components(df, Workspace(spark, "cc"), "big").collect()}
+    want = {(min(path), x) for x in path} | {(2 * 10**9, 2 * 10**9 + i) for i in range(75_001)} | {(hot[0], x) for x in hot} | {(4 * 10**9 + 3 * i, 4 * 10**9 + 3 * i + j) for i in range(30_000) for j in range(3)}
+    assert got == want
+
+
 def test_joins_of_frequent_keys(spark, monkeypatch):
     from parley.llm import common
 
