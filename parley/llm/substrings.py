@@ -11,8 +11,8 @@ frequent, gathers its places in one task. The matches of a unit with a hub are g
 are chained: a chain ascends in both texts, and its score is k for every k-mer less a gap cost for every word that it advances in
 either. As that cost is linear, the best predecessor of a match is a prefix maximum over positions in the hub, which a Fenwick tree keeps.
 
-What the hub leaves is gone on with: a place of a seed that no passage covers is compared with the seed's other places too, 16 of them
-in the first round, 16 times as many in each that follows, until passages cover it or all have had their turn. Of these pairs only those are
+What the hub leaves is gone on with: a place of a seed that no passage covers is compared with the seed's other places too, ``ROUND`` of them
+in the first round, ``GROWTH`` times as many in each that follows, until passages cover it or all have had their turn. Of these pairs only those are
 chained that have enough words in common, in about the same place, for a passage around the seed.
 
 Chains are then aligned on the words: gaps between seeds by the longest common subsequence, the ends outwards along the diagonal while the
@@ -47,7 +47,7 @@ LOCAL, CHUNK = 64, 1 << 21
 #: Words beyond the chains in the first slices.
 REACH = 96
 #: Places of a seed that a place left by the hub is compared with in the first round, and by how much later rounds grow.
-ROUND = 16
+ROUND, GROWTH = 32, 64
 #: Places of either side of a seed whose pairs are looked at together, and width of the bags of words that rule most out.
 BLOCK = 500
 BAG = 2048
@@ -112,13 +112,23 @@ def rows_of(columns: list[np.ndarray], schema: str, valid: np.ndarray | None = N
 
 
 def matched_locally(seed: np.ndarray, unit: np.ndarray, pos: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
-    """The places, with the first of its seed where that has more than ``LOCAL`` of them here. Repeated places go."""
-    order = np.lexsort((pos, unit, seed))
+    """The places, with the first of its seed where that has more than ``LOCAL`` of them here. Of these seeds repeated places go."""
+    order = np.argsort(seed, kind="stable")
     seed, unit, pos, gap = seed[order], unit[order], pos[order], gap[order]
-    fresh = np.concatenate([[True], (seed[1:] != seed[:-1]) | (unit[1:] != unit[:-1]) | (pos[1:] != pos[:-1])])
-    seed, unit, pos, gap = seed[fresh], unit[fresh], pos[fresh], gap[fresh]
-    first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
-    n = np.diff(np.append(first, len(seed)))
+
+    def runs() -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+        return first, np.diff(np.append(first, len(seed)))
+
+    first, n = runs()
+    hot = np.flatnonzero(np.repeat(n > LOCAL, n))
+    if len(hot):
+        own = hot[np.lexsort((pos[hot], unit[hot], seed[hot]))]
+        seed[hot], unit[hot], pos[hot], gap[hot] = seed[own], unit[own], pos[own], gap[own]
+        same = np.zeros(len(seed), bool)
+        same[hot[1:]] = (seed[hot[1:]] == seed[hot[:-1]]) & (unit[hot[1:]] == unit[hot[:-1]]) & (pos[hot[1:]] == pos[hot[:-1]])
+        seed, unit, pos, gap = seed[~same], unit[~same], pos[~same], gap[~same]
+        first, n = runs()
     hub, many = np.repeat(first, n), np.repeat(n > LOCAL, n)
     return rows_of([seed, unit, pos, gap, unit[hub], pos[hub], gap[hub]], PLACE, many & (hub != np.arange(len(seed))))
 
@@ -370,7 +380,7 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
             closed, more = found.filter("n_matched is not null"), found.filter("n_matched is null").select("id", F.col("rep_id").alias("rep"))
             whole = closed if whole is None else whole.unionByName(closed)
             if more.isEmpty():
-                return whole
+                return whole.distinct()
             reach *= 16
             linked = space.table(linked.join(more, ["id", "rep"], "left_semi"), f"chains-{name}-{reach}")
 
@@ -429,7 +439,7 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
         if group[0] and group[1]:
             yield from alike(*group)
 
-    found = passages(matches, "0")
+    found = space.table(passages(matches, "0"), "all-0")
     rest = attach(places.select("seed", "id", "pos", "gap"), counts.withColumn("m", F.col("n")), ["seed"], n_places).withColumnRenamed("m", "n") if most else None
     turn = F.col("n") * F.pmod(F.xxhash64("seed", "id", "pos"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     low, high = 0, ROUND
@@ -453,9 +463,8 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
         place, other = F.struct("id", "pos", "gap"), F.struct(F.col("rep").alias("id"), F.col("rep_pos").alias("pos"), F.col("rep_gap").alias("gap"))
         pairs = pairs.select(F.greatest(place, other).alias("x"), F.least(place, other).alias("y"))
         pairs = pairs.select("x.id", F.col("y.id").alias("rep"), "x.pos", "x.gap", F.col("y.pos").alias("rep_pos"), F.col("y.gap").alias("rep_gap"))
-        found = found.unionByName(passages(pairs, str(high)))
-        low, high = high, high * ROUND
-    found = found.distinct()
+        found = space.table(found.unionByName(passages(pairs, str(high))).distinct(), f"all-{high}")
+        low, high = high, high * GROWTH
     kept = space.table(outermost(found, ["id", "rep_id"], "start_word", "end_word"), "passages")
     own = outermost(found.groupBy("rep_id", "rep_start").agg(F.max("rep_end").alias("rep_end")), ["rep_id"], "rep_start", "rep_end")
     own = own.select(F.col("rep_id").alias("id"), F.col("rep_start").alias("start_word"), F.col("rep_end").alias("end_word"), "rep_id", "rep_start", "rep_end", (F.col("rep_end") - F.col("rep_start")).alias("n_matched"), F.lit(1.0).alias("similarity"))
