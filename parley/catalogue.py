@@ -82,6 +82,8 @@ COUNTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "entities_heuristic": stats.entity_counts,
     "entities_by_document": lambda u: stats.entity_counts(u, per_document=True),
     "entity_keywords": stats.entity_keywords,
+    "corpus_speakers_ranked": lambda u: stats.most_common(stats.corpus_speakers(u), "speaker", "n_utterances"),
+    "entities_ranked": lambda u: stats.most_common(stats.entity_counts(u), "entity", "n", top=75),
 }
 
 LOOKUPS: dict[str, Callable[[DataFrame], DataFrame]] = {

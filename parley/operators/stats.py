@@ -55,6 +55,12 @@ def corpus_speakers(utterances: DataFrame) -> DataFrame:
     return utterances.groupBy("speaker").agg(F.count(F.lit(1)).alias("n_utterances"))
 
 
+def most_common(counts: DataFrame, by: str, n: str, top: int = 1000) -> DataFrame:
+    """The ``top`` rows of ``counts`` with their rank by ``n``, ties by name: a distributed top-k, of which one task numbers the outcome."""
+    best = counts.orderBy(F.desc(n), by).limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(n), by)))
+
+
 def speaker_total(utterances: DataFrame, names: list[str]) -> DataFrame:
     """Utterances of the named speakers."""
     return corpus_speakers(utterances).filter(F.col("speaker").isin(*names)).agg(F.coalesce(F.sum("n_utterances"), F.lit(0)).alias("n_utterances"))

@@ -188,6 +188,8 @@ ORACLES: dict[str, str] = {
     "entities_heuristic": q(f"x AS (SELECT {ENTITY} FROM u)", "SELECT entity, count(*) AS n FROM x GROUP BY entity"),
     "entities_by_document": q(f"x AS (SELECT doc_id, {ENTITY} FROM u)", "SELECT doc_id, entity, count(*) AS n FROM x GROUP BY ALL"),
     "entity_keywords": q(f"x AS (SELECT {ENTITY} FROM u), e AS (SELECT entity, count(*) AS n FROM x GROUP BY entity ORDER BY n DESC, entity LIMIT 75)", f"SELECT DISTINCT lower(entity) AS term FROM e WHERE n >= 5 AND NOT list_contains({S3}, lower(entity))"),
+    "corpus_speakers_ranked": q("s AS (SELECT speaker, count(*) AS n_utterances FROM u GROUP BY speaker)", "SELECT speaker, n_utterances, CAST(row_number() OVER (ORDER BY n_utterances DESC, speaker) AS INT) AS rank FROM s QUALIFY rank <= 1000"),
+    "entities_ranked": q(f"x AS (SELECT {ENTITY} FROM u), e AS (SELECT entity, count(*) AS n FROM x GROUP BY entity)", "SELECT entity, n, CAST(row_number() OVER (ORDER BY n DESC, entity) AS INT) AS rank FROM e QUALIFY rank <= 75"),
     "search_unigram": q("", HIT.format(GRAMS, "the")),
     "search_bigram": q("", HIT.format(GRAMS, "of the")),
     "search_grouped": q("", f"SELECT file, count(*) AS n, string_agg(text, chr(10) ORDER BY pos) AS lines FROM u WHERE list_contains({GRAMS}, 'the') GROUP BY file"),

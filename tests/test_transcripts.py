@@ -1,5 +1,9 @@
 """Golden values of the two-file transcript."""
 
+import math
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +213,174 @@ def test_offsets_over_many_keys(spark):
 
     got = offsets(spark.range(1000).select(F.col("id").alias("k"), F.lit(2).alias("n")), "k", "n", "start")
     assert got.filter("start <> 2 * k").count() == 0 and got.count() == 1000
+
+
+def plain_lsa(text, topics=3):
+    """The sentence with the largest sum of squared projections on the leading eigenvectors, from products of the matrix alone."""
+    found = [x.strip() for x in re.findall(r"[^.!?|\n]+[.!?]*", text) if x.strip()]
+    words = sorted({w for x in found for w in re.findall(r"\w+", x.lower())})
+    counts = np.array([[re.findall(r"\w+", x.lower()).count(w) for x in found] for w in words], float)
+    top = counts.max(0)
+    a = np.where(counts > 0, 0.5 + 0.5 * counts / np.maximum(top, 1), 0)
+    values, vectors_ = np.linalg.eigh(a.T @ a)
+    order = np.argsort(-values)[:topics]
+    rank = np.sqrt((np.maximum(values[order], 0) * vectors_[:, order] ** 2).sum(1))
+    return found, rank
+
+
+def test_lsa_against_eigenvectors():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        text = ". ".join(" ".join(rng.choice(["sun", "moon", "tide", "rock", "salt", "wind", "rain"], rng.integers(2, 9))) for _ in range(rng.integers(1, 9))) + "."
+        found, rank = plain_lsa(text)
+        assert rank[found.index(segment.lsa_sentence(text))] >= rank.max() - 1e-9
+    assert segment.lsa_sentence("") == ""
+
+
+@pytest.fixture(scope="module")
+def talks(spark):
+    """Twelve talks of three topics."""
+    rng = np.random.default_rng(7)
+    topics = [[f"{a}{b}" for a in start for b in "abcdefgh"] for start in ("kl", "mn", "pq")]
+    rows = [(d, p, "A", " ".join(rng.choice(topics[d % 3], 9)) + " " + rng.choice(["north", "south", "east"]), f"talk_{2010 + d % 3}.txt") for d in range(12) for p in range(5)]
+    from parley.sources.transcripts import from_rows
+
+    return from_rows(spark, rows)
+
+
+def plain_distances(talks):
+    """The matrix of distances, by loops over the vectors."""
+    own = defaultdict(dict)
+    for r in vectors.cluster_vectors(talks).collect():
+        own[r["doc_id"]][r["term"]] = r["w"]
+    return np.array([[0.0 if i == j else 1 - sum(w * own[j].get(t, 0) for t, w in own[i].items()) for j in range(12)] for i in range(12)]), own
+
+
+def test_k_means_is_at_rest(talks):
+    labels, top = cluster.k_means(talks, clusters=3)
+    label = {r["doc_id"]: r["label"] for r in labels.collect()}
+    _, own = plain_distances(talks)
+    terms = sorted({t for x in own.values() for t in x})
+    x = np.array([[own[d].get(t, 0) for t in terms] for d in range(12)])
+    means = {c: x[[d for d in range(12) if label[d] == c]].mean(0) for c in set(label.values())}
+    assert all(min(means, key=lambda c: ((x[d] - means[c]) ** 2).sum()) == label[d] for d in range(12))
+    assert all((label[i] == label[j]) == (i % 3 == j % 3) for i in range(12) for j in range(12))
+    for c, m in means.items():
+        want = sorted(range(len(terms)), key=lambda t: (-m[t], t))[:3]
+        got = sorted((r["rank"], r["term"], r["weight"]) for r in top.collect() if r["label"] == c)
+        assert [t for _, t, _ in got] == [terms[t] for t in want] and np.allclose([w for *_, w in got], m[want])
+
+
+def test_layout_and_frame(talks):
+    d, _ = plain_distances(talks)
+    got = {r["doc_id"]: (r["x"], r["y"]) for r in cluster.layout(talks).collect()}
+    p = np.array([got[i] for i in range(12)])
+    apart = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    stress = ((apart - d) ** 2).sum() / 2
+    # No small step of any point lowers the stress by much: majorisation came to rest.
+    for i in range(12):
+        for step in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)):
+            q = p.copy()
+            q[i] += step
+            assert ((np.sqrt(((q[:, None] - q[None]) ** 2).sum(-1)) - d) ** 2).sum() / 2 > stress - 0.02
+    alike = np.arange(12)[:, None] % 3 == np.arange(12) % 3
+    assert apart[alike & ~np.eye(12, dtype=bool)].mean() < apart[~alike].mean()
+    frame = {r["doc_id"]: r for r in cluster.cluster_frame(talks, clusters=3).collect()}
+    label = {r["doc_id"]: r["label"] for r in cluster.k_means(talks, clusters=3)[0].collect()}
+    assert {i: (r["x"], r["y"], r["label"], r["title"]) for i, r in frame.items()} == {i: (*got[i], label[i], str(2010 + i % 3)) for i in range(12)}
+
+
+def test_ward_against_variances(talks):
+    """Merges of least increase of the sum of squares, from the members of the clusters."""
+    x, _ = plain_distances(talks)
+    groups, want = {i: [i] for i in range(12)}, []
+    for step in range(11):
+        def cost(pair):
+            a, b = (x[groups[g]].mean(0) for g in pair)
+            n, m = (len(groups[g]) for g in pair)
+            return n * m / (n + m) * ((a - b) ** 2).sum()
+
+        pair = min(((a, b) for a in groups for b in groups if a < b), key=cost)
+        want.append((*pair, np.sqrt(2 * cost(pair)), sum(len(groups[g]) for g in pair)))
+        groups[12 + step] = groups.pop(pair[0]) + groups.pop(pair[1])
+    got = sorted(tuple(r) for r in cluster.ward_linkage(talks).collect())
+    assert [(a, b, n) for _, a, b, _, n in got] == [(a, b, n) for a, b, _, n in want] and np.allclose([h for *_, h, _ in got], [h for *_, h, _ in want])
+
+
+def plain_blocks(tokens, w, k, stop):
+    """Gap scores by counting the words of both blocks anew for each gap."""
+    rows = [Counter(t for t in tokens[i : i + w] if t not in stop) for i in range(0, len(tokens), w)]
+    gaps, out = len(rows) - 1, []
+    for g in range(gaps):
+        size = g + 1 if g < k - 1 else gaps - g if g > gaps - k else k
+        a, b = (sum(rows[max(0, x) : y], Counter()) for x, y in ((g - size + 1, g + 1), (g + 1, g + 1 + size)))
+        bottom = math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+        out.append(sum(v * b[t] for t, v in a.items()) / bottom if bottom else 0.0)
+    return out
+
+
+def plain_smooth(x, smoothing):
+    """A flat window over the series, which goes on at either end as its reflection through the end point."""
+    n = smoothing + 1
+    if len(x) < n:
+        return []
+    left = [2 * x[0] - x[i] for i in range(min(n, len(x) - 1), 1, -1)]
+    s = left + x + [2 * x[-1] - x[-1 - i] for i in range(n - 1)]
+    middle = (n - 1) // 2
+    whole = [sum(s[max(0, i - n + 1) : i + 1]) / n for i in range(len(s))] + [sum(s[-j:]) / n for j in range(n - 1, 0, -1)]
+    return whole[middle : middle + len(s)][n - 1 : len(s) - n + 1]
+
+
+@pytest.mark.parametrize("smoothing", [1, 2, 3, 4, 7])
+def test_gap_scores_and_smoothing_by_loops(spark, monkeypatch, smoothing):
+    monkeypatch.setattr(segment, "CELLS", 40)
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(rng.choice([f"w{j}" for j in range(25)] + ["the", "of"], n)) for i, n in enumerate([0, 3, 9, 31, 40, 33, 200, 77])}
+    t = segment.Tiling(w=8, k=3, smoothing=smoothing)
+    scores = segment.gap_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), t).cache()
+    got, smooth = defaultdict(dict), defaultdict(dict)
+    for r in scores.collect():
+        got[r["doc_id"]][r["gap"]] = r["score"]
+    for r in segment.smoothed(scores, smoothing).collect():
+        smooth[r["doc_id"]][r["gap"]] = r["score"]
+        assert r["gaps"] == len(plain_smooth(plain_blocks(texts[r["doc_id"]].split(), 8, 3, t.stop), smoothing)) or smoothing < 2
+    for i, text in texts.items():
+        want = plain_blocks(text.split(), 8, 3, t.stop)
+        assert np.allclose([got[i][g] for g in range(len(want))], want) and len(got[i]) == len(want)
+        want = plain_smooth(want, smoothing) if smoothing >= 2 else want
+        assert np.allclose([smooth[i][g] for g in range(len(want))], want) and len(smooth[i]) == len(want)
+
+
+def test_segments_by_a_walk_over_the_text(talks):
+    """Cuts at the paragraph break nearest to the end of the word where a boundary lies."""
+    t = segment.Tiling(w=6, k=2)
+    docs = {r["doc_id"]: r["text"] for r in segment.joined(talks).collect()}
+    marks = defaultdict(set)
+    for r in segment.boundaries(segment.depths(segment.smoothed(segment.gap_scores(segment.joined(talks), t)))).collect():
+        marks[r["doc_id"]].add(r["gap"])
+    got = defaultdict(dict)
+    for r in segment.segments(talks, t).collect():
+        got[r["doc_id"]][r["seg"]] = r["text"]
+    assert any(marks.values())
+    for doc, text in docs.items():
+        breaks = [0]
+        for m in re.finditer(r"[ \t\r\f\v]*\n[ \t\r\f\v]*\n[ \t\r\f\v]*", text):
+            if m.start() - breaks[-1] >= 100:
+                breaks.append(m.start())
+        ends, cuts = [], []
+        for i in range(1, len(text)):  # after each word's blank
+            if text[i] in " \t\n" and text[i - 1] not in " \t\n":
+                ends.append(i + 1)
+        for gap in sorted(marks[doc]):
+            if max(gap, 1) * t.w < len(ends):
+                at = ends[max(gap, 1) * t.w]
+                best = min(breaks, key=lambda b: (abs(b - at), b))
+                if best not in cuts:
+                    cuts.append(best)
+        want, done = [], 0
+        for c in cuts:
+            if c:
+                want.append(text[done:c])
+                done = c
+        want.append(text[done:])
+        assert [got[doc][i] for i in range(len(got[doc]))] == [x.replace("\n\n\t ", " | ") for x in want]
