@@ -14,9 +14,14 @@ Groups. Every row has a number. Equal word sequences fall together first, by a 1
 are banded. In every bucket the smallest
 document is the pivot, each other member is a candidate with it, and candidates are verified on the whole multisets. Verified pairs make
 components. Where a bucket still holds several components, its documents may have links that no pivot showed. They are grouped anew by each
-of ``SINGLES`` single registers, groups are cut into blocks of bounded size, and every pair of blocks is verified at once: overlaps of all
-their documents are a product of two membership matrices, and only links that join two components come out. So every pair that shares
-a bucket ends in one component or was compared, but for the chance (1 - similarity) ** SINGLES that it shares no single register.
+of ``SINGLES`` single registers, and a group of bounded size is verified at once: overlaps of all its documents are a product of two membership
+matrices, and only links that join two components come out. So every pair that shares a bucket ends in one component or was compared,
+but for the chance (1 - similarity) ** SINGLES that it shares no single register.
+
+Groups beyond that size are of documents with much text in common that is not theirs alone. Their documents are grouped anew by rare
+elements: of elements (a shingle, or its n-th copy) in ascending order of frequency, a document lists so many that one that is similar
+enough must list one of the same, size - ceil(similarity * size) + 1. Text that all share comes last and is not listed. This is exact. A listed
+element may still have a group beyond the size; it is cut into blocks, and every pair of blocks is verified.
 
 The processes of all levels are made one by one. There is no splitting of one process into levels of finer weights, as in the first form
 of the method; the points that a document sees have the same distribution either way.
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import Workspace, attach, spread_join
@@ -265,11 +270,48 @@ def joining(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sides: np.nd
     return out
 
 
-def verify_groups(members: DataFrame, bag_table: DataFrame, similarity: float) -> DataFrame:
-    """``members``: (id, label, k, v, size). Links (a, b, similarity) between members of the same (k, v) that have different labels."""
+def groups_of(members: DataFrame) -> DataFrame:
+    """(k, v, n, blocks) of the groups that hold several labels."""
     groups = members.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
-    groups = groups.select("k", "v", "n", F.greatest(F.ceil(F.col("size") * 8 / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int").alias("blocks"))
-    rows = attach(members.select("id", "label", "k", "v"), groups, ["k", "v"], members.count())
+    return groups.select("k", "v", "n", F.greatest(F.ceil(F.col("size") * 8 / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int").alias("blocks"))
+
+
+def listed(docs: DataFrame, bag_table: DataFrame, similarity: float, space: Workspace) -> DataFrame:
+    """(id, label, k, v, size): by ``v`` the rarest elements of each of ``docs`` (id, label, size), ties by value, as many as two similar
+    enough documents cannot both miss. Elements of one document alone count, but have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                values, _ = elements([np.frombuffer(batch.column(1)[row].as_buffer(), np.uint64)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), batch.column(0)[row].as_py()), pa.int64()), pa.array(values.view(np.int64), pa.int64())], names=["id", "v"])
+
+    found = space.table(bag_table.join(docs.select("id"), "id", "left_semi").select("id", "bag").mapInArrow(run, "id long, v long"), "elements")
+    shared = space.table(found.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("m", F.col("n")), "shared-elements")
+    rows = attach(found, shared, ["v"], found.count()).join(docs, "id")
+    own = Window.partitionBy("id")
+    alone = F.col("size") - F.count(F.lit(1)).over(own)
+    most = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)) + 1
+    rows = rows.withColumn("_at", F.row_number().over(own.orderBy("m", "v")) + alone).filter(F.col("_at") <= most)
+    return space.table(rows.select("id", "label", F.lit(-1).alias("k"), "v", "size"), "listed")
+
+
+def verify_groups(members: DataFrame, bag_table: DataFrame, similarity: float, space: Workspace) -> DataFrame:
+    """``members``: (id, label, k, v, size). Links (a, b, similarity) between members of the same (k, v) that have different labels."""
+    groups = space.table(groups_of(members), "groups")
+    n = members.count()
+    found = verify_blocks(members, groups.filter("blocks = 1"), n, bag_table, similarity)
+    large = groups.filter("blocks > 1")
+    if large.isEmpty():
+        return found
+    docs = space.table(attach(members, large, ["k", "v"], n).select("id", "label", "size").distinct(), "in-large-groups")
+    rare = listed(docs, bag_table, similarity, space)
+    return found.unionByName(verify_blocks(rare, space.table(groups_of(rare), "rare-groups"), rare.count(), bag_table, similarity))
+
+
+def verify_blocks(members: DataFrame, groups: DataFrame, n: int, bag_table: DataFrame, similarity: float) -> DataFrame:
+    """The links within ``groups``; blocks of a group meet in pairs."""
+    rows = attach(members.select("id", "label", "k", "v"), groups, ["k", "v"], n)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("id", "label", "k", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").join(bag_table, "id")
     dealt = rows.select("k", "v", "i", "j", "own", "id", "label", "bag").repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j", "id")
@@ -334,7 +376,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     mixed = tagged.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("band", "bucket", "n")
     left = space.table(attach(tagged, space.table(mixed, "mixed"), ["band", "bucket"], tagged.count()).select("id", "label").distinct(), "left")
     members = left.join(some.select(F.col("row").alias("id"), "size", "singles"), "id").select("id", "label", "size", F.posexplode("singles").alias("k", "v")).distinct()
-    more = space.table(verify_groups(space.table(members, "members"), bag_table, similarity), "more-edges")
+    more = space.table(verify_groups(space.table(members, "members"), bag_table, similarity, space), "more-edges")
     if not more.isEmpty():
         more = more.dropDuplicates(["a", "b"])
         edges, ends = edges.unionByName(more), ends.unionByName(more)

@@ -197,10 +197,42 @@ def test_links_that_no_pivot_shows(spark):
     known = spark.createDataFrame([(i, np.sort(b).tobytes()) for i, b in bags.items()], "id long, bag binary")
     for block in (1 << 20, 800):
         near_dedup.BLOCK_BYTES, old = block, near_dedup.BLOCK_BYTES
-        assert {(r["a"], r["b"]) for r in near_dedup.verify_groups(members, known, 0.8).collect()} == {(2, 3)}
+        assert {(r["a"], r["b"]) for r in near_dedup.verify_groups(members, known, 0.8, Workspace(spark, "groups")).collect()} == {(2, 3)}
         near_dedup.BLOCK_BYTES = old
 
 
+def test_large_groups_of_boilerplate(spark, monkeypatch):
+    """Documents that are alike in most of their text, in groups beyond the size of a block, against brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 6)
+    rng = random.Random(9)
+    say = lambda n: [f"n{rng.randint(0, 10**6)}" for _ in range(n)]
+    line, texts = say(60), {}
+    for i in range(90):
+        own = say(rng.randint(18, 40))
+        texts[3 * i] = " ".join(line + own)
+        for j in range(rng.randint(0, 2)):
+            texts[3 * i + j + 1] = " ".join(line + [w if rng.random() > 0.03 else "x" + w for w in own] + say(rng.randint(0, 3)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == classes(texts)
+
+
+def test_listed_elements_meet(spark):
+    """Any two multisets that are similar enough list a common element."""
+    rng = np.random.default_rng(10)
+    common = np.repeat(rng.integers(1, 2**62, 40), rng.integers(1, 4, 40)).astype(np.uint64)
+    bags = {i: np.sort(np.concatenate([common, rng.choice(np.arange(1, 60, dtype=np.uint64), rng.integers(0, 40))])) for i in range(60)}
+    docs = spark.createDataFrame([(i, i, len(b)) for i, b in bags.items()], "id long, label long, size long")
+    rows = near_dedup.listed(docs, spark.createDataFrame([(i, b.tobytes()) for i, b in bags.items()], "id long, bag binary"), 0.8, Workspace(spark, "listed")).collect()
+    own = defaultdict(set)
+    for r in rows:
+        own[r["id"]].add(r["v"])
+    for i in bags:
+        for j in range(i):
+            n = near_dedup.overlap(bags[i], bags[j])
+            assert n < 0.8 * (len(bags[i]) + len(bags[j]) - n) or own[i] & own[j]
+    assert sum(map(len, own.values())) < 0.45 * sum(map(len, bags.values()))
+
+
 def test_overlaps_against_counters():
     rng = np.random.default_rng(5)
     bags = [np.sort(rng.integers(0, 40, rng.integers(1, 60)).astype(np.uint64)) for _ in range(40)]
