@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +37,9 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
 class Workspace:
     """A folder of written tables below the shared folder. It goes when the driver's JVM ends, or earlier by ``clear``."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, broadcasts: bool = True):
+        """Without ``broadcasts``, tables are made by joins that broadcast nothing unless told to: the driver keeps what many joins broadcast."""
+        self.spark, self.broadcasts = spark, broadcasts
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: dict[str, str] = {}
         _OPEN.append(self)
@@ -53,7 +54,8 @@ class Workspace:
         """Write ``df`` as Parquet and read it back: its lineage ends here, and a lost executor costs no more than a read."""
         path = f"{self.path}/{name}"
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        with nullcontext() if self.broadcasts else setting(self.spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+            (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def bucketed(self, df: DataFrame, name: str, key: str, buckets: int, by: str) -> DataFrame:
@@ -83,17 +85,21 @@ def clear_workspaces(spark: SparkSession) -> None:
 
 
 @contextmanager
-def sorted_buckets(spark: SparkSession) -> Iterator[None]:
-    """While this lasts, a bucket that is one file is read as sorted as it was written."""
-    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """While this lasts, a setting of the session is another."""
     before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def sorted_buckets(spark: SparkSession):
+    """While this lasts, a bucket that is one file is read as sorted as it was written."""
+    return setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+
 def attach(left: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", n: str = "n") -> DataFrame:
     """Join ``left`` (``total`` rows) with ``table``, which has one row per key and in ``n`` the rows that ``left`` has of it.
 

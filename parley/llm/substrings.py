@@ -12,8 +12,9 @@ are chained: a chain ascends in both texts, and its score is k for every k-mer l
 either. As that cost is linear, the best predecessor of a match is a prefix maximum over positions in the hub, which a Fenwick tree keeps.
 
 What the hub leaves is gone on with: a place of a seed that no passage covers is compared with the seed's other places too, ``ROUND`` of them
-in the first round, ``GROWTH`` times as many in each that follows, until passages cover it or all have had their turn. Of these pairs only those are
-chained that have enough words in common, in about the same place, for a passage around the seed.
+in the first round, ``GROWTH`` times as many in each that follows, until passages cover it or all have had their turn. The places of a seed meet in
+blocks; bags of words rule most pairs out, the others are aligned in place, many at once, and the first that has a passage with it is a
+place's match. So a group of texts that share a passage gives a match for each, not all pairs.
 
 Chains are then aligned on the words: gaps between seeds by the longest common subsequence, the ends outwards along the diagonal while the
 score does not drop too far; on slices of both texts, and where an end came to the end of a slice, all chains of these two texts once more on slices
@@ -252,6 +253,18 @@ def outwards(x: np.ndarray, y: np.ndarray) -> tuple[int, int, bool]:
     return best, int(same[:best].sum()), not len(low)
 
 
+def extents(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``outwards`` for many rows: words to add, and matches among them. A text ends at 0."""
+    inside = (x > 0) & (y > 0)
+    same = (x == y) & inside
+    total = np.cumsum(np.where(inside, np.where(same, 1, -2), -(1 << 16)), 1, dtype=np.int64)
+    over = np.logical_or.accumulate(total < np.maximum.accumulate(np.maximum(total, 0), 1) - 12, 1)
+    total[over] = -1
+    best, row = total.argmax(1), np.arange(len(total))
+    some = total[row, best] > 0
+    return np.where(some, best + 1, 0), np.where(some, np.cumsum(same, 1)[row, best], 0)
+
+
 def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int]], k: int, begins: tuple[bool, bool] = (True, True), ends: tuple[bool, bool] = (True, True)) -> tuple[int, int, int, int, int, bool]:
     """Start and end in both, and matching words, of the passage that a chain lies in; and if it is open, that is, came to an end of
     ``x`` or ``y`` that is none of the text's, as ``begins`` and ``ends`` tell."""
@@ -295,7 +308,7 @@ def uncovered(places: DataFrame, found: DataFrame, k: int) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, rep_id, rep_start, rep_end, n_matched, similarity)."""
-    space = Workspace(docs.sparkSession, "substrings")
+    space = Workspace(docs.sparkSession, "substrings", broadcasts=False)
     text = F.encode(F.col(text_col), "utf-8")
     raw = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("id"), text.alias("text")).filter("doc is not null and text is not null")
     # Ids by unit: from here on an id is that of a unit.
@@ -310,13 +323,20 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
     most = counts.agg(F.max("n")).first()[0] or 0
     matches = places.filter("id <> rep").select("id", "rep", "pos", "gap", "rep_pos", "rep_gap")
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A passage of min_words words has this many words at most, and so many that match; there are so many before and after a place in it.
+    longest, least = int(np.ceil(min_words / similarity)), int(np.ceil(min_words * similarity - 1e-9))
+    width = 2 * longest + 1
+
+    def chain(batches: Iterator[pa.RecordBatch], each: bool = False) -> Iterator[pa.RecordBatch]:
+        """Chains of each two texts; with ``each`` also every seed by itself after them."""
         for batch in batches:
             out: list[tuple] = []
             for i, rep, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 pos, gap, rep_pos, rep_gap = (own.values.field(c).to_numpy().astype(np.int64) for c in range(4))
                 pairs = np.unique(np.stack([np.concatenate([pos, pos + gap]), np.concatenate([rep_pos, rep_pos + rep_gap])], 1), axis=0)
                 own = [c for c in chains(list(map(tuple, pairs.tolist())), k) if c[-1][0] + k - c[0][0] >= NEAR]
+                if each:
+                    own += [[(p, q), (p + g, q + h)] for p, g, q, h in sorted(zip(pos.tolist(), gap.tolist(), rep_pos.tolist(), rep_gap.tolist(), strict=True))]
                 if own:
                     ends = min(c[0][0] for c in own), max(c[-1][0] for c in own) + k, min(c[0][1] for c in own), max(c[-1][1] for c in own) + k
                     out.append((i, rep, *ends, [[x for m in c for x in m] for c in own]))
@@ -358,6 +378,13 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
                         rows = [(i, None, None, rep, None, None, None, None)]
                         break
                     share = n / max(1, t - s, v - u)
+                    if len(c) == 2 and (min(t - s, v - u) < min_words or share < similarity):
+                        # Its surroundings, as far as a place is looked at where it is matched.
+                        cut, rep_cut = max(0, b - longest), max(0, g - longest)
+                        own_x, own_y = x[cut : b + longest + 1], y[rep_cut : g + longest + 1]
+                        s, t, u, v, n, _ = align(own_x, own_y, [(p - cut, q - rep_cut) for p, q in c], k)
+                        s, t, u, v = s + cut, t + cut, u + rep_cut, v + rep_cut
+                        share = n / max(1, t - s, v - u)
                     if min(t - s, v - u) >= min_words and share >= similarity:
                         known.append((s, t, u, v))
                         rows.append((i, s + at, t + at, rep, u + rep_at, v + rep_at, n, share))
@@ -365,10 +392,10 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.float64()], strict=True)], names=["id", "start_word", "end_word", "rep_id", "rep_start", "rep_end", "n_matched", "similarity"])
 
-    def passages(matches: DataFrame, name: str) -> DataFrame:
+    def passages(matches: DataFrame, name: str, each: bool = False) -> DataFrame:
         """The passages that matches (id, rep, pos, gap, rep_pos, rep_gap) lie in."""
         rows = matches.groupBy("id", "rep").agg(F.collect_set(F.struct("pos", "gap", "rep_pos", "rep_gap")).alias("m"))
-        linked = space.table(rows.mapInArrow(chain, "id long, rep long, b long, e long, rb long, re long, chains array<array<long>>"), f"chains-{name}")
+        linked = space.table(rows.mapInArrow(lambda batches: chain(batches, each), "id long, rep long, b long, e long, rb long, re long, chains array<array<long>>"), f"chains-{name}")
         whole, reach = None, REACH
         while True:
             n_chains = linked.count()
@@ -384,11 +411,6 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
             reach *= 16
             linked = space.table(linked.join(more, ["id", "rep"], "left_semi"), f"chains-{name}-{reach}")
 
-    # A passage of min_words words has this many words at most, and so many that match; there are so many before and after a place in it.
-    longest, least = int(np.ceil(min_words / similarity)), int(np.ceil(min_words * similarity - 1e-9))
-    width = 2 * longest + 1
-    band = longest - min_words + 1
-
     def around(rows: DataFrame, n: int) -> DataFrame:
         """Plus the words around a place, as ``near``, with zeros where there are none."""
         begin = F.greatest(F.lit(0), F.col("pos") - longest)
@@ -401,31 +423,44 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
         at = (np.arange(len(near), dtype=np.int64)[:, None] * BAG + near % BAG)[near > 0]
         return np.bincount(at, minlength=len(near) * BAG).reshape(-1, BAG).astype(np.float32)
 
-    def fits(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Which pairs of rows may hold a passage around their middle: ``longest`` words in a row, the middle among them, of which ``least``
-        have an equal word in the other text not more than ``band`` places off."""
-        same = np.zeros(u.shape, bool)
-        for lag in range(-band, band + 1):
-            a, b = slice(max(0, -lag), width - max(0, lag)), slice(max(0, lag), width - max(0, -lag))
-            same[:, a] |= (u[:, a] == v[:, b]) & (u[:, a] > 0)
-        sums = np.concatenate([np.zeros((len(u), 1), np.int32), np.cumsum(same, 1, dtype=np.int32)], 1)
-        return (sums[:, longest:] - sums[:, : width + 1 - longest]).max(1) >= least
+    def hold(u: np.ndarray, v: np.ndarray, gap: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """If the seeds in the middle of the rows lie in passages, as far as the rows go: as ``align`` has it, for many pairs at once."""
+        before, same_before = extents(u[:, :longest][:, ::-1], v[:, :longest][:, ::-1])
+        after = np.arange(longest + 1)
+        right = [np.take_along_axis(np.pad(x, ((0, 0), (0, FAR + k))), longest + g[:, None] + k + after, 1) for x, g in ((u, gap), (v, other))]
+        more, same_more = extents(*right)
+        length, wide = before + np.minimum(gap, other) + k + more, before + np.maximum(gap, other) + k + more
+        # Between the k-mers all words may match at most; where that decides, the longest common subsequence is counted.
+        known = same_before + 2 * k + same_more
+        maybe = (length >= min_words) & (known + np.minimum(gap, other) - k >= similarity * wide)
+        for i in np.flatnonzero(maybe & (known < similarity * wide)):
+            x, y = (r[i, longest + k : longest + g[i]].tolist() for r, g in ((u, gap), (v, other)))
+            maybe[i] = known[i] + lcs(x, y) >= similarity * wide[i]
+        return maybe
 
     def alike(ours: list[tuple], theirs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Pairs in different units whose surroundings may be a passage."""
+        """For each of ``ours`` the first of ``theirs``, in another unit, with which it has a passage."""
+        theirs = sorted(theirs, key=lambda r: r[:2])
         u, v = (np.frombuffer(b"".join(x[3] for x in own), np.uint32).reshape(-1, width) for own in (ours, theirs))
         ids, reps = (np.array([x[0] for x in own]) for own in (ours, theirs))
+        gaps, others = (np.array([x[2] for x in own]) for own in (ours, theirs))
         maybe = ids[:, None] != reps
         if maybe.size > 64:  # a bound from above, as different words may meet in one place of a bag
             maybe &= bags(u) @ (bags(v) > 0).astype(np.float32).T >= least
-        i, j = np.nonzero(maybe)
-        for at in range(0, len(i), 4000):
-            own, other = i[at : at + 4000], j[at : at + 4000]
-            good = fits(u[own], v[other])
-            good[good] = fits(v[other[good]], u[own[good]])
-            rows = [(*ours[x][:3], *theirs[y][:3]) for x, y in zip(own[good].tolist(), other[good].tolist(), strict=True)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64(), pa.int32(), pa.int32()] * 2, strict=True)], names=["id", "pos", "gap", "rep", "rep_pos", "rep_gap"])
+        open_rows, size, rows = {i: np.flatnonzero(row) for i, row in enumerate(maybe) if row.any()}, 4, []
+        while open_rows:
+            own = np.concatenate([np.full(min(size, len(x)), i) for i, x in open_rows.items()])
+            other = np.concatenate([x[:size] for x in open_rows.values()])
+            for at in range(0, len(own), 4000):
+                i, j = own[at : at + 4000], other[at : at + 4000]
+                good = hold(u[i], v[j], gaps[i], others[j])
+                for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                    if open_rows.pop(x, None) is not None:
+                        rows.append((*ours[x][:3], *theirs[y][:3]))
+            open_rows = {i: x[size:] for i, x in open_rows.items() if len(x) > size}
+            size *= 4
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [pa.int64(), pa.int32(), pa.int32()] * 2, strict=True)], names=["id", "pos", "gap", "rep", "rep_pos", "rep_gap"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group = None, ([], [])
@@ -459,11 +494,11 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
             near = near.withColumn(f"{own}_at", F.pmod(F.xxhash64("id", "pos"), own).cast("int")).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             sides.append(near.select("seed", "m_at", "o_at", F.lit(side).alias("side"), "id", "pos", "gap", "near"))
         pairs = sides[0].unionByName(sides[1]).repartition("seed", "m_at", "o_at").sortWithinPartitions("seed", "m_at", "o_at")
-        pairs = pairs.mapInArrow(meet, "id long, pos int, gap int, rep long, rep_pos int, rep_gap int")
+        pairs = space.table(pairs.mapInArrow(meet, "id long, pos int, gap int, rep long, rep_pos int, rep_gap int"), f"pairs-{high}")
         place, other = F.struct("id", "pos", "gap"), F.struct(F.col("rep").alias("id"), F.col("rep_pos").alias("pos"), F.col("rep_gap").alias("gap"))
         pairs = pairs.select(F.greatest(place, other).alias("x"), F.least(place, other).alias("y"))
         pairs = pairs.select("x.id", F.col("y.id").alias("rep"), "x.pos", "x.gap", F.col("y.pos").alias("rep_pos"), F.col("y.gap").alias("rep_gap"))
-        found = space.table(found.unionByName(passages(pairs, str(high))).distinct(), f"all-{high}")
+        found = space.table(found.unionByName(passages(pairs, str(high), each=True)).distinct(), f"all-{high}")
         low, high = high, high * GROWTH
     kept = space.table(outermost(found, ["id", "rep_id"], "start_word", "end_word"), "passages")
     own = outermost(found.groupBy("rep_id", "rep_start").agg(F.max("rep_end").alias("rep_end")), ["rep_id"], "rep_start", "rep_end")

@@ -12,8 +12,8 @@ them, or of any if the option ``payload`` is false, is neither decompressed (whe
 Columns: record_id, type, date, target_uri, payload_digest (bare base32 SHA-1), refers_to, content_type, headers (map of all fields),
 payload (entity body of a response, null for other records), payload_length (of the body; for a revisit what its HTTP headers tell).
 
-Defined results: a null payload is empty; a null target is left out; CR and LF within a header become spaces; repeated records stay; an
-empty table gives an archive without records.
+Defined results: a null payload is empty; a null target is left out; CR and LF within a header become spaces; repeated records stay; a file
+that ends within a record is an error; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -40,6 +40,13 @@ FIELDS = {"record_id": "warc-record-id", "type": "warc-type", "date": "warc-date
 HEAD = 4096
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, that of the session where it names none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -149,8 +156,10 @@ class Gzip:
     def head(self) -> bytes | None:
         self.f.seek(self.at)
         start = self.f.read(12)
-        if len(start) < 12:
+        if not start:
             return None
+        if len(start) < 12:
+            raise ValueError(f"the file ends within a member at {self.at}")
         self.length = 0
         if start[3] == 4:
             extra = self.f.read(struct.unpack("<H", start[10:12])[0])
@@ -159,6 +168,8 @@ class Gzip:
         self.inflate = zlib.decompressobj(31)
         self.f.seek(self.at)
         self.data = self.f.read(self.length) if self.length else b""
+        if len(self.data) < self.length:
+            raise ValueError(f"the file ends within the member at {self.at}")
         self.known = b""
         return self.more(HEAD)
 
@@ -183,7 +194,7 @@ class Gzip:
         while not self.inflate.eof:
             self.data = self.data or self.f.read(1 << 16)
             if not self.data:
-                break
+                raise ValueError(f"the file ends within the member at {self.at}")
             self.inflate.decompress(self.data, 1 << 20)
             self.data = self.inflate.unconsumed_tail
         self.at = self.f.tell() - len(self.inflate.unused_data)
@@ -206,7 +217,10 @@ class Plain:
 
     def skip(self) -> None:
         fields, begin = headers_of(self.known)
-        self.at += begin + int(fields.get("content-length", 0)) + 4
+        end = self.at + begin + int(fields.get("content-length", 0))
+        if end > self.f.size():
+            raise ValueError(f"the file ends within the record at {self.at}")
+        self.at = end + 4
 
 
 class WarcReader(DataSourceReader):
@@ -348,9 +362,9 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "
     joined = rows.alias("r").join(again.alias("g"), (F.col("r.id") == F.col("g.id")) & (F.col("r.sha1") == F.col("g.sha1")), "left")
     first = F.col("g.first")
     out = joined.select(record_id(F.col("r.id")).alias("record_id"), F.when(first.isNull(), "response").otherwise("revisit").alias("type"), F.lit(date).alias("date"), F.col("r.target_uri"), F.col("r.sha1").alias("payload_sha1"), F.when(first.isNotNull(), record_id(first)).alias("refers_to"), F.col("r.payload"))
-    out.write.format("warc").mode("overwrite").save(path)
+    out.write.format("warc").mode("overwrite").save(qualified(spark, path))
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").options(payload=str(payload).lower(), verify=str(verify).lower()).load(path)
+    return spark.read.format("warc").options(payload=str(payload).lower(), verify=str(verify).lower()).load(qualified(spark, path))

@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and held-out rows."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -497,6 +498,18 @@ def test_lcs():
         assert substrings.lcs(x, y) == d[-1][-1]
 
 
+def test_extents_against_single_rows():
+    rng = np.random.default_rng(12)
+    x, y = rng.integers(1, 3, (300, 40)).astype(np.uint32), rng.integers(1, 3, (300, 40)).astype(np.uint32)
+    y[:200] = np.where(rng.random((200, 40)) < 0.85, x[:200], 9)
+    ends = rng.integers(0, 41, (300, 2))
+    for i, (a, b) in enumerate(ends):
+        x[i, a:], y[i, b:] = 0, 0
+    n, same = substrings.extents(x, y)
+    for i, (a, b) in enumerate(ends):
+        assert (n[i], same[i]) == substrings.outwards(x[i, :a], y[i, :b])[:2]
+
+
 def test_minimisers():
     rng = np.random.default_rng(12)
     for n in (0, 1, 5, 16, 200):
@@ -532,6 +545,53 @@ def test_planted_passages(spark):
     assert all(next(p for p, v in want.items() if r["id"] in v) == next(p for p, v in want.items() if r["rep_id"] in v) for r in got)
 
 
+def shared_windows(texts, size=50):
+    """Places (id, word) of windows that texts of several ids have exactly, by window."""
+    own = defaultdict(set)
+    for i, t in texts:
+        w = words_of(t)
+        for p in range(len(w) - size + 1):
+            own[tuple(w[p : p + size])].add((i, p))
+    return [x for x in own.values() if len({i for i, _ in x}) > 1]
+
+
+def test_passages_against_all_shared_windows(spark):
+    """Every window of 50 words that several documents share lies in a passage of each, but for a few words at its end where their common hub
+    has fewer; their documents are linked, and every passage is one."""
+    rng = random.Random(18)
+    noise = lambda n: [f"n{rng.randint(0, 10**6)}" for _ in range(n)]
+    pool = [noise(rng.randint(12, 140)) for _ in range(30)]
+    docs = []
+    for i in range(220):
+        parts = [rng.choice([noise(rng.randint(0, 60)), rng.choice(pool), rng.choice(pool)[rng.randint(0, 10) :]]) for _ in range(rng.randint(1, 6))]
+        docs.append((i, " ".join(w for x in parts for w in x)))
+    docs += [(220 + j, docs[j][1]) for j in range(8)]
+    got = substrings.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    spans, root = defaultdict(set), {i: i for i, _ in docs}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    said = {i: words_of(t) for i, t in docs}
+    for r in got:
+        spans[r["id"]].add((r["start_word"], r["end_word"]))
+        root[top(r["id"])] = top(r["rep_id"])
+        x, y = said[r["id"]][r["start_word"] : r["end_word"]], said[r["rep_id"]][r["rep_start"] : r["rep_end"]]
+        row = [0] * (len(y) + 1)
+        for u in x:
+            last = 0
+            for j, v in enumerate(y):
+                row[j + 1], last = last + 1 if u == v else max(row[j + 1], row[j]), row[j + 1]
+        assert min(len(x), len(y)) >= 50 and r["n_matched"] <= row[-1] and r["similarity"] >= 0.8 and abs(r["similarity"] - r["n_matched"] / max(len(x), len(y))) < 1e-9
+    found = shared_windows(docs)
+    assert len(found) > 500
+    inside = [max((min(e, p + 50) - max(b, p) for b, e in spans[i]), default=0) for x in found for i, p in x]
+    assert min(inside) >= 40 and sum(n == 50 for n in inside) >= 0.99 * len(inside)
+    assert all(len({top(i) for i, _ in x}) == 1 for x in found)
+
+
 def test_fuzzy_passages_are_found(spark):
     """Passages of which a fifth to a tenth of the words are changed, against nothing else in common."""
     rng = random.Random(14)
@@ -577,7 +637,7 @@ def test_frequent_seeds_meet_within_a_task(spark):
     docs = spark.createDataFrame([(i, " ".join(noise(10) + p + noise(10))) for i in range(300)], "doc_id long, text string").repartition(3)
     got = substrings.repeated_passages(docs).collect()
     assert {(r["id"], r["start_word"], r["end_word"]) for r in got} == {(i, 10, 80) for i in range(300)}
-    assert len({r["rep_id"] for r in got}) <= 10 and len(got) < 400
+    assert len({r["rep_id"] for r in got}) <= 10 and len(got) < 600  # no pairs of all
 
 
 def test_texts_of_one_id_and_copies(spark):
@@ -615,6 +675,20 @@ def test_warc_pushdown_and_plain_files(spark, tmp_path):
     assert sorted(map(str, warc.read_warc(spark, f"{tmp_path}/c").collect())) == want
 
 
+@pytest.mark.parametrize("kind", ["sized", "gzip", "plain"])
+def test_truncated_archives_are_errors(spark, tmp_path, kind):
+    rows = [warc.record({"WARC-Type": "response", "WARC-Record-ID": f"<urn:x:{i}>"}, f"page {i} ".encode() * 50, False) for i in range(4)]
+    pack = {"sized": lambda x: warc.member(x, 6), "gzip": gzip.compress, "plain": bytes}[kind]
+    whole = b"".join(map(pack, rows))
+    name = "a.warc" if kind == "plain" else "a.warc.gz"
+    (tmp_path / name).write_bytes(whole)
+    assert warc.read_warc(spark, str(tmp_path)).count() == 4
+    for cut in (len(whole) - 20, len(whole) - len(pack(rows[-1])) + 5):
+        (tmp_path / name).write_bytes(whole[:cut])
+        with pytest.raises(Exception, match="ends within|no WARC headers"):
+            warc.read_warc(spark, str(tmp_path)).collect()
+
+
 def records(data):
     while data:
         head, begin = warc.headers_of(data)
