@@ -10,10 +10,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import graph, language_id, mixing, near_dedup, pii, quality, substrings, topk, warc, words
+from parley.llm import common, graph, language_id, mixing, near_dedup, pii, quality, substrings, topk, warc, words
 from parley.llm.common import Workspace, attach, spread_join
 from parley.llm.decontam import SuffixAutomaton, find_items, merged, scan, shards
 from parley.llm.graph import components
@@ -202,6 +203,30 @@ def test_links_that_no_pivot_shows(spark):
         near_dedup.BLOCK_BYTES = old
 
 
+def test_large_groups_of_boilerplate(spark, monkeypatch):
+    """Documents that are alike in most of their text, in groups beyond the size of a block, against brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 6)
+    rng = random.Random(9)
+    say = lambda n: [f"n{rng.randint(0, 10**6)}" for _ in range(n)]
+    line, texts = say(60), {}
+    for i in range(90):
+        own = say(rng.randint(18, 40))
+        texts[3 * i] = " ".join(line + own)
+        for j in range(rng.randint(0, 2)):
+            texts[3 * i + j + 1] = " ".join(line + [w if rng.random() > 0.03 else "x" + w for w in own] + say(rng.randint(0, 3)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == classes(texts)
+
+
+def test_batches_are_bounded_in_rows_and_bytes(spark):
+    bound = common.bound_batches
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    bound(spark)
+    assert [int(spark.conf.get(k).removesuffix("b")) for k in keys] == [1000, 16 << 20]
+    sizes = spark.range(40).select(F.repeat(F.lit("x"), 1 << 20).alias("t")).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"]) for b in batches), "n long").collect()
+    assert len(sizes) > 1 and max(r["n"] for r in sizes) < 24 << 20
+
+
 def test_overlaps_against_counters():
     rng = np.random.default_rng(5)
     bags = [np.sort(rng.integers(0, 40, rng.integers(1, 60)).astype(np.uint64)) for _ in range(40)]
