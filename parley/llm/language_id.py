@@ -33,7 +33,7 @@ from parley.llm.common import HEAVY_KEYS, Workspace, free_name, others
 DIMS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 PIECE = 1 << 20
-REJECT, ENOUGH, SIZES = 0.5, 20, 17
+REJECT, ENOUGH, SIZES = 0.4, 20, 17
 
 
 def letters(text: Column) -> Column:
