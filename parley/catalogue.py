@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators import centroid, cluster, corpus, keynet, lexrank, segment, stats, vectors
+from parley.operators import analyses, centroid, cluster, corpus, keynet, lexrank, segment, stats, vectors
 from parley.operators.search import Search
 from parley.oracles import ORACLES  # noqa: F401
 from parley.sources import transcripts
@@ -83,7 +83,7 @@ COUNTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "entities_by_document": lambda u: stats.entity_counts(u, per_document=True),
     "entity_keywords": stats.entity_keywords,
     "corpus_speakers_ranked": lambda u: stats.most_common(stats.corpus_speakers(u), "speaker", "n_utterances"),
-    "entities_ranked": lambda u: stats.most_common(stats.entity_counts(u), "entity", "n", top=75),
+    "entities_ranked": analyses.Entities(top=75),
 }
 
 LOOKUPS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -96,6 +96,7 @@ WEIGHTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "tfidf_utterance": lambda u: rounded(vectors.utterance_vectors(u), "w"),
     "tfidf_document_sublinear": lambda u: rounded(vectors.keyword_vectors(u), "w"),
     "tfidf_cluster": lambda u: rounded(vectors.cluster_vectors(u), "w"),
+    "doc_distance_matrix": lambda u: cluster.distance_matrix(u).select("doc_id", F.posexplode("distances").alias("other", "dist")).select("doc_id", "other", F.round("dist", 6).alias("dist")),
     "doc_cosine_distance": lambda u: rounded(cluster.distances(vectors.cluster_vectors(u), u), "dist"),
 }
 
@@ -105,21 +106,21 @@ GRAPHS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "lexrank_edges_tfidf": lambda u: rounded(lexrank.edges(u, "tfidf"), "sim"),
     "lexrank_pagerank_fixed": lambda u: rounded(lexrank.scores(u, rounds=20).select("doc_id", "text", "score"), "score"),
     "lexrank_pruned_nodes": lambda u: lexrank.graph(u, prune=True)[0],
-    "lexrank_keyphrases": lambda u: rounded(lexrank.keyphrases(u), "score"),
+    "lexrank_keyphrases": lambda u: rounded(analyses.Keyphrases()(u), "score"),
     "lexrank_weighted": lambda u: rounded(lexrank.keyphrases(u, method="tfidf", weighted=True), "score"),
     "keynet_keywords": lambda u: rounded(keynet.keywords(u), "score"),
     "keynet_cooccurrence": lambda u: keynet.cooccurrences(u, keywords_of(u)),
     "keynet_edges": lambda u: rounded(keynet.network(u, keywords_of(u)), "weight"),
-    "keynet_centrality": lambda u: rounded(keynet.build_keywords(u)[0], "centrality", "node_size"),
+    "keynet_centrality": lambda u: rounded(analyses.KeywordNetwork()(u)[0], "centrality", "node_size"),
 }
 
 SUMMARIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "centroid_cosine": lambda u: rounded(centroid.cosines(u), "score"),
     "centroid_new_vocab": lambda u: rounded(centroid.new_vocabulary(u, IDF_THRESHOLD), "score"),
-    "centroid_summary": lambda u: centroid.summarize(u),
-    "centroid_summary_best": lambda u: centroid.summarize(u, "best", n=5),
-    "centroid_summary_all": lambda u: centroid.summarize(u, "all"),
-    "centroid_summary_tfidf": lambda u: centroid.summarize(u, "tfidf", n=5, threshold=IDF_THRESHOLD),
+    "centroid_summary": analyses.Summary(),
+    "centroid_summary_best": analyses.Summary("best", n=5),
+    "centroid_summary_all": analyses.Summary("all"),
+    "centroid_summary_tfidf": analyses.Summary("tfidf", n=5, threshold=IDF_THRESHOLD),
 }
 
 SEGMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -128,8 +129,8 @@ SEGMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "texttile_depth": lambda u: rounded(deep(u).select("doc_id", "gap", "depth"), "depth"),
     "texttile_candidates": lambda u: rounded(segment.candidates(deep(u)).select("doc_id", "gap", "depth"), "depth"),
     "texttile_boundaries": lambda u: segment.boundaries(deep(u)),
-    "texttile_segments": lambda u: segment.segments(u, TILING),
-    "texttile_plot": lambda u: rounded(segment.plot_data(u, TILING), "score", "smooth", "depth"),
+    "texttile_segments": analyses.Segmentation(TILING),
+    "texttile_plot": lambda u: rounded(analyses.Segmentation(TILING)(u, plot=True), "score", "smooth", "depth"),
     "segment_lsa": lambda u: segment.summaries(segment.segments(u, TILING)),
 }
 

@@ -196,6 +196,8 @@ ORACLES: dict[str, str] = {
     "tfidf_utterance": q(UTT, "SELECT doc_id, pos, term, round(w, 6) AS w FROM v"),
     "tfidf_document_sublinear": q(KEY, "SELECT doc_id, term, round(w, 6) AS w FROM v"),
     "tfidf_cluster": q(CLU, "SELECT doc_id, term, round(w, 6) AS w FROM v"),
+    "doc_distance_matrix": q(f"{CLU}, n AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INT) AS other FROM (SELECT DISTINCT doc_id FROM u)), s AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL)",
+                             "SELECT x.doc_id, y.other, round(CASE WHEN x.doc_id = y.doc_id THEN 0 ELSE 1 - coalesce(s, 0) END, 6) AS dist FROM n x, n y LEFT JOIN s ON s.a = x.doc_id AND s.b = y.doc_id"),
     "doc_cosine_distance": q(CLU, "SELECT a.doc_id AS a, b.doc_id AS b, round(1 - sum(a.w * b.w), 6) AS dist FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL"),
     "lexrank_edges_naive": q(OVER, "SELECT doc_id, i, j, round(CASE WHEN n <> 1 THEN n / log10(n) ELSE 0 END, 6) AS sim FROM o"),
     "lexrank_edges_idfmod": q(f"{LEX}, m AS (SELECT doc_id, pos, sqrt(sum(x * x)) AS m FROM r GROUP BY ALL), s AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, sum(a.x * b.x) AS s FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos < b.pos GROUP BY ALL)",

@@ -384,3 +384,15 @@ def test_segments_by_a_walk_over_the_text(talks):
                 done = c
         want.append(text[done:])
         assert [got[doc][i] for i in range(len(got[doc]))] == [x.replace("\n\n\t ", " | ") for x in want]
+
+
+def test_callable_analyses(transcripts):
+    from parley.operators import analyses
+
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert same(analyses.Keyphrases("tfidf", weighted=True)(transcripts, top=2), lexrank.keyphrases(transcripts, top=2, method="tfidf", weighted=True))
+    assert same(analyses.Summary("best", n=2)(transcripts, length=2), centroid.summarize(transcripts, "best", n=2, length=2))
+    assert same(analyses.Segmentation()(transcripts), segment.segments(transcripts))
+    assert [r["rank"] for r in analyses.Entities()(transcripts).orderBy("rank").collect()][0] == 1
+    nodes, edges = analyses.KeywordNetwork()(transcripts, window=2)
+    assert set(nodes.columns) == {"term", "centrality", "node_size"} and "edge_width" in edges.columns
