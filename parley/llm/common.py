@@ -134,17 +134,20 @@ def others(df: DataFrame, *added: str, drop: bool = True) -> list[str]:
     return [c for c in df.columns if not (drop and c.lower() in added)]
 
 
-def spread_join(left: DataFrame, table: DataFrame, key: str, spread: str, n_left: int, share: int = 1000) -> DataFrame:
-    """Join ``left`` (``n_left`` rows) with ``table`` (one row per ``key``, of any width), many rows of ``left`` per key or not.
+def spread_join(left: DataFrame, table: DataFrame, key: str, spread: str, n_left: int, share: int = 1000, counted: DataFrame | None = None) -> DataFrame:
+    """Join ``left`` (``n_left`` rows) with ``table`` (one row per ``key``, of any width), many rows of ``left`` per key or not. ``counted`` has as many
+    rows per key as ``left``, and is ``left`` if not given.
 
-    A key with more than ``share`` rows is dealt over one task per ``share`` rows, by a hash of ``spread``, and its row of ``table`` is
-    copied to each.
+    A key with more than ``share`` rows (or more, so that there are ``HEAVY_KEYS`` such keys at most) is dealt over one task per ``share`` rows, by a
+    hash of ``spread``, and its row of ``table`` is copied to each.
     """
-    many = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_copies")).filter("_copies > 1")
+    share = max(share, n_left // HEAVY_KEYS)
+    heavy = (left if counted is None else counted).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_copies")).filter("_copies > 1").collect() if n_left > share else []
+    if not heavy:
+        return left.join(table, key)
+    many = F.broadcast(left.sparkSession.createDataFrame(heavy, f"`{key}` {left.schema[key].dataType.simpleString()}, _copies int"))
     own = table.join(many, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
-    # One row for each ``share`` rows at most.
-    top = F.broadcast(many) if n_left <= HEAVY_KEYS * share else many
-    dealt = left.join(top, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    dealt = left.join(many, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
     return dealt.join(own, [key, "_salt"]).drop("_salt")
 
 

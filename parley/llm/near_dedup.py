@@ -183,7 +183,7 @@ def verify(pairs: DataFrame, bag_table: DataFrame, similarity: float) -> DataFra
     """
     n_pairs = pairs.count()
     joined = spread_join(pairs.select("a", "b"), bag_table.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a", "b", n_pairs)
-    joined = spread_join(joined, bag_table.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b", "a", n_pairs).select("a", "b", "bag_a", "bag_b")
+    joined = spread_join(joined, bag_table.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b", "a", n_pairs, counted=pairs).select("a", "b", "bag_a", "bag_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -401,7 +401,7 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
             n_chains = linked.count()
             placed = linked.withColumn("at", F.greatest(F.lit(0), F.col("b") - reach)).withColumn("rep_at", F.greatest(F.lit(0), F.col("rb") - reach))
             sides = spread_join(placed, known, "id", "rep", n_chains).withColumn("x", part("words", "at", "e", reach)).withColumn("x_ends", F.octet_length("words") <= (F.col("e") + reach) * 4).drop("words")
-            sides = spread_join(sides, known.withColumnRenamed("id", "rep"), "rep", "id", n_chains).withColumn("y", part("words", "rep_at", "re", reach)).withColumn("y_ends", F.octet_length("words") <= (F.col("re") + reach) * 4).drop("words")
+            sides = spread_join(sides, known.withColumnRenamed("id", "rep"), "rep", "id", n_chains, counted=linked).withColumn("y", part("words", "rep_at", "re", reach)).withColumn("y_ends", F.octet_length("words") <= (F.col("re") + reach) * 4).drop("words")
             found = sides.select("id", "rep", "at", "rep_at", "chains", "x", "y", "x_ends", "y_ends").mapInArrow(aligned, "id long, start_word long, end_word long, rep_id long, rep_start long, rep_end long, n_matched long, similarity double")
             found = space.table(found, f"found-{name}-{reach}")
             closed, more = found.filter("n_matched is not null"), found.filter("n_matched is null").select("id", F.col("rep_id").alias("rep"))
@@ -411,12 +411,12 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
             reach *= 16
             linked = space.table(linked.join(more, ["id", "rep"], "left_semi"), f"chains-{name}-{reach}")
 
-    def around(rows: DataFrame, n: int) -> DataFrame:
+    def around(rows: DataFrame, n: int, counted: DataFrame) -> DataFrame:
         """Plus the words around a place, as ``near``, with zeros where there are none."""
         begin = F.greatest(F.lit(0), F.col("pos") - longest)
         near = F.substring(F.col("words"), (begin * 4 + 1).cast("int"), ((F.col("pos") + longest + 1 - begin) * 4).cast("int"))
         near = F.lpad(near, (F.octet_length(near) + (longest - (F.col("pos") - begin)) * 4).cast("int"), F.lit(b"\0"))
-        return spread_join(rows, known, "id", "pos", n).withColumn("near", F.rpad(near, width * 4, F.lit(b"\0"))).drop("words")
+        return spread_join(rows, known, "id", "pos", n, counted=counted).withColumn("near", F.rpad(near, width * 4, F.lit(b"\0"))).drop("words")
 
     def bags(near: np.ndarray) -> np.ndarray:
         """Numbers of the words of each row by their hash in ``BAG``."""
@@ -475,22 +475,27 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
             yield from alike(*group)
 
     found = space.table(passages(matches, "0"), "all-0")
-    rest = attach(places.select("seed", "id", "pos", "gap"), counts.withColumn("m", F.col("n")), ["seed"], n_places).withColumnRenamed("m", "n") if most else None
     turn = F.col("n") * F.pmod(F.xxhash64("seed", "id", "pos"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    left = pool = None
     low, high = 0, ROUND
     while low < most:
-        left = space.table(uncovered(rest.filter(F.col("n") > low), found, k), f"left-{high}")
+        if left is None:
+            rest = attach(places.select("seed", "id", "pos", "gap"), counts.withColumn("m", F.col("n")), ["seed"], n_places).withColumnRenamed("m", "n")
+            left = space.table(uncovered(rest, found, k), "left-0")
+            pool = space.table(rest.join(left.select("seed").distinct(), "seed", "left_semi"), "pool")
+        else:  # what is covered stays so
+            left = space.table(uncovered(left.filter(F.col("n") > low), found, k), f"left-{low}")
         n_left = left.count()
         if not n_left:
             break
         # A seed's places on either side are dealt into blocks, and each block meets each of the other side.
         blocks = lambda rows, name: rows.groupBy("seed").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-        theirs = space.table(rest.filter((turn >= low) & (turn < high)).join(left.select("seed").distinct(), "seed", "left_semi"), f"others-{high}")
+        theirs = space.table(pool.filter((turn >= low) & (turn < high)).join(left.select("seed").distinct(), "seed", "left_semi"), f"others-{high}")
         n_theirs = theirs.count()
         dealt = space.table(blocks(left, "m").join(blocks(theirs, "o"), "seed"), f"blocks-{high}")
         sides = []
         for side, (rows, n_rows, own, other) in enumerate(((left, n_left, "m", "o"), (theirs, n_theirs, "o", "m"))):
-            near = around(rows.join(dealt, "seed"), n_rows)
+            near = around(rows.join(dealt, "seed"), n_rows, rows)
             near = near.withColumn(f"{own}_at", F.pmod(F.xxhash64("id", "pos"), own).cast("int")).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             sides.append(near.select("seed", "m_at", "o_at", F.lit(side).alias("side"), "id", "pos", "gap", "near"))
         pairs = sides[0].unionByName(sides[1]).repartition("seed", "m_at", "o_at").sortWithinPartitions("seed", "m_at", "o_at")
