@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,11 +30,18 @@ def power_iteration(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, ro
     return rank
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, most: int = 5_000_000) -> DataFrame:
     """(doc_id, node, score): each document's graph in a group of its own. ``edges`` may carry a ``weight``, else 1.
 
-    For graphs that fit a task; ``pagerank_frames`` is for larger ones.
+    With ``keep`` (see ``pagerank_frames``), documents of more than ``most`` edges are ranked by joins, in a fixed number of rounds.
     """
+    if keep:
+        edges = keep(edges)
+        large = keep(edges.groupBy("doc_id").count().filter(F.col("count") > most).select("doc_id"))
+        if not large.isEmpty():
+            # Documents beyond a task's size; there are few.
+            many = pagerank_frames(nodes.join(large, "doc_id", "left_semi"), edges.join(large, "doc_id", "left_semi"), rounds or ROUNDS, keep)
+            return pagerank(nodes.join(large, "doc_id", "left_anti"), edges.join(large, "doc_id", "left_anti"), rounds).unionByName(many)
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
     linked = edges.select("doc_id", "a", "b", weight.alias("weight"))
     rows = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list("node")).alias("nodes")).join(linked.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "weight")).alias("edges")), "doc_id", "left")
@@ -54,10 +63,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> D
 
 
 def transitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, src, dst, p) of the edges in both directions; nodes without edges have no row."""
-    both = edges.select("doc_id", F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.filter("a <> b").select("doc_id", F.col("b").alias("src"), F.col("a").alias("dst")))
-    degree = both.groupBy("doc_id", "src").agg((1.0 / F.count(F.lit(1))).alias("p"))
-    return both.join(degree, ["doc_id", "src"])
+    """(doc_id, src, dst, p) of the edges in both directions, by their weights if they have some; nodes without edges have no row."""
+    edges = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
+    both = edges.select("doc_id", F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(edges.filter("a <> b").select("doc_id", F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+    degree = both.groupBy("doc_id", "src").agg(F.sum("weight").alias("degree"))
+    return both.join(degree, ["doc_id", "src"]).select("doc_id", "src", "dst", (F.col("weight") / F.col("degree")).alias("p"))
 
 
 def pagerank_frames(nodes: DataFrame, edges: DataFrame, rounds: int, keep) -> DataFrame:

@@ -6,6 +6,8 @@ for; so the three similarities give the same keyphrases by default. Nodes are te
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,15 +60,15 @@ def graph(utterances: DataFrame, method: str = "naive", weighted: bool = False,
     return nodes, ends
 
 
-def scores(utterances: DataFrame, method: str = "naive", weighted: bool = False, rounds: int | None = None) -> DataFrame:
-    """(doc_id, node, text, score)."""
+def scores(utterances: DataFrame, method: str = "naive", weighted: bool = False, rounds: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, node, text, score). With ``keep`` documents of very many edges are ranked by joins, not in a task."""
     nodes, ends = graph(utterances, method, weighted)
-    return pagerank(nodes.select("doc_id", "node"), ends, rounds).join(nodes, ["doc_id", "node"])
+    return pagerank(nodes.select("doc_id", "node"), ends, rounds, keep).join(nodes, ["doc_id", "node"])
 
 
-def keyphrases(utterances: DataFrame, speakers: list[str] | None = None, use_main: bool = False, top: int = 5, max_words: int | None = 50, method: str = "naive", weighted: bool = False, rounds: int | None = None) -> DataFrame:
+def keyphrases(utterances: DataFrame, speakers: list[str] | None = None, use_main: bool = False, top: int = 5, max_words: int | None = 50, method: str = "naive", weighted: bool = False, rounds: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, rank, text, score): the best of each document with fewer than ``max_words`` words; ties go to the first text."""
-    ranked = scores(chosen_speakers(utterances, speakers, use_main), method, weighted, rounds)
+    ranked = scores(chosen_speakers(utterances, speakers, use_main), method, weighted, rounds, keep)
     if max_words:
         ranked = ranked.filter(F.size(X.words(F.col("text"))) < max_words)
     # Scores that differ in rounding only are ties.

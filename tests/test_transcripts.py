@@ -98,6 +98,22 @@ def test_pagerank_frames(transcripts, spark):
     assert np.allclose([r[2] for r in rows(a, "doc_id", "node", "score")], [r[2] for r in rows(b, "doc_id", "node", "score")])
 
 
+def test_large_documents_are_ranked_by_joins(transcripts, spark, tmp_path):
+    made = []
+
+    def keep(df):
+        made.append(f"{tmp_path}/{len(made)}")
+        df.write.parquet(made[-1])
+        return spark.read.parquet(made[-1])
+
+    nodes, edges = lexrank.graph(transcripts, "tfidf", weighted=True)
+    nodes = nodes.select("doc_id", "node")
+    want = {(r["doc_id"], r["node"]): r["score"] for r in graph.pagerank(nodes, edges, 30).collect()}
+    for most in (0, 1, 100):  # both documents are large, one of them, none
+        got = {(r["doc_id"], r["node"]): r["score"] for r in graph.pagerank(nodes, edges, 30, keep, most).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 @pytest.mark.parametrize(("window", "found"), [(2, {("fishing", "river"): (7, 311.1111), ("river", "water"): (2, 88.8889)}), (10, {("fishing", "river"): (9, 327.2727), ("river", "water"): (2, 72.7273)}), (1, {("fishing", "river"): (3, 300.0), ("river", "water"): (1, 100.0)})])
 def test_network(spark, transcripts, window, found):
     terms = spark.createDataFrame([("fishing",), ("river",), ("water",)], "term string")
