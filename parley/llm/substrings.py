@@ -12,13 +12,13 @@ are chained: a chain ascends in both texts, and its score is k for every k-mer l
 either. As that cost is linear, the best predecessor of a match is a prefix maximum over positions in the hub, which a Fenwick tree keeps.
 
 What the hub leaves is gone on with: a place of a seed that no passage covers is compared with the seed's other places too, ``ROUND`` of them
-in the first round, ``GROWTH`` times as many in each that follows, until passages cover it or all have had their turn. The places of a seed meet in
+in a first round, and if no passage covers it then, with all others. The places of a seed meet in
 blocks; bags of words rule most pairs out, the others are aligned in place, many at once, and the first that has a passage with it is a
 place's match. So a group of texts that share a passage gives a match for each, not all pairs.
 
 Chains are then aligned on the words: gaps between seeds by the longest common subsequence, the ends outwards along the diagonal while the
 score does not drop too far; on slices of both texts, and where an end came to the end of a slice, all chains of these two texts once more on slices
-16 times as wide, until none does. Passages of ``min_words`` words or more in both texts, of which ``similarity`` or more match, stay.
+``WIDER`` times as wide, until none does. Passages of ``min_words`` words or more in both texts, of which ``similarity`` or more match, stay.
 
 Result: a row per passage of a unit's smallest id, with the place of the hub's passage, and one for each hub's passage itself (its own
 representative); for every other id of a unit a row that says that its whole text is that of the smallest. Passages that many documents share
@@ -47,8 +47,10 @@ NEAR, FAR = 16, 32
 LOCAL, CHUNK = 64, 1 << 21
 #: Words beyond the chains in the first slices.
 REACH = 96
-#: Places of a seed that a place left by the hub is compared with in the first round, and by how much later rounds grow.
-ROUND, GROWTH = 32, 64
+#: By how much slices grow where a passage goes on beyond them.
+WIDER = 64
+#: Places of a seed that a place left by the hub is compared with in the first round; the second takes all others.
+ROUND = 32
 #: Places of either side of a seed whose pairs are looked at together, and width of the bags of words that rule most out.
 BLOCK = 500
 BAG = 2048
@@ -408,7 +410,7 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
             whole = closed if whole is None else whole.unionByName(closed)
             if more.isEmpty():
                 return whole.distinct()
-            reach *= 16
+            reach *= WIDER
             linked = space.table(linked.join(more, ["id", "rep"], "left_semi"), f"chains-{name}-{reach}")
 
     def around(rows: DataFrame, n: int, counted: DataFrame) -> DataFrame:
@@ -504,12 +506,12 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
         pairs = pairs.select(F.greatest(place, other).alias("x"), F.least(place, other).alias("y"))
         pairs = pairs.select("x.id", F.col("y.id").alias("rep"), "x.pos", "x.gap", F.col("y.pos").alias("rep_pos"), F.col("y.gap").alias("rep_gap"))
         found = space.table(found.unionByName(passages(pairs, str(high), each=True)).distinct(), f"all-{high}")
-        low, high = high, high * GROWTH
+        low, high = high, max(most, high + 1)
     kept = space.table(outermost(found, ["id", "rep_id"], "start_word", "end_word"), "passages")
     own = outermost(found.groupBy("rep_id", "rep_start").agg(F.max("rep_end").alias("rep_end")), ["rep_id"], "rep_start", "rep_end")
     own = own.select(F.col("rep_id").alias("id"), F.col("rep_start").alias("start_word"), F.col("rep_end").alias("end_word"), "rep_id", "rep_start", "rep_end", (F.col("rep_end") - F.col("rep_start")).alias("n_matched"), F.lit(1.0).alias("similarity"))
     # From units to ids.
-    kept = kept.unionByName(own)
+    kept = space.table(kept.unionByName(own), "rows")
     names = units.select("id", "doc")
     mine, theirs = names.select("id", F.col("doc").alias("own")), names.select(F.col("id").alias("rep_id"), F.col("doc").alias("rep"))
     per = kept.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(mine, "id")
