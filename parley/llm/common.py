@@ -102,17 +102,18 @@ def sorted_buckets(spark: SparkSession):
     return setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
 
-def attach(left: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", n: str = "n") -> DataFrame:
+def attach(left: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner", n: str = "n", few: int = 1) -> DataFrame:
     """Join ``left`` (``total`` rows) with ``table``, which has one row per key and in ``n`` the rows that ``left`` has of it.
 
     Keys with at least ``total / HEAVY_KEYS`` rows are joined by a broadcast: there are ``HEAVY_KEYS`` of them at most,
     whatever the data. All others have few rows each, so a shuffle deals them evenly. The two parts are told apart by a hash
-    of the key, of which the heavy ones are listed in the plan. ``how`` is inner or left_semi.
+    of the key, of which the heavy ones are listed in the plan; keys of fewer than ``few`` rows never are. ``how`` is inner or left_semi.
     """
     least = max(1, total // HEAVY_KEYS)
     plain = table.drop(n)
     if least == 1:
         return left.join(F.broadcast(plain), keys, how)
+    least = max(least, few)
     code = "xxhash64(" + ", ".join(f"CAST(`{k}` AS {table.schema[k].dataType.simpleString()})" for k in keys) + ")"
     heavy = [str(r[0]) for r in table.filter(F.col(n) >= least).select(F.expr(code)).distinct().collect()]
     if not heavy:

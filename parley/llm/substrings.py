@@ -482,7 +482,7 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
     low, high = 0, ROUND
     while low < most:
         if left is None:
-            rest = attach(places.select("seed", "id", "pos", "gap"), counts.withColumn("m", F.col("n")), ["seed"], n_places).withColumnRenamed("m", "n")
+            rest = attach(places.select("seed", "id", "pos", "gap"), counts.withColumn("m", F.col("n")), ["seed"], n_places, few=1000).withColumnRenamed("m", "n")
             left = space.table(uncovered(rest, found, k), "left-0")
             pool = space.table(rest.join(left.select("seed").distinct(), "seed", "left_semi"), "pool")
         else:  # what is covered stays so
@@ -516,13 +516,13 @@ def repeated_passages(docs: DataFrame, k: int = 3, window: int = 6, min_words: i
     mine, theirs = names.select("id", F.col("doc").alias("own")), names.select(F.col("id").alias("rep_id"), F.col("doc").alias("rep"))
     per = kept.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(mine, "id")
     n_kept = kept.count()
-    kept = attach(kept, per, ["id"], n_kept)
+    kept = attach(kept, per, ["id"], n_kept, few=1000)
     per = kept.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n")).join(theirs, "rep_id")
-    kept = attach(kept, per, ["rep_id"], n_kept).select(F.col("own").alias("id"), "start_word", "end_word", F.col("rep").alias("rep_id"), "rep_start", "rep_end", "n_matched", "similarity")
+    kept = attach(kept, per, ["rep_id"], n_kept, few=1000).select(F.col("own").alias("id"), "start_word", "end_word", F.col("rep").alias("rep_id"), "rep_start", "rep_end", "n_matched", "similarity")
     # Copies: the whole text, on either side.
     whole = units.filter("doc <> last").join(known.select("id", (F.octet_length("words") / 4).cast("long").alias("size")), "id").filter(F.col("size") >= min_words)
     whole = space.table(whole.select("id", F.col("doc").alias("rep"), "size", "n"), "copied")
-    copies = attach(raw.select("doc", "id"), whole, ["id"], units.agg(F.sum("n")).first()[0] or 0).select("doc", "rep", "size")
+    copies = attach(raw.select("doc", "id"), whole, ["id"], units.agg(F.sum("n")).first()[0] or 0, few=1000).select("doc", "rep", "size")
     zero = F.lit(0).cast("long")
     copies = copies.select(F.col("doc").alias("id"), zero.alias("start_word"), F.col("size").alias("end_word"), F.col("rep").alias("rep_id"), zero.alias("rep_start"), F.col("size").alias("rep_end"), F.col("size").alias("n_matched"), F.lit(1.0).alias("similarity"))
     return kept.unionByName(copies).distinct()
