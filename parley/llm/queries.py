@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import language_id, pii, quality, warc
+from parley.llm import language_id, pii, quality, structure, warc
 from parley.llm.common import Workspace
 from parley.llm.decontam import find_items
+from parley.llm.exact_dedup import exact_duplicates
+from parley.llm.fim import fill_in_middle, restored
 from parley.llm.line_dedup import drop_frequent_lines
 from parley.llm.mixing import mix
 from parley.llm.near_dedup import near_duplicates
@@ -87,6 +89,22 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return structure.Repair(structure.damaged(turns)).report(turns)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_duplicates(docs, digest=True, texts=False)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1, rate=90, spm_rate=20)
+    whole = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
@@ -98,4 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_near_dedup": op9_near_dedup,
     "op10_topk_search": op10_topk_search,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
