@@ -206,7 +206,7 @@ def walks(segments: DataFrame, space: Workspace) -> DataFrame:
                 s, tail = r["ends"][s], r["tail"]
             yield _batch(rows, arrow)
 
-    found = segments.join(behind(segments), "seg").select("conv", "seg", "codes", "after", "last", "cost", "blank", "duplicate", "truncated", "illegal").mapInArrow(each, ways)
+    found = segments.join(behind(segments).hint("merge"), "seg").select("conv", "seg", "codes", "after", "last", "cost", "blank", "duplicate", "truncated", "illegal").mapInArrow(each, ways)
     return space.table(found.repartition("conv").sortWithinPartitions("conv", "seg").mapInArrow(chosen, out), "walks")
 
 
@@ -224,7 +224,8 @@ class Repair:
         role, or beside which one was inserted."""
         tokens = F.regexp_extract_all("plan", F.lit("(?:I[ua])*(?:D|K|R[ua])(?:(?:I[ua])+$)?"), F.lit(0))
         edits = self.walks.select("seg", F.posexplode(tokens).alias("at", "edits")).select((F.col("seg") + F.col("at")).alias("seq"), F.regexp_extract_all("edits", F.lit("[IR][ua]|D|K"), F.lit(0)).alias("edits"))
-        made = self.rows.join(edits, "seq").select("conv", "seq", "turn", "role", "text", F.posexplode("edits").alias("k", "edit")).filter("edit != 'D'")
+        # Plans are written small and unfold to far more: not for a broadcast.
+        made = self.rows.join(edits.hint("merge"), "seq").select("conv", "seq", "turn", "role", "text", F.posexplode("edits").alias("k", "edit")).filter("edit != 'D'")
         given = F.when(F.col("edit") == "K", F.col("role")).when(F.col("edit").endswith("u"), "user").otherwise("assistant")
         return made.select("conv", "seq", "k", "turn", given.alias("role"), F.when(F.col("edit").startswith("I"), "").otherwise(F.col("text")).alias("text"), F.left("edit", F.lit(1)).alias("edit"))
 
