@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators import analyses, centroid, cluster, corpus, keynet, lexrank, segment, stats, vectors
+from parley.operators import analyses, centroid, cluster, corpus, keynet, lexrank, segment, sentences, stats, vectors
 from parley.operators.search import Search
 from parley.oracles import ORACLES  # noqa: F401
 from parley.sources import transcripts
@@ -53,6 +53,11 @@ def deep(u: DataFrame) -> DataFrame:
     return segment.depths(segment.smoothed(tiles(u)))
 
 
+def nearest_paragraphs(u: DataFrame) -> DataFrame:
+    docs = segment.joined(u)
+    return segment.snapped(docs, segment.found_boundaries(docs, TILING), TILING.w)
+
+
 def keywords_of(u: DataFrame) -> DataFrame:
     return keynet.keywords(u).select("term")
 
@@ -131,7 +136,17 @@ SEGMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "texttile_boundaries": lambda u: segment.boundaries(deep(u)),
     "texttile_segments": analyses.Segmentation(TILING),
     "texttile_plot": lambda u: rounded(analyses.Segmentation(TILING)(u, plot=True), "score", "smooth", "depth"),
-    "segment_lsa": lambda u: segment.summaries(segment.segments(u, TILING)),
+    "paragraph_nearest": lambda u: nearest_paragraphs(u),
+    "segment_lsa": lambda u: segment.summaries(segment.segments(u, TILING), sentences.learn(u)),
+    "segment_lsa_topics": lambda u: segment.summaries(segment.segments(u, TILING), sentences.learn(u), topics=3),
+}
+
+SENTENCES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "abbreviation_scores": lambda u: rounded(sentences.abbreviations(sentences.type_counts(sentences.profile(u))), "score"),
+    "sentence_collocations": lambda u: rounded(sentences.learn(u).collocations, "ratio"),
+    "sentence_starters": lambda u: rounded(sentences.learn(u).starters, "ratio"),
+    "sentences": sentences.sentences,
+    "word_tokens": lambda u: sentences.word_tokens(sentences.sentences(u)),
 }
 
 CLUSTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -146,5 +161,5 @@ CLUSTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "utterances_load": lambda spark, sf_dir: utterances(spark, sf_dir, numbered=True),
     "parse_speaker_lines": speaker_lines,
-    **{name: over_utterances(f) for group in (SELECTIONS, COUNTS, LOOKUPS, WEIGHTS, GRAPHS, SUMMARIES, SEGMENTS, CLUSTERS) for name, f in group.items()},
+    **{name: over_utterances(f) for group in (SELECTIONS, COUNTS, LOOKUPS, WEIGHTS, GRAPHS, SUMMARIES, SEGMENTS, SENTENCES, CLUSTERS) for name, f in group.items()},
 }

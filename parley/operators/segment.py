@@ -11,21 +11,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
 from parley.operators.corpus import concat_documents
+from parley.operators.sentences import Learned, learn, split
+from parley.plans.asof import around
+from parley.plans.settle import settled
 
 # What joins utterances, how many gaps lie between boundaries and characters between paragraph breaks at least, and what a
 # paragraph break is.
 SEPARATOR = "\n\n\t "
 APART = 4
 PARAGRAPH = 100
-_BREAK = re.compile("[ \t\r\f\v]*\n[ \t\r\f\v]*\n[ \t\r\f\v]*")
+BREAK = r"[ \t\r\f\x0B]*\n[ \t\r\f\x0B]*\n[ \t\r\f\x0B]*"
+#: Put before a break for a moment; it stands for no character of a text.
+_MARK = "\x1e"
 
 
 @dataclass(frozen=True)
@@ -148,69 +152,51 @@ def boundaries(deep: DataFrame) -> DataFrame:
     return flagged(deep).select("doc_id", F.explode("taken").alias("gap"))
 
 
-def paragraph_breaks(text: str) -> list[int]:
-    out = [0]
-    for m in _BREAK.finditer(text):
-        if m.start() - out[-1] >= PARAGRAPH:
-            out.append(m.start())
-    return out
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, at): the document's beginning, and its paragraph breaks that are far enough behind the one before."""
+    sizes = F.transform(F.split(F.regexp_replace("text", f"({BREAK})", f"{_MARK}$1"), _MARK, -1), lambda x: F.length(x).cast("long"))
+    # All pieces but the last end where a break begins.
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array(F.lit(0).cast("long")).alias("taken"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.when(acc["at"] + x - F.element_at(acc["taken"], -1) >= PARAGRAPH, F.array_append(acc["taken"], acc["at"] + x)).otherwise(acc["taken"]).alias("taken"))
+    folded = F.aggregate(F.slice("sizes", F.lit(1), F.size("sizes") - 1), first, step)
+    return docs.select("doc_id", sizes.alias("sizes")).select("doc_id", F.explode(folded["taken"]).alias("at"))
 
 
-def snapped(text: str, gaps: set[int], n_gaps: int, w: int, breaks: list[int]) -> list[int]:
-    """Paragraph breaks nearest to the boundaries, each once, in order of the gaps.
+def gap_places(docs: DataFrame, found: DataFrame, w: int) -> DataFrame:
+    """(doc_id, gap, at, n_chars): where the boundaries of ``found`` (doc_id, taken) lie in the text.
 
     Gap g lies at the blank after word number max(g, 1) * w + 1, words being runs between blanks; two gaps never at the same character.
     """
-    blanks = [m.end() + 1 for m in re.finditer(r"[^ \t\n]+", text) if m.end() < len(text)]
-    out: list[int] = []
-    at = 0
-    for gap in range(n_gaps):
-        if (k := max(gap, 1) * w) >= len(blanks) or (at := max(blanks[k], at + 1)) > len(text):
-            break
-        near = nearest(breaks, at, len(text)) if gap in gaps else None
-        if near is not None and near not in out:
-            out.append(near)
-    return out
-
-
-def nearest(breaks: list[int], at: int, most: int) -> int | None:
-    """The break before the distances stop falling."""
-    best = None
-    for b in breaks:
-        if abs(b - at) >= most:
-            break
-        best, most = b, abs(b - at)
-    return best
-
-
-def cut(text: str, at: list[int]) -> list[str]:
-    out, done = [], 0
-    for b in at:
-        if b:
-            out.append(text[done:b])
-            done = b
-    if done < len(text):
-        out.append(text[done:])
-    return out or [text]
+    rows = docs.join(found.select("doc_id", "taken"), "doc_id").select("doc_id", "taken", F.length("text").alias("n_chars"), F.regexp_extract_all("text", F.lit("[ \\t\\n]*[^ \\t\\n]+"), F.lit(0)).alias("words"))
+    # Characters of every w words, so that no boundary counts them again.
+    whole = F.when(F.size("words") >= w, F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("words") / w) - 1, F.lit(0)).cast("int")), lambda c: F.length(F.array_join(F.slice("words", c * w + 1, F.lit(w)), "")))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("doc_id", "n_chars", "words", whole.alias("chars"), F.explode("taken").alias("gap")).withColumn("turn", F.greatest("gap", F.lit(1)).cast("int"))
+    rows = rows.filter(F.col("turn") * w < F.size("words"))
+    end = F.aggregate(F.slice("chars", F.lit(1), F.col("turn")), F.lit(0), lambda acc, x: acc + x) + F.length(F.get("words", F.col("turn") * w))
+    placed = rows.select("doc_id", "gap", "n_chars", end.alias("end")).filter("end < n_chars")
+    return placed.select("doc_id", "gap", (F.col("end") + 1 + (F.col("gap") == 1).cast("int")).cast("long").alias("at"), F.col("n_chars").cast("long").alias("n_chars")).filter("at <= n_chars")
+
+
+def snapped(docs: DataFrame, found: DataFrame, w: int) -> DataFrame:
+    """(doc_id, gap, at, paragraph): each boundary and the paragraph break nearest to it, the earlier of two as near."""
+    near = around(gap_places(docs, found, w), paragraphs(docs), ["doc_id"], "at")
+    best = F.when(F.col("after") - F.col("at") < F.col("at") - F.col("before"), F.col("after")).otherwise(F.col("before"))
+    return near.withColumn("paragraph", best).filter(F.abs(F.col("paragraph") - F.col("at")) < F.col("n_chars")).select("doc_id", "gap", "at", "paragraph")
+
+
+def found_boundaries(docs: DataFrame, t: Tiling) -> DataFrame:
+    return flagged(depths(smoothed(gap_scores(docs, t), t.smoothing)))
 
 
 def segments(utterances: DataFrame, t: Tiling = Tiling()) -> DataFrame:
     """(doc_id, seg, text). A document too short for a boundary is one segment."""
     docs = joined(utterances)
-    found = flagged(depths(smoothed(gap_scores(docs, t), t.smoothing)))
-    rows = docs.join(found, "doc_id", "left")
-
-    def run(parts):
-        for part in parts:
-            out: list[tuple] = []
-            for doc, text, n, own in zip(part["doc_id"], part["text"], part["gaps"], part["taken"], strict=True):
-                marks = set() if own is None else {int(g) for g in own}
-                pieces = cut(text, snapped(text, marks, int(n), t.w, paragraph_breaks(text)) if marks else [])
-                out += [(doc, i, p) for i, p in enumerate(pieces)]
-            yield pd.DataFrame(out, columns=["doc_id", "seg", "text"])
-
-    cuts = rows.mapInPandas(run, "doc_id long, seg long, text string")
-    return cuts.withColumn("text", X.segment_text(F.col("text")))
+    cuts = snapped(docs, found_boundaries(docs, t), t.w).filter("paragraph > 0").groupBy("doc_id").agg(F.array_sort(F.collect_set("paragraph")).alias("cuts"))
+    none, n = F.array().cast("array<bigint>"), F.length("text").cast("long")
+    edges = F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", none), F.array(n))
+    rows = docs.join(cuts, "doc_id", "left").withColumn("edges", edges)
+    parts = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda i: F.substr("text", F.element_at("edges", i).cast("int") + 1, (F.element_at("edges", i + 1) - F.element_at("edges", i)).cast("int")))
+    return rows.select("doc_id", F.posexplode(parts).alias("seg", "text")).select("doc_id", F.col("seg").cast("long").alias("seg"), X.segment_text(F.col("text")).alias("text"))
 
 
 def plot_data(utterances: DataFrame, t: Tiling = Tiling()) -> DataFrame:
@@ -223,28 +209,57 @@ def plot_data(utterances: DataFrame, t: Tiling = Tiling()) -> DataFrame:
     return scores.select("doc_id", "gap", "score").join(shown, ["doc_id", "gap"], "left").withColumn("boundary", F.coalesce("boundary", F.lit(0)))
 
 
-_SENTENCE = re.compile(r"[^.!?|\n]+[.!?]*")
+def gain(text: Column, smoothing: float = 0.4) -> Column:
+    """How a sentence ranks over all directions, among those of its segment; -1 without words.
+
+    A word's weight is ``smoothing`` plus the rest's share of its count in the largest of the sentence, and ``smoothing`` for a word that the
+    sentence lacks. Latent semantic analysis ranks by the square root of the sum, over the directions, of squared singular value times squared
+    place; over all directions that is the length of the sentence's column of weights. Its square less what a column without counts
+    would have is the same order, and no decomposition is needed.
+    """
+    # Sums over the words of (s + (1 - s) c / m)^2 - s^2 need the counts c only as their sum, their sum of squares and their maximum m,
+    # and the sorted words give all three in one go: the square of a run grows by twice its length less one.
+    none = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("all"), F.lit(0).cast("long").alias("squares"), F.lit(0).alias("most"))
 
+    def step(acc: Column, word: Column) -> Column:
+        run = F.when(acc["word"] == word, acc["run"] + 1).otherwise(1)
+        return F.struct(word.alias("word"), run.alias("run"), (acc["all"] + 1).alias("all"), (acc["squares"] + 2 * run - 1).alias("squares"), F.greatest(acc["most"], run).alias("most"))
 
-def lsa_sentence(text: str, topics: int = 3) -> str:
-    """The sentence with the largest weight over the leading singular vectors of the word counts."""
-    found = [s for m in _SENTENCE.finditer(text) if (s := m.group().strip())]
-    if not found:
-        return ""
+    def rank(acc: Column) -> Column:
+        return F.when(acc["most"] > 0, 2 * smoothing * (1 - smoothing) * acc["all"] / acc["most"] + (1 - smoothing) ** 2 * acc["squares"] / (acc["most"] * acc["most"])).otherwise(-1.0)
+
+    return F.aggregate(F.array_sort(X.raw_tokens(F.lower(text))), none, step, rank)
+
+
+def lsa_rank(sentences: list[str], topics: int, smoothing: float) -> np.ndarray:
+    """Ranks by the leading directions only, from the decomposition."""
     at: dict[str, int] = {}
-    counts = [[at.setdefault(w.lower(), len(at)) for w in re.findall(r"\w+", s)] for s in found]
-    matrix = np.zeros((max(1, len(at)), len(found)))
+    counts = [[at.setdefault(w, len(at)) for w in re.findall(r"\w+", s.lower())] for s in sentences]
+    matrix = np.zeros((max(1, len(at)), len(sentences)))
     for j, own in enumerate(counts):
         np.add.at(matrix[:, j], own, 1)
     top = matrix.max(0)
-    matrix = np.where(top > 0, 0.5 + 0.5 * matrix / np.where(top > 0, top, 1), 0) * (matrix > 0)
+    matrix = np.where(top > 0, smoothing + (1 - smoothing) * matrix / np.where(top > 0, top, 1), 0)
     _, sigma, v = np.linalg.svd(matrix, full_matrices=False)
-    k = max(topics, 1)
-    rank = np.sqrt(((sigma[:k, None] ** 2) * (v[:k] ** 2)).sum(0))
-    return found[int(np.flatnonzero(rank >= rank.max() - 1e-9)[0])]
+    return np.sqrt(((sigma[:topics, None] ** 2) * (v[:topics] ** 2)).sum(0))
+
 
+def segment_sentences(segmented: DataFrame, learned: Learned | None = None) -> DataFrame:
+    """(doc_id, seg, part, sent, begin, text): the sentences of each utterance (part) of a segment; nulls for an empty one."""
+    parts = settled(segmented.select("doc_id", "seg", F.posexplode(F.split("text", " \\| ")).alias("part", "text")))
+    return split(parts, learned or learn(parts), ("doc_id", "seg", "part"), empty=True)
 
-def summaries(segmented: DataFrame) -> DataFrame:
-    """(doc_id, seg, sentence)."""
-    sentence = F.pandas_udf(lambda texts: texts.map(lsa_sentence), "string")
-    return segmented.select("doc_id", "seg", sentence("text").alias("sentence"))
+
+def summaries(segmented: DataFrame, learned: Learned | None = None, topics: int | None = None, smoothing: float = 0.4) -> DataFrame:
+    """(doc_id, seg, sentence): the sentence that ranks first by latent semantic analysis, the first of equals.
+
+    Sentences are those of ``learned``, or of what the segments tell themselves. All directions count, or the leading ``topics``.
+    """
+    found = segment_sentences(segmented, learned)
+    if topics is None:
+        rows = found.withColumn("rank", F.coalesce(gain(F.col("text"), smoothing), F.lit(-2.0)))
+    else:
+        whole = found.groupBy("doc_id", "seg").agg(F.array_sort(F.collect_list(F.struct("part", "sent", F.coalesce("text", F.lit("")).alias("text")))).alias("s"))
+        rank = F.pandas_udf(lambda lists: lists.map(lambda x: lsa_rank(list(x), topics, smoothing)), "array<double>")
+        rows = whole.withColumn("r", rank(F.transform("s", lambda x: x["text"]))).select("doc_id", "seg", F.explode(F.arrays_zip("s", "r")).alias("x")).select("doc_id", "seg", "x.s.*", F.col("x.r").alias("rank"))
+    return rows.groupBy("doc_id", "seg").agg(F.coalesce(F.min_by("text", F.struct(-F.round("rank", 9), "part", "sent")), F.lit("")).alias("sentence"))

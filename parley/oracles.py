@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from parley.functions.text import STOP_BASE, STOP_CLUSTER, STOP_KEYWORDS
+from parley.functions.tokenise import RULES, SPACE
 
 
 def _listed(words: list[str]) -> str:
@@ -89,6 +90,92 @@ pk AS (SELECT *, last_value(st IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY
 dp AS (SELECT doc_id, gap, CASE WHEN gap >= clip AND gap < gaps - clip THEN l + r - 2 * score ELSE 0 END AS depth FROM pk),
 ca AS (SELECT * FROM (SELECT *, avg(depth) OVER (PARTITION BY doc_id) - stddev_pop(depth) OVER (PARTITION BY doc_id) / 2 AS cutoff FROM dp) WHERE depth > cutoff)"""
 
+#: Units of text, what is learned from them about full stops, and sentences. The table of texts is named in the braces, its keys with it.
+UNITS = rf"[^{SPACE}]+[{SPACE}]*"
+STOPS = rf"[.?!…][\"'”’»)\]}}]*[{SPACE}]*\z"
+
+
+def _kind(unit: str) -> str:
+    core = _core(unit)
+    return f"CASE WHEN regexp_matches(regexp_replace({core}, '\\.+\\z', ''), '\\A[0-9.,:-]+\\z') AND regexp_matches({core}, '[0-9]') THEN '##' ELSE regexp_replace({core}, '\\.+\\z', '') END"
+
+
+def _core(unit: str) -> str:
+    return f"lower(regexp_replace(regexp_replace({unit}, '\\A[^\\p{{L}}\\p{{N}}]+', ''), '[^\\p{{L}}\\p{{N}}.]+\\z', ''))"
+
+
+def _chance(k: str, n: str, p: str) -> str:
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - ({p})) ELSE 0 END)"
+
+
+def _associated(k: str, a: str, b: str, n: str) -> str:
+    ratio = f"2 * ({_chance(k, a, f'{k} / {a}')} + {_chance(f'({b} - {k})', f'({n} - {a})', f'({b} - {k}) / ({n} - {a})')} - {_chance(k, a, f'{b} / {n}')} - {_chance(f'({b} - {k})', f'({n} - {a})', f'{b} / {n}')})"
+    return f"CASE WHEN {n} > {a} AND {k} * {n} > {a} * {b} THEN {ratio} ELSE 0 END"
+
+
+def _units(name: str, table: str, keys: str) -> str:
+    q1 = STOPS.replace("'", "''")
+    return f"""
+{name}0 AS (SELECT {keys}, regexp_extract_all(text, '{UNITS}') AS uu, length(regexp_extract(text, '\\A[{SPACE}]*')) AS ld FROM {table}),
+{name}1 AS (SELECT {keys}, ld, unnest(uu) AS unit, generate_subscripts(uu, 1) - 1 AS i FROM {name}0),
+{name}2 AS (SELECT *, lag(unit) OVER o AS prev, lead(unit) OVER o AS nxt FROM {name}1 WINDOW o AS (PARTITION BY {keys} ORDER BY i)),
+{name} AS (SELECT *, {_kind("unit")} AS kind, {_kind("nxt")} AS nkind, regexp_matches({_core("unit")}, '[^.]\\.\\z') AS dotted, regexp_matches(unit, '{q1}') AS ends,
+        regexp_extract(unit, '\\A[^\\p{{L}}\\p{{N}}]*(\\p{{L}})', 1) AS fst, regexp_extract(nxt, '\\A[^\\p{{L}}\\p{{N}}]*(\\p{{L}})', 1) AS nfst,
+        prev IS NOT NULL AND NOT regexp_matches(prev, '{q1}') AS inside FROM {name}2)"""
+
+
+LEARN = f"""{_units("un", "u", "doc_id, pos")},
+tc AS (SELECT kind AS type, count(*) FILTER (WHERE dotted) AS n_dotted, count(*) FILTER (WHERE NOT dotted) AS n_plain, count(*) FILTER (WHERE regexp_matches(fst, '\\p{{Ll}}')) AS n_small,
+              count(*) FILTER (WHERE regexp_matches(fst, '\\p{{Lu}}') AND inside) AS n_capital FROM un WHERE kind <> '' GROUP BY kind),
+al AS (SELECT CAST(sum(n_dotted + n_plain) AS DOUBLE) AS n, CAST(sum(n_dotted) AS DOUBLE) AS stops FROM tc),
+ab0 AS (SELECT type, n_dotted, n_plain, 2 * ({_chance("n_dotted", "(n_dotted + n_plain)", "0.99")} - {_chance("n_dotted", "(n_dotted + n_plain)", "stops / n")}) AS ratio,
+               length(type) - length(replace(type, '.', '')) AS inn, length(replace(type, '.', '')) AS letters FROM tc, al WHERE n_dotted > 0 AND type <> '##'),
+ab AS (SELECT type, n_dotted, n_plain, ratio * exp(-letters) * (inn + 1) * pow(CAST(letters AS DOUBLE), -n_plain) AS score FROM ab0),
+sh AS (SELECT type FROM ab WHERE score >= 0.3),
+pr AS (SELECT kind AS a, dotted, nkind AS b, count(*) AS n FROM un WHERE ends AND nxt IS NOT NULL AND nkind <> '' GROUP BY ALL),
+pd AS (SELECT *, dotted AND (a IN (SELECT type FROM sh) OR regexp_matches(a, '\\A\\p{{L}}\\z') OR a = '##') AS doubt FROM pr),
+sz AS (SELECT type, CAST(n_dotted + n_plain AS DOUBLE) AS size FROM tc),
+cl AS (SELECT a AS first, b AS second, pd.n AS n, {_associated("CAST(pd.n AS DOUBLE)", "x.size", "y.size", "al.n")} AS ratio FROM pd JOIN sz x ON a = x.type JOIN sz y ON b = y.type, al WHERE doubt AND pd.n > 1),
+co AS (SELECT * FROM cl WHERE ratio >= 7.88),
+bg AS (SELECT b AS type, CAST(sum(n) AS BIGINT) AS n FROM pd WHERE NOT doubt GROUP BY b),
+sa0 AS (SELECT bg.type, bg.n, {_associated("CAST(bg.n AS DOUBLE)", "(SELECT CAST(sum(n) AS DOUBLE) FROM bg)", "size", "al.n")} AS ratio FROM bg JOIN sz USING (type), al),
+sa AS (SELECT * FROM sa0 WHERE ratio >= 30)"""
+
+
+def _split(units: str, keys: str) -> str:
+    return f"""
+{units}d AS (SELECT un.*, dotted AND kind IN (SELECT type FROM sh) AS short, dotted AND (regexp_matches(kind, '\\A\\p{{L}}\\z') OR kind = '##') AS lone,
+              regexp_matches({_core("unit")}, '\\.\\.\\z') OR regexp_matches(unit, '(\\.\\.|…)["''”’»)\\]}}]*[{SPACE}]*\\z') AS dots,
+              coalesce(regexp_matches(nfst, '\\p{{Ll}}'), false) AS small, coalesce(regexp_matches(nfst, '\\p{{Lu}}'), false) AS large, coalesce(s.n_small, 0) AS nsm, coalesce(s.n_capital, 0) AS ncp,
+              cc.first IS NOT NULL AS close, sa.type IS NOT NULL AS starter, regexp_matches(unit, '[.…]["''”’»)\\]}}]*[{SPACE}]*\\z') AS stop
+       FROM {units} un LEFT JOIN tc s ON s.type = nkind LEFT JOIN (SELECT first, second FROM co) cc ON cc.first = kind AND cc.second = nkind LEFT JOIN sa ON sa.type = nkind),
+{units}e AS (SELECT *, CASE WHEN nxt IS NULL THEN true WHEN NOT ends THEN false WHEN NOT stop OR NOT (short OR dots OR lone) THEN true WHEN close THEN false
+              WHEN large AND nsm > 0 AND ncp = 0 THEN true WHEN small THEN false
+              WHEN lone AND NOT short THEN NOT (kind = '##' OR (large AND nsm = 0) OR NOT large) OR starter WHEN short THEN large AND starter ELSE large END AS fin FROM {units}d),
+{units}f AS (SELECT *, coalesce(sum(CAST(fin AS INT)) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent,
+              ld + coalesce(sum(length(unit)) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM {units}e),
+{units}s AS (SELECT {keys}, CAST(sent AS BIGINT) AS sent, CAST(min(spot) AS BIGINT) AS begin, regexp_replace(string_agg(unit, '' ORDER BY i), '[{SPACE}]+\\z', '') AS text FROM {units}f GROUP BY ALL)"""
+
+
+SENT = f"{LEARN}, {_split('un', 'doc_id, pos')}"
+
+
+def _pieces(text: str) -> str:
+    marked = f"translate({text}, chr(31), ' ')"
+    for pattern, becomes, times in RULES:
+        to = becomes.replace("#", "\x1f").replace("$", "\\")
+        for _ in range(times):
+            marked = f"regexp_replace({marked}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    return f"list_filter(string_split({marked}, chr(31)), lambda x: x <> '')"
+
+
+TOKENS = f"""{SENT},
+pc0 AS (SELECT doc_id, pos, sent, begin, {_pieces("text")} AS pp FROM uns),
+pc1 AS (SELECT doc_id, pos, sent, begin, unnest(pp) AS token, generate_subscripts(pp, 1) AS p FROM pc0),
+pc2 AS (SELECT doc_id, pos, sent, token, regexp_matches(token, '\\A[{SPACE}]+\\z') AS blank, p,
+               CAST(begin + coalesce(sum(length(token)) OVER (PARTITION BY doc_id, pos, sent ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin FROM pc1),
+tk AS (SELECT doc_id, pos, sent, CAST(row_number() OVER (PARTITION BY doc_id, pos, sent ORDER BY p) - 1 AS BIGINT) AS i, token, begin FROM pc2 WHERE NOT blank)"""
+
 PAGERANK = f"""WITH RECURSIVE {U},{OVER},
 nodes AS (SELECT doc_id, node, text FROM node WHERE pos = node),
 size AS (SELECT doc_id, count(*) AS n FROM nodes GROUP BY doc_id),
@@ -111,6 +198,34 @@ bd AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS t
        FROM bd JOIN cr ON bd.doc_id = cr.doc_id AND cr.r = bd.r + 1),
 bo AS (SELECT doc_id, unnest(arg_max(taken, r)) AS gap FROM bd GROUP BY doc_id)"""
 
+#: Paragraph breaks, a hundred characters apart at least, the places of boundaries, and the nearest break of each.
+NEAREST = f"""{BOUNDS},
+jt AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) || chr(9) || ' ' ORDER BY pos) AS text FROM u GROUP BY doc_id),
+pz AS (SELECT doc_id, text, list_transform(string_split(regexp_replace(text, '([ \\t\\r\\f\\v]*\\n[ \\t\\r\\f\\v]*\\n[ \\t\\r\\f\\v]*)', '\x1e\\1', 'g'), chr(30)), lambda x: length(x)) AS ls FROM jt),
+py AS (SELECT doc_id, list_concat([CAST(0 AS HUGEINT)], list_transform(generate_series(1, len(ls) - 1), lambda i: list_sum(ls[1 : i]))) AS ps FROM pz),
+br AS (SELECT doc_id, CAST(unnest(list_reduce(list_transform(ps, lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] >= 100 THEN list_concat(acc, x) ELSE acc END)) AS BIGINT) AS brk FROM py),
+wl AS (SELECT doc_id, length(text) AS nc, list_transform(regexp_extract_all(text, '[ \\t\\n]*[^ \\t\\n]+'), lambda x: length(x)) AS ls FROM jt),
+gp AS (SELECT doc_id, gap, nc, ls, CAST(greatest(gap, 1) * 20 + 1 AS BIGINT) AS k FROM bo JOIN wl USING (doc_id)),
+gq AS (SELECT doc_id, gap, nc, CAST(list_sum(ls[1 : k]) AS BIGINT) AS fin FROM gp WHERE k <= len(ls)),
+gr2 AS (SELECT doc_id, gap, nc, CAST(fin + 1 + CAST(gap = 1 AS INT) AS BIGINT) AS spot FROM gq WHERE fin < nc),
+nb AS (SELECT g.doc_id, g.gap, g.spot, g.nc, b.brk AS before FROM (SELECT * FROM gr2 WHERE spot <= nc) g ASOF LEFT JOIN br b ON g.doc_id = b.doc_id AND g.spot >= b.brk),
+na AS (SELECT g.*, b.brk AS after FROM nb g ASOF LEFT JOIN br b ON g.doc_id = b.doc_id AND g.spot < b.brk),
+sn AS (SELECT * FROM (SELECT *, CASE WHEN after - spot < spot - before THEN after ELSE before END AS paragraph FROM na) WHERE abs(paragraph - spot) < nc),
+ct AS (SELECT doc_id, list_sort(list_distinct(list(paragraph) FILTER (WHERE paragraph > 0))) AS cuts FROM sn GROUP BY doc_id),
+ed AS (SELECT doc_id, text, list_concat([CAST(0 AS BIGINT)], coalesce(cuts, []), [length(text)]) AS e FROM jt LEFT JOIN ct USING (doc_id)),
+sg AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS seg, replace(substr(text, CAST(e[i] + 1 AS INT), CAST(e[i + 1] - e[i] AS INT)), chr(10) || chr(10) || chr(9) || ' ', ' | ') AS text
+       FROM (SELECT doc_id, text, e, unnest(generate_series(1, len(e) - 1)) AS i FROM ed))"""
+
+#: The sentence of each segment whose smoothed column of word weights is longest.
+LSA = f"""{NEAREST}, {LEARN},
+sp AS (SELECT doc_id, seg, unnest(string_split(text, ' | ')) AS text, generate_subscripts(string_split(text, ' | '), 1) - 1 AS part FROM sg),
+{_units("sv", "sp", "doc_id, seg, part")}, {_split("sv", "doc_id, seg, part")},
+ww AS (SELECT doc_id, seg, part, sent, word, count(*) AS n FROM (SELECT doc_id, seg, part, sent, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM svs) GROUP BY ALL),
+wm AS (SELECT *, max(n) OVER (PARTITION BY doc_id, seg, part, sent) AS m FROM ww),
+wv AS (SELECT doc_id, seg, count(DISTINCT word) AS size FROM ww GROUP BY ALL),
+wr AS (SELECT doc_id, seg, part, sent, sqrt(sum(pow(0.4 + 0.6 * n / m, 2)) + (any_value(size) - count(*)) * 0.16) AS rk FROM wm JOIN wv USING (doc_id, seg) GROUP BY ALL),
+wb AS (SELECT doc_id, seg, text, row_number() OVER (PARTITION BY doc_id, seg ORDER BY round(coalesce(rk, 0), 9) DESC, part, sent) AS r FROM svs LEFT JOIN wr USING (doc_id, seg, part, sent))"""
+
 #: Greedy cover: each step takes the candidate with which the sum is nearest to the centroid. ``cand``: (doc_id, pos).
 GREEDY = """
 ce AS (SELECT doc_id, term, sum(w) AS c FROM v GROUP BY ALL), le AS (SELECT doc_id, sqrt(sum(c * c)) AS l FROM ce GROUP BY doc_id),
@@ -218,6 +333,14 @@ ORACLES: dict[str, str] = {
     "texttile_candidates": q(TILE, "SELECT doc_id, gap, round(depth, 6) AS depth FROM ca"),
     "texttile_boundaries": q(BOUNDS, "SELECT doc_id, gap FROM bo", True),
     "texttile_plot": q(BOUNDS, "SELECT gs.doc_id, gs.gap, round(gs.score, 6) AS score, round(sm.score, 6) AS smooth, round(depth, 6) AS depth, CAST(bo.gap IS NOT NULL AS INT) AS boundary FROM gs LEFT JOIN sm USING (doc_id, gap) LEFT JOIN dp USING (doc_id, gap) LEFT JOIN bo ON bo.doc_id = gs.doc_id AND bo.gap = gs.gap", True),
+    "paragraph_nearest": q(NEAREST, 'SELECT doc_id, gap, spot AS "at", paragraph FROM sn', True),
+    "texttile_segments": q(NEAREST, "SELECT doc_id, seg, text FROM sg", True),
+    "segment_lsa": q(LSA, "SELECT doc_id, seg, coalesce(wb.text, '') AS sentence FROM sg LEFT JOIN (SELECT * FROM wb WHERE r = 1) wb USING (doc_id, seg)", True),
+    "abbreviation_scores": q(LEARN, "SELECT type, n_dotted, n_plain, round(score, 6) + 0.0 AS score, score >= 0.3 AS is_abbreviation FROM ab"),
+    "sentence_collocations": q(LEARN, "SELECT first, second, n, round(ratio, 6) AS ratio FROM co"),
+    "sentence_starters": q(LEARN, "SELECT type, n, round(ratio, 6) AS ratio FROM sa"),
+    "sentences": q(SENT, "SELECT doc_id, pos, sent, begin, text FROM uns"),
+    "word_tokens": q(TOKENS, "SELECT doc_id, pos, sent, i, token, begin FROM tk"),
     "lexrank_keyphrases": q(f"{OVER}, we AS (SELECT doc_id, a, b, 1.0 AS w FROM e), {CONVERGED}", PHRASES, True),
     "lexrank_weighted": q(f"""{OVER}, sm AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, sum(a.w * b.w) AS sim FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos < b.pos GROUP BY ALL),
 we AS (SELECT sm.doc_id, least(x.node, y.node) AS a, greatest(x.node, y.node) AS b, max(sim) AS w FROM sm JOIN node x ON sm.doc_id = x.doc_id AND i = x.pos JOIN node y ON sm.doc_id = y.doc_id AND j = y.pos GROUP BY ALL), {CONVERGED}""", PHRASES, True),

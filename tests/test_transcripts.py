@@ -165,12 +165,38 @@ def test_smacof_keeps_a_triangle():
     assert np.allclose(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)), d, atol=0.05)
 
 
-def test_snapping_and_cutting():
-    text = "\n\n\t ".join("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen".split("|") * 6)
-    breaks = segment.paragraph_breaks(text)
-    assert breaks[0] == 0 and all(text[b] == "\n" for b in breaks[1:])
-    at = segment.snapped(text, {2, 3}, 5, 17, breaks)
-    assert at and "".join(segment.cut(text, at)) == text
+def test_snapping_of_any_gaps(spark):
+    """Every gap of a text with uneven paragraphs, against a walk over its characters."""
+    rng = np.random.default_rng(8)
+    w = 3
+    texts = {i: "".join(rng.choice(["word ", "a", " ", "\t", "\n", "\n\n\t ", "long sentence here "], 150)) for i in range(8)} | {8: "", 9: "x", 10: " \n\n y"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = spark.createDataFrame([(i, list(range(12))) for i in texts], "doc_id long, taken array<long>")
+    got = {(r["doc_id"], r["gap"]): (r["at"], r["paragraph"]) for r in segment.snapped(docs, found, w).collect()}
+    breaks = defaultdict(list)
+    for r in segment.paragraphs(docs).orderBy("doc_id", "at").collect():
+        breaks[r["doc_id"]].append(r["at"])
+    want = {}
+    for doc, text in texts.items():
+        own = [0]
+        for m in re.finditer(segment.BREAK, text):
+            if m.start() - own[-1] >= 100:
+                own.append(m.start())
+        assert breaks[doc] == own
+        chars = words = gap = 0
+        seen = False
+        for c in text:
+            chars += 1
+            if c in " \t\n" and seen:
+                seen, words = False, words + 1
+            elif c not in " \t\n":
+                seen = True
+            if gap < 12 and words > max(gap * w, w):
+                best = min(own, key=lambda b: (abs(b - chars), b))
+                if abs(best - chars) < len(text):
+                    want[doc, gap] = (chars, best)
+                gap += 1
+    assert got == want
 
 
 def test_boundaries_are_apart(spark):
@@ -231,26 +257,20 @@ def test_offsets_over_many_keys(spark):
     assert got.filter("start <> 2 * k").count() == 0 and got.count() == 1000
 
 
-def plain_lsa(text, topics=3):
-    """The sentence with the largest sum of squared projections on the leading eigenvectors, from products of the matrix alone."""
-    found = [x.strip() for x in re.findall(r"[^.!?|\n]+[.!?]*", text) if x.strip()]
-    words = sorted({w for x in found for w in re.findall(r"\w+", x.lower())})
-    counts = np.array([[re.findall(r"\w+", x.lower()).count(w) for x in found] for w in words], float)
-    top = counts.max(0)
-    a = np.where(counts > 0, 0.5 + 0.5 * counts / np.maximum(top, 1), 0)
-    values, vectors_ = np.linalg.eigh(a.T @ a)
-    order = np.argsort(-values)[:topics]
-    rank = np.sqrt((np.maximum(values[order], 0) * vectors_[:, order] ** 2).sum(1))
-    return found, rank
-
-
 def test_lsa_against_eigenvectors():
+    """Ranks by the leading directions, from products of the matrix alone."""
     rng = np.random.default_rng(4)
     for _ in range(40):
-        text = ". ".join(" ".join(rng.choice(["sun", "moon", "tide", "rock", "salt", "wind", "rain"], rng.integers(2, 9))) for _ in range(rng.integers(1, 9))) + "."
-        found, rank = plain_lsa(text)
-        assert rank[found.index(segment.lsa_sentence(text))] >= rank.max() - 1e-9
-    assert segment.lsa_sentence("") == ""
+        found = [" ".join(rng.choice(["sun", "moon", "tide", "rock", "salt", "wind", "rain"], rng.integers(1, 9))) for _ in range(rng.integers(1, 9))]
+        words = sorted({w for x in found for w in x.split()})
+        counts = np.array([[x.split().count(w) for x in found] for w in words], float)
+        a = 0.4 + 0.6 * counts / counts.max(0)
+        values, vectors_ = np.linalg.eigh(a.T @ a)
+        order = np.argsort(-values)[:3]
+        if len(values) > 3 and np.sort(values)[-3] - np.sort(values)[-4] < 1e-9:
+            continue  # which direction is the third is open
+        assert np.allclose(segment.lsa_rank(found, 3, 0.4), np.sqrt((np.maximum(values[order], 0) * vectors_[:, order] ** 2).sum(1)), atol=1e-7)
+    assert segment.lsa_rank([""], 3, 0.4).tolist() == [0.0]
 
 
 @pytest.fixture(scope="module")
@@ -380,7 +400,7 @@ def test_segments_by_a_walk_over_the_text(talks):
     assert any(marks.values())
     for doc, text in docs.items():
         breaks = [0]
-        for m in re.finditer(r"[ \t\r\f\v]*\n[ \t\r\f\v]*\n[ \t\r\f\v]*", text):
+        for m in re.finditer(segment.BREAK, text):
             if m.start() - breaks[-1] >= 100:
                 breaks.append(m.start())
         ends, cuts = [], []
