@@ -133,7 +133,7 @@ class Learned:
 def learn(texts: DataFrame, text: str = "text") -> Learned:
     """One pass over the texts; what comes of it is by type, and written for all plans that use it."""
     seen = settled(profile(texts, text))
-    counts = type_counts(seen)
+    counts = settled(type_counts(seen))
     scored = abbreviations(counts)
     close, starts = followers(seen, counts, scored)
     short = scored.filter("is_abbreviation").select("type", F.lit(True).alias("short"))
