@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators import analyses, centroid, cluster, corpus, keynet, lexrank, segment, sentences, stats, tagger, vectors
+from parley.operators import analyses, centroid, chunker, cluster, corpus, keynet, lexrank, segment, sentences, stats, tagger, vectors
 from parley.operators.search import Search
 from parley.oracles import ORACLES  # noqa: F401
 from parley.sources import transcripts
@@ -146,6 +146,8 @@ SENTENCES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "sentence_collocations": lambda u: rounded(sentences.learn(u).collocations, "ratio"),
     "sentence_starters": lambda u: rounded(sentences.learn(u).starters, "ratio"),
     "sentences": sentences.sentences,
+    "entities_chunked": lambda u: rounded(chunker.entity_counts(sentences.word_tokens(sentences.sentences(u))), "weight"),
+    "entity_tree": lambda u: rounded(chunker.entity_tree(sentences.word_tokens(sentences.sentences(u))), "weight"),
     "entities_tagged": lambda u: tagger.entity_counts(sentences.sentences(u), rounds=3),
     "word_tokens": lambda u: sentences.word_tokens(sentences.sentences(u)),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parley.functions.text import STOP_BASE, STOP_CLUSTER, STOP_KEYWORDS
 from parley.functions.tokenise import RULES, SPACE
+from parley.operators.chunker import CONNECTORS
 
 
 def _listed(words: list[str]) -> str:
@@ -176,6 +177,24 @@ pc2 AS (SELECT doc_id, pos, sent, token, regexp_matches(token, '\\A[{SPACE}]+\\z
                CAST(begin + coalesce(sum(length(token)) OVER (PARTITION BY doc_id, pos, sent ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin FROM pc1),
 tk AS (SELECT doc_id, pos, sent, CAST(row_number() OVER (PARTITION BY doc_id, pos, sent ORDER BY p) - 1 AS BIGINT) AS i, token, begin FROM pc2 WHERE NOT blank)"""
 
+#: Runs of capitalised tokens with connectors within, their contexts, and three rounds of weights on either side.
+CHUNKS = f"""{TOKENS},
+k0 AS (SELECT *, regexp_matches(token, '\\A\\p{{Lu}}') AND token NOT IN ('I', 'A') AS cap FROM tk),
+k1 AS (SELECT *, coalesce(lower(lag(token) OVER o), '^') AS lft, coalesce(lower(lead(token) OVER o), '$') AS rgt,
+              cap OR (lower(token) IN ({", ".join(f"'{c}'" for c in CONNECTORS)}) AND coalesce(lag(cap) OVER o AND lead(cap) OVER o, false)) AS inside
+       FROM k0 WINDOW o AS (PARTITION BY doc_id, pos, sent ORDER BY i)),
+k2 AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, pos, sent ORDER BY i) AS og, i - row_number() OVER (PARTITION BY doc_id, pos, sent, cap ORDER BY i) AS ig FROM k1 WHERE inside),
+k3 AS (SELECT doc_id, pos, sent, og, min(i) AS b, max(i) + 1 AS e, string_agg(token, ' ' ORDER BY i) AS entity, arg_min(lft, i) AS lft, arg_max(rgt, i) AS rgt FROM k2 GROUP BY ALL),
+k4 AS (SELECT doc_id, pos, sent, og, ig, min(i) AS b, max(i) + 1 AS e, string_agg(token, ' ' ORDER BY i) AS entity, arg_min(lft, i) AS lft, arg_max(rgt, i) AS rgt FROM k2 WHERE cap GROUP BY ALL),
+ks AS (SELECT doc_id, pos, sent, b, e, 0 AS depth, CAST(NULL AS BIGINT) AS pb, entity, lft, rgt FROM k3
+       UNION ALL SELECT k4.doc_id, k4.pos, k4.sent, k4.b, k4.e, 1, k3.b, k4.entity, k4.lft, k4.rgt FROM k4 JOIN k3 USING (doc_id, pos, sent, og) WHERE k4.b > k3.b OR k4.e < k3.e),
+km AS (SELECT entity, c, count(*) AS n FROM (SELECT entity, unnest(['< ' || lft, '> ' || rgt]) AS c FROM ks) GROUP BY ALL),
+kf AS (SELECT entity, CAST(sum(n) / 2 AS BIGINT) AS n, 1 - sum(CASE WHEN c = '< ^' THEN n ELSE 0 END) / (sum(n) / 2) AS own FROM km GROUP BY entity),
+kb AS (SELECT * FROM km WHERE c NOT IN ('< ^', '> $')),
+w0 AS (SELECT entity, own AS w FROM kf)""" + "".join(f""",
+c{r} AS (SELECT c, sum(n * w) / (sum(n) + 1.0) AS p FROM kb JOIN w{r - 1} USING (entity) GROUP BY c),
+w{r} AS (SELECT entity, (own + coalesce(s, 0)) / (1.0 + coalesce(k, 0)) AS w FROM kf LEFT JOIN (SELECT entity, sum(n * p) AS s, sum(n) AS k FROM kb JOIN c{r} USING (c) GROUP BY entity) USING (entity))""" for r in (1, 2, 3))
+
 PAGERANK = f"""WITH RECURSIVE {U},{OVER},
 nodes AS (SELECT doc_id, node, text FROM node WHERE pos = node),
 size AS (SELECT doc_id, count(*) AS n FROM nodes GROUP BY doc_id),
@@ -340,6 +359,8 @@ ORACLES: dict[str, str] = {
     "sentence_collocations": q(LEARN, "SELECT first, second, n, round(ratio, 6) AS ratio FROM co"),
     "sentence_starters": q(LEARN, "SELECT type, n, round(ratio, 6) AS ratio FROM sa"),
     "sentences": q(SENT, "SELECT doc_id, pos, sent, begin, text FROM uns"),
+    "entities_chunked": q(CHUNKS, "SELECT entity, n, round(w, 6) AS weight FROM kf JOIN w3 USING (entity) WHERE w >= 0.3"),
+    "entity_tree": q(CHUNKS, "SELECT doc_id, pos, sent, b AS begin, e AS \"end\", depth, pb AS parent_begin, entity, round(w, 6) AS weight FROM ks JOIN w3 USING (entity) WHERE w >= 0.3"),
     "word_tokens": q(TOKENS, "SELECT doc_id, pos, sent, i, token, begin FROM tk"),
     "lexrank_keyphrases": q(f"{OVER}, we AS (SELECT doc_id, a, b, 1.0 AS w FROM e), {CONVERGED}", PHRASES, True),
     "lexrank_weighted": q(f"""{OVER}, sm AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, sum(a.w * b.w) AS sim FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.term = b.term AND a.pos < b.pos GROUP BY ALL),
