@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators import analyses, centroid, chunker, cluster, corpus, keynet, lexrank, segment, sentences, stats, tagger, vectors
+from parley.operators import analyses, centroid, chunker, cluster, corpus, keynet, layout, lexrank, segment, sentences, stats, tagger, vectors
 from parley.operators.search import Search
 from parley.oracles import ORACLES  # noqa: F401
+from parley.plans.settle import settled
 from parley.sources import transcripts
 
 MAIN = ["assistant"]
@@ -58,6 +59,11 @@ def nearest_paragraphs(u: DataFrame) -> DataFrame:
     return segment.snapped(docs, segment.found_boundaries(docs, TILING), TILING.w)
 
 
+def network_layout(u: DataFrame) -> DataFrame:
+    terms = settled(keywords_of(u))
+    return layout.network_layout(terms, keynet.network(u, terms))
+
+
 def keywords_of(u: DataFrame) -> DataFrame:
     return keynet.keywords(u).select("term")
 
@@ -119,6 +125,10 @@ GRAPHS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "keynet_centrality": lambda u: rounded(analyses.KeywordNetwork()(u)[0], "centrality", "node_size"),
 }
 
+NETWORKS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "keynet_layout": lambda u: rounded(network_layout(u), "x", "y"),
+}
+
 SUMMARIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "centroid_cosine": lambda u: rounded(centroid.cosines(u), "score"),
     "centroid_new_vocab": lambda u: rounded(centroid.new_vocabulary(u, IDF_THRESHOLD), "score"),
@@ -158,11 +168,12 @@ CLUSTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "mds_positions": lambda u: rounded(cluster.layout(u), "x", "y"),
     "cluster_frame": lambda u: rounded(cluster.cluster_frame(u), "x", "y"),
     "ward_linkage": lambda u: rounded(cluster.ward_linkage(u), "height"),
+    "dendrogram_links": lambda u: rounded(layout.dendrogram_links(cluster.ward_linkage(u)), "height", "left_height", "right_height"),
     "dendrogram_labels": cluster.dendrogram_labels,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "utterances_load": lambda spark, sf_dir: utterances(spark, sf_dir, numbered=True),
     "parse_speaker_lines": speaker_lines,
-    **{name: over_utterances(f) for group in (SELECTIONS, COUNTS, LOOKUPS, WEIGHTS, GRAPHS, SUMMARIES, SEGMENTS, SENTENCES, CLUSTERS) for name, f in group.items()},
+    **{name: over_utterances(f) for group in (SELECTIONS, COUNTS, LOOKUPS, WEIGHTS, GRAPHS, NETWORKS, SUMMARIES, SEGMENTS, SENTENCES, CLUSTERS) for name, f in group.items()},
 }
