@@ -33,7 +33,8 @@ def network_layout(terms: DataFrame, edges: DataFrame, force: float = 1.5, round
     weight = lambda a, b: F.coalesce(F.try_element_at("w", F.concat(a, F.lit("\t"), b)), F.try_element_at("w", F.concat(b, F.lit("\t"), a)), F.lit(0.0))
     row = nodes.join(both).select("names", F.transform("names", lambda a: F.transform("names", lambda b: weight(a, b))).alias("pull"), F.transform("names", lambda a: F.struct(start_at(a, 0).alias("x"), start_at(a, 1).alias("y"))).alias("start"))  # one row each
     spread = lambda c: F.array_max(F.transform("start", lambda p: p[c])) - F.array_min(F.transform("start", lambda p: p[c]))
-    row = row.withColumn("heat", 0.1 * F.greatest(spread("x"), spread("y")))
+    # Written, as the optimizer would put the matrix into the fold and make it anew for every pair.
+    row = settled(row.withColumn("heat", 0.1 * F.greatest(spread("x"), spread("y"))))
 
     def moved(at: Column, heat: Column, i: Column) -> Column:
         """Where node i goes: the sum of its forces, as long as the heat is."""

@@ -293,7 +293,7 @@ def plain_distances(talks):
 
 
 def test_k_means_is_at_rest(talks):
-    labels, top = cluster.k_means(talks, clusters=3)
+    labels, top = cluster.k_means(talks, clusters=3, starts=5)
     label = {r["doc_id"]: r["label"] for r in labels.collect()}
     _, own = plain_distances(talks)
     terms = sorted({t for x in own.values() for t in x})
@@ -307,6 +307,38 @@ def test_k_means_is_at_rest(talks):
         assert [t for _, t, _ in got] == [terms[t] for t in want] and np.allclose([w for *_, w in got], m[want])
 
 
+def plain_seeds(x, clusters, seed):
+    """Rows drawn by squared distance, each draw the first of exponential clocks."""
+    import hashlib
+
+    picked, near = [], None
+    for label in range(clusters):
+        u = [(int(hashlib.md5(f"{seed}:{label}:{d}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 for d in range(len(x))]
+        rate = np.ones(len(x)) if near is None else near
+        picked.append(min((-math.log(u[d]) / rate[d], d) for d in range(len(x)) if rate[d] > 1e-9)[1])
+        apart = ((x - x[picked[-1]]) ** 2).sum(1)
+        near = apart if near is None else np.minimum(near, apart)
+    return picked
+
+
+def test_k_means_by_loops(talks):
+    """From the same draws to the same labels, however the rows are dealt."""
+    _, own = plain_distances(talks)
+    terms = sorted({t for x in own.values() for t in x})
+    x = np.array([[own[d].get(t, 0) for t in terms] for d in range(12)])
+    for clusters, seed, parts in ((4, 5, 1), (3, 2, 7)):
+        centres = x[plain_seeds(x, clusters, seed)]
+        label = None
+        while True:
+            new = np.round((centres**2).sum(1) - 2 * x @ centres.T, 9).argmin(1)
+            if label is not None and (new == label).all():
+                break
+            label = new
+            centres = np.array([x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(clusters)])
+        got = {r["doc_id"]: r["label"] for r in cluster.k_means(talks.repartition(parts), clusters, seed)[0].collect()}
+        assert got == dict(enumerate(label.tolist()))
+
+
 def test_layout_and_frame(talks):
     d, _ = plain_distances(talks)
     got = {r["doc_id"]: (r["x"], r["y"]) for r in cluster.layout(talks).collect()}
