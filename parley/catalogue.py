@@ -93,8 +93,9 @@ COUNTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "entities_heuristic": stats.entity_counts,
     "entities_by_document": lambda u: stats.entity_counts(u, per_document=True),
     "entity_keywords": stats.entity_keywords,
-    "corpus_speakers_ranked": lambda u: stats.most_common(stats.corpus_speakers(u), "speaker", "n_utterances"),
+    "corpus_speakers_ranked": lambda u: stats.corpus_speakers(u, ranked=True),
     "entities_ranked": analyses.Entities(top=75),
+    "entities_ranked_all": analyses.Entities(),
 }
 
 LOOKUPS: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -42,9 +42,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)(\S+)"), 1)
 
 
-def tokens(tokenized: Column) -> Column:
-    """Words of a cleaned text."""
-    return F.regexp_extract_all(tokenized, F.lit("([a-z]+)"), 1)
+#: Words of a cleaned text.
+TOKEN = "[a-z]+"
+
+
+def tokens(tokenized: Column, pattern: str = TOKEN) -> Column:
+    """What matches ``pattern`` in a cleaned text: its words."""
+    return F.regexp_extract_all(tokenized, F.lit(pattern), 0)
 
 
 def long_tokens(tokenized: Column) -> Column:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from parley.functions import text as X
 from parley.operators import centroid, keynet, lexrank, segment, stats
 
 
@@ -16,9 +17,10 @@ class Keyphrases:
     method: str = "naive"
     weighted: bool = False
     max_words: int | None = 50
+    pattern: str = X.TOKEN
 
     def __call__(self, utterances: DataFrame, speakers: list[str] | None = None, use_main: bool = False, top: int = 5) -> DataFrame:
-        return lexrank.keyphrases(utterances, speakers, use_main, top, self.max_words, self.method, self.weighted)
+        return lexrank.keyphrases(utterances, speakers, use_main, top, self.max_words, self.method, self.weighted, pattern=self.pattern)
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ class Entities:
     """``stats.entity_counts``, ranked."""
 
     recogniser: stats.Recogniser | None = None
-    top: int = 1000
+    top: int | None = None
 
     def __call__(self, utterances: DataFrame) -> DataFrame:
-        return stats.most_common(stats.entity_counts(utterances, recogniser=self.recogniser), "entity", "n", self.top)
+        return stats.entity_counts(utterances, recogniser=self.recogniser, ranked=True, top=self.top)

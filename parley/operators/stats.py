@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
+from parley.plans.numbering import ranked as numbered
 
 
 def count_docs(utterances: DataFrame) -> DataFrame:
@@ -51,14 +52,20 @@ def doc_speakers(utterances: DataFrame, ranked: bool = False) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n_utterances"), "first"))).drop("first")
 
 
-def corpus_speakers(utterances: DataFrame) -> DataFrame:
-    return utterances.groupBy("speaker").agg(F.count(F.lit(1)).alias("n_utterances"))
+def corpus_speakers(utterances: DataFrame, ranked: bool = False, top: int | None = None) -> DataFrame:
+    """(speaker, n_utterances); ``ranked`` adds the rank by number, then first appearance."""
+    if not ranked:
+        return utterances.groupBy("speaker").agg(F.count(F.lit(1)).alias("n_utterances"))
+    counts = utterances.groupBy("speaker").agg(F.count(F.lit(1)).alias("n_utterances"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    return most_common(counts, "n_utterances", "first", top).drop("first")
 
 
-def most_common(counts: DataFrame, by: str, n: str, top: int = 1000) -> DataFrame:
-    """The ``top`` rows of ``counts`` with their rank by ``n``, ties by name: a distributed top-k, of which one task numbers the outcome."""
-    best = counts.orderBy(F.desc(n), by).limit(top)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(n), by)))
+def most_common(counts: DataFrame, n: str, first: str, top: int | None = None) -> DataFrame:
+    """``counts`` with their rank by ``n``, ties by what comes ``first``; all of them, or the ``top``."""
+    if top is None:
+        return numbered(counts.withColumn("_less", -F.col(n)), "_less", first).drop("_less")
+    best = counts.orderBy(F.desc(n), first).limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(n), first)).cast("long"))
 
 
 def speaker_total(utterances: DataFrame, names: list[str]) -> DataFrame:
@@ -71,7 +78,7 @@ Recogniser = Callable[[pd.Series], pd.Series]
 
 
 def entity_mentions(utterances: DataFrame, recogniser: Recogniser | None = None) -> DataFrame:
-    """(doc_id, pos, entity). Without a recogniser runs of capitalised words are taken, an approximation."""
+    """(doc_id, pos, at, entity), ``at`` counting an utterance's entities. Without a recogniser runs of capitalised words are taken, an approximation."""
     found: Column = X.entities(F.col("text"))
     if recogniser:
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -79,13 +86,16 @@ def entity_mentions(utterances: DataFrame, recogniser: Recogniser | None = None)
                 yield recogniser(texts)
 
         found = F.pandas_udf(run, "array<string>")("text")
-    return utterances.select("doc_id", "pos", F.explode(found).alias("entity"))
+    return utterances.select("doc_id", "pos", F.posexplode(found).alias("at", "entity"))
 
 
-def entity_counts(utterances: DataFrame, per_document: bool = False, recogniser: Recogniser | None = None) -> DataFrame:
-    """([doc_id,] entity, n)."""
+def entity_counts(utterances: DataFrame, per_document: bool = False, recogniser: Recogniser | None = None, ranked: bool = False, top: int | None = None) -> DataFrame:
+    """([doc_id,] entity, n); ``ranked``, over all documents, adds the rank by number, then first appearance."""
     keys = ["doc_id", "entity"] if per_document else ["entity"]
-    return entity_mentions(utterances, recogniser).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    mentions = entity_mentions(utterances, recogniser).groupBy(*keys)
+    if not ranked:
+        return mentions.agg(F.count(F.lit(1)).alias("n"))
+    return most_common(mentions.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos", "at")).alias("first")), "n", "first", top).drop("first")
 
 
 def entity_keywords(utterances: DataFrame, min_count: int = 5, top: int = 75, recogniser: Recogniser | None = None) -> DataFrame:

@@ -51,10 +51,10 @@ def utterance_idf(utterances: DataFrame) -> DataFrame:
     return idf(document_frequency(words), number_of(utterances))
 
 
-def within_document_vectors(utterances: DataFrame) -> DataFrame:
+def within_document_vectors(utterances: DataFrame, pattern: str = X.TOKEN) -> DataFrame:
     """(doc_id, pos, term, tf, idf, w): idf among the utterances of each document, all words kept."""
     keys = ["doc_id", "pos"]
-    counts = term_counts(utterances, keys, X.tokens(F.col("tokenized")))
+    counts = term_counts(utterances, keys, X.tokens(F.col("tokenized"), pattern))
     sizes = utterances.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     df = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "term"))
     rows = counts.withColumn("df", df).join(sizes, "doc_id").withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).withColumn("raw", F.col("tf") * F.col("idf"))

@@ -296,6 +296,8 @@ SPEAKER = "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p
 GRAMS = PAIRS.format(x="regexp_extract_all(tokenized, '[a-z]{2,}')")
 HIT = "SELECT file, pos, text FROM u WHERE list_contains({}, '{}')"
 ENTITY = r"unnest(regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*')) AS entity"
+FIRST_ENTITIES = rf"""x0 AS (SELECT doc_id, pos, {ENTITY.removeprefix("unnest(").removesuffix(") AS entity")} AS es FROM u),
+x AS (SELECT doc_id, pos, generate_subscripts(es, 1) AS j, unnest(es) AS entity FROM x0), e AS (SELECT entity, count(*) AS n, min([doc_id, pos, j]) AS f FROM x GROUP BY entity)"""
 PCT = "SELECT unnest([25.0, 50.0, 75.0, 95.0, 100.0]::DOUBLE[]) AS pct, unnest(list_transform(quantile_cont(n, [0.25, 0.5, 0.75, 0.95, 1.0]), lambda x: round(x, 6))) AS value FROM l"
 
 ORACLES: dict[str, str] = {
@@ -322,8 +324,9 @@ ORACLES: dict[str, str] = {
     "entities_heuristic": q(f"x AS (SELECT {ENTITY} FROM u)", "SELECT entity, count(*) AS n FROM x GROUP BY entity"),
     "entities_by_document": q(f"x AS (SELECT doc_id, {ENTITY} FROM u)", "SELECT doc_id, entity, count(*) AS n FROM x GROUP BY ALL"),
     "entity_keywords": q(f"x AS (SELECT {ENTITY} FROM u), e AS (SELECT entity, count(*) AS n FROM x GROUP BY entity ORDER BY n DESC, entity LIMIT 75)", f"SELECT DISTINCT lower(entity) AS term FROM e WHERE n >= 5 AND NOT list_contains({S3}, lower(entity))"),
-    "corpus_speakers_ranked": q("s AS (SELECT speaker, count(*) AS n_utterances FROM u GROUP BY speaker)", "SELECT speaker, n_utterances, CAST(row_number() OVER (ORDER BY n_utterances DESC, speaker) AS INT) AS rank FROM s QUALIFY rank <= 1000"),
-    "entities_ranked": q(f"x AS (SELECT {ENTITY} FROM u), e AS (SELECT entity, count(*) AS n FROM x GROUP BY entity)", "SELECT entity, n, CAST(row_number() OVER (ORDER BY n DESC, entity) AS INT) AS rank FROM e QUALIFY rank <= 75"),
+    "corpus_speakers_ranked": q("s AS (SELECT speaker, count(*) AS n_utterances, min([doc_id, pos]) AS f FROM u GROUP BY speaker)", "SELECT speaker, n_utterances, row_number() OVER (ORDER BY n_utterances DESC, f) AS rank FROM s"),
+    "entities_ranked": q(FIRST_ENTITIES, "SELECT entity, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM e QUALIFY rank <= 75"),
+    "entities_ranked_all": q(FIRST_ENTITIES, "SELECT entity, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM e"),
     "search_unigram": q("", HIT.format(GRAMS, "the")),
     "search_bigram": q("", HIT.format(GRAMS, "of the")),
     "search_grouped": q("", f"SELECT file, count(*) AS n, string_agg(text, chr(10) ORDER BY pos) AS lines FROM u WHERE list_contains({GRAMS}, 'the') GROUP BY file"),

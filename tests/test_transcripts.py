@@ -464,3 +464,28 @@ def test_callable_analyses(transcripts):
     assert [r["rank"] for r in analyses.Entities()(transcripts).orderBy("rank").collect()][0] == 1
     nodes, edges = analyses.KeywordNetwork()(transcripts, window=2)
     assert set(nodes.columns) == {"term", "centrality", "node_size"} and "edge_width" in edges.columns
+
+
+def test_ranks_of_all_rows(spark):
+    """More rows than a task's share, ties by first appearance, none left out."""
+    from parley.plans.numbering import ranked
+
+    rng = np.random.default_rng(3)
+    said = [(int(d), int(p), f"s{rng.zipf(1.5) % 1500}") for d in range(40) for p in range(60)]
+    u = spark.createDataFrame(said, "doc_id long, pos long, speaker string").repartition(6)
+    first, n = {}, Counter()
+    for d, p, s in said:
+        first.setdefault(s, (d, p))
+        n[s] += 1
+    want = [(s, n[s], i + 1) for i, s in enumerate(sorted(n, key=lambda s: (-n[s], first[s])))]
+    assert [tuple(r) for r in stats.corpus_speakers(u, ranked=True).orderBy("rank").collect()] == want
+    assert [tuple(r) for r in stats.corpus_speakers(u, ranked=True, top=7).orderBy("rank").collect()] == want[:7]
+    assert ranked(u.limit(0), "pos").count() == 0
+    assert {r["rank"] for r in ranked(u, "doc_id", "pos").collect()} == set(range(1, 2401))
+
+
+def test_a_pattern_of_words(transcripts):
+    """With words of four letters or more, "the water" and "the river" share nothing."""
+    assert lexrank.overlaps(transcripts).filter("doc_id = 0 AND i = 0 AND j = 1").first()["overlap"] == 2
+    assert lexrank.overlaps(transcripts, "[a-z]{4,}").filter("doc_id = 0 AND i = 0 AND j = 1").first()["overlap"] == 1
+    assert lexrank.keyphrases(transcripts, top=3, pattern="[a-z]{20,}").count() == 5
