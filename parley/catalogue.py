@@ -14,7 +14,7 @@ from parley.functions import text as X
 from parley.operators import analyses, centroid, chunker, cluster, corpus, keynet, layout, lexrank, segment, sentences, stats, tagger, vectors
 from parley.operators.search import Search
 from parley.oracles import ORACLES  # noqa: F401
-from parley.plans.settle import settled
+from parley.plans.settle import new_folder, settled
 from parley.sources import transcripts
 
 MAIN = ["assistant"]
@@ -41,6 +41,12 @@ def speaker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("doc_id", "pos", speaker.alias("speaker"), text.alias("text"))
 
 
+def reread(u: DataFrame) -> DataFrame:
+    path = new_folder(u.sparkSession, "talks")
+    transcripts.write_transcripts(u, path, 4)
+    return transcripts.read_split_transcripts(u.sparkSession, path, numbered=False).groupBy("speaker", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
 def year_files(u: DataFrame) -> DataFrame:
     name: Column = F.concat(F.lit("talk_"), F.col("doc_id"), F.lit("_"), F.col("doc_id") % 7 + 2010, F.lit(".txt"))
     return transcripts.year_groups(u.select("doc_id").distinct().select(name.alias("file")))
@@ -71,6 +77,7 @@ def keywords_of(u: DataFrame) -> DataFrame:
 SELECTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "split_main_speakers": lambda u: corpus.parse_speakers(u, MAIN)[0].select("doc_id", F.col("pos").alias("new_pos"), "speaker"),
     "split_other_speakers": lambda u: corpus.parse_speakers(u, MAIN)[1].select("doc_id", F.col("pos").alias("new_pos"), "speaker"),
+    "transcripts_reread": reread,
     "concat_documents": corpus.concat_documents,
     "year_groups": year_files,
     "tokens_without_stopwords": corpus.tokens_without_stopwords,

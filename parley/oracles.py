@@ -301,6 +301,7 @@ x AS (SELECT doc_id, pos, generate_subscripts(es, 1) AS j, unnest(es) AS entity
 PCT = "SELECT unnest([25.0, 50.0, 75.0, 95.0, 100.0]::DOUBLE[]) AS pct, unnest(list_transform(quantile_cont(n, [0.25, 0.5, 0.75, 0.95, 1.0]), lambda x: round(x, 6))) AS value FROM l"
 
 ORACLES: dict[str, str] = {
+    "transcripts_reread": q("", "SELECT speaker, text, count(*) AS n FROM u GROUP BY ALL"),
     "utterances_load": q("", "SELECT doc_id, pos, CAST(row_number() OVER (ORDER BY doc_id, pos) - 1 AS BIGINT) AS line_no, speaker, text, tokenized, file, CAST(-1 AS DOUBLE) AS score FROM u"),
     "parse_speaker_lines": q("x AS (SELECT doc_id, pos, speaker || ': ' || text AS l FROM u)", "SELECT doc_id, pos, CASE WHEN strpos(l, ':') > 0 THEN trim(substr(l, 1, strpos(l, ':') - 1)) ELSE 'UNK' END AS speaker, CASE WHEN strpos(l, ':') > 0 THEN trim(substr(l, strpos(l, ':') + 1)) ELSE trim(l) END AS text FROM x"),
     "split_main_speakers": q("", SPEAKER.format("speaker = 'assistant'")),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from parley.functions import text as X
 from parley.plans.numbering import offsets
+from parley.plans.settle import settled
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("line_no", T.LongType()), T.StructField("speaker", T.StringType()),
@@ -53,6 +54,41 @@ def read_transcripts(spark: SparkSession, directory: str, numbered: bool = True)
     return finished(lines.select("doc_id", F.col("pos").cast("long").alias("pos"), speaker.alias("speaker"), text.alias("text"), "file"), numbered)
 
 
+def read_split_transcripts(spark: SparkSession, directory: str, numbered: bool = True) -> DataFrame:
+    """The rows of ``read_transcripts``, with files of any size read in byte ranges, as many tasks a file as ``spark.sql.files.maxPartitionBytes`` makes.
+
+    The reader cuts files at line feeds only, so a line that crosses ranges stays whole, and what else ends a line is cut within what it gives. A
+    line's number is its place in its range, plus the lines of the ranges before it. Whether the last line feed is there, which decides if the end
+    of the last line is one, is told by the file's size.
+    """
+    raw = spark.read.option("lineSep", "\n").text(directory).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("row"))
+    raw = settled(raw)
+    # Without the last line feed a byte is missing from the lines' sizes; with a mark of byte order, which the reader drops, three more are.
+    files = raw.groupBy("file").agg((F.max("bytes") + 1 - F.sum(F.octet_length("value") + 1)).alias("over"), F.max(F.struct("range", "row")).alias("last"), F.min(F.struct("range", "row")).alias("first"))
+    ranks = offsets(files.select("file").withColumn("n", F.lit(1)), "file", "n", "doc_id").select("file", "doc_id")
+    rows = raw.join(files.join(ranks, "file"), "file")
+    at = F.struct("range", "row")
+    open_end = (at == F.col("last")) & F.col("over").isin(0, 3)
+    value = F.when((at == F.col("first")) & (F.col("over") >= 3), F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value"))
+    # A line feed takes one carriage return before it with it; an open end is no line.
+    parts = F.split(F.when(open_end, F.regexp_replace(value, f"(?:{LINE_END})\\z", "")).otherwise(F.regexp_replace(value, "\r\\z", "")), LINE_END)
+    rows = rows.select("doc_id", "file", "range", "row", parts.alias("parts"))
+    sizes = rows.groupBy("file", "range").agg(F.sum(F.size("parts")).alias("n"))
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = Window.partitionBy("file", "range").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("in_range", F.coalesce(F.sum(F.size("parts")).over(within), F.lit(0))).join(starts, ["file", "range"])
+    lines = counted.select("doc_id", "file", (F.col("start") + F.col("in_range")).alias("from"), F.posexplode("parts").alias("i", "line"))
+    speaker, text = speaker_and_text(F.col("line"))
+    return finished(lines.select("doc_id", (F.col("from") + F.col("i")).cast("long").alias("pos"), speaker.alias("speaker"), text.alias("text"), "file"), numbered)
+
+
+def write_transcripts(utterances: DataFrame, directory: str, files: int) -> None:
+    """Text files of lines ``speaker: text``, a document's lines in order in one file."""
+    dealt = utterances.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "pos")
+    dealt.select(F.concat("speaker", F.lit(": "), "text").alias("value")).write.text(directory)
+
+
 def from_conversations(conversations: DataFrame, numbered: bool = False) -> DataFrame:
     """(conv_id, turn, role, text): a document per conversation, an utterance per line of a turn."""
     turns = conversations.select(F.col("conv_id").alias("doc_id"), "turn", F.col("role").alias("speaker"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))

@@ -33,6 +33,26 @@ def test_lines_as_other_editors_end_them(spark, tmp_path):
     assert [(r["speaker"], r["text"]) for r in got] == [("K", "a"), ("UNK", "b"), ("J", "c"), ("UNK", ""), ("UNK", "no colon"), ("UNK", "z"), ("UNK", "y")]
 
 
+@pytest.mark.parametrize("size", ["29b"])
+def test_files_in_ranges(spark, tmp_path, size):
+    """As read as a whole, wherever ranges end."""
+    ends = ["\r\n", "\r", "\x85", "\n\n", ""]
+    for i, end in enumerate(ends):
+        (tmp_path / f"{i}_2020.txt").write_text("K: a longer line that crosses é ranges\x0bb\rJ: c\r\n\nno colon\x85z\u2028y\n\r\nM: x" + end, newline="", encoding="utf-8")
+    (tmp_path / "bom_2021.txt").write_text("\ufeffK: a\nb", newline="", encoding="utf-8")
+    (tmp_path / "bom_2022.txt").write_text("\ufeffK: a\nb\n", newline="", encoding="utf-8")
+    for name, text in (("one", "\n"), ("none", ""), ("open", "x")):
+        (tmp_path / f"{name}.txt").write_text(text, newline="")
+    whole = rows(sources.read_transcripts(spark, str(tmp_path)), *sources.SCHEMA.fieldNames()[:7])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        ranged = rows(sources.read_split_transcripts(spark, str(tmp_path)), *sources.SCHEMA.fieldNames()[:7])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert ranged == whole and len(whole) > 45
+
+
 def test_clean(spark):
     df = spark.createDataFrame([("It's the water that's gone.",), ("River fishing: we don't stop.",), ("a b Naïve",), ("\t Hi there\n",)], "t string")
     got = [r[0] for r in df.select(X.strip(X.clean(F.col("t")))).collect()]
