@@ -4,14 +4,14 @@ DataFrame operations only. A line's key is the line without the whitespace ``[\\
 lower-cased; its hash is MD5 of that key. A text that is null or empty is one empty line, and lines with an empty key always stay.
 
 The runs are tables (hash, n) in the shared folder, dealt into buckets by the hash and sorted by it within a bucket, which Spark knows of: a
-merge join with a run, or the merge of several, moves and sorts no row of a run. A run holds for each hash the number of documents of its batches
+merge join with a run moves and sorts no row of the run. A run holds for each hash the number of documents of its batches
 that have the line, in two parts: a hash is settled once a run counts ``min_docs`` documents, open before that. A new batch is
 merge-anti-joined with the settled part of every run, the newest included, as settled hashes need no further counting; what is left is
-added as a run of level 0. Level i holds fewer than ``fanout`` runs; ``fanout`` of them are merged, bucket by bucket, into one of level
-i + 1. So the runs that a batch meets grow with the logarithm of the number of batches.
+added as a run of level 0. Level i holds fewer than ``fanout`` runs; ``fanout`` of them are merged into one of level
+i + 1, by an aggregation that moves each of their rows once. So the runs that a batch meets grow with the logarithm of the number of batches.
 
-A batch holds about ``bucket_rows`` hashes per bucket, so the number of batches grows with the table, and with it neither the memory of
-a task nor the size of a new run.
+A batch holds about ``bucket_rows`` hashes per bucket, whatever the files are like, and a quarter of the table at most. So the number of batches
+grows with the table, and with it neither the memory of a task nor the size of a new run.
 
 Defined results: a row is a document, so a repeated row counts again; rows that share an id are counted apart; a null id is an id like
 any other; ties do not arise; an empty table gives an empty table; other columns, whatever their names, are kept as they are.
@@ -94,35 +94,42 @@ class LineRuns:
             return self.space.table(self._merged(self.runs()).filter(F.col("n") >= self.min_docs), "settled")
 
 
-def batches_of(parts: list[tuple[int, int]], rows: int) -> list[tuple[int, int]]:
-    """Ranges (first, last) of consecutive parts (number, rows) that hold ``rows`` rows or, the last one, fewer."""
+def batches_of(tasks: list[tuple[int, int, int]], rows: int) -> list[tuple[int, int]]:
+    """Ranges (first, last) of row numbers that hold about ``rows`` hashes, from what each task wrote (task, hashes, documents).
+
+    Row numbers are those of ``monotonically_increasing_id``. A task that wrote more than ``rows`` is cut by its documents, small ones are put together.
+    """
     out: list[tuple[int, int]] = []
-    begin, held = None, 0
-    for part, n in parts:
-        begin, held = (part if begin is None else begin), held + n
-        if held >= rows:
-            out.append((begin, part))
-            begin, held = None, 0
-    return out if begin is None else [*out, (begin, parts[-1][0])]
+    begin, held, last = None, 0, 0
+    for task, hashes, docs in tasks:
+        pieces = max(1, min(docs, -(-hashes // rows)))
+        for k in range(pieces):
+            first, last = (task << 33) + docs * k // pieces, (task << 33) + docs * (k + 1) // pieces - 1
+            begin, held = (first if begin is None else begin), held + -(-hashes // pieces)
+            if held >= rows:
+                out.append((begin, last))
+                begin, held = None, 0
+    return out if begin is None else [*out, (begin, last)]
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bucket_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", report: bool = True) -> DataFrame:
     """``docs`` with ``text_col`` free of all lines whose key at least ``min_docs`` documents have, plus ``n_lines`` and ``n_dropped``
     (which replace columns of these names) if ``report``.
 
-    The texts are hashed once into a table of hashes, a part per task. Consecutive parts make a batch, and batches meet the runs in turn.
+    The texts are hashed once into a table of hashes, numbered as written. Ranges of these numbers make the batches, which meet the runs in turn.
     Texts and their hits meet by a hash of id and text. Two documents with the same one would share their hits, all of which are frequent lines.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "line-dedup")
     hashes = F.array_distinct(F.array_compact(F.transform(lines_of(F.col(text_col)), lambda x: line_hash(x, min_chars))))
     unit = F.xxhash64(F.col(id_col), F.col(text_col))
-    prints = space.table(docs.select(unit.alias("unit"), hashes.alias("hashes"), F.spark_partition_id().alias("part")), "prints", by="part")
-    rows = sorted(tuple(r) for r in prints.groupBy("part").agg(F.sum(F.size("hashes")), F.count(F.lit(1))).collect())  # a row per task
+    prints = space.table(docs.select(unit.alias("unit"), hashes.alias("hashes"), F.monotonically_increasing_id().alias("row")), "prints")
+    rows = sorted(tuple(r) for r in prints.groupBy(F.shiftright("row", 33)).agg(F.sum(F.size("hashes")), F.count(F.lit(1))).collect())  # a row per task
     total = sum(n for _, n, _ in rows)
     runs = LineRuns(spark, min_docs)
-    for first, last in batches_of([(part, n) for part, n, _ in rows], bucket_rows * runs.buckets):
-        runs.add(prints.filter(F.col("part").between(first, last)).select(F.explode("hashes").alias("hash")))
+    # Four batches at least, so that runs are met in tables of any size.
+    for first, last in batches_of(rows, max(1, min(bucket_rows * runs.buckets, -(-total // 4)))):
+        runs.add(prints.filter(F.col("row").between(first, last)).select(F.explode("hashes").alias("hash")))
     if not runs.runs():
         hits = prints.select("unit", F.col("hashes").alias("hits")).limit(0)
     else:

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.common import HEAVY_KEYS, Workspace, attach, free_name, spread_left
+from parley.llm.common import HEAVY_KEYS, Workspace, attach, free_name, others, spread_left
 
 FAN_BITS = 12
 #: Sources are listed on the driver, some 200 bytes each; more than this is taken for an error.
@@ -134,14 +134,16 @@ def _plan(docs: DataFrame, space: Workspace, entropy: float | None, max_repetiti
 
 
 def mixed_documents(docs: DataFrame, entropy: float | None = None, max_repetition: float | None = None, budget: float | None = None, block_tokens: int = 1 << 17, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents of the plan, a row per copy, with all their columns and weight, epoch, block, block_key, doc_key."""
+    """The documents of the plan, a row per copy, with all their columns and mix_weight, mix_epoch, mix_block, mix_block_key and
+    mix_doc_key, which replace columns of these names."""
     space = Workspace(docs.sparkSession, "mixed")
     plan, units = _plan(docs, space, entropy, max_repetition, budget, block_tokens, seed, id_col, source_col, text_col)
     own, copies = free_name(docs, "_unit"), free_name(docs, "_plan")
-    named = [F.col(c).alias(f"mix_{c}") for c in ("weight", "epoch", "block", "block_key", "doc_key")]
+    added = [f"mix_{c}" for c in ("weight", "epoch", "block", "block_key", "doc_key")]
+    named = [F.col(c.removeprefix("mix_")).alias(c) for c in added]
     # A unit has as many copies as its source has epochs.
     table = plan.groupBy(F.col("unit").alias(own)).agg(F.collect_list(F.struct(*named)).alias(copies))
-    kept = [c for c in docs.columns if not c.lower().startswith("mix_")]
+    kept = others(docs, *added)
     left = docs.select(*(F.col(f"`{c}`") for c in kept), unit_of(id_col, source_col, text_col).alias(own))
     counts = units.withColumnRenamed("unit", own)
     rows = spread_left(left, table, own, counts, counts.agg(F.sum("n")).first()[0] or 0, space)

@@ -105,6 +105,8 @@ def test_mixing(spark, odd, none):
     assert {r[0] for r in plan.select("id").distinct().collect()} == {None, 1, 2, 3, 4, 5, 6, 7, 8, -9, 10}
     every = mixed_documents(odd, max_repetition=1.0)
     assert every.count() == 12 and set(every.columns) > set(odd.columns) - {"mix_epoch"}
+    noted = odd.withColumn("mix_note", F.lit("mine"))
+    assert {r[0] for r in mixed_documents(noted, max_repetition=1.0).select("mix_note").collect()} == {"mine"}
     assert mix(none, max_repetition=2.0).count() == 0
     assert mixed_documents(odd, max_repetition=1.0).count() > 0
 
@@ -150,4 +152,6 @@ def test_top_k(spark):
     v = spark.createDataFrame(rows, schema)
     got = [tuple(r) for r in top_k(v, v.filter("vec_id % 20 = 0"), k=3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 5120), (0, 2, 2, 5120), (0, 3, 1, 0), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, 1, 0)]
+    clashing = v.withColumns({c: F.lit("x") for c in ("rank", "score", "id", "query_id")})
+    assert [tuple(r) for r in top_k(clashing, clashing.filter("vec_id % 20 = 0"), k=3).orderBy("query_id", "rank").collect()] == got
     assert top_k(v.limit(0), v.limit(0)).count() == 0

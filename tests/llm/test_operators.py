@@ -118,8 +118,19 @@ def test_every_batch_meets_all_runs(spark):
 
 
 def test_batches_grow_with_the_table():
-    assert batches_of([(0, 4), (1, 4), (2, 9), (3, 0), (5, 1)], 8) == [(0, 1), (2, 2), (3, 5)] and batches_of([], 5) == []
-    assert len(batches_of([(i, 10) for i in range(100)], 20)) == 50
+    assert batches_of([(0, 4, 2), (1, 4, 1), (2, 9, 3), (3, 0, 0), (5, 1, 1)], 8) == [(0, 1 << 33), (2 << 33, (2 << 33) + 2), (3 << 33, 5 << 33)] and batches_of([], 5) == []
+    assert len(batches_of([(i, 10, 5) for i in range(100)], 20)) == 50
+    # One task's rows are cut too.
+    assert batches_of([(0, 100, 10)], 25) == [(0, 1), (2, 4), (5, 6), (7, 9)]
+
+
+def test_the_query_meets_runs(spark, monkeypatch):
+    from parley.llm import line_dedup, queries
+
+    made = []
+    monkeypatch.setattr(line_dedup, "LineRuns", lambda *a: made.append(LineRuns(*a)) or made[-1])
+    assert queries.op3_line_dedup(spark, "/root/testdata/sf0.01").count() == 1000
+    assert len(made[0].met) >= 4 and made[0].met[:4] == [0, 1, 2, 3]
 
 
 def test_lines_of_many_equal_rows(spark):
