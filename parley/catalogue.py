@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators import analyses, centroid, chunker, cluster, corpus, keynet, layout, lexrank, segment, sentences, stats, tagger, vectors
+from parley.operators import analyses, centroid, chunker, cluster, corpus, keynet, layout, lexrank, postings, segment, sentences, stats, tagger, vectors
 from parley.operators.search import Search
 from parley.oracles import ORACLES  # noqa: F401
 from parley.plans.settle import new_folder, settled
@@ -60,6 +60,15 @@ def deep(u: DataFrame) -> DataFrame:
     return segment.depths(segment.smoothed(tiles(u)))
 
 
+def indexed_search(u: DataFrame) -> DataFrame:
+    """Looked up in an index of two batches, the utterances of the main speakers and all others."""
+    index = postings.PostingIndex(u.sparkSession, new_folder(u.sparkSession, "postings"))
+    main = F.coalesce(F.col("speaker").isin(MAIN), F.lit(False))
+    index.add(u.filter(main))
+    index.add(u.filter(~main))
+    return index.find("of the")
+
+
 def nearest_paragraphs(u: DataFrame) -> DataFrame:
     docs = segment.joined(u)
     return segment.snapped(docs, segment.found_boundaries(docs, TILING), TILING.w)
@@ -108,6 +117,7 @@ COUNTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 LOOKUPS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "search_unigram": lambda u: Search(u)("the").select("file", "pos", "text"),
     "search_bigram": lambda u: Search(u)("of the").select("file", "pos", "text"),
+    "search_postings": indexed_search,
     "search_grouped": lambda u: Search(u).grouped("the"),
 }
 

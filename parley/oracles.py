@@ -329,6 +329,7 @@ ORACLES: dict[str, str] = {
     "entities_ranked": q(FIRST_ENTITIES, "SELECT entity, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM e QUALIFY rank <= 75"),
     "entities_ranked_all": q(FIRST_ENTITIES, "SELECT entity, n, row_number() OVER (ORDER BY n DESC, f) AS rank FROM e"),
     "search_unigram": q("", HIT.format(GRAMS, "the")),
+    "search_postings": q("", f"SELECT doc_id, pos FROM u WHERE list_contains({GRAMS}, 'of the')"),
     "search_bigram": q("", HIT.format(GRAMS, "of the")),
     "search_grouped": q("", f"SELECT file, count(*) AS n, string_agg(text, chr(10) ORDER BY pos) AS lines FROM u WHERE list_contains({GRAMS}, 'the') GROUP BY file"),
     "tfidf_utterance": q(UTT, "SELECT doc_id, pos, term, round(w, 6) AS w FROM v"),
