@@ -7,7 +7,7 @@ import pytest
 from parley import catalogue
 
 SF = "/root/testdata/sf0.001"
-KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+KINDS = {"boolean": "BOOLEAN", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
 
 
 @pytest.fixture(scope="module")
