@@ -109,12 +109,29 @@ def smoothed(scores: DataFrame, smoothing: int = 2) -> DataFrame:
     width = smoothing + 1
     rows = scores.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("gap", "score"))).alias("r")).select("doc_id", F.transform("r", lambda r: r["score"]).alias("x"))
     rows = rows.filter(F.size("x") >= width).withColumn("n", F.size("x"))
-    x = F.col("x")
-    left = F.transform(F.sequence(F.least(F.lit(width), F.col("n") - 1), F.lit(2), F.lit(-1)), lambda i: 2 * x[0] - x[i])
-    right = F.transform(F.sequence(F.lit(0), F.lit(width - 2)), lambda i: 2 * x[F.col("n") - 1] - x[F.col("n") - 1 - i])
-    rows = rows.withColumn("s", F.concat(left, x, right)).withColumn("gaps", F.size("s") - 2 * (width - 1))
-    mean = F.transform(F.sequence(F.lit(1), F.col("gaps")), lambda i: F.aggregate(F.slice("s", i + (width - 1) // 2, F.lit(width)), F.lit(0.0), lambda acc, v: acc + v) / width)
-    out = rows.select("doc_id", F.col("gaps").cast("long").alias("gaps"), F.posexplode(mean).alias("gap", "score"))
+    x, n = F.col("x"), F.col("n")
+    reflected = F.least(F.lit(width), n - 1) - 1
+    rows = rows.withColumn("gaps", n + reflected - (width - 1))
+
+    def mean(i: Column) -> Column:
+        """Of the window from place ``first`` of the series on: place t < 0 stands for 2 x[0] - x[1 - t], and t >= n for 2 x[n - 1] - x[2 n - 1 - t].
+
+        Each score is taken once, times how often it counts, so that the rounding depends on nothing but the series.
+        """
+        first = i + (width - 1) // 2 - reflected
+        last = first + width - 1
+
+        def add(acc: Column, j: Column) -> Column:
+            once = lambda c: c.cast("int")
+            times = once(j.between(first, last)) - once((1 - j).between(first, F.lit(-1))) - once((2 * n - 1 - j).between(n, last))
+            ends = once(j == 0) * F.greatest(-first, F.lit(0)) + once(j == n - 1) * F.greatest(last - n + 1, F.lit(0))
+            return acc + (times + 2 * ends) * x[j]
+
+        lowest, highest = F.greatest(F.least(first, 2 * n - 1 - last), F.lit(0)), F.least(F.greatest(last, 1 - first), n - 1)
+        return F.aggregate(F.sequence(lowest, highest), F.lit(0.0), add) / width
+
+    means = F.transform(F.sequence(F.lit(0), F.col("gaps") - 1), mean)
+    out = rows.select("doc_id", F.col("gaps").cast("long").alias("gaps"), F.posexplode(means).alias("gap", "score"))
     return out.select("doc_id", F.col("gap").cast("long").alias("gap"), "gaps", "score")
 
 
@@ -134,9 +151,22 @@ def depths(scores: DataFrame) -> DataFrame:
 
 
 def candidates(deep: DataFrame) -> DataFrame:
-    """(doc_id, gap, gaps, depth, cutoff): depths above the mean less half the standard deviation."""
-    stats = deep.groupBy("doc_id").agg((F.avg("depth") - F.stddev_pop("depth") / 2).alias("cutoff"))
-    return deep.join(stats, "doc_id").filter(F.col("depth") > F.col("cutoff")).select("doc_id", "gap", "gaps", "depth", "cutoff")
+    """(doc_id, gap, gaps, depth, cutoff): depths above the mean less half the standard deviation.
+
+    Of five depths only the third can be more than 0, and then the cutoff is 0 but for the rounding, which decides whether the others pass. So
+    both are folded in the order of the gaps, the deviation by Welford's recurrence, and come out the same however rows are dealt.
+    """
+    rows = deep.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("gap", "gaps", "depth"))).alias("r"))
+    first = F.struct(*(F.lit(0.0).alias(x) for x in ("n", "total", "mean", "squares")))
+
+    def add(acc: Column, x: Column) -> Column:
+        n, apart = acc["n"] + 1, x - acc["mean"]
+        mean = acc["mean"] + apart / n
+        return F.struct(n.alias("n"), (acc["total"] + x).alias("total"), mean.alias("mean"), (acc["squares"] + (x - mean) * apart).alias("squares"))
+
+    cutoff = F.aggregate(F.transform("r", lambda r: r["depth"]), first, add, lambda acc: acc["total"] / acc["n"] - F.sqrt(acc["squares"] / acc["n"]) / 2)
+    every = rows.select("doc_id", cutoff.alias("cutoff"), F.explode("r").alias("r"))
+    return every.select("doc_id", "r.*", "cutoff").filter(F.col("depth") > F.col("cutoff")).select("doc_id", "gap", "gaps", "depth", "cutoff")
 
 
 def flagged(deep: DataFrame) -> DataFrame:

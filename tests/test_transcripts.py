@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parley.functions import text as X
 from parley.operators import centroid, cluster, corpus, graph, keynet, lexrank, segment, stats, vectors
 from parley.operators.search import Search
+from parley.oracles import TILE
 from parley.sources import transcripts as sources
 from parley.streaming import running_speakers, stream_lines, stream_search
 
@@ -439,6 +440,21 @@ def test_gap_scores_and_smoothing_by_loops(spark, monkeypatch, smoothing):
         assert np.allclose([smooth[i][g] for g in range(len(want))], want) and len(smooth[i]) == len(want)
 
 
+def test_ties_with_the_cutoff_as_in_sql(spark):
+    """Of series of five depths all but one are 0, and the cutoff is 0 but for the rounding; both sides round alike."""
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    scores = [(d, g, 5, float(s)) for d in range(300) for g, s in enumerate(rng.integers(0, 50, 5) / np.sqrt(rng.integers(2000, 9000, 5)))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE gs (doc_id BIGINT, gap BIGINT, gaps BIGINT, score DOUBLE)")
+    con.executemany("INSERT INTO gs VALUES (?, ?, ?, ?)", scores)
+    smooth_on = TILE[TILE.index("sm0 AS"):]
+    want = con.sql(f"WITH {smooth_on} SELECT doc_id, gap FROM ca ORDER BY ALL").fetchall()
+    got = segment.candidates(segment.depths(segment.smoothed(spark.createDataFrame(scores, "doc_id long, gap long, gaps long, score double").repartition(3)))).select("doc_id", "gap")
+    assert sorted(map(tuple, got.collect())) == want and any(g != 2 for _, g in want)
+
+
 def test_segments_by_a_walk_over_the_text(talks):
     """Cuts at the paragraph break nearest to the end of the word where a boundary lies."""
     t = segment.Tiling(w=6, k=2)
