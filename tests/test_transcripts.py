@@ -313,6 +313,33 @@ def plain_distances(talks):
     return np.array([[0.0 if i == j else 1 - sum(w * own[j].get(t, 0) for t, w in own[i].items()) for j in range(12)] for i in range(12)]), own
 
 
+@pytest.mark.parametrize(("docs", "terms", "strip"), [(4096, 1024, 256), (5, 3, 2), (1, 1000, 1)])
+def test_distances_in_blocks(spark, talks, monkeypatch, docs, terms, strip):
+    """No row for a pair and a term is made, and no pair is moved; a document without terms is at distance 1 from all others."""
+    from parley.sources.transcripts import from_rows
+
+    for name, value in (("BLOCK_DOCS", docs), ("BLOCK_TERMS", terms), ("STRIP", strip), ("BLOCKS", 1)):
+        monkeypatch.setattr(cluster, name, value)
+    want, own = plain_distances(talks)
+    got = cluster.distances(vectors.cluster_vectors(talks), talks)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[a#" not in plan and "Join" not in plan
+    found = {(r["a"], r["b"]): r["dist"] for r in got.collect()}
+    assert set(found) == {(i, j) for i in range(12) for j in range(i + 1, 12) if set(own[i]) & set(own[j])}
+    assert all(abs(d - want[k]) < 1e-12 for k, d in found.items())
+    more = talks.unionByName(from_rows(spark, [(12, 0, "A", "", "talk_2013.txt")]).select(talks.columns))
+    assert {r["doc_id"]: [round(x, 9) for x in r["distances"]][12] for r in cluster.distance_matrix(more).collect()} == dict.fromkeys(range(12), 1.0) | {12: 0.0}
+
+
+def test_distance_matrix_of_many_documents(talks, monkeypatch):
+    """The number of documents has no bound."""
+    monkeypatch.setattr(cluster, "MAX_DENSE", 3)
+    monkeypatch.setattr(cluster, "BLOCK_DOCS", 5)
+    want, _ = plain_distances(talks)
+    got = {r["doc_id"]: r["distances"] for r in cluster.distance_matrix(talks).collect()}
+    assert np.allclose([got[i] for i in range(12)], want)
+
+
 def test_k_means_is_at_rest(talks):
     labels, top = cluster.k_means(talks, clusters=3, starts=5)
     label = {r["doc_id"]: r["label"] for r in labels.collect()}
