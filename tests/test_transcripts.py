@@ -406,6 +406,17 @@ def test_layout_and_frame(talks):
     assert {i: (r["x"], r["y"], r["label"], r["title"]) for i, r in frame.items()} == {i: (*got[i], label[i], str(2010 + i % 3)) for i in range(12)}
 
 
+def test_layout_of_many_documents(talks, monkeypatch):
+    """By squares of the matrix: a stress as low as that of the whole matrix."""
+    d, _ = plain_distances(talks)
+    stress = lambda p: ((np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) - d) ** 2).sum() / 2
+    whole = stress(cluster.smacof(d))
+    for name, value in (("MAX_DENSE", 3), ("BLOCK_DOCS", 5), ("STRIP", 3)):
+        monkeypatch.setattr(cluster, name, value)
+    got = {r["doc_id"]: (r["x"], r["y"]) for r in cluster.layout(talks).collect()}
+    assert stress(np.array([got[i] for i in range(12)])) < 1.05 * whole + 0.01
+
+
 def test_ward_against_variances(talks):
     """Merges of least increase of the sum of squares, from the members of the clusters."""
     x, _ = plain_distances(talks)
@@ -423,6 +434,34 @@ def test_ward_against_variances(talks):
     assert [(a, b, n) for _, a, b, _, n in got] == [(a, b, n) for a, b, _, n in want] and np.allclose([h for *_, h, _ in got], [h for *_, h, _ in want])
 
 
+@pytest.mark.parametrize("most", [2])
+def test_ward_of_many_documents(spark, talks, monkeypatch, most):
+    """In rounds of pairs that are each other's nearest: the tree of the whole matrix, copies and documents without terms among the rest."""
+    from parley.operators.layout import dendrogram_links
+    from parley.sources.transcripts import from_rows
+
+    more = [(d, 0, "A", text, "talk_2013.txt") for d, text in ((12, ""), (13, ""), (14, "ka na pa"), (15, "ka na pa"), (16, "ka na pa"))]
+    more = talks.unionByName(from_rows(spark, more).select(talks.columns))
+    leaves = lambda linkage, n: {frozenset(x): h for x, h in members(linkage, n)}
+
+    def members(linkage, n):
+        held = {i: {i} for i in range(n)}
+        for step, a, b, height, size in linkage:
+            held[n + step] = held[a] | held[b]
+            assert len(held[n + step]) == size == len(held[a]) + len(held[b])
+            yield held[n + step], height
+
+    read = lambda u: sorted(tuple(r) for r in cluster.ward_linkage(u).collect())
+    whole, many = read(talks), read(more)
+    for name, value in (("MAX_DENSE", most), ("BLOCK_DOCS", 5), ("BLOCKS", 2)):
+        monkeypatch.setattr(cluster, name, value)
+    got, want = leaves(read(talks), 12), leaves(whole, 12)
+    assert set(got) == set(want) and all(abs(h - want[x]) < 1e-6 for x, h in got.items())
+    found = read(more)
+    assert np.allclose([h for *_, h, _ in found], [h for *_, h, _ in many], atol=1e-6) and len(found) == 16
+    assert leaves(found, 17) and dendrogram_links(spark.createDataFrame(found, "step long, a long, b long, height double, size long")).count() == 16
+
+
 def plain_blocks(tokens, w, k, stop):
     """Gap scores by counting the words of both blocks anew for each gap."""
     rows = [Counter(t for t in tokens[i : i + w] if t not in stop) for i in range(0, len(tokens), w)]
