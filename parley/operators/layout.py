@@ -58,7 +58,8 @@ def network_layout(terms: DataFrame, edges: DataFrame, force: float = 1.5, round
         new = F.transform(acc["at"], lambda p, i: moved(acc["at"], heat, i))
         # What moved is told in the next round, from this one's places and those before.
         way = F.aggregate(F.zip_with(acc["at"], acc["last"], lambda p, q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])), F.lit(0.0), lambda s, x: s + x)
-        still = (r > 1) & (F.sqrt(way) / F.size(acc["at"]) < STILL)
+        # Multiplied, as the optimizer may take the fold to a row without nodes before it is filtered.
+        still = (r > 1) & (F.sqrt(way) < STILL * F.size(acc["at"]))
         return F.struct(F.when(still, acc["at"]).otherwise(new).alias("at"), acc["at"].alias("last"))
 
     first = F.struct(F.col("start").alias("at"), F.col("start").alias("last"))
