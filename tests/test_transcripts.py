@@ -417,6 +417,14 @@ def test_layout_of_many_documents(talks, monkeypatch):
     assert stress(np.array([got[i] for i in range(12)])) < 1.05 * whole + 0.01
 
 
+def test_frame_of_many_documents(talks, monkeypatch):
+    """More documents than a task takes whole have a place, a label and a title each."""
+    monkeypatch.setattr(cluster, "MAX_DENSE", 3)
+    monkeypatch.setattr(cluster, "layout_by_squares", lambda u, seed: u.groupBy("doc_id").agg(F.lit(0.0).alias("x"), F.lit(1.0).alias("y")))
+    frame = cluster.cluster_frame(talks, clusters=3).collect()
+    assert sorted((r["doc_id"], r["title"]) for r in frame) == [(i, str(2010 + i % 3)) for i in range(12)] and {r["y"] for r in frame} == {1.0}
+
+
 def test_ward_against_variances(talks):
     """Merges of least increase of the sum of squares, from the members of the clusters."""
     x, _ = plain_distances(talks)
