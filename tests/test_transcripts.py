@@ -417,6 +417,17 @@ def test_layout_of_many_documents(talks, monkeypatch):
     assert stress(np.array([got[i] for i in range(12)])) < 1.05 * whole + 0.01
 
 
+def test_layout_by_squares_goes_on(spark):
+    """The first step brings places around 0 and so nearer to it, which is no reason to stop: three groups far from each other come apart."""
+    from parley.sources.transcripts import from_rows
+
+    groups = ["bako dalo fama gano", "kepi lemi nepi repi", "sotu votu zutu moru"]
+    talks = from_rows(spark, [(i, 0, "A", groups[i % 3], "talk_2010.txt") for i in range(24)])
+    d = 1.0 * (np.arange(24)[:, None] % 3 != np.arange(24) % 3)
+    got = np.array([r[1:] for r in sorted(cluster.layout_by_squares(talks).collect())])
+    assert len(got) == 24 and ((np.sqrt(((got[:, None] - got[None]) ** 2).sum(-1)) - d) ** 2).sum() / 2 < 0.5
+
+
 def test_frame_of_many_documents(talks, monkeypatch):
     """More documents than a task takes whole have a place, a label and a title each."""
     monkeypatch.setattr(cluster, "MAX_DENSE", 3)
