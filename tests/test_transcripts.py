@@ -610,3 +610,26 @@ def test_a_pattern_of_words(transcripts):
     assert lexrank.overlaps(transcripts).filter("doc_id = 0 AND i = 0 AND j = 1").first()["overlap"] == 2
     assert lexrank.overlaps(transcripts, "[a-z]{4,}").filter("doc_id = 0 AND i = 0 AND j = 1").first()["overlap"] == 1
     assert lexrank.keyphrases(transcripts, top=3, pattern="[a-z]{20,}").count() == 5
+
+
+def test_term_products(talks, monkeypatch):
+    """Products of every two terms over the documents, by stripes of terms."""
+    docs, _, _ = cluster.blocks(vectors.cluster_vectors(talks), talks)
+    rows = docs.collect()
+    width = max(t for r in rows for t in r["terms"]) + 1
+    w = np.zeros((len(rows), width))
+    for r in rows:
+        for t, x in zip(r["terms"], r["weights"], strict=True):
+            if t >= 0:
+                w[r["number"], t] = x
+    got = np.array([np.frombuffer(r["row"]) for r in cluster.term_products(docs, width).orderBy("number").collect()])
+    assert np.allclose(got, w.T @ w)
+    # Only some clusters look for their nearest, by rows of products instead of documents.
+    x, state = w @ w.T @ w @ w.T, docs.select("number", F.lit(1.0).alias("size"), F.lit(0.0).alias("norm"), "terms", "weights")
+    norms = {i: x[i, i] for i in range(len(x))}
+    state = state.withColumn("norm", F.element_at(F.create_map(*(F.lit(v) for pair in norms.items() for v in pair)), F.col("number").cast("int")))
+    apart = np.diag(x)[:, None] + np.diag(x) - 2 * x
+    np.fill_diagonal(apart, np.inf)
+    found = cluster.ward_squares(state, state.filter("number < 5"), cluster.term_products(docs, width), 5, width, "near", True).collect()
+    assert sorted(r["number"] for r in found) == [0, 1, 2, 3, 4]
+    assert all(abs(r["square"] - apart[r["number"]].min()) < 1e-9 and abs(apart[r["number"], r["other"]] - r["square"]) < 1e-9 for r in found)
