@@ -633,3 +633,12 @@ def test_term_products(talks, monkeypatch):
     found = cluster.ward_squares(state, state.filter("number < 5"), cluster.term_products(docs, width), 5, width, "near", True).collect()
     assert sorted(r["number"] for r in found) == [0, 1, 2, 3, 4]
     assert all(abs(r["square"] - apart[r["number"]].min()) < 1e-9 and abs(apart[r["number"], r["other"]] - r["square"]) < 1e-9 for r in found)
+
+
+def test_layout_of_a_start_in_a_task(talks, monkeypatch):
+    """A task that has all squares for a start gives the places that rounds over all tasks give."""
+    got = []
+    for most in (8192, 0):
+        monkeypatch.setattr(cluster, "MAX_LAID", most)
+        got.append(np.array([r[1:] for r in sorted(cluster.layout_by_squares(talks, rounds=2).collect())]))
+    assert got[0].shape == (12, 2) and np.allclose(*got, atol=1e-5)
